@@ -192,7 +192,7 @@ def _broadcast_topk(bc, k, d):
 
 def pad_hits(hits: DataFrame, query_ids: DataFrame, k: int) -> DataFrame:
     """K2: ranks 1..k per query; empty slots get pos -1 and no document."""
-    slots = query_ids.select("query_id", F.explode(F.sequence(F.lit(1), F.lit(k))).cast("bigint").alias("rank"))
+    slots = query_ids.select("query_id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(k).cast("bigint"))).alias("rank"))
     return (
         slots.join(hits, ["query_id", "rank"], "left")
         .select(

@@ -33,8 +33,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+def files_of(documents: DataFrame) -> DataFrame:
+    """documents rows -> (path, list_order, text) as files of a folder."""
     m4 = F.col("doc_id") % 4
     ext = F.when(m4 == 0, ".txt").when(m4 == 1, ".MD").when(m4 == 2, ".pdf").otherwise(".docx")
     text = (
@@ -42,13 +42,28 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("doc_id") % 19 == 0, F.lit(" \n "))
         .otherwise(F.col("text"))
     )
-    return d.select(
+    return documents.select(
         F.concat(F.lit("kb/"), F.col("doc_id").cast("string"), ext).alias("path"),
         F.col("doc_id").alias("list_order"),
         text.alias("text"),
     )
 
 
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files_of(table(spark, sf_dir, "documents"))
+
+
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same table as a file stream (the folder, filtered to its file)."""
+    schema = table(spark, sf_dir, name).schema
+    return (
+        spark.readStream.schema(schema)
+        .option("pathGlobFilter", f"{name}.parquet")
+        .option("maxFilesPerTrigger", 1)
+        .parquet(sf_dir)
+    )
+
+
 def registry(spark: SparkSession, sf_dir: str, files_df: DataFrame | None = None) -> DataFrame:
     f = files_df if files_df is not None else files(spark, sf_dir)
     docs, _ = ingest.new_documents(f, reg.empty_registry(spark))

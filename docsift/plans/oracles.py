@@ -268,3 +268,6 @@ UNION ALL
 SELECT row_number() OVER (ORDER BY file_path, id) AS line_no, title AS line FROM registry""",
     "ingest_end_to_end": with_() + "\nSELECT * FROM registry",
 }
+# streams end in the same tables as their batch counterparts
+ORACLES["stream_ingest"] = ORACLES["ingest_end_to_end"]
+ORACLES["stream_routing"] = ORACLES["route_queries"]

@@ -1,3 +1,189 @@
-"""Streaming jobs."""
+"""Streaming jobs.
 
-QUERIES: dict = {}
+T1 ``ingest_stream``: a file stream feeds ``foreachBatch``; each micro-batch
+runs the batch ingest job against the tables written by *earlier* batches
+and appends its output under ``batch=<id>``:
+
+  * the stream checkpoint skips files already seen, the anti-join skips
+    content already registered: both are needed;
+  * a replayed batch overwrites exactly its own partitions (dynamic
+    partition overwrite) and reads only earlier batches, so a replay never
+    appends twice;
+  * vectors are written first, registry rows last and only for documents
+    whose vectors are on disk, so a crash between the two leaves no
+    registered document without vectors.
+
+T2 ``route_stream``: arriving questions are routed (stateless); questions
+routed to retrieval are answered against a snapshot of the index taken when
+the batch runs (the index is read once per batch, metadata live).
+
+Folders default to subfolders of the session's checkpoint directory, the
+shared location a cluster names in ``spark.checkpoint.dir``.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from docsift.config import DEFAULT, EngineConfig
+from docsift.operators import answers as ans
+from docsift.operators import registry as reg
+from docsift.operators import retrieval
+from docsift.operators import vectors as vec
+from docsift.plans import fixtures as fxt
+from docsift.plans import ingest
+from docsift.session import ensure_checkpoint_dir
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+class Store:
+    """Registry and vector tables as batch-partitioned parquet folders."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _read(self, name: str, schema: T.StructType, before: int | None) -> DataFrame:
+        path = f"{self.root}/{name}"
+        with_batch = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+        try:
+            df = self.spark.read.schema(with_batch).parquet(path)
+        except Exception:  # nothing written yet
+            return self.spark.createDataFrame([], schema)
+        if before is not None:
+            df = df.where(F.col("batch") < before)
+        return df.drop("batch")
+
+    def registry(self, before: int | None = None) -> DataFrame:
+        return self._read("registry", reg.REGISTRY_SCHEMA, before)
+
+    def vectors(self, before: int | None = None) -> DataFrame:
+        return self._read("vectors", vec.VECTOR_SCHEMA, before)
+
+    def rejected(self) -> DataFrame:
+        return self._read(
+            "rejected", T.StructType([T.StructField("path", T.StringType()), T.StructField("reason", T.StringType())]), None
+        )
+
+    def write(self, name: str, df: DataFrame, batch_id: int) -> None:
+        (
+            df.withColumn("batch", F.lit(batch_id).cast("bigint"))
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("batch")
+            .parquet(f"{self.root}/{name}")
+        )
+
+    def batch_vectors(self, batch_id: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/vectors").where(F.col("batch") == batch_id)
+
+
+def ingest_batch(store: Store, files: DataFrame, batch_id: int, cfg: EngineConfig = DEFAULT, featurizer=None) -> None:
+    """One micro-batch of T1 (also usable as a plain batch run)."""
+    registry = store.registry(before=batch_id)
+    vectors = store.vectors(before=batch_id)
+    res = ingest.ingest(files, registry, vectors, cfg, featurizer, base=vec.next_position(vectors))
+    store.write("vectors", res.vectors, batch_id)
+    written = store.batch_vectors(batch_id).select(F.col("doc_id").alias("id")).distinct()
+    store.write("registry", res.registry_rows.join(written, "id", "left_semi"), batch_id)
+    store.write("rejected", res.rejected, batch_id)
+
+
+def ingest_stream(
+    spark: SparkSession,
+    source: DataFrame,
+    store_root: str,
+    checkpoint: str,
+    to_files,
+    cfg: EngineConfig = DEFAULT,
+    featurizer=None,
+):
+    """``source`` is a streaming frame; ``to_files`` maps a micro-batch to
+    (path, list_order, text). Runs until the available input is consumed."""
+    store = Store(spark, store_root)
+
+    def run(batch_df: DataFrame, batch_id: int) -> None:
+        ingest_batch(store, to_files(batch_df), batch_id, cfg, featurizer)
+
+    q = source.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return store
+
+
+def folder_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """File stream of a folder of documents (binaryFile source)."""
+    return spark.readStream.format("binaryFile").option("maxFilesPerTrigger", 1000).load(folder)
+
+
+def route_stream(
+    spark: SparkSession,
+    questions: DataFrame,
+    vectors: DataFrame,
+    registry: DataFrame,
+    out_root: str,
+    checkpoint: str,
+    embed,
+    cfg: EngineConfig = DEFAULT,
+    keywords=None,
+):
+    """Route every arriving question; retrieve for the 'retrieve' ones.
+    ``embed`` maps a question frame to (query_id, embedding)."""
+    snapshot = {"vectors": vectors}
+
+    def run(batch_df: DataFrame, batch_id: int) -> None:
+        routed = ans.route(batch_df, cfg, keywords=keywords)
+        routed.withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic"
+        ).partitionBy("batch").parquet(f"{out_root}/routes")
+        wanted = batch_df.join(routed.where(F.col("route") == "retrieve"), "query_id", "left_semi")
+        hits = retrieval.retrieve(snapshot["vectors"], registry, embed(wanted), cfg.retrieve_k, cfg)
+        hits.withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic"
+        ).partitionBy("batch").parquet(f"{out_root}/retrieved")
+
+    q = questions.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return out_root
+
+
+# -- registered queries -------------------------------------------------------
+
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1 over the documents table: the final registry (equals the batch
+    ingest's registry, so the registry SQL is its oracle)."""
+    root = _scratch(spark, "stream-ingest")
+    store = ingest_stream(
+        spark, fxt.table_stream(spark, sf_dir, "documents"), f"{root}/store", f"{root}/checkpoint", fxt.files_of
+    )
+    return store.registry()
+
+
+def stream_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T2 over user turns: the routes written by the stream."""
+    root = _scratch(spark, "stream-routing")
+    conv = fxt.table_stream(spark, sf_dir, "conversations")
+    listing = (F.col("conv_id") % 10 == 0) & (F.col("turn") <= 1)
+    qs = conv.where(F.col("role") == "user").select(
+        (F.col("conv_id") * 100 + F.col("turn")).cast("bigint").alias("query_id"),
+        F.when(listing, F.lit(fxt.LIST_REQUEST)).otherwise(F.col("text")).alias("text"),
+    )
+    width = fxt.embedding_width(spark, sf_dir)
+    from docsift.functions import features as fx
+
+    def embed(df):
+        return fx.featurize(df, "text", width).select("query_id", "embedding")
+
+    route_stream(
+        spark, qs, fxt.vectors(spark, sf_dir), fxt.registry(spark, sf_dir), f"{root}/out", f"{root}/checkpoint",
+        embed, keywords=fxt.FIXTURE_KEYWORDS,
+    )
+    return spark.read.parquet(f"{root}/out/routes").select("query_id", "route")
+
+
+QUERIES = {"stream_ingest": stream_ingest, "stream_routing": stream_routing}

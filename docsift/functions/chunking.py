@@ -40,15 +40,21 @@ def _strip_span(text: str, a: int, b: int):
 
 
 def _pieces(text: str, lo: int, hi: int, sep: str):
+    """[start, end) of the pieces of text[lo:hi] split on ``sep``, the
+    separator kept at the start of the following piece, empty pieces dropped."""
     if sep == "":
         return [(i, i + 1) for i in range(lo, hi)]
-    cuts = []
-    p = text.find(sep, lo, hi)
-    while p != -1:
-        cuts.append(p)
-        p = text.find(sep, p + len(sep), hi)
-    bounds = [lo, *cuts, hi]
-    return [(bounds[i], bounds[i + 1]) for i in range(len(bounds) - 1) if bounds[i + 1] > bounds[i]]
+    parts = text[lo:hi].split(sep)
+    w = len(sep)
+    out = []
+    a = lo
+    b = lo + len(parts[0])
+    if b > a:
+        out.append((a, b))
+    for p in parts[1:]:
+        a, b = b, b + w + len(p)
+        out.append((a, b))
+    return out
 
 
 def _merge(text, run, size, overlap, out):

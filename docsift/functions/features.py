@@ -87,7 +87,12 @@ def _densify_factory(dim: int):
 def hashing_featurizer(dim: int) -> Callable[[Column], Column]:
     """Default featurizer: text Column -> array<float> of width ``dim``."""
     densify = _densify_factory(dim)
-    return lambda text: densify(signed_buckets(text, dim))
+
+    def fz(text: Column) -> Column:
+        return densify(signed_buckets(text, dim))
+
+    fz.fixed_width = dim  # every output has exactly ``dim`` entries
+    return fz
 
 
 def featurize(df: DataFrame, text_col: str, dim: int, featurizer: Callable[[Column], Column] | None = None,

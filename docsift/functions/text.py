@@ -36,9 +36,13 @@ def title(text) -> Column:
     return py_strip(first_line(text))
 
 
+NON_WHITESPACE = "[^" + PY_WHITESPACE_CLASS[1:-1] + "]"
+
+
 def is_blank(text) -> Column:
-    """True when the text holds only Python whitespace (zero chunks)."""
-    return F.length(py_strip(text)) == 0
+    """True when the text holds only Python whitespace (zero chunks).
+    A search for the first non-space character stops early on real text."""
+    return ~_col(text).rlike(NON_WHITESPACE)
 
 
 def fold_newlines(text) -> Column:

@@ -7,16 +7,16 @@ Data flow and partitioning:
       -> id = md5(text), title             narrow
       -> left_anti registry on id (J1)     shuffle on id (or broadcast by AQE)
       -> min_by(order) per id (A1)         partial agg, same id partitioning
-      -> chunk spans (F13), explode        narrow, stays partitioned by id
-      -> featurize (F14)                   narrow
-      -> width check per document (P6)     groupBy id: no new shuffle
-      -> document offsets (W2)             narrow (order, count) table only
-      -> pos = first_pos + chunk_no        join back on id; chunk side keeps
-                                           its id partitioning
+      -> chunk spans (F13)                 narrow; written once (staging)
+      -> document offsets (W2)             from (order, size(spans)): narrow
+      -> explode, featurize (F14)          narrow
+      -> pos = first_pos + chunk_no        join with the doc-level offsets
+                                           (broadcast by AQE when small)
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -28,6 +28,7 @@ from docsift.functions import features as fx
 from docsift.functions import text as tx
 from docsift.operators import registry as reg
 from docsift.operators import vectors as vec
+from docsift.session import ensure_checkpoint_dir
 from docsift.sources import files as src
 
 
@@ -53,6 +54,25 @@ def new_documents(files: DataFrame, registry: DataFrame) -> tuple[DataFrame, Dat
     return docs, bad
 
 
+def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write ``df`` as parquet (default: a fresh folder under the session's
+    checkpoint directory) and read it back: cuts lineage, survives executor
+    loss, and later readers get column pruning."""
+    spark = df.sparkSession
+    if path is None:
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def stage(files: DataFrame, registry: DataFrame, cfg: EngineConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """New documents with their chunk spans (the only place the chunker
+    runs) and the rejected files."""
+    docs, bad = new_documents(files, registry)
+    spans = chunking.span_array("text", cfg.chunk_size, cfg.chunk_overlap, cfg.separators)
+    return docs.withColumn("spans", spans), bad
+
+
 def ingest(
     files: DataFrame,
     registry: DataFrame,
@@ -60,28 +80,52 @@ def ingest(
     cfg: EngineConfig = DEFAULT,
     featurizer=None,
     base: int | None = None,
+    staging_path: str | None = None,
 ) -> IngestResult:
     """C1. ``files``: (path, list_order, text[, _utf8]). ``base``: first free
-    position (computed from ``vectors`` when not given)."""
-    docs, bad = new_documents(files, registry)
-    chunks = chunking.chunk(docs, "text", ["id", "list_order"], cfg.chunk_size, cfg.chunk_overlap, cfg.separators)
-    chunks = chunks.withColumnRenamed("id", "doc_id")
-    feats = fx.featurize(chunks, "chunk", cfg.dim, featurizer)
-    ok, bad_width = vec.check_width(feats.select("doc_id", "list_order", "chunk_no", "embedding"), cfg.dim)
-    per_doc = ok.groupBy("doc_id", "list_order").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    position (computed from ``vectors`` when not given).
+
+    The staged documents are written once; chunk counts per document come
+    from the span arrays (a pruned read), so positions are known before any
+    vector exists. A featurizer that does not declare ``fixed_width == dim``
+    goes through the checked path: its vectors are written, checked per
+    document (P6) and only then given positions."""
+    staged_lazy, bad = stage(files, registry, cfg)
+    staged = materialize(staged_lazy, "ingest-staging", staging_path)
+    chunks = chunking.explode_chunks(staged, "text", "spans", ["id", "list_order"]).withColumnRenamed("id", "doc_id")
     start = vec.next_position(vectors) if base is None else base
+    fz = featurizer or fx.hashing_featurizer(cfg.dim)
+    if getattr(fz, "fixed_width", None) == cfg.dim:
+        per_doc = staged.select(
+            F.col("id").alias("doc_id"), "list_order", (F.size("spans") / 2).cast("bigint").alias("n")
+        )
+        feats = fx.featurize(chunks, "chunk", cfg.dim, fz)
+        docs_ok = staged
+        width_rejects = files.sparkSession.createDataFrame([], "path string, reason string")
+    else:
+        feats = materialize(
+            fx.featurize(chunks, "chunk", cfg.dim, fz).select("doc_id", "list_order", "chunk_no", "embedding"),
+            "ingest-features",
+            None if staging_path is None else staging_path.rstrip("/") + "-features",
+        )
+        feats, bad_width = vec.check_width(feats, cfg.dim)
+        per_doc = feats.groupBy("doc_id", "list_order").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+        docs_ok = staged.join(bad_width.select(F.col("doc_id").alias("id")), "id", "left_anti")
+        width_rejects = bad_width.join(staged.select(F.col("id").alias("doc_id"), "path"), "doc_id").select(
+            "path", "reason"
+        )
     offsets = vec.document_offsets(per_doc, ["list_order", "doc_id"], "n", start).select("doc_id", "first_pos")
-    new_vectors = ok.join(offsets, "doc_id").select(
+    # one row per new document: broadcast only when that count is checked
+    # small, else a shuffle join on doc_id (the vector side is never broadcast)
+    if staged.count() <= cfg.max_broadcast_rows:
+        offsets = F.broadcast(offsets)
+    new_vectors = feats.hint("no_broadcast_hash").join(offsets, "doc_id").select(
         (F.col("first_pos") + F.col("chunk_no")).cast("bigint").alias("pos"),
         "doc_id",
         F.col("embedding").cast("array<float>").alias("embedding"),
     )
-    rows = reg.registry_rows(docs.join(bad_width.select(F.col("doc_id").alias("id")), "id", "left_anti"))
-    width_rejects = bad_width.join(docs.select(F.col("id").alias("doc_id"), "path"), "doc_id").select(
-        "path", "reason"
-    )
     return IngestResult(
-        registry_rows=rows,
+        registry_rows=reg.registry_rows(docs_ok),
         vectors=new_vectors,
         chunks=chunks.select("doc_id", "chunk_no", "start", "end", "chunk"),
         rejected=bad.unionByName(width_rejects),

@@ -20,6 +20,7 @@ from docsift.config import (
     TITLES_HEADER,
 )
 from docsift.functions.features import TOKEN_PATTERN
+from docsift.functions.text import NON_WHITESPACE
 from docsift.plans.catalog import PADDED_K, RETRIEVE_K, SEARCH_K
 from docsift.plans.fixtures import FIXTURE_KEYWORDS, LIST_REQUEST
 
@@ -62,7 +63,7 @@ classified AS (
          CASE WHEN {ext('path')} NOT IN ({SUPPORTED}) THEN 'Unsupported file type'
               WHEN text IS NULL THEN 'no text'
               WHEN text = '' THEN 'empty text'
-              WHEN length({strip('text')}) = 0 THEN 'no chunks' END AS reason
+              WHEN NOT regexp_matches(text, '{NON_WHITESPACE}') THEN 'no chunks' END AS reason
   FROM files),
 accepted AS (
   SELECT md5(text) AS id, {title('text')} AS title, path, list_order, text

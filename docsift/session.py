@@ -30,6 +30,7 @@ def local_session(cores: int | str = "*", app: str = "docsift", shuffle_partitio
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_code(spark)
     return spark
 
 
@@ -47,3 +48,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="docsift-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+_PKG_DIR = os.path.dirname(os.path.abspath(__file__))
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Make this package importable in Python workers wherever the driver
+    runs from: zip it once per SparkContext and ``addPyFile`` it (Spark then
+    distributes it to every executor)."""
+    sc = spark.sparkContext
+    if getattr(sc, "_docsift_shipped", False):
+        return
+    import zipfile
+
+    target = os.path.join(tempfile.mkdtemp(prefix="docsift-code-"), "docsift.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, files in os.walk(_PKG_DIR):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(_PKG_DIR)))
+    sc.addPyFile(target)
+    sc._docsift_shipped = True

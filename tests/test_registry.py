@@ -96,3 +96,20 @@ def test_document_offsets_distributed_prefix(spark):
         want[d] = acc
         acc += n
     assert got == want
+
+
+def test_checked_featurizer_path_rejects_bad_width(spark):
+    """A featurizer without a declared fixed width goes through the checked
+    path: documents with a wrong-width vector get no positions and no row."""
+    def fz(text):
+        # width 3, except 2 for chunks containing 'bad'
+        return F.when(text.contains("bad"), F.array(F.lit(1.0), F.lit(2.0))).otherwise(
+            F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0))
+        )
+
+    files = _files(spark, [("kb/1.txt", 1, "good one"), ("kb/2.txt", 2, "bad one"), ("kb/3.txt", 3, "good two")])
+    cfg = __import__("docsift.config", fromlist=["EngineConfig"]).EngineConfig(dim=3)
+    res = ingest.ingest(files, reg.empty_registry(spark), vec.empty_vectors(spark), cfg, featurizer=fz, base=0)
+    assert sorted(r.file_path for r in res.registry_rows.collect()) == ["kb/1.txt", "kb/3.txt"]
+    assert sorted(r.pos for r in res.vectors.collect()) == [0, 1]
+    assert [r.path for r in res.rejected.collect()] == ["kb/2.txt"]

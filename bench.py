@@ -28,8 +28,7 @@ from docsift.session import local_session  # noqa: E402
 
 def chunk_features(spark, d):
     """F13 + F14 over every accepted document (dim 384)."""
-    ch = catalog._ingest(spark, d).chunks
-    return fx.featurize(ch, "chunk", 384).select("doc_id", "chunk_no", "embedding")
+    return fx.featurize(catalog._chunks(spark, d), "chunk", 384).select("doc_id", "chunk_no", "embedding")
 
 
 def full_ingest_vectors(spark, d):

@@ -148,9 +148,13 @@ def knn(
     k = k or cfg.top_k
     spark = vectors.sparkSession
     q = queries.select(F.col("query_id").cast("bigint"), F.col("embedding").cast("array<double>"))
-    stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("w")).first()
-    n_q, width = int(stats["n"]), stats["w"]
-    d = dim or (int(width) if width is not None else cfg.dim)
+    # size check before anything is collected: the count prunes the vector
+    # column (a computed embedding is not evaluated); the width is read from
+    # one row when not given
+    n_q = q.select("query_id").count()
+    if dim is None and n_q > 0:
+        dim = int(q.select(F.size("embedding").alias("w")).first()["w"])
+    d = dim or cfg.dim
     v = vectors.select(F.col("pos").cast("bigint"), F.col("doc_id").cast("string"), F.col("embedding"))
     v = _spread(v)
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsift.config import DEFAULT
+from docsift.functions import chunking
 from docsift.functions import features as fx
 from docsift.functions import text as tx
 from docsift.operators import answers as ans
@@ -298,14 +299,25 @@ def _ingest(spark, d):
     )
 
 
+def _chunks(spark, d):
+    staged, _ = ingest.stage(fxt.files(spark, d), reg.empty_registry(spark))
+    return chunking.explode_chunks(staged, "text", "spans", ["id"]).withColumnRenamed("id", "doc_id")
+
+
 def chunks(spark, d):
     """F13 over every accepted, deduplicated document."""
-    return _ingest(spark, d).chunks.select("doc_id", "chunk_no", "start", "chunk")
+    return _chunks(spark, d).select("doc_id", "chunk_no", "start", "chunk")
 
 
 def chunk_counts(spark, d):
-    """A3: chunks per document."""
-    return _ingest(spark, d).chunks.groupBy("doc_id").agg(F.count(F.lit(1)).cast("bigint").alias("n_chunks"))
+    """A3: chunks per document (from the span arrays, no explode)."""
+    staged, _ = ingest.stage(fxt.files(spark, d), reg.empty_registry(spark))
+    return staged.select(F.col("id").alias("doc_id"), (F.size("spans") / 2).cast("bigint").alias("n_chunks"))
+
+
+def chunk_features(spark, d):
+    """F13 + F14: hashed vectors of every chunk (sparse form)."""
+    return fx.sparse_features(_chunks(spark, d), ["doc_id", "chunk_no"], "chunk", DEFAULT.dim)
 
 
 def ingest_end_to_end(spark, d):
@@ -359,6 +371,7 @@ QUERIES: dict[str, Query] = {
     "title_message": title_message,
     "chunks": chunks,
     "chunk_counts": chunk_counts,
+    "chunk_features": chunk_features,
     "ingest_end_to_end": ingest_end_to_end,
     "ingest_positions": ingest_positions,
 }

@@ -23,6 +23,7 @@ from docsift.functions.features import TOKEN_PATTERN
 from docsift.functions.text import NON_WHITESPACE
 from docsift.plans.catalog import PADDED_K, RETRIEVE_K, SEARCH_K
 from docsift.plans.fixtures import FIXTURE_KEYWORDS, LIST_REQUEST
+from docsift.plans.oracle_chunks import chunk_ctes
 
 
 def lit(s: str) -> str:
@@ -83,8 +84,8 @@ vec AS (
 qv AS (SELECT vec_id AS query_id, embedding FROM embeddings)"""
 
 
-def with_(*ctes: str) -> str:
-    return "WITH " + ",\n".join([FILES.strip(), *ctes])
+def with_(*ctes: str, recursive: bool = False) -> str:
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join([FILES.strip(), *ctes])
 
 
 def dist(a: str, b: str) -> str:
@@ -114,17 +115,24 @@ QUESTIONS = f"""questions AS (
 
 WIDTH = "(SELECT max(len(embedding)) FROM embeddings)"
 
-QFEAT = f"""qtok AS (
-  SELECT query_id, unnest(regexp_extract_all(lower(text), '{TOKEN_PATTERN}')) AS tok FROM questions),
-qcode AS (
-  SELECT query_id, ('0x' || substr(md5(tok), 1, 8))::BIGINT % {WIDTH} AS bucket,
+
+def feature_ctes(p: str, source: str, keys: list[str], text: str, width: str) -> str:
+    """Hashed, normalised sparse features, ending in ``{p}feat(keys, bucket, weight)``."""
+    k = ", ".join(keys)
+    return f"""{p}tok AS (
+  SELECT {k}, unnest(regexp_extract_all(lower({text}), '{TOKEN_PATTERN}')) AS tok FROM {source}),
+{p}code AS (
+  SELECT {k}, ('0x' || substr(md5(tok), 1, 8))::BIGINT % {width} AS bucket,
          CASE WHEN ('0x' || substr(md5(tok), 9, 1))::BIGINT % 2 = 1 THEN -1 ELSE 1 END AS sgn
-  FROM qtok),
-qcnt AS (SELECT query_id, bucket, sum(sgn) AS v FROM qcode GROUP BY 1, 2 HAVING sum(sgn) <> 0),
-qfeat AS (
-  SELECT query_id, CAST(bucket AS BIGINT) AS bucket,
-         CAST(CAST(CAST(v AS DOUBLE) / sqrt(CAST(sum(v * v) OVER (PARTITION BY query_id) AS DOUBLE)) AS FLOAT) AS DOUBLE) AS weight
-  FROM qcnt),
+  FROM {p}tok),
+{p}cnt AS (SELECT {k}, bucket, sum(sgn) AS v FROM {p}code GROUP BY ALL HAVING sum(sgn) <> 0),
+{p}feat AS (
+  SELECT {k}, CAST(bucket AS BIGINT) AS bucket,
+         CAST(CAST(CAST(v AS DOUBLE) / sqrt(CAST(sum(v * v) OVER (PARTITION BY {k}) AS DOUBLE)) AS FLOAT) AS DOUBLE) AS weight
+  FROM {p}cnt)"""
+
+
+QFEAT = feature_ctes("q", "questions", ["query_id"], "text", WIDTH) + f""",
 qdense AS (
   SELECT q.query_id, list(coalesce(f.weight, 0.0) ORDER BY r.b) AS embedding
   FROM questions q CROSS JOIN range({WIDTH}) r(b)
@@ -272,3 +280,30 @@ SELECT row_number() OVER (ORDER BY file_path, id) AS line_no, title AS line FROM
 # streams end in the same tables as their batch counterparts
 ORACLES["stream_ingest"] = ORACLES["ingest_end_to_end"]
 ORACLES["stream_routing"] = ORACLES["route_queries"]
+
+# chunk-based queries: the chunking rule restated set-wise in SQL (oracle_chunks)
+CHUNKS = chunk_ctes("SELECT id AS doc_id, any_value(text) AS text FROM accepted GROUP BY id")
+ORACLES["chunks"] = (
+    with_(CHUNKS, recursive=True)
+    + "\nSELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, start, chunk FROM sql_chunks"
+)
+ORACLES["chunk_counts"] = (
+    with_(CHUNKS, recursive=True) + "\nSELECT doc_id, count(*) AS n_chunks FROM sql_chunks GROUP BY doc_id"
+)
+ORACLES["chunk_features"] = (
+    with_(CHUNKS, feature_ctes("c", "sql_chunks", ["doc_id", "chunk_no"], "chunk", str(DEFAULT.dim)), recursive=True)
+    + "\nSELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, bucket, weight FROM cfeat"
+)
+ORACLES["ingest_positions"] = (
+    with_(
+        CHUNKS,
+        "cnt AS (\n  SELECT c.doc_id, o.list_order, count(*) AS n\n"
+        "  FROM sql_chunks c JOIN (SELECT id, min(list_order) AS list_order FROM accepted GROUP BY id) o"
+        " ON o.id = c.doc_id\n  GROUP BY c.doc_id, o.list_order)",
+        recursive=True,
+    )
+    + "\nSELECT doc_id,\n"
+    "       CAST(coalesce(sum(n) OVER (ORDER BY list_order, doc_id"
+    " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_pos,\n"
+    "       n AS n_vectors\nFROM cnt"
+)

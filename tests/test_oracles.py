@@ -47,8 +47,7 @@ def test_query_matches_oracle(spark, con, name):
 def test_every_query_has_an_entry():
     qs, sql = queries(), oracle_sql()
     assert set(sql) <= set(qs)
-    # only chunking-dependent queries lack SQL
-    assert set(qs) - set(sql) <= {"chunks", "chunk_counts", "ingest_positions"}
+    assert set(qs) == set(sql)  # every registered query has an oracle
 
 
 def test_entry_smoke(spark):

@@ -74,10 +74,13 @@ def dedup_first_wins(docs: DataFrame, order_col: str = "list_order") -> DataFram
 def insert_if_absent(incoming: DataFrame, registry: DataFrame, order_col: str = "list_order") -> DataFrame:
     """Rows to append to the registry: unseen ids, deduplicated.
 
-    The anti-join runs before dedup and before any chunking, so known content
-    is dropped before the costly steps."""
-    fresh = incoming.join(registry.select("id"), "id", "left_anti")
-    return dedup_first_wins(fresh, order_col)
+    Dedup runs first: its partial aggregation collapses copy groups inside
+    each partition before the shuffle (a hot content id costs one row per
+    partition), and the anti-join then sees every id once, on the id
+    partitioning the aggregate already produced. Both run before any
+    chunking, so known content is dropped before the costly steps. (Dropping
+    known ids and deduplicating commute: dedup is per id.)"""
+    return dedup_first_wins(incoming, order_col).join(registry.select("id"), "id", "left_anti")
 
 
 def registry_rows(docs: DataFrame) -> DataFrame:

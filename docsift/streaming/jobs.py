@@ -83,15 +83,30 @@ class Store:
     def batch_vectors(self, batch_id: int) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/vectors").where(F.col("batch") == batch_id)
 
+    def next_position(self, before: int) -> int:
+        """First free position after the batches before ``before``: read
+        from the one-row-per-batch meta table, not from the vectors."""
+        meta = self._read(
+            "meta", T.StructType([T.StructField("next_pos", T.LongType())]), before
+        )
+        row = meta.agg(F.max("next_pos").alias("n")).first()
+        return int(row["n"]) if row and row["n"] is not None else 0
+
 
 def ingest_batch(store: Store, files: DataFrame, batch_id: int, cfg: EngineConfig = DEFAULT, featurizer=None) -> None:
     """One micro-batch of T1 (also usable as a plain batch run)."""
     registry = store.registry(before=batch_id)
-    vectors = store.vectors(before=batch_id)
-    res = ingest.ingest(files, registry, vectors, cfg, featurizer, base=vec.next_position(vectors))
+    base = store.next_position(before=batch_id)
+    res = ingest.ingest(
+        files, registry, store.vectors(before=batch_id), cfg, featurizer, base=base,
+        staging_path=f"{store.root}/_staging/batch={batch_id}",
+    )
     store.write("vectors", res.vectors, batch_id)
-    written = store.batch_vectors(batch_id).select(F.col("doc_id").alias("id")).distinct()
-    store.write("registry", res.registry_rows.join(written, "id", "left_semi"), batch_id)
+    written = store.batch_vectors(batch_id)
+    stats = written.agg(F.coalesce(F.max("pos") + 1, F.lit(base)).cast("bigint").alias("next_pos"))
+    store.write("meta", stats, batch_id)
+    ids = written.select(F.col("doc_id").alias("id")).distinct()
+    store.write("registry", res.registry_rows.join(ids, "id", "left_semi"), batch_id)
     store.write("rejected", res.rejected, batch_id)
 
 

@@ -32,7 +32,7 @@ def first_line(text) -> Column:
 
 
 def title(text) -> Column:
-    """first line, stripped. NULL for empty text (the reference raises)."""
+    """first line, stripped. NULL for empty text (which has no first line)."""
     return py_strip(first_line(text))
 
 

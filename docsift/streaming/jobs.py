@@ -37,75 +37,26 @@ from docsift.operators import vectors as vec
 from docsift.plans import fixtures as fxt
 from docsift.plans import ingest
 from docsift.session import ensure_checkpoint_dir
+from docsift.sources.store import Store
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-class Store:
-    """Registry and vector tables as batch-partitioned parquet folders."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _read(self, name: str, schema: T.StructType, before: int | None) -> DataFrame:
-        path = f"{self.root}/{name}"
-        with_batch = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
-        try:
-            df = self.spark.read.schema(with_batch).parquet(path)
-        except Exception:  # nothing written yet
-            return self.spark.createDataFrame([], schema)
-        if before is not None:
-            df = df.where(F.col("batch") < before)
-        return df.drop("batch")
-
-    def registry(self, before: int | None = None) -> DataFrame:
-        return self._read("registry", reg.REGISTRY_SCHEMA, before)
-
-    def vectors(self, before: int | None = None) -> DataFrame:
-        return self._read("vectors", vec.VECTOR_SCHEMA, before)
-
-    def rejected(self) -> DataFrame:
-        return self._read(
-            "rejected", T.StructType([T.StructField("path", T.StringType()), T.StructField("reason", T.StringType())]), None
-        )
-
-    def write(self, name: str, df: DataFrame, batch_id: int) -> None:
-        (
-            df.withColumn("batch", F.lit(batch_id).cast("bigint"))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch")
-            .parquet(f"{self.root}/{name}")
-        )
-
-    def batch_vectors(self, batch_id: int) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/vectors").where(F.col("batch") == batch_id)
-
-    def next_position(self, before: int) -> int:
-        """First free position after the batches before ``before``: read
-        from the one-row-per-batch meta table, not from the vectors."""
-        meta = self._read(
-            "meta", T.StructType([T.StructField("next_pos", T.LongType())]), before
-        )
-        row = meta.agg(F.max("next_pos").alias("n")).first()
-        return int(row["n"]) if row and row["n"] is not None else 0
-
-
 def ingest_batch(store: Store, files: DataFrame, batch_id: int, cfg: EngineConfig = DEFAULT, featurizer=None) -> None:
-    """One micro-batch of T1 (also usable as a plain batch run)."""
-    registry = store.registry(before=batch_id)
+    """One micro-batch of T1 (also usable as a plain batch run): vectors
+    first, then the batch's next free position, registry rows last and only
+    for documents whose vectors are on disk."""
+    store.ensure_width(cfg.dim, batch_id)
     base = store.next_position(before=batch_id)
     res = ingest.ingest(
-        files, registry, store.vectors(before=batch_id), cfg, featurizer, base=base,
+        files, store.registry(before=batch_id), store.vectors(before=batch_id), cfg, featurizer, base=base,
         staging_path=f"{store.root}/_staging/batch={batch_id}",
     )
     store.write("vectors", res.vectors, batch_id)
-    written = store.batch_vectors(batch_id)
-    stats = written.agg(F.coalesce(F.max("pos") + 1, F.lit(base)).cast("bigint").alias("next_pos"))
-    store.write("meta", stats, batch_id)
-    ids = written.select(F.col("doc_id").alias("id")).distinct()
+    store.record_batch(batch_id, base)
+    ids = store.batch_vectors(batch_id).select(F.col("doc_id").alias("id")).distinct()
     store.write("registry", res.registry_rows.join(ids, "id", "left_semi"), batch_id)
     store.write("rejected", res.rejected, batch_id)
 

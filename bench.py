@@ -33,7 +33,7 @@ def chunk_features(spark, d):
 
 def full_ingest_vectors(spark, d):
     """Vectors of the whole ingest (chunk, featurise, width, positions)."""
-    return ingest.ingest(fixtures.files(spark, d), reg.empty_registry(spark), vec.empty_vectors(spark), base=0).vectors
+    return ingest.ingest(fixtures.files(spark, d), None, vec.empty_vectors(spark), base=0).vectors
 
 
 BENCH = {

@@ -25,10 +25,15 @@ def py_strip(s) -> Column:
 
 def first_line(text) -> Column:
     """First line as ``str.splitlines()[0]`` would give it ('' if the text
-    starts with a break). Empty text has no first line: NULL."""
+    starts with a break). Empty text has no first line: NULL.
+
+    The line is a prefix of the first LF-delimited segment, which the native
+    ``substring_index`` finds without decoding the whole text; the regex for
+    the other break characters then runs on that segment only."""
     t = _col(text)
-    line = F.regexp_extract(t, f"^[^{PY_LINEBREAK_CLASS[1:-1]}]*", 0)
-    return F.when(F.length(t) > 0, line)
+    segment = F.substring_index(t, "\n", 1)
+    line = F.regexp_extract(segment, f"^[^{PY_LINEBREAK_CLASS[1:-1]}]*", 0)
+    return F.when(t != "", line)
 
 
 def title(text) -> Column:
@@ -37,12 +42,15 @@ def title(text) -> Column:
 
 
 NON_WHITESPACE = "[^" + PY_WHITESPACE_CLASS[1:-1] + "]"
+# the same set, spelled out for the native multi-character trim
+PY_WHITESPACE_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 
 def is_blank(text) -> Column:
     """True when the text holds only Python whitespace (zero chunks).
-    A search for the first non-space character stops early on real text."""
-    return ~_col(text).rlike(NON_WHITESPACE)
+    Native trim over that character set: it stops at the first non-space
+    character from each end."""
+    return F.trim(_col(text), F.lit(PY_WHITESPACE_CHARS)) == ""
 
 
 def fold_newlines(text) -> Column:

@@ -71,7 +71,7 @@ def dedup_first_wins(docs: DataFrame, order_col: str = "list_order") -> DataFram
     ).select("id", "_w.*")
 
 
-def insert_if_absent(incoming: DataFrame, registry: DataFrame, order_col: str = "list_order") -> DataFrame:
+def insert_if_absent(incoming: DataFrame, registry: DataFrame | None, order_col: str = "list_order") -> DataFrame:
     """Rows to append to the registry: unseen ids, deduplicated.
 
     Dedup runs first: its partial aggregation collapses copy groups inside
@@ -80,7 +80,10 @@ def insert_if_absent(incoming: DataFrame, registry: DataFrame, order_col: str =
     partitioning the aggregate already produced. Both run before any
     chunking, so known content is dropped before the costly steps. (Dropping
     known ids and deduplicating commute: dedup is per id.)"""
-    return dedup_first_wins(incoming, order_col).join(registry.select("id"), "id", "left_anti")
+    fresh = dedup_first_wins(incoming, order_col)
+    if registry is None:  # first run: nothing registered yet
+        return fresh
+    return fresh.join(registry.select("id"), "id", "left_anti")
 
 
 def registry_rows(docs: DataFrame) -> DataFrame:

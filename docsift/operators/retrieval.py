@@ -41,8 +41,9 @@ def retrieve(
     queries: DataFrame,
     k: int | None = None,
     cfg: EngineConfig = DEFAULT,
+    dim: int | None = None,
 ) -> DataFrame:
     """(query_id, rank, id, title, file_path)."""
     k = k or cfg.retrieve_k
-    hits = search.knn(vectors, queries, k, cfg)
+    hits = search.knn(vectors, queries, k, cfg, dim=dim)
     return attach_metadata(distinct_hit_documents(hits), registry)

@@ -119,16 +119,6 @@ def _partition_topk(qids: np.ndarray, qmat: np.ndarray, k: int, dim: int):
     return run
 
 
-def _spread(vectors: DataFrame) -> DataFrame:
-    """Tiny inputs arrive as one file split; spread them so every core scans.
-    Large inputs already have many splits and are left alone (no shuffle)."""
-    spark = vectors.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if vectors.rdd.getNumPartitions() < cores:
-        return vectors.repartition(cores)
-    return vectors
-
-
 def knn(
     vectors: DataFrame,
     queries: DataFrame,
@@ -155,8 +145,9 @@ def knn(
     if dim is None and n_q > 0:
         dim = int(q.select(F.size("embedding").alias("w")).first()["w"])
     d = dim or cfg.dim
+    # the vector side keeps its scan partitioning (no shuffle, no count):
+    # large tables arrive in many splits, each a task of the block kernel
     v = vectors.select(F.col("pos").cast("bigint"), F.col("doc_id").cast("string"), F.col("embedding"))
-    v = _spread(v)
 
     parts = []
     if n_q > 0:

@@ -154,7 +154,7 @@ def incremental_ingest(spark, d):
     """All files arrive at a registry holding the even ones; only unseen
     content is added, deduplicated."""
     good, _ = src.split_rejected(fxt.files(spark, d))
-    new = reg.insert_if_absent(ingest.identify(good), fxt.registry0(spark, d))
+    new = reg.insert_if_absent(ingest.identify(good, keep_text=False), fxt.registry0(spark, d))
     return reg.registry_rows(new)
 
 
@@ -229,16 +229,16 @@ def page_concat(spark, d):
 
 def read_by_path(spark, d):
     """Every retrieved path read back (duplicates kept, missing flagged)."""
-    r = retrieve_top3(spark, d)
-    out = src.read_by_path(r.select("query_id", "rank", "file_path"), fxt.files(spark, d))
+    r = ingest.materialize(retrieve_top3(spark, d).select("query_id", "rank", "file_path"), "retrieved")
+    out = src.read_by_path(r, fxt.files(spark, d))
     return out.select("query_id", "rank", "file_path", F.length("content").cast("bigint").alias("n_chars"), "missing")
 
 
 # -- questions, prompts, answers --------------------------------------------
 
-def _question_vectors(spark, d):
+def _question_vectors(spark, d, width: int):
     q = fxt.questions(spark, d)
-    return fx.featurize(q, "text", fxt.embedding_width(spark, d)).select("query_id", "embedding")
+    return fx.featurize(q, "text", width).select("query_id", "embedding")
 
 
 def query_features(spark, d):
@@ -248,11 +248,19 @@ def query_features(spark, d):
 
 def retrieve_questions(spark, d):
     """C2 from text: question -> features -> top-3 -> documents."""
-    return retrieval.retrieve(fxt.vectors(spark, d), fxt.registry(spark, d), _question_vectors(spark, d), RETRIEVE_K)
+    width = fxt.embedding_width(spark, d)
+    return retrieval.retrieve(
+        fxt.vectors(spark, d), fxt.registry(spark, d), _question_vectors(spark, d, width), RETRIEVE_K, dim=width
+    )
 
 
 def _prompts(spark, d):
-    return ans.build_prompts(retrieve_questions(spark, d), fxt.questions(spark, d), fxt.files(spark, d))
+    """Prompts are read by several later steps (responses, filter, format):
+    written once under the checkpoint directory instead of re-planned."""
+    retrieved = ingest.materialize(retrieve_questions(spark, d), "retrieved")
+    return ingest.materialize(
+        ans.build_prompts(retrieved, fxt.questions(spark, d), fxt.files(spark, d)), "prompts"
+    )
 
 
 def prompts(spark, d):
@@ -294,13 +302,11 @@ def title_message(spark, d):
 # -- ingest (chunking, featurisation, positions) ----------------------------
 
 def _ingest(spark, d):
-    return ingest.ingest(
-        fxt.files(spark, d), reg.empty_registry(spark), vec.empty_vectors(spark), DEFAULT, base=0
-    )
+    return ingest.ingest(fxt.files(spark, d), None, vec.empty_vectors(spark), DEFAULT, base=0)
 
 
 def _chunks(spark, d):
-    staged, _ = ingest.stage(fxt.files(spark, d), reg.empty_registry(spark))
+    staged, _ = ingest.stage(fxt.files(spark, d), None)
     return chunking.explode_chunks(staged, "text", "spans", ["id"]).withColumnRenamed("id", "doc_id")
 
 
@@ -311,7 +317,7 @@ def chunks(spark, d):
 
 def chunk_counts(spark, d):
     """A3: chunks per document (from the span arrays, no explode)."""
-    staged, _ = ingest.stage(fxt.files(spark, d), reg.empty_registry(spark))
+    staged, _ = ingest.stage(fxt.files(spark, d), None)
     return staged.select(F.col("id").alias("doc_id"), (F.size("spans") / 2).cast("bigint").alias("n_chunks"))
 
 

@@ -66,7 +66,7 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def registry(spark: SparkSession, sf_dir: str, files_df: DataFrame | None = None) -> DataFrame:
     f = files_df if files_df is not None else files(spark, sf_dir)
-    docs, _ = ingest.new_documents(f, reg.empty_registry(spark))
+    docs, _ = ingest.new_documents(f, None, keep_text=False)
     return reg.registry_rows(docs)
 
 

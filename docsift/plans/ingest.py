@@ -40,17 +40,18 @@ class IngestResult:
     rejected: DataFrame  # (path, reason)
 
 
-def identify(files: DataFrame) -> DataFrame:
-    """F1 + F2 on accepted files: (id, title, path, list_order, text)."""
-    return files.select(
-        tx.content_id("text").alias("id"), tx.title("text").alias("title"), "path", "list_order", "text"
-    )
+def identify(files: DataFrame, keep_text: bool = True) -> DataFrame:
+    """F1 + F2 on accepted files: (id, title, path, list_order[, text])."""
+    cols = [tx.content_id("text").alias("id"), tx.title("text").alias("title"), "path", "list_order"]
+    return files.select(*cols, *(["text"] if keep_text else []))
 
 
-def new_documents(files: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Accepted, unseen, deduplicated documents and the rejected files."""
+def new_documents(files: DataFrame, registry: DataFrame | None, keep_text: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Accepted, unseen, deduplicated documents and the rejected files
+    (``registry`` None: nothing registered yet). Without ``keep_text`` the
+    dedup shuffle carries only the narrow registry columns."""
     good, bad = src.split_rejected(files)
-    docs = reg.insert_if_absent(identify(good), registry, "list_order")
+    docs = reg.insert_if_absent(identify(good, keep_text), registry, "list_order")
     return docs, bad
 
 
@@ -65,7 +66,7 @@ def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def stage(files: DataFrame, registry: DataFrame, cfg: EngineConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
+def stage(files: DataFrame, registry: DataFrame | None, cfg: EngineConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """New documents with their chunk spans (the only place the chunker
     runs) and the rejected files."""
     docs, bad = new_documents(files, registry)

@@ -74,3 +74,12 @@ def test_extension_rules(spark):
 def test_prefix_counts_code_points(spark):
     df = spark.createDataFrame([("a\U0001F600bc",)], "t string")
     assert df.select(tx.prefix("t", 2)).first()[0] == "a\U0001F600"
+
+
+def test_blank_and_first_line_follow_python(spark):
+    ws = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+    samples = [ws, ws + "x", "x" + ws, "​", " 　 ", "", "a b\nc", "\x1cq\nr", "\u0085lead", "t\x0bu\nv"]
+    df = spark.createDataFrame([(s,) for s in samples], "t string")
+    got = df.select(tx.is_blank("t").alias("b"), tx.first_line("t").alias("f")).collect()
+    assert [r.b for r in got] == [s.strip() == "" for s in samples]
+    assert [r.f for r in got] == [s.splitlines()[0] if s else None for s in samples]

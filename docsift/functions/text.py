@@ -17,10 +17,14 @@ def content_id(text) -> Column:
     return F.md5(_col(text))
 
 
+# Python's str.isspace() set, spelled out for the native multi-character trim
+PY_WHITESPACE_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
+
 def py_strip(s) -> Column:
-    """Python ``str.strip()`` (its whitespace set, not just U+0020)."""
-    ws = PY_WHITESPACE_CLASS
-    return F.regexp_replace(_col(s), f"^{ws}+|{ws}+$", "")
+    """Python ``str.strip()`` (its whitespace set, not just U+0020), as
+    the native trim over that set."""
+    return F.trim(_col(s), F.lit(PY_WHITESPACE_CHARS))
 
 
 def first_line(text) -> Column:
@@ -42,8 +46,6 @@ def title(text) -> Column:
 
 
 NON_WHITESPACE = "[^" + PY_WHITESPACE_CLASS[1:-1] + "]"
-# the same set, spelled out for the native multi-character trim
-PY_WHITESPACE_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 
 def is_blank(text) -> Column:

@@ -88,11 +88,14 @@ def _partition_topk(qids: np.ndarray, qmat: np.ndarray, k: int, dim: int):
             vmat = _matrix(batch.column("embedding"), dim)
             vnorm = (vmat * vmat).sum(axis=1)
             approx = qnorm[:, None] + vnorm[None, :] - 2.0 * (qmat @ vmat.T)
-            tol = 4.0 * (dim + 2) * eps * (qnorm[:, None] + vnorm[None, :]) + 1e-300
+            # rounding of the expansion is below 2(dim+2)eps(|q|^2+|v|^2); a
+            # per-query bound with the slice's largest |v|^2 keeps memory at
+            # one matrix per slice
+            tol = 4.0 * (dim + 2) * eps * (qnorm + vnorm.max()) + 1e-300
             kk = min(k, approx.shape[1])
             kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
             # every entry that could be among the k best once scored exactly
-            bound = kth[:, None] + 2.0 * tol.max(axis=1, keepdims=True)
+            bound = (kth + 2.0 * tol)[:, None]
             qi, vi = np.nonzero(approx <= bound)
             diff = qmat[qi] - vmat[vi]
             exact = np.einsum("ij,ij->i", diff, diff)

@@ -117,3 +117,25 @@ def title_message(registry: DataFrame) -> DataFrame:
     return title_message_lines(registry).agg(
         F.expr("listagg(line, '\\n') WITHIN GROUP (ORDER BY line_no)").alias("message")
     )
+
+
+def answer(routes: DataFrame, retrieved_answers: DataFrame, titles_message: DataFrame, converse: DataFrame) -> DataFrame:
+    """One reply per question by its route.
+
+    routes (query_id, route); retrieved_answers (query_id, answer) for the
+    'retrieve' questions; titles_message: one row (message); converse
+    (query_id, response) from the model, NULL when the call failed (the
+    apology then, F16). The single message row is attached by an equi-join
+    on the route value, so no cross product is formed."""
+    msg = titles_message.select(F.lit("list").alias("route"), F.col("message").alias("_list"))
+    out = (
+        routes.join(msg, "route", "left")
+        .join(retrieved_answers.select("query_id", F.col("answer").alias("_ret")), "query_id", "left")
+        .join(converse.select("query_id", F.col("response").alias("_conv")), "query_id", "left")
+    )
+    reply = (
+        F.when(F.col("route") == "list", F.col("_list"))
+        .when(F.col("route") == "retrieve", F.coalesce(F.col("_ret"), F.lit(NO_RELEVANT_ANSWER)))
+        .otherwise(F.coalesce(F.col("_conv"), F.lit(APOLOGY)))
+    )
+    return out.select("query_id", "route", reply.alias("answer"))

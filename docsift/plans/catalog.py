@@ -289,6 +289,24 @@ def format_answers(spark, d):
     return ans.format_answers(kept, fxt.questions(spark, d))
 
 
+def answer_queries(spark, d):
+    """Route every question, retrieve and format only for the
+    'retrieve' ones, list titles for 'list', model answer for 'converse'."""
+    q = fxt.questions(spark, d)
+    routes = ingest.materialize(ans.route(q, keywords=fxt.FIXTURE_KEYWORDS), "routes")
+    wanted = q.join(routes.where(F.col("route") == "retrieve"), "query_id", "left_semi")
+    width = fxt.embedding_width(spark, d)
+    qv = fx.featurize(wanted, "text", width).select("query_id", "embedding")
+    hits = ingest.materialize(
+        retrieval.retrieve(fxt.vectors(spark, d), fxt.registry(spark, d), qv, RETRIEVE_K, dim=width), "retrieved"
+    )
+    p = ingest.materialize(ans.build_prompts(hits, q, fxt.files(spark, d)), "prompts")
+    kept = ans.keep_informative(p, fxt.responses(spark, d, p))
+    formatted = ans.format_answers(kept, wanted)
+    msg = ans.title_message(fxt.registry(spark, d))
+    return ans.answer(routes, formatted, msg, fxt.converse_responses(spark, d))
+
+
 def route_queries(spark, d):
     """the reproduced phrases, fixture keywords."""
     return ans.route(fxt.questions(spark, d), keywords=fxt.FIXTURE_KEYWORDS)
@@ -374,6 +392,7 @@ QUERIES: dict[str, Query] = {
     "filter_answers": filter_answers,
     "format_answers": format_answers,
     "route_queries": route_queries,
+    "answer_queries": answer_queries,
     "title_message": title_message,
     "chunks": chunks,
     "chunk_counts": chunk_counts,

@@ -119,3 +119,13 @@ def responses(spark: SparkSession, sf_dir: str, prompts: DataFrame) -> DataFrame
     marked = F.when((F.col("turn") + 1 + F.col("rank")) % 3 == 0, F.concat(F.col("_a"), F.lit(" " + NO_INFO_MARKER))).otherwise(F.col("_a"))
     resp = F.when(F.col("conv_id") % 13 == 0, F.lit(None).cast("string")).otherwise(marked)
     return j.select("query_id", "doc_id", resp.alias("response"))
+
+
+def converse_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Direct model answers to questions: the following assistant turn,
+    NULL (a failed call) when conv_id % 13 = 0."""
+    a = table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
+    return a.select(
+        (F.col("conv_id") * 100 + F.col("turn") - 1).cast("bigint").alias("query_id"),
+        F.when(F.col("conv_id") % 13 == 0, F.lit(None).cast("string")).otherwise(F.col("text")).alias("response"),
+    )

@@ -307,3 +307,33 @@ ORACLES["ingest_positions"] = (
     " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_pos,\n"
     "       n AS n_vectors\nFROM cnt"
 )
+
+ROUTES = f"""routes AS (
+  SELECT query_id,
+         CASE WHEN {strip('lower(text)')} IN ({", ".join(lit(p) for p in DEFAULT.list_phrases)}) THEN 'list'
+              WHEN {" OR ".join(f"contains({strip('lower(text)')}, {lit(k)})" for k in FIXTURE_KEYWORDS)} THEN 'retrieve'
+              ELSE 'converse' END AS route
+  FROM questions)"""
+
+ORACLES["answer_queries"] = with_(
+    PROMPTS,
+    ROUTES,
+    f"""formatted AS (
+  SELECT query_id,
+         string_agg({lit('Document ID: ')} || doc_id || {lit(chr(10) + 'File Path: ')} || file_path
+                    || {lit(chr(10) + 'Response:' + chr(10))} || response || chr(10),
+                    {lit(chr(10) + chr(10))} ORDER BY rank) AS answer
+  FROM kept GROUP BY query_id)""",
+    f"""msg AS (
+  SELECT CASE WHEN count(*) = 0 THEN {lit(NO_DOCUMENTS_MESSAGE)}
+              ELSE {lit(TITLES_HEADER)} || string_agg(title, chr(10) ORDER BY file_path, id) END AS message
+  FROM registry)""",
+    """conv AS (
+  SELECT conv_id * 100 + turn - 1 AS query_id, CASE WHEN conv_id % 13 = 0 THEN NULL ELSE text END AS response
+  FROM conversations WHERE role = 'assistant')""",
+) + f"""
+SELECT r.query_id, r.route,
+       CASE r.route WHEN 'list' THEN (SELECT message FROM msg)
+                    WHEN 'retrieve' THEN coalesce(f.answer, {lit(NO_RELEVANT_ANSWER)})
+                    ELSE coalesce(c.response, {lit(APOLOGY)}) END AS answer
+FROM routes r LEFT JOIN formatted f ON f.query_id = r.query_id LEFT JOIN conv c ON c.query_id = r.query_id"""

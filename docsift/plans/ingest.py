@@ -133,7 +133,12 @@ def ingest(
     )
 
 
-def files_from_folder(spark, folder: str) -> DataFrame:
-    """S1 -> (path, list_order, text, _utf8): listing order is the path order."""
-    raw = src.read_folder(spark, folder)
+def files_from_folder_batch(raw: DataFrame) -> DataFrame:
+    """binaryFile rows -> (path, format, text, _utf8, list_order); listing
+    order is the path order."""
     return src.decode_files(raw).withColumn("list_order", F.col("path"))
+
+
+def files_from_folder(spark, folder: str) -> DataFrame:
+    """S1 -> (path, list_order, text, _utf8)."""
+    return files_from_folder_batch(src.read_folder(spark, folder))

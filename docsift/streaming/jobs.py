@@ -82,9 +82,25 @@ def ingest_stream(
     return store
 
 
-def folder_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """File stream of a folder of documents (binaryFile source)."""
-    return spark.readStream.format("binaryFile").option("maxFilesPerTrigger", 1000).load(folder)
+BINARY_FILE_SCHEMA = T.StructType(
+    [
+        T.StructField("path", T.StringType()),
+        T.StructField("modificationTime", T.TimestampType()),
+        T.StructField("length", T.LongType()),
+        T.StructField("content", T.BinaryType()),
+    ]
+)
+
+
+def folder_stream(spark: SparkSession, folder: str, max_files_per_trigger: int = 1000) -> DataFrame:
+    """File stream of a folder of documents (binaryFile source, direct
+    children only); each micro-batch takes at most ``max_files_per_trigger``."""
+    return (
+        spark.readStream.format("binaryFile")
+        .schema(BINARY_FILE_SCHEMA)
+        .option("maxFilesPerTrigger", max_files_per_trigger)
+        .load(folder)
+    )
 
 
 def route_stream(

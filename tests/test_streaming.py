@@ -63,3 +63,34 @@ def test_replayed_batch_does_not_append_twice(spark):
 def test_stream_routing_equals_batch(spark):
     got = _key(jobs.stream_routing(spark, SF001))
     assert got == _key(catalog.route_queries(spark, SF001))
+
+
+def test_folder_stream_skips_seen_files_and_seen_content(spark):
+    """T1 over a real folder: the checkpoint skips files already read, the
+    anti-join skips content already registered (a copy under a new name)."""
+    src = tempfile.mkdtemp(prefix="docsift-folder-")
+    root = tempfile.mkdtemp(prefix="docsift-fstore-")
+
+    def put(name, text):
+        with open(os.path.join(src, name), "w", encoding="utf-8") as f:
+            f.write(text)
+
+    def run():
+        return jobs.ingest_stream(
+            spark, jobs.folder_stream(spark, src), f"{root}/store", f"{root}/ckpt",
+            lambda b: ingest.files_from_folder_batch(b),
+        )
+
+    put("one.txt", "First doc\n" + "alpha " * 80)
+    put("two.md", "Second doc\n\nbody text here")
+    store = run()
+    first = sorted(r.file_path.rsplit("/", 1)[-1] for r in store.registry().collect())
+    assert first == ["one.txt", "two.md"]
+    n_vec = store.vectors().count()
+    put("copy.txt", "First doc\n" + "alpha " * 80)  # same content, new file
+    put("three.txt", "Third doc\nshort")
+    store = run()
+    names = sorted(r.file_path.rsplit("/", 1)[-1] for r in store.registry().collect())
+    assert names == ["one.txt", "three.txt", "two.md"]
+    pos = sorted(r.pos for r in store.vectors().collect())
+    assert pos == list(range(len(pos))) and len(pos) == n_vec + 1

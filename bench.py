@@ -17,10 +17,8 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import functions as F  # noqa: E402
 
 from docsift.functions import features as fx  # noqa: E402
-from docsift.operators import registry as reg  # noqa: E402
 from docsift.operators import vectors as vec  # noqa: E402
 from docsift.plans import catalog, fixtures, ingest  # noqa: E402
 from docsift.session import local_session  # noqa: E402

@@ -100,7 +100,6 @@ def title_message_lines(registry: DataFrame) -> DataFrame:
     Line numbers come from the distributed prefix sum, so listing a large
     registry never funnels through one task. ``title_message`` joins the
     lines into the single reply string for small registries."""
-    spark = registry.sparkSession
     titled = registry.select("file_path", "id", "title", F.lit(1).cast("bigint").alias("_one"))
     numbered = vec.document_offsets(titled, ["file_path", "id"], "_one", 1, carry=("title",))
     lines = numbered.select(F.col("first_pos").alias("line_no"), F.col("title").alias("line"))

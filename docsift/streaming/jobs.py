@@ -31,9 +31,7 @@ from pyspark.sql import types as T
 
 from docsift.config import DEFAULT, EngineConfig
 from docsift.operators import answers as ans
-from docsift.operators import registry as reg
 from docsift.operators import retrieval
-from docsift.operators import vectors as vec
 from docsift.plans import fixtures as fxt
 from docsift.plans import ingest
 from docsift.session import ensure_checkpoint_dir

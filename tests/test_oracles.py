@@ -1,8 +1,5 @@
 """Every registered query with SQL: Spark result == DuckDB result (sf0.001)."""
 
-import hashlib
-import math
-
 import duckdb
 import pytest
 

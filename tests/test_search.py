@@ -67,8 +67,6 @@ def test_near_ties_resolved_exactly(spark):
 
 
 def test_l2_expression_matches_numpy(spark):
-    from pyspark.sql import functions as F
-
     df = spark.createDataFrame([([1.0, 2.0, 3.0], [0.5, -1.0, 4.0])], "a array<float>, b array<float>")
     got = df.select(search.l2_squared("a", "b").alias("d")).first().d
     assert abs(got - (0.25 + 9.0 + 1.0)) < 1e-12

@@ -4,7 +4,6 @@ import os
 import tempfile
 
 import pytest
-from pyspark.sql import functions as F
 
 from docsift.functions import text as tx
 from docsift.operators import registry as reg
@@ -53,8 +52,6 @@ def test_folder_ingest_edge_files(spark, folder):
 
 
 def test_title_and_strip_follow_python():
-    import duckdb  # noqa: F401
-
     samples = ["  Title 　\nx", "\nstarts with break", "a\rb", "x y", " pad ", "tab\tin\vvt"]
     from pyspark.sql import SparkSession
 

@@ -88,13 +88,19 @@ def concat_pages(pages: DataFrame, doc_col: str, page_col: str, text_col: str) -
     )
 
 
-def read_by_path(requests: DataFrame, files: DataFrame, path_col: str = "file_path") -> DataFrame:
-    """Texts for a list of paths; input rows and duplicates kept, a
-    missing path is flagged (``missing``) instead of failing the batch."""
+def read_by_path(requests: DataFrame, files: DataFrame, path_col: str = "file_path", strict: bool = False) -> DataFrame:
+    """Texts for a list of paths; input rows and duplicates kept. A
+    missing path is flagged (``missing``); with ``strict`` one missing path
+    fails the whole batch, as the reproduced reader did."""
     wanted = requests.select(F.col(path_col).alias("path")).distinct()
     # filter the (large) file table by the (small) requested set first: the
     # semi-join streams the files, the following join is small on both sides
     needed = files.join(wanted, "path", "left_semi")
     content = needed.select(F.col("path").alias("_p"), F.col("text").alias("content"))
     out = requests.join(content, requests[path_col] == content["_p"], "left")
-    return out.select(*[requests[c] for c in requests.columns], "content", F.col("_p").isNull().alias("missing"))
+    out = out.select(*[requests[c] for c in requests.columns], "content", F.col("_p").isNull().alias("missing"))
+    if strict:
+        bad = out.where("missing").select(path_col).first()
+        if bad is not None:
+            raise FileNotFoundError(bad[0])
+    return out

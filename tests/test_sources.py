@@ -80,3 +80,14 @@ def test_blank_and_first_line_follow_python(spark):
     got = df.select(tx.is_blank("t").alias("b"), tx.first_line("t").alias("f")).collect()
     assert [r.b for r in got] == [s.strip() == "" for s in samples]
     assert [r.f for r in got] == [s.splitlines()[0] if s else None for s in samples]
+
+
+def test_read_by_path_flags_or_fails(spark):
+    from docsift.sources import files as src
+
+    files = spark.createDataFrame([("kb/a.txt", "A text")], "path string, text string")
+    req = spark.createDataFrame([(1, "kb/a.txt"), (2, "kb/a.txt"), (3, "kb/gone.txt")], "q long, file_path string")
+    rows = sorted(tuple(r) for r in src.read_by_path(req, files).collect())
+    assert rows == [(1, "kb/a.txt", "A text", False), (2, "kb/a.txt", "A text", False), (3, "kb/gone.txt", None, True)]
+    with pytest.raises(FileNotFoundError):
+        src.read_by_path(req, files, strict=True)

@@ -140,7 +140,10 @@ def knn(
     """
     k = k or cfg.top_k
     spark = vectors.sparkSession
-    q = queries.select(F.col("query_id").cast("bigint"), F.col("embedding").cast("array<double>"))
+    # a NULL vector can be neither searched nor found
+    q = queries.select(F.col("query_id").cast("bigint"), F.col("embedding").cast("array<double>")).where(
+        F.col("embedding").isNotNull()
+    )
     # size check before anything is collected: the count prunes the vector
     # column (a computed embedding is not evaluated); the width is read from
     # one row when not given
@@ -150,7 +153,9 @@ def knn(
     d = dim or cfg.dim
     # the vector side keeps its scan partitioning (no shuffle, no count):
     # large tables arrive in many splits, each a task of the block kernel
-    v = vectors.select(F.col("pos").cast("bigint"), F.col("doc_id").cast("string"), F.col("embedding"))
+    v = vectors.select(F.col("pos").cast("bigint"), F.col("doc_id").cast("string"), F.col("embedding")).where(
+        F.col("embedding").isNotNull()
+    )
 
     parts = []
     if n_q > 0:

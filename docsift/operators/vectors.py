@@ -24,7 +24,8 @@ def check_width(vectors: DataFrame, dim: int, doc_col: str = "doc_id") -> tuple[
 
     Returns (kept vector rows, rejected documents (doc_id, reason)). The
     per-document flag is a partial/final ``bool_and`` aggregate."""
-    flags = vectors.groupBy(doc_col).agg(F.bool_and(F.size("embedding") == dim).alias("_ok"))
+    ok = F.coalesce(F.size("embedding") == dim, F.lit(False))  # a NULL vector has no width
+    flags = vectors.groupBy(doc_col).agg(F.bool_and(ok).alias("_ok"))
     good = flags.where("_ok").select(doc_col)
     bad = flags.where(~F.col("_ok")).select(
         F.col(doc_col).alias("doc_id"), F.lit(f"embedding width differs from {dim}").alias("reason")

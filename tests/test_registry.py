@@ -113,3 +113,10 @@ def test_checked_featurizer_path_rejects_bad_width(spark):
     assert sorted(r.file_path for r in res.registry_rows.collect()) == ["kb/1.txt", "kb/3.txt"]
     assert sorted(r.pos for r in res.vectors.collect()) == [0, 1]
     assert [r.path for r in res.rejected.collect()] == ["kb/2.txt"]
+
+
+def test_null_vector_fails_its_document(spark):
+    v = spark.createDataFrame([(0, "A", None), (1, "A", [1.0, 2.0]), (2, "B", [3.0, 4.0])], vec.VECTOR_SCHEMA)
+    kept, bad = vec.check_width(v, 2)
+    assert sorted(r.pos for r in kept.collect()) == [2]
+    assert [r.doc_id for r in bad.collect()] == ["A"]

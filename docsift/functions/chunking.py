@@ -21,8 +21,7 @@ natively, so the text never travels back from Python.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -118,13 +117,17 @@ def chunk_spans(text: str | None, size: int = CHUNK_SIZE, overlap: int = CHUNK_O
 
 
 def _spans_udf(size: int, overlap: int, separators):
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def spans(texts: pd.Series) -> pd.Series:
-        res = []
-        for t in texts:
-            flat = [x for sp in chunk_spans(t, size, overlap, separators) for x in sp]
-            res.append(np.asarray(flat, dtype=np.int32))
-        return pd.Series(res)
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def spans(texts: pa.Array) -> pa.Array:
+        """Texts -> [s0, e0, s1, e1, ...] per row, built as one list array."""
+        flat: list[int] = []
+        offsets = [0]
+        for t in texts.to_pylist():
+            for a, b in chunk_spans(t, size, overlap, separators):
+                flat.append(a)
+                flat.append(b)
+            offsets.append(len(flat))
+        return pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), pa.array(flat, type=pa.int32()))
 
     return spans
 

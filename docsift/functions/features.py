@@ -23,7 +23,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,19 +66,23 @@ def sparse_features(df: DataFrame, key_cols: list[str], text: str, dim: int) ->
 
 
 def _densify_factory(dim: int):
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def densify(codes: pd.Series) -> pd.Series:
-        arr = pa.array(codes, type=pa.list_(pa.int32()))
-        n = len(arr)
-        lengths = arr.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        flat = arr.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        rows = np.repeat(np.arange(n), lengths)
-        out = np.zeros((n, dim), dtype=np.float64)
-        np.add.at(out, (rows, np.abs(flat) - 1), np.sign(flat).astype(np.float64))
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def densify(codes: pa.Array) -> pa.Array:
+        """Signed bucket codes -> L2-normalised dense float32 vectors: one
+        bincount per Arrow batch, returned as a single list array."""
+        if isinstance(codes, pa.ChunkedArray):
+            codes = codes.combine_chunks()
+        n = len(codes)
+        lengths = codes.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        flat = codes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        rows = np.repeat(np.arange(n, dtype=np.int64), lengths)
+        cells = rows * dim + (np.abs(flat) - 1)
+        out = np.bincount(cells, weights=np.sign(flat).astype(np.float64), minlength=n * dim).reshape(n, dim)
         norms = np.sqrt((out * out).sum(axis=1))
         safe = np.where(norms > 0, norms, 1.0)
-        dense = (out / safe[:, None]).astype(np.float32)
-        return pd.Series(list(dense))
+        dense = (out / safe[:, None]).astype(np.float32).ravel()
+        offsets = pa.array(np.arange(0, (n + 1) * dim, dim, dtype=np.int32))
+        return pa.ListArray.from_arrays(offsets, pa.array(dense, type=pa.float32()))
 
     return densify
 

@@ -11,7 +11,8 @@ Plan, per query block:
 The query block reaches every task through a broadcast variable, and only
 after its size is checked against ``max_query_block_bytes``; larger query
 sets are cut into hash blocks of bounded size, each one more scan of the
-vectors. Distances are squared L2 in float64; candidates are preselected
+vectors, unless the index itself is within the bound: then the roles swap
+(index broadcast, queries streamed). Distances are squared L2 in float64; candidates are preselected
 with the ``|q|^2 + |v|^2 - 2 q.v`` expansion and every candidate within the
 expansion's error bound of the k-th one is re-scored exactly, so the
 selection is exact. Ties are broken by position.
@@ -158,8 +159,12 @@ def knn(
     )
 
     parts = []
-    if n_q > 0:
-        bytes_needed = n_q * d * 8
+    bytes_needed = n_q * d * 8
+    if bytes_needed > cfg.max_query_block_bytes and v.count() * (d * 8 + 64) <= cfg.max_query_block_bytes:
+        # many queries, small index: the index is the side of proven size, so
+        # it is broadcast and the queries stream through the same kernel
+        parts.append(_stream_queries(q, v, k, d))
+    elif n_q > 0:
         n_blocks = max(1, math.ceil(bytes_needed / cfg.max_query_block_bytes))
         for b in range(n_blocks):
             block = q if n_blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b)
@@ -185,6 +190,30 @@ def knn(
     return top
 
 
+def _stream_queries(q: DataFrame, v: DataFrame, k: int, d: int) -> DataFrame:
+    """Roles swapped: the (small, checked) index is broadcast once, each
+    query batch is scored against all of it inside one task."""
+    spark = q.sparkSession
+    tbl = v.toArrow()
+    index = pa.RecordBatch.from_arrays(
+        [tbl.column("pos").combine_chunks(), tbl.column("doc_id").combine_chunks(),
+         tbl.column("embedding").combine_chunks()],
+        names=["pos", "doc_id", "embedding"],
+    )
+    bc = spark.sparkContext.broadcast(index)
+
+    def run(batches):
+        idx = bc.value
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            qids = batch.column("query_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            qmat = _matrix(batch.column("embedding"), d)
+            yield from _partition_topk(qids, qmat, k, d)([idx])
+
+    return q.mapInArrow(run, HIT_SCHEMA)
+
+
 def _broadcast_topk(bc, k, d):
     def run(batches):
         qids, qmat = bc.value

@@ -79,3 +79,15 @@ def test_null_vectors_are_skipped(spark):
     q = spark.createDataFrame([(1, [0.1, 0.1]), (2, None)], "query_id long, embedding array<float>")
     got = [(r.query_id, r.rank, r.pos) for r in search.knn(v, q, 3).orderBy("query_id", "rank").collect()]
     assert got == [(1, 1, 0), (1, 2, 2)]
+
+
+def test_many_queries_small_index_swaps_roles(spark):
+    rng = np.random.default_rng(3)
+    V = rng.normal(size=(50, 16)).astype(np.float32)
+    Q = rng.normal(size=(300, 16)).astype(np.float32)
+    v, q = _frames(spark, V, Q)
+    cfg = EngineConfig(max_query_block_bytes=8000)  # queries 38 kB > bound >= index 6.4 kB
+    got = {}
+    for r in search.knn(v, q, 4, cfg).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.pos))
+    assert {k: sorted(x) for k, x in got.items()} == _brute(V, Q, 4)

@@ -186,7 +186,7 @@ def knn(
     top = hits.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
     top = top.select("query_id", "rank", "pos", "doc_id", "dist")
     if pad:
-        top = pad_hits(top, queries.select(F.col("query_id").cast("bigint")), k)
+        top = pad_hits(top, q.select("query_id"), k)
     return top
 
 

@@ -5,8 +5,8 @@ Data flow and partitioning:
     files (path, list_order, text)
       -> reasons (S8)                      narrow
       -> id = md5(text), title             narrow
-      -> left_anti registry on id (J1)     shuffle on id (or broadcast by AQE)
-      -> min_by(order) per id (A1)         partial agg, same id partitioning
+      -> min_by(order) per id (A1)         partial agg: copies collapse map-side
+      -> left_anti registry on id (J1)     on the id partitioning of the agg
       -> chunk spans (F13)                 narrow; written once (staging)
       -> document offsets (W2)             from (order, size(spans)): narrow
       -> explode, featurize (F14)          narrow

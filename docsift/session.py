@@ -53,15 +53,22 @@ _PKG_DIR = os.path.dirname(os.path.abspath(__file__))
 
 
 def ship_code(spark: SparkSession) -> None:
-    """Make this package importable in Python workers wherever the driver
-    runs from: zip it once per SparkContext and ``addPyFile`` it (Spark then
-    distributes it to every executor)."""
+    """Make this package importable in Python workers of a *local* session
+    wherever the driver runs from: zip it once per SparkContext into the
+    session's checkpoint directory and ``addPyFile`` it. On a cluster the
+    package is installed on the executors or passed with ``--py-files``;
+    nothing is written to a machine-local folder there."""
     sc = spark.sparkContext
-    if getattr(sc, "_docsift_shipped", False):
+    if getattr(sc, "_docsift_shipped", False) or not sc.master.startswith("local"):
         return
+    import uuid
     import zipfile
 
-    target = os.path.join(tempfile.mkdtemp(prefix="docsift-code-"), "docsift.zip")
+    folder = ensure_checkpoint_dir(spark)
+    local = folder[len("file:"):] if folder.startswith("file:") else folder
+    if "://" in local:  # not a local path: leave shipping to the deployment
+        return
+    target = os.path.join(local, f"docsift-code-{uuid.uuid4().hex[:12]}.zip")
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
         for root, _dirs, files in os.walk(_PKG_DIR):
             for f in files:

@@ -39,12 +39,18 @@ class Store:
         self.spark, self.root = spark, root.rstrip("/")
 
     # -- raw partitioned tables ---------------------------------------------
+    def _exists(self, path: str) -> bool:
+        """Existence through the Hadoop FileSystem of the path (any scheme)."""
+        jvm = self.spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
     def _raw(self, name: str, schema: T.StructType) -> DataFrame:
         with_batch = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
-        try:
-            return self.spark.read.schema(with_batch).parquet(f"{self.root}/{name}")
-        except Exception:  # nothing written yet
+        path = f"{self.root}/{name}"
+        if not self._exists(path):  # nothing written yet
             return self.spark.createDataFrame([], with_batch)
+        return self.spark.read.schema(with_batch).parquet(path)
 
     def write(self, name: str, df: DataFrame, batch_id: int) -> None:
         (

@@ -94,3 +94,20 @@ def test_folder_stream_skips_seen_files_and_seen_content(spark):
     assert names == ["one.txt", "three.txt", "two.md"]
     pos = sorted(r.pos for r in store.vectors().collect())
     assert pos == list(range(len(pos))) and len(pos) == n_vec + 1
+
+
+def test_cli_ingest_and_ask(spark, capsys):
+    from docsift.__main__ import main
+
+    src = tempfile.mkdtemp(prefix="docsift-cli-")
+    with open(os.path.join(src, "keys.txt"), "w", encoding="utf-8") as f:
+        f.write("Golden keys\nThe little golden key opened the lock.\n")
+    with open(os.path.join(src, "rain.txt"), "w", encoding="utf-8") as f:
+        f.write("Weather\nRain and wind all week.\n")
+    store = tempfile.mkdtemp(prefix="docsift-cli-store-")
+    main(["ingest", src, store])
+    main(["ask", store, "List Documents", "explain the golden key in the lock"])
+    out = capsys.readouterr().out
+    assert "Here are the available documents:" in out
+    assert "[retrieve] explain the golden key in the lock" in out
+    assert "1. Golden keys" in out

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docsift.config import STATUS_PROCESSED
+from docsift.operators import sizing
 
 REGISTRY_SCHEMA = T.StructType(
     [
@@ -51,14 +52,14 @@ def exists(ids: DataFrame, registry: DataFrame, id_col: str = "id") -> DataFrame
 def lookup(registry: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
     """Registry rows whose id is in ``ids``: one row per document however
     often it is listed; unknown or NULL ids match nothing; no order kept."""
-    wanted = ids.select(F.col(id_col).alias("id"))
+    wanted = sizing.broadcast_if_small(ids.select(F.col(id_col).alias("id")).distinct())
     return list_documents(registry).join(wanted, "id", "left_semi")
 
 
 def delete(registry: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
     """The registry without the given ids (vectors are left alone: M8)."""
     gone = ids.select(F.col(id_col).alias("id")).where(F.col("id").isNotNull())
-    return registry.join(gone, "id", "left_anti")
+    return registry.join(sizing.broadcast_if_small(gone), "id", "left_anti")
 
 
 def dedup_first_wins(docs: DataFrame, order_col: str = "list_order") -> DataFrame:

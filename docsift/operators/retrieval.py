@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsift.config import DEFAULT, EngineConfig
-from docsift.operators import search
+from docsift.operators import search, sizing
 
 
 def distinct_hit_documents(hits: DataFrame) -> DataFrame:
@@ -23,14 +23,20 @@ def distinct_hit_documents(hits: DataFrame) -> DataFrame:
     )
 
 
-def attach_metadata(doc_hits: DataFrame, registry: DataFrame) -> DataFrame:
+def attach_metadata(doc_hits: DataFrame, registry: DataFrame, max_hits: int | None = None,
+                    cfg: EngineConfig = DEFAULT) -> DataFrame:
     """Keep hits whose document is registered, add title and path.
 
-    The hit side is bounded (queries x k, the query side is size-checked in
-    ``search.knn``), so only the registry rows that are hit are joined; the
-    registry is pruned to its three columns and never broadcast."""
+    When the hit side is known to be small (``max_hits``, e.g. queries x k,
+    within ``max_broadcast_rows``) it is broadcast, so the registry is only
+    scanned (pruned to three columns), never shuffled; otherwise it is
+    counted first. The registry itself is never broadcast."""
     meta = registry.select(F.col("id").alias("doc_id"), "title", "file_path")
-    return doc_hits.join(meta, "doc_id", "inner").select(
+    if max_hits is not None and max_hits <= cfg.max_broadcast_rows:
+        hits = F.broadcast(doc_hits)
+    else:
+        hits = sizing.broadcast_if_small(doc_hits, cfg=cfg)
+    return meta.join(hits, "doc_id", "inner").select(
         "query_id", "rank", F.col("doc_id").alias("id"), "title", "file_path"
     )
 
@@ -46,4 +52,5 @@ def retrieve(
     """(query_id, rank, id, title, file_path)."""
     k = k or cfg.retrieve_k
     hits = search.knn(vectors, queries, k, cfg, dim=dim)
-    return attach_metadata(distinct_hit_documents(hits), registry)
+    n_q = queries.select("query_id").count()  # prunes the vectors: cheap
+    return attach_metadata(distinct_hit_documents(hits), registry, n_q * k, cfg)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsift.functions import text as tx
+from docsift.operators import sizing
 
 
 def read_folder(spark: SparkSession, folder: str) -> DataFrame:
@@ -93,9 +94,10 @@ def read_by_path(requests: DataFrame, files: DataFrame, path_col: str = "file_pa
     missing path is flagged (``missing``); with ``strict`` one missing path
     fails the whole batch, as the reproduced reader did."""
     wanted = requests.select(F.col(path_col).alias("path")).distinct()
-    # filter the (large) file table by the (small) requested set first: the
-    # semi-join streams the files, the following join is small on both sides
-    needed = files.join(wanted, "path", "left_semi")
+    # filter the (large) file table by the requested set first: with a
+    # checked small request set the semi-join streams the files (broadcast
+    # build side); the following join is small on both sides
+    needed = files.join(sizing.broadcast_if_small(wanted), "path", "left_semi")
     content = needed.select(F.col("path").alias("_p"), F.col("text").alias("content"))
     out = requests.join(content, requests[path_col] == content["_p"], "left")
     out = out.select(*[requests[c] for c in requests.columns], "content", F.col("_p").isNull().alias("missing"))

@@ -254,13 +254,21 @@ def retrieve_questions(spark, d):
     )
 
 
-def _prompts(spark, d):
-    """Prompts are read by several later steps (responses, filter, format):
-    written once under the checkpoint directory instead of re-planned."""
-    retrieved = ingest.materialize(retrieve_questions(spark, d), "retrieved")
-    return ingest.materialize(
-        ans.build_prompts(retrieved, fxt.questions(spark, d), fxt.files(spark, d)), "prompts"
-    )
+def _retrieved(spark, d):
+    """Retrieval for every question, written once under the checkpoint
+    directory: prompts, responses and answers all read it."""
+    return ingest.materialize(retrieve_questions(spark, d), "retrieved")
+
+
+def _prompts(spark, d, retrieved: DataFrame | None = None):
+    r = _retrieved(spark, d) if retrieved is None else retrieved
+    return ans.build_prompts(r, fxt.questions(spark, d), fxt.files(spark, d))
+
+
+def _kept(spark, d):
+    r = _retrieved(spark, d)
+    hits = r.select("query_id", F.col("id").alias("doc_id"), "rank")
+    return ans.keep_informative(_prompts(spark, d, r), fxt.responses(spark, d, hits))
 
 
 def prompts(spark, d):
@@ -278,15 +286,12 @@ def messages(spark, d):
 
 def filter_answers(spark, d):
     """J5 + F16 + P5."""
-    p = _prompts(spark, d)
-    return ans.keep_informative(p, fxt.responses(spark, d, p))
+    return _kept(spark, d)
 
 
 def format_answers(spark, d):
     """one answer per question."""
-    p = _prompts(spark, d)
-    kept = ans.keep_informative(p, fxt.responses(spark, d, p))
-    return ans.format_answers(kept, fxt.questions(spark, d))
+    return ans.format_answers(_kept(spark, d), fxt.questions(spark, d))
 
 
 def answer_queries(spark, d):
@@ -300,8 +305,8 @@ def answer_queries(spark, d):
     hits = ingest.materialize(
         retrieval.retrieve(fxt.vectors(spark, d), fxt.registry(spark, d), qv, RETRIEVE_K, dim=width), "retrieved"
     )
-    p = ingest.materialize(ans.build_prompts(hits, q, fxt.files(spark, d)), "prompts")
-    kept = ans.keep_informative(p, fxt.responses(spark, d, p))
+    p = ans.build_prompts(hits, q, fxt.files(spark, d))
+    kept = ans.keep_informative(p, fxt.responses(spark, d, hits.select("query_id", F.col("id").alias("doc_id"), "rank")))
     formatted = ans.format_answers(kept, wanted)
     msg = ans.title_message(fxt.registry(spark, d))
     return ans.answer(routes, formatted, msg, fxt.converse_responses(spark, d))

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docsift.config import DEFAULT, EngineConfig
+from docsift.session import materialize
 
 HIT_SCHEMA = T.StructType(
     [
@@ -166,6 +167,8 @@ def knn(
         parts.append(_stream_queries(q, v, k, d))
     elif n_q > 0:
         n_blocks = max(1, math.ceil(bytes_needed / cfg.max_query_block_bytes))
+        if n_blocks > 1:  # each block filters the query side: compute it once
+            q = materialize(q, "query-vectors")
         for b in range(n_blocks):
             block = q if n_blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b)
             tbl = block.toArrow()

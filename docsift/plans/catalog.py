@@ -23,6 +23,7 @@ from docsift.operators import retrieval, search
 from docsift.operators import vectors as vec
 from docsift.plans import fixtures as fxt
 from docsift.plans import ingest
+from docsift.session import materialize
 from docsift.sources import files as src
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -229,7 +230,7 @@ def page_concat(spark, d):
 
 def read_by_path(spark, d):
     """Every retrieved path read back (duplicates kept, missing flagged)."""
-    r = ingest.materialize(retrieve_top3(spark, d).select("query_id", "rank", "file_path"), "retrieved")
+    r = materialize(retrieve_top3(spark, d).select("query_id", "rank", "file_path"), "retrieved")
     out = src.read_by_path(r, fxt.files(spark, d))
     return out.select("query_id", "rank", "file_path", F.length("content").cast("bigint").alias("n_chars"), "missing")
 
@@ -257,7 +258,7 @@ def retrieve_questions(spark, d):
 def _retrieved(spark, d):
     """Retrieval for every question, written once under the checkpoint
     directory: prompts, responses and answers all read it."""
-    return ingest.materialize(retrieve_questions(spark, d), "retrieved")
+    return materialize(retrieve_questions(spark, d), "retrieved")
 
 
 def _prompts(spark, d, retrieved: DataFrame | None = None):
@@ -298,11 +299,11 @@ def answer_queries(spark, d):
     """Route every question, retrieve and format only for the
     'retrieve' ones, list titles for 'list', model answer for 'converse'."""
     q = fxt.questions(spark, d)
-    routes = ingest.materialize(ans.route(q, keywords=fxt.FIXTURE_KEYWORDS), "routes")
+    routes = materialize(ans.route(q, keywords=fxt.FIXTURE_KEYWORDS), "routes")
     wanted = q.join(routes.where(F.col("route") == "retrieve"), "query_id", "left_semi")
     width = fxt.embedding_width(spark, d)
     qv = fx.featurize(wanted, "text", width).select("query_id", "embedding")
-    hits = ingest.materialize(
+    hits = materialize(
         retrieval.retrieve(fxt.vectors(spark, d), fxt.registry(spark, d), qv, RETRIEVE_K, dim=width), "retrieved"
     )
     p = ans.build_prompts(hits, q, fxt.files(spark, d))

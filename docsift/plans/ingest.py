@@ -16,7 +16,6 @@ Data flow and partitioning:
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -28,7 +27,7 @@ from docsift.functions import features as fx
 from docsift.functions import text as tx
 from docsift.operators import registry as reg
 from docsift.operators import vectors as vec
-from docsift.session import ensure_checkpoint_dir
+from docsift.session import materialize
 from docsift.sources import files as src
 
 
@@ -55,17 +54,6 @@ def new_documents(files: DataFrame, registry: DataFrame | None, keep_text: bool
     return docs, bad
 
 
-def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Write ``df`` as parquet (default: a fresh folder under the session's
-    checkpoint directory) and read it back: cuts lineage, survives executor
-    loss, and later readers get column pruning."""
-    spark = df.sparkSession
-    if path is None:
-        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
 def stage(files: DataFrame, registry: DataFrame | None, cfg: EngineConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """New documents with their chunk spans (the only place the chunker
     runs) and the rejected files."""

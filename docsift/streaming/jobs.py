@@ -113,16 +113,20 @@ def route_stream(
     keywords=None,
 ):
     """Route every arriving question; retrieve for the 'retrieve' ones.
-    ``embed`` maps a question frame to (query_id, embedding)."""
+    ``embed`` maps a question frame to (query_id, embedding). The index is
+    the ``vectors`` frame given at start (its file listing is fixed then);
+    ``registry`` may be a callable, re-read for every micro-batch, so
+    metadata is live (M17)."""
     snapshot = {"vectors": vectors}
 
     def run(batch_df: DataFrame, batch_id: int) -> None:
+        current_registry = registry() if callable(registry) else registry
         routed = ans.route(batch_df, cfg, keywords=keywords)
         routed.withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic"
         ).partitionBy("batch").parquet(f"{out_root}/routes")
         wanted = batch_df.join(routed.where(F.col("route") == "retrieve"), "query_id", "left_semi")
-        hits = retrieval.retrieve(snapshot["vectors"], registry, embed(wanted), cfg.retrieve_k, cfg)
+        hits = retrieval.retrieve(snapshot["vectors"], current_registry, embed(wanted), cfg.retrieve_k, cfg)
         hits.withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic"
         ).partitionBy("batch").parquet(f"{out_root}/retrieved")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -98,3 +100,15 @@ def contains_any(text, needles) -> Column:
 def normalize_query(text) -> Column:
     """``text.lower().strip()``."""
     return py_strip(F.lower(_col(text)))
+
+
+def fill(template: str, **fields) -> Column:
+    """A ``str.format`` template as a native ``concat`` of its literal parts
+    and the given columns (fixed templates live in ``docsift.config``)."""
+    parts = []
+    for literal, name, _spec, _conv in string.Formatter().parse(template):
+        if literal:
+            parts.append(F.lit(literal))
+        if name is not None:
+            parts.append(_col(fields[name]))
+    return F.concat(*parts)

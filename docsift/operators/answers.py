@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from docsift.config import (
     ANSWER_JOINER,
+    ANSWER_TEMPLATE,
     APOLOGY,
     DEFAULT,
     NO_DOCUMENTS_MESSAGE,
     NO_INFO_MARKER,
     NO_RELEVANT_ANSWER,
+    PROMPT_TEMPLATE,
     TITLES_HEADER,
     EngineConfig,
 )
@@ -26,9 +28,7 @@ from docsift.sources import files as src
 
 def prompt_text(content, query) -> Column:
     """F8: the prompt around a content prefix and the question."""
-    c = F.col(content) if isinstance(content, str) else content
-    q = F.col(query) if isinstance(query, str) else query
-    return F.concat(F.lit("Based on the following content:\n\n"), c, F.lit("\n\nAnswer the question: "), q)
+    return tx.fill(PROMPT_TEMPLATE, content=content, query=query)
 
 
 def build_prompts(retrieved: DataFrame, questions: DataFrame, files: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
@@ -68,10 +68,7 @@ def keep_informative(prompts: DataFrame, responses: DataFrame) -> DataFrame:
 def format_answers(kept: DataFrame, questions: DataFrame) -> DataFrame:
     """F10 + A4: one answer per question; the fixed sentence when nothing is
     left. The per-query group holds at most k rows."""
-    block = F.concat(
-        F.lit("Document ID: "), F.col("doc_id"), F.lit("\nFile Path: "), F.col("file_path"),
-        F.lit("\nResponse:\n"), F.col("response"), F.lit("\n"),
-    )
+    block = tx.fill(ANSWER_TEMPLATE, doc_id="doc_id", file_path="file_path", response="response")
     per_q = kept.select("query_id", "rank", block.alias("_b")).groupBy("query_id").agg(
         F.expr(f"listagg(_b, '{_sql_escape(ANSWER_JOINER)}') WITHIN GROUP (ORDER BY rank)").alias("_ans")
     )

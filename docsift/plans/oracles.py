@@ -7,13 +7,17 @@ are spliced with chr(10) because DuckDB literals do not interpret escapes.
 
 from __future__ import annotations
 
+import string
+
 from docsift.config import (
+    ANSWER_TEMPLATE,
     APOLOGY,
     DEFAULT,
     NO_DOCUMENTS_MESSAGE,
     NO_INFO_MARKER,
     NO_RELEVANT_ANSWER,
     PY_LINEBREAK_CLASS,
+    PROMPT_TEMPLATE,
     PY_WHITESPACE_CLASS,
     STATUS_PROCESSED,
     SUPPORTED_EXTENSIONS,
@@ -33,6 +37,17 @@ def lit(s: str) -> str:
     return "(" + " || chr(10) || ".join(quoted) + ")"
 
 
+def fill(template: str, **exprs: str) -> str:
+    """A ``str.format`` template as a DuckDB ``||`` concatenation."""
+    parts = []
+    for literal, name, _spec, _conv in string.Formatter().parse(template):
+        if literal:
+            parts.append(lit(literal))
+        if name is not None:
+            parts.append(exprs[name])
+    return "(" + " || ".join(parts) + ")"
+
+
 WS = PY_WHITESPACE_CLASS
 
 
@@ -145,8 +160,7 @@ PROMPTS = f"""{QUESTIONS},
 {retrieved_cte('qret', 'qhits', 'registry')},
 prompts AS (
   SELECT r.query_id, r.id AS doc_id, r.rank, r.file_path,
-         {lit('Based on the following content:' + chr(10) + chr(10))} || substring(f.text, 1, {DEFAULT.prefix_chars})
-         || {lit(chr(10) + chr(10) + 'Answer the question: ')} || q.text AS prompt
+         {fill(PROMPT_TEMPLATE, content=f"substring(f.text, 1, {DEFAULT.prefix_chars})", query="q.text")} AS prompt
   FROM qret r JOIN questions q ON q.query_id = r.query_id
   LEFT JOIN files f ON f.path = r.file_path),
 responses AS (
@@ -257,8 +271,7 @@ SELECT query_id, doc_id, CAST(1 AS BIGINT) AS msg_no, 'user' AS role, prompt AS
 SELECT q.query_id, coalesce(a.answer, {lit(NO_RELEVANT_ANSWER)}) AS answer
 FROM questions q LEFT JOIN (
   SELECT query_id,
-         string_agg({lit('Document ID: ')} || doc_id || {lit(chr(10) + 'File Path: ')} || file_path
-                    || {lit(chr(10) + 'Response:' + chr(10))} || response || chr(10),
+         string_agg({fill(ANSWER_TEMPLATE, doc_id="doc_id", file_path="file_path", response="response")},
                     {lit(chr(10) + chr(10))} ORDER BY rank) AS answer
   FROM kept GROUP BY query_id) a ON a.query_id = q.query_id""",
     "route_queries": "WITH "
@@ -320,8 +333,7 @@ ORACLES["answer_queries"] = with_(
     ROUTES,
     f"""formatted AS (
   SELECT query_id,
-         string_agg({lit('Document ID: ')} || doc_id || {lit(chr(10) + 'File Path: ')} || file_path
-                    || {lit(chr(10) + 'Response:' + chr(10))} || response || chr(10),
+         string_agg({fill(ANSWER_TEMPLATE, doc_id="doc_id", file_path="file_path", response="response")},
                     {lit(chr(10) + chr(10))} ORDER BY rank) AS answer
   FROM kept GROUP BY query_id)""",
     f"""msg AS (

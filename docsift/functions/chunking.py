@@ -13,10 +13,9 @@ Rule (separators tried in order "\\n\\n", "\\n", " ", ""; size 300, overlap 50):
    total > overlap or (total + next > size and total > 0).
 5. Each emitted group is stripped (Python whitespace); blank groups vanish.
 
-Because separators are kept, every chunk is a contiguous span of the text.
-The per-row work is therefore a small span computation returned to the JVM
-as integers (Arrow batch UDF); ``posexplode`` + ``substring`` cut the chunks
-natively, so the text never travels back from Python.
+Because separators are kept, every chunk is a contiguous span of the text:
+the per-row work computes the spans and slices them (Arrow batch UDF, one
+list array per batch); ``posexplode`` turns them into rows.
 """
 
 from __future__ import annotations
@@ -116,47 +115,64 @@ def chunk_spans(text: str | None, size: int = CHUNK_SIZE, overlap: int = CHUNK_O
     return out
 
 
-def _spans_udf(size: int, overlap: int, separators):
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def spans(texts: pa.Array) -> pa.Array:
-        """Texts -> [s0, e0, s1, e1, ...] per row, built as one list array."""
-        flat: list[int] = []
+CHUNK_TYPE = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("start", T.IntegerType()),
+            T.StructField("end", T.IntegerType()),
+            T.StructField("chunk", T.StringType()),
+        ]
+    )
+)
+
+
+def _chunks_udf(size: int, overlap: int, separators):
+    @F.arrow_udf(CHUNK_TYPE)
+    def chunks(texts: pa.Array) -> pa.Array:
+        """Texts -> [(start, end, chunk), ...] per row, as one list array.
+        Python slices each chunk in O(length): linear in the document, where
+        cutting by code-point offsets in the JVM would rescan from the start
+        for every chunk."""
+        starts: list[int] = []
+        ends: list[int] = []
+        pieces: list[str] = []
         offsets = [0]
         for t in texts.to_pylist():
             for a, b in chunk_spans(t, size, overlap, separators):
-                flat.append(a)
-                flat.append(b)
-            offsets.append(len(flat))
-        return pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), pa.array(flat, type=pa.int32()))
+                starts.append(a)
+                ends.append(b)
+                pieces.append(t[a:b])
+            offsets.append(len(pieces))
+        items = pa.StructArray.from_arrays(
+            [pa.array(starts, type=pa.int32()), pa.array(ends, type=pa.int32()), pa.array(pieces, type=pa.string())],
+            names=["start", "end", "chunk"],
+        )
+        return pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), items)
 
-    return spans
+    return chunks
 
 
-def span_array(text, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, separators=SEPARATORS) -> Column:
-    """array<int> [s0, e0, s1, e1, ...] for a text column."""
+def chunk_array(text, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, separators=SEPARATORS) -> Column:
+    """array<struct<start, end, chunk>> for a text column."""
     t = F.col(text) if isinstance(text, str) else text
-    return _spans_udf(size, overlap, tuple(separators))(t)
+    return _chunks_udf(size, overlap, tuple(separators))(t)
 
 
-def explode_chunks(df: DataFrame, text_col: str, spans_col: str, keep: list[str]) -> DataFrame:
-    """Span array -> one row per chunk (keep..., chunk_no, start, end, chunk).
+def explode_chunks(df: DataFrame, chunks_col: str, keep: list[str]) -> DataFrame:
+    """Chunk array -> one row per chunk (keep..., chunk_no, start, end, chunk).
     ``start``/``end`` are 0-based code-point offsets."""
-    n = F.size(spans_col) / 2
-    idx = F.when(n > 0, F.sequence(F.lit(0), (n - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
-    rows = df.select(*keep, text_col, spans_col, F.posexplode(idx).alias("chunk_no", "_i"))
-    start = F.element_at(spans_col, F.col("_i") * 2 + 1)
-    end = F.element_at(spans_col, F.col("_i") * 2 + 2)
+    rows = df.select(*keep, F.posexplode(chunks_col).alias("chunk_no", "_c"))
     return rows.select(
         *keep,
         F.col("chunk_no").cast("bigint"),
-        start.cast("bigint").alias("start"),
-        end.cast("bigint").alias("end"),
-        F.expr(f"substring({text_col}, {spans_col}[_i * 2] + 1, {spans_col}[_i * 2 + 1] - {spans_col}[_i * 2])").alias("chunk"),
+        F.col("_c.start").cast("bigint").alias("start"),
+        F.col("_c.end").cast("bigint").alias("end"),
+        F.col("_c.chunk").alias("chunk"),
     )
 
 
 def chunk(df: DataFrame, text_col: str, keep: list[str], size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
           separators=SEPARATORS) -> DataFrame:
     """F13 as a job: documents -> chunk rows."""
-    with_spans = df.withColumn("_spans", span_array(text_col, size, overlap, separators))
-    return explode_chunks(with_spans, text_col, "_spans", keep)
+    with_chunks = df.withColumn("_chunks", chunk_array(text_col, size, overlap, separators))
+    return explode_chunks(with_chunks, "_chunks", keep)

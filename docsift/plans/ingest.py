@@ -7,8 +7,8 @@ Data flow and partitioning:
       -> id = md5(text), title             narrow
       -> min_by(order) per id (A1)         partial agg: copies collapse map-side
       -> left_anti registry on id (J1)     on the id partitioning of the agg
-      -> chunk spans (F13)                 narrow; written once (staging)
-      -> document offsets (W2)             from (order, size(spans)): narrow
+      -> chunks (F13)                      narrow; written once (staging)
+      -> document offsets (W2)             from (order, size(chunks)): narrow
       -> explode, featurize (F14)          narrow
       -> pos = first_pos + chunk_no        join with the doc-level offsets
                                            (broadcast by AQE when small)
@@ -55,11 +55,11 @@ def new_documents(files: DataFrame, registry: DataFrame | None, keep_text: bool
 
 
 def stage(files: DataFrame, registry: DataFrame | None, cfg: EngineConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """New documents with their chunk spans (the only place the chunker
-    runs) and the rejected files."""
+    """New documents with their chunks (the only place the chunker runs;
+    the chunks replace the text) and the rejected files."""
     docs, bad = new_documents(files, registry)
-    spans = chunking.span_array("text", cfg.chunk_size, cfg.chunk_overlap, cfg.separators)
-    return docs.withColumn("spans", spans), bad
+    chunks = chunking.chunk_array("text", cfg.chunk_size, cfg.chunk_overlap, cfg.separators)
+    return docs.withColumn("chunks", chunks).drop("text"), bad
 
 
 def ingest(
@@ -75,18 +75,17 @@ def ingest(
     position (computed from ``vectors`` when not given).
 
     The staged documents are written once; chunk counts per document come
-    from the span arrays (a pruned read), so positions are known before any
-    vector exists. A featurizer that does not declare ``fixed_width == dim``
+    from the chunk arrays, so positions are known before any vector exists. A featurizer that does not declare ``fixed_width == dim``
     goes through the checked path: its vectors are written, checked per
     document (P6) and only then given positions."""
     staged_lazy, bad = stage(files, registry, cfg)
     staged = materialize(staged_lazy, "ingest-staging", staging_path)
-    chunks = chunking.explode_chunks(staged, "text", "spans", ["id", "list_order"]).withColumnRenamed("id", "doc_id")
+    chunks = chunking.explode_chunks(staged, "chunks", ["id", "list_order"]).withColumnRenamed("id", "doc_id")
     start = vec.next_position(vectors) if base is None else base
     fz = featurizer or fx.hashing_featurizer(cfg.dim)
     if getattr(fz, "fixed_width", None) == cfg.dim:
         per_doc = staged.select(
-            F.col("id").alias("doc_id"), "list_order", (F.size("spans") / 2).cast("bigint").alias("n")
+            F.col("id").alias("doc_id"), "list_order", F.size("chunks").cast("bigint").alias("n")
         )
         feats = fx.featurize(chunks, "chunk", cfg.dim, fz)
         docs_ok = staged

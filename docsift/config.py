@@ -67,6 +67,8 @@ class EngineConfig:
     max_query_block_bytes: int = 64 * 1024 * 1024
     # Largest side broadcast by a join whose size is only known at run time.
     max_broadcast_rows: int = 2_000_000
+    # Documents longer than this are chunked unit by unit across tasks.
+    split_doc_chars: int = 1_000_000
     extra: dict = field(default_factory=dict, compare=False, hash=False)
 
     def with_(self, **kw) -> "EngineConfig":

@@ -7,8 +7,9 @@ Data flow and partitioning:
       -> id = md5(text), title             narrow
       -> min_by(order) per id (A1)         partial agg: copies collapse map-side
       -> left_anti registry on id (J1)     on the id partitioning of the agg
-      -> chunks (F13)                      narrow; written once (staging)
-      -> document offsets (W2)             from (order, size(chunks)): narrow
+      -> chunk rows (F13)                  narrow; huge documents by units
+                                           spread over tasks; written once
+      -> document offsets (W2)             from per-document counts: narrow
       -> explode, featurize (F14)          narrow
       -> pos = first_pos + chunk_no        join with the doc-level offsets
                                            (broadcast by AQE when small)
@@ -55,16 +56,20 @@ def new_documents(files: DataFrame, registry: DataFrame | None, keep_text: bool
 
 
 def stage(files: DataFrame, registry: DataFrame | None, cfg: EngineConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """New documents with their chunks (the only place the chunker runs;
-    the chunks replace the text) and the rejected files."""
+    """Document-level result of the one pass that chunks: (id, list_order,
+    title, path, chunks, units) for the new documents, and the rejected
+    files. Chunks for ordinary documents, independent units for huge ones
+    (chunked later across tasks); the text itself is not kept."""
     docs, bad = new_documents(files, registry)
-    chunks = chunking.chunk_array("text", cfg.chunk_size, cfg.chunk_overlap, cfg.separators)
-    return docs.withColumn("chunks", chunks).drop("text"), bad
+    chunks, units = chunking.chunk_or_units(
+        "text", cfg.chunk_size, cfg.chunk_overlap, cfg.separators, cfg.split_doc_chars
+    )
+    return docs.select("id", "list_order", "title", "path", chunks.alias("chunks"), units.alias("units")), bad
 
 
 def ingest(
     files: DataFrame,
-    registry: DataFrame,
+    registry: DataFrame | None,
     vectors: DataFrame,
     cfg: EngineConfig = DEFAULT,
     featurizer=None,
@@ -74,21 +79,25 @@ def ingest(
     """C1. ``files``: (path, list_order, text[, _utf8]). ``base``: first free
     position (computed from ``vectors`` when not given).
 
-    The staged documents are written once; chunk counts per document come
-    from the chunk arrays, so positions are known before any vector exists. A featurizer that does not declare ``fixed_width == dim``
-    goes through the checked path: its vectors are written, checked per
-    document (P6) and only then given positions."""
+    The one chunking pass is written once (staging); chunk counts per
+    document are a partial aggregate of the chunk rows, so positions are
+    known before any vector exists. A featurizer that does not declare ``fixed_width == dim`` goes
+    through the checked path: its vectors are written, checked per document
+    (P6) and only then given positions."""
     staged_lazy, bad = stage(files, registry, cfg)
     staged = materialize(staged_lazy, "ingest-staging", staging_path)
-    chunks = chunking.explode_chunks(staged, "chunks", ["id", "list_order"]).withColumnRenamed("id", "doc_id")
+    rows = chunking.rows_from_staged(
+        staged, ["id", "list_order"], size=cfg.chunk_size, overlap=cfg.chunk_overlap, separators=cfg.separators
+    )
+    chunks = rows.withColumnRenamed("id", "doc_id")
+    # one row per document that has chunks (blank ones were rejected before)
+    firsts = staged.where((F.size("chunks") > 0) | (F.size("units") > 0)).select("id", "list_order", "title", "path")
     start = vec.next_position(vectors) if base is None else base
     fz = featurizer or fx.hashing_featurizer(cfg.dim)
     if getattr(fz, "fixed_width", None) == cfg.dim:
-        per_doc = staged.select(
-            F.col("id").alias("doc_id"), "list_order", F.size("chunks").cast("bigint").alias("n")
-        )
+        per_doc = chunks.groupBy("doc_id", "list_order").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
         feats = fx.featurize(chunks, "chunk", cfg.dim, fz)
-        docs_ok = staged
+        docs_ok = firsts
         width_rejects = files.sparkSession.createDataFrame([], "path string, reason string")
     else:
         feats = materialize(
@@ -98,14 +107,14 @@ def ingest(
         )
         feats, bad_width = vec.check_width(feats, cfg.dim)
         per_doc = feats.groupBy("doc_id", "list_order").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
-        docs_ok = staged.join(bad_width.select(F.col("doc_id").alias("id")), "id", "left_anti")
-        width_rejects = bad_width.join(staged.select(F.col("id").alias("doc_id"), "path"), "doc_id").select(
+        docs_ok = firsts.join(bad_width.select(F.col("doc_id").alias("id")), "id", "left_anti")
+        width_rejects = bad_width.join(firsts.select(F.col("id").alias("doc_id"), "path"), "doc_id").select(
             "path", "reason"
         )
     offsets = vec.document_offsets(per_doc, ["list_order", "doc_id"], "n", start).select("doc_id", "first_pos")
     # one row per new document: broadcast only when that count is checked
     # small, else a shuffle join on doc_id (the vector side is never broadcast)
-    if staged.count() <= cfg.max_broadcast_rows:
+    if firsts.count() <= cfg.max_broadcast_rows:
         offsets = F.broadcast(offsets)
     new_vectors = feats.hint("no_broadcast_hash").join(offsets, "doc_id").select(
         (F.col("first_pos") + F.col("chunk_no")).cast("bigint").alias("pos"),

@@ -1,6 +1,7 @@
 """span chunker vs a plain list-of-strings statement of the rule."""
 
 import duckdb
+from pyspark.sql import functions as F
 import pytest
 
 from docsift.functions.chunking import chunk_spans
@@ -120,3 +121,14 @@ def test_spark_chunks_equal_python(spark):
         for n, (a, b) in enumerate(chunk_spans(text)):
             expected[(i, n)] = (a, text[a:b])
     assert got == expected
+
+
+def test_split_path_equals_whole_path(spark):
+    """Long documents chunked unit by unit across tasks give the same rows
+    as chunking each document whole (threshold lowered to force it)."""
+    from docsift.functions import chunking
+
+    docs = spark.read.parquet(f"{SF01}/documents.parquet").select(F.col("doc_id").cast("string").alias("d"), "text")
+    whole = chunking.explode_chunks(docs.withColumn("_c", chunking.chunk_array("text")), "_c", ["d"])
+    split = chunking.chunk_rows(docs, "text", ["d"], split_chars=500)
+    assert sorted(tuple(r) for r in split.collect()) == sorted(tuple(r) for r in whole.collect())

@@ -37,3 +37,17 @@ def test_sql_chunker_equals_span_chunker(texts, size, overlap):
         (f"d{i}", n, a, x[a:b]) for i, x in enumerate(texts) for n, (a, b) in enumerate(chunk_spans(x, size, overlap))
     )
     assert got == want
+
+
+@settings(max_examples=300, deadline=None)
+@given(TEXTS, st.integers(4, 40), st.integers(0, 20))
+def test_units_compose_to_the_whole(text, size, overlap):
+    """Chunking unit by unit (the split path for huge documents) gives the
+    same chunks as chunking the whole text."""
+    from docsift.functions.chunking import chunk_units, unit_spans
+
+    overlap = min(overlap, size - 1)
+    pieces = []
+    for a, b, kind, si in chunk_units(text, size):
+        pieces += [(a + x, a + y) for x, y in unit_spans(text[a:b], kind, si, size, overlap)]
+    assert pieces == chunk_spans(text, size, overlap)

@@ -120,3 +120,18 @@ def test_null_vector_fails_its_document(spark):
     kept, bad = vec.check_width(v, 2)
     assert sorted(r.pos for r in kept.collect()) == [2]
     assert [r.doc_id for r in bad.collect()] == ["A"]
+
+
+def test_ingest_split_path_equals_default(spark):
+    """Huge-document path (units across tasks), forced by a low threshold,
+    gives the same registry, positions and chunks as the default path."""
+    from docsift.config import EngineConfig
+    from docsift.plans import fixtures
+
+    files = fixtures.files(spark, "/root/testdata/sf0.001")
+    a = ingest.ingest(files, None, vec.empty_vectors(spark), EngineConfig(dim=32), base=0)
+    b = ingest.ingest(files, None, vec.empty_vectors(spark), EngineConfig(dim=32, split_doc_chars=500), base=0)
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    assert key(a.registry_rows) == key(b.registry_rows)
+    assert key(a.vectors.select("pos", "doc_id")) == key(b.vectors.select("pos", "doc_id"))
+    assert key(a.chunks) == key(b.chunks)

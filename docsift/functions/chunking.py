@@ -217,13 +217,6 @@ def explode_chunks(df: DataFrame, chunks_col: str, keep: list[str]) -> DataFrame
     )
 
 
-def chunk(df: DataFrame, text_col: str, keep: list[str], size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
-          separators=SEPARATORS) -> DataFrame:
-    """F13 as a job: documents -> chunk rows."""
-    with_chunks = df.withColumn("_chunks", chunk_array(text_col, size, overlap, separators))
-    return explode_chunks(with_chunks, "_chunks", keep)
-
-
 UNIT_TYPE = T.ArrayType(
     T.StructType(
         [
@@ -350,3 +343,6 @@ def chunk_rows(df: DataFrame, text_col: str, keep: list[str], size: int = CHUNK_
     chunks, units = chunk_or_units(text_col, size, overlap, separators, split_chars)
     staged = materialize(df.select(*keep, chunks.alias("chunks"), units.alias("units")), "chunk-staging")
     return rows_from_staged(staged, keep, size=size, overlap=overlap, separators=separators)
+
+
+chunk = chunk_rows  # F13 as a job

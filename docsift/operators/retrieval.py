@@ -51,6 +51,6 @@ def retrieve(
 ) -> DataFrame:
     """(query_id, rank, id, title, file_path)."""
     k = k or cfg.retrieve_k
-    hits = search.knn(vectors, queries, k, cfg, dim=dim)
-    n_q = queries.select("query_id").count()  # prunes the vectors: cheap
-    return attach_metadata(distinct_hit_documents(hits), registry, n_q * k, cfg)
+    info: dict = {}
+    hits = search.knn(vectors, queries, k, cfg, dim=dim, info=info)
+    return attach_metadata(distinct_hit_documents(hits), registry, info["n_queries"] * k, cfg)

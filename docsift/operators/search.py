@@ -132,6 +132,7 @@ def knn(
     *,
     dim: int | None = None,
     pad: bool = False,
+    info: dict | None = None,
 ) -> DataFrame:
     """Exact top-k by squared L2.
 
@@ -139,6 +140,7 @@ def knn(
     queries: (query_id bigint, embedding array<float|double>)
     returns: (query_id, rank, pos, doc_id, dist); with ``pad`` every query
     gets ranks 1..k and missing slots carry pos -1, doc_id NULL (K2).
+    ``info``, when given, receives the number of searchable queries.
     """
     k = k or cfg.top_k
     spark = vectors.sparkSession
@@ -150,6 +152,8 @@ def knn(
     # column (a computed embedding is not evaluated); the width is read from
     # one row when not given
     n_q = q.select("query_id").count()
+    if info is not None:
+        info["n_queries"] = n_q  # callers bound their own broadcasts with it
     if dim is None and n_q > 0:
         dim = int(q.select(F.size("embedding").alias("w")).first()["w"])
     d = dim or cfg.dim

@@ -111,3 +111,13 @@ def test_cli_ingest_and_ask(spark, capsys):
     assert "Here are the available documents:" in out
     assert "[retrieve] explain the golden key in the lock" in out
     assert "1. Golden keys" in out
+
+
+def test_cli_list_on_empty_store(spark, capsys):
+    from docsift.__main__ import main
+
+    store = tempfile.mkdtemp(prefix="docsift-cli-empty-")
+    main(["ask", store, "  SHOW DOCUMENTS  ", "what is this"])
+    out = capsys.readouterr().out
+    assert "[list]   SHOW DOCUMENTS  " in out and "No documents found in the database." in out
+    assert "[converse] what is this" in out

@@ -53,3 +53,25 @@ def test_entry_smoke(spark):
     df = entry(spark)
     assert df.columns == ["query_id", "rank", "id", "title", "file_path"]
     assert df.count() > 0
+
+
+def test_entry_from_another_directory(tmp_path):
+    """The driver may import the entry module from anywhere: the package is
+    found and shipped to the Python workers without the repo as cwd."""
+    import os
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        "import importlib.util\n"
+        f"spec = importlib.util.spec_from_file_location('e', {os.path.join(repo, '__spark_entry__.py')!r})\n"
+        "e = importlib.util.module_from_spec(spec); spec.loader.exec_module(e)\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "print('ROWS', e.entry(s).count())\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True,
+                         timeout=600)
+    assert "ROWS " in out.stdout and int(out.stdout.split("ROWS ")[1].split()[0]) > 0, out.stderr[-2000:]

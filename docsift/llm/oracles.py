@@ -2,9 +2,45 @@
 
 from __future__ import annotations
 
+from docsift.llm import license_scan
+
 SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+
+
+def _license_scan() -> str:
+    """Base places by comparing every start, containment by every block."""
+    lists = lambda xs: "[" + ", ".join("'" + x + "'" for x in xs) + "]"
+    templates = license_scan.default_templates()
+    base = " UNION ALL ".join(
+        f"SELECT rid, '{t.label}' AS label, unnest(list_filter(range(len(w)), lambda i: "
+        f"w[i + 1:i + {len(t.words)}] = {lists(t.words)})) AS place FROM words"
+        for t in templates if t.phrase
+    )
+    notices = " UNION ALL ".join(
+        f"SELECT rid, '{t.label}' AS label, len(list_intersect(b, {lists(sorted(set(t.words)))}))::DOUBLE / {len(set(t.words))} AS share, "
+        f"len(list_intersect(b, {lists(sorted(set(t.words)))})) >= {t.need} AS found FROM blocks"
+        for t in templates if not t.phrase
+    )
+    return rf"""
+WITH words AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{license_scan.WORD}') AS w FROM documents
+), blocks AS MATERIALIZED (
+  SELECT rid, list_distinct(w[k * 64 + 1:k * 64 + 128]) AS b FROM (SELECT rid, w, unnest(range(greatest(1, (len(w) + 63) // 64))) AS k FROM words)
+), base AS MATERIALIZED ({base}), notices AS MATERIALIZED (SELECT * FROM ({notices}) WHERE found),
+base_of AS (
+  SELECT rid, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(label) AS ls FROM base GROUP BY rid
+), notice_of AS (SELECT rid, list(label) AS ls, max(share) AS score FROM notices GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  array_to_string(list_sort(list_distinct(coalesce(b.ls, []))), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(b.ls, []), coalesce(n.ls, [])))), ',') AS labels,
+  CASE WHEN b.rid IS NOT NULL THEN 1.0 ELSE coalesce(n.score, 0.0) END::DOUBLE AS score
+FROM words LEFT JOIN base_of b USING (rid) LEFT JOIN notice_of n USING (rid)
+"""
+
+
 EXACT_DEDUP = r"""
 WITH rows AS (
   SELECT doc_id, length(coalesce(text, '')) AS chars, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h
@@ -77,4 +113,4 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
 FROM ranked
 """
 
-ORACLES = {"op5_exact_dedup": EXACT_DEDUP, "op8_warc": WARC, "op7_line_dedup": LINE_DEDUP, "op10_mixing": MIXING}
+ORACLES = {"op1_license_scan": _license_scan(), "op5_exact_dedup": EXACT_DEDUP, "op8_warc": WARC, "op7_line_dedup": LINE_DEDUP, "op10_mixing": MIXING}

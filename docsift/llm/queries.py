@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsift.llm import exact_dedup, line_dedup, mixing, sharding, warc
+from docsift.llm import exact_dedup, license_scan, line_dedup, mixing, sharding, warc
 from docsift.llm.common import prepare, scratch_path, table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License labels of all documents."""
+    prepare(spark)
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 23, near equal in bytes, equal texts together."""
     prepare(spark)
@@ -51,4 +57,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op3_sharding, op5_exact_dedup, op7_line_dedup, op8_warc, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op3_sharding, op5_exact_dedup, op7_line_dedup, op8_warc, op10_mixing)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsift.llm import exact_dedup, license_scan, line_dedup, mixing, sharding, warc
+from docsift.llm import decontaminate, exact_dedup, license_scan, line_dedup, mixing, pii, sharding, simhash, toxicity, warc
 from docsift.llm.common import prepare, scratch_path, table
 
 
@@ -15,6 +15,15 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents; fold 0 by id is held out of the training."""
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", (toxicity.fold(docs["doc_id"]) == 0).alias("held_out"), toxicity.score_column(docs["text"], model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 23, near equal in bytes, equal texts together."""
     prepare(spark)
@@ -24,6 +33,13 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of all documents."""
+    prepare(spark)
+    rows = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the document that stays of its equal texts."""
     prepare(spark)
@@ -31,6 +47,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the numbers and dates of persons replaced by pseudonyms."""
+    prepare(spark)
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.DEFAULT_KEY).select("doc.doc_id", "text", "n_found", "kinds")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the lines that at least five documents hold."""
     prepare(spark)
@@ -50,6 +72,14 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that repeat benchmark items: a row per document and item."""
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = docs.select("doc_id", F.explode(decontaminate.benchmark_hits(docs, table(spark, sf_dir, "benchmark"))).alias("hit"))
+    return rows.select("doc_id", "hit.item_id", F.col("hit.start").alias("start_word"), "hit.similarity")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words each document gives to the mix of all sources."""
     prepare(spark)
@@ -57,4 +87,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op3_sharding, op5_exact_dedup, op7_line_dedup, op8_warc, op10_mixing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_license_scan, op2_toxicity, op3_sharding, op4_simhash, op5_exact_dedup, op6_pii, op7_line_dedup, op8_warc,
+        op9_decontamination, op10_mixing,
+    )
+}

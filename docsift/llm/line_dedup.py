@@ -61,8 +61,8 @@ def drop_repeated_lines(
     lines = materialize(hashed_lines(docs, id_col, text_col, min_chars), "lines")
     frequent = materialize(frequent_lines(lines, min_docs), "frequent-lines")
     hit = lines.join(broadcast_if_small(frequent), "line_hash").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    # As many rows as documents with drops: joined by a shuffle at every size.
     drops = hit.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("drops"))
-    drops = broadcast_if_small(materialize(drops, "line-drops"), max_rows=50_000)
     # The lines are split before the join, so that the pieces below refer to a column.
     text = text_or_empty(docs[f"`{text_col}`"])
     others = F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != text_col])

@@ -32,7 +32,11 @@ from pyspark.sql import functions as F
 from docsift.llm.common import materialize, scratch_path, text_or_empty
 from docsift.operators.sizing import broadcast_if_small
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; without preallocated files, of which every partition would have some.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Most digests whose group has several rows that are broadcast to find hits.
 MAX_BROADCAST_DIGESTS = 500_000
 
@@ -70,7 +74,8 @@ def stream_state(
     (digest, n, keep)."""
     session = spark.newSession()  # the state store provider is a setting of the session
     session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
-    session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    for name, value in STATE_STORE.items():
+        session.conf.set(name, value)
     table = session.read.parquet(path)
     reader = session.readStream.schema(table.schema).option("maxFilesPerTrigger", max_files_per_trigger)
     folder, _, name = path.rstrip("/").rpartition("/")

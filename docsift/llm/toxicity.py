@@ -152,7 +152,8 @@ def train(sample: DataFrame, max_features: int = MAX_FEATURES) -> Model:
         counts.unpersist()
         return Model(empty, np.zeros(0), float(np.log(0.5 / (n0 + 0.5))) if n0 else -1e9)
     share = lambda c, n: (F.col(c) + SMOOTHING) / F.lit(n + 2 * SMOOTHING)
-    ratio = counts.where("feature >= 0").select("feature", (F.col("n0") + F.col("n1")).alias("n"), F.log(share("n1", n1) / share("n0", n0)).alias("r"))
+    # Few partitions: each of them sends its best to the driver.
+    ratio = counts.where("feature >= 0").repartition(8, "feature").select("feature", (F.col("n0") + F.col("n1")).alias("n"), F.log(share("n1", n1) / share("n0", n0)).alias("r"))
     best = ratio.orderBy((F.abs("r") * F.sqrt("n")).desc(), "feature").limit(max_features).collect()
     counts.unpersist()
     numbers, scale = np.array([x.feature for x in best], dtype=np.int64), np.array([x.r for x in best])

@@ -302,12 +302,14 @@ def star_components(edges: DataFrame) -> DataFrame:
     """Edges (a, b) -> (node, root) for every node that has a smaller root."""
     step = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     step = materialize(step, "components")
+    # The minima are written, so that both sides of a join are plain shuffles,
+    # of which the hot partitions (hubs) are split at run time.
     while not _is_forest_of_stars(step):
         both = step.unionByName(step.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("low"))
+        least = materialize(both.groupBy("a").agg(F.min("b").alias("low")), "components")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "low").alias("b"))
         large = materialize(large.distinct(), "components")
-        least = large.groupBy("a").agg(F.min("b").alias("low"))
+        least = materialize(large.groupBy("a").agg(F.min("b").alias("low")), "components")
         small = large.join(least, "a")
         small = small.where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         step = materialize(small.unionByName(least.select("a", F.col("low").alias("b"))).distinct(), "components")

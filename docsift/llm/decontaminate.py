@@ -49,6 +49,7 @@ RADIUS = 7
 MAX_ITEMS = 50_000
 PIECE = 1 << 20
 SEGMENT = 1 << 15
+BATCH = 1 << 21
 HIT_TYPE = "array<struct<item_id:bigint,start:bigint,similarity:double>>"
 _HIT_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("similarity", pa.float64())]))
 _SEPARATOR = re.compile(rb"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
@@ -303,7 +304,14 @@ def _hit_column(text: Column, items: list[tuple[int, str]], radius: int, similar
     @F.arrow_udf(HIT_TYPE)
     def run(texts: pa.Array) -> pa.Array:
         index = _index(held, radius, similarity)
-        return pa.array(index.hits(texts.to_pylist()), _HIT_ARROW)
+        hits, held, size = [], [], 0
+        for text in texts:  # a few MB of text at a time
+            held.append(text.as_py())
+            size += len(held[-1])
+            if size >= BATCH:
+                hits += index.hits(held)
+                held, size = [], 0
+        return pa.array(hits + index.hits(held), _HIT_ARROW)
 
     return run(text)
 

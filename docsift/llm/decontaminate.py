@@ -304,14 +304,14 @@ def _hit_column(text: Column, items: list[tuple[int, str]], radius: int, similar
     @F.arrow_udf(HIT_TYPE)
     def run(texts: pa.Array) -> pa.Array:
         index = _index(held, radius, similarity)
-        hits, held, size = [], [], 0
+        hits, waiting, size = [], [], 0
         for text in texts:  # a few MB of text at a time
-            held.append(text.as_py())
-            size += len(held[-1])
+            waiting.append(text.as_py())
+            size += len(waiting[-1])
             if size >= BATCH:
-                hits += index.hits(held)
-                held, size = [], 0
-        return pa.array(hits + index.hits(held), _HIT_ARROW)
+                hits += index.hits(waiting)
+                waiting, size = [], 0
+        return pa.array(hits + index.hits(waiting), _HIT_ARROW)
 
     return run(text)
 

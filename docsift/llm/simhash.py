@@ -324,32 +324,43 @@ def _is_forest_of_stars(step: DataFrame) -> bool:
     return seen.where("up > 1 or (up = 1 and down = 1)").isEmpty()
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS,
-    max_group: int = MAX_GROUP,
-) -> DataFrame:
-    """One row per document: doc_id, fp (signed long), component_id (the
-    smallest id of the documents it is linked with)."""
-    fps = docs.select(docs[f"`{id_col}`"].alias("doc_id"), fingerprint_column(text_or_empty(docs[f"`{text_col}`"]), shingle).alias("fp"))
+def _members(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, max_group: int) -> DataFrame:
+    """(doc_id, text_hash, fp, component_id, root) of every document."""
+    text = text_or_empty(docs[f"`{text_col}`"])
+    fps = docs.select(
+        docs[f"`{id_col}`"].alias("doc_id"), F.xxhash64(text).alias("text_hash"), fingerprint_column(text, shingle).alias("fp")
+    )
     fps = materialize(fps, "fingerprints")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = star_components(materialize(links(nodes.select("fp"), radius, max_group), "links"))
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = materialize(rooted, "roots")
     component = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_node = rooted.join(component, "root").select("fp", "component_id")
-    return fps.join(of_node, "fp").select("doc_id", "fp", "component_id")
+    of_node = rooted.join(component, "root").select("fp", "component_id", "root")
+    return fps.join(of_node, "fp").select("doc_id", "text_hash", "fp", "component_id", "root")
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS,
+    max_group: int = MAX_GROUP,
+) -> DataFrame:
+    """One row per document: doc_id, fp (signed long), component_id (the
+    smallest id of the documents it is linked with)."""
+    return _members(docs, id_col, text_col, shingle, radius, max_group).select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The documents with the smallest id of their component; of rows that
-    repeat that id, and of components without any id, one row stays."""
-    found = materialize(near_duplicates(docs, id_col, text_col, shingle, radius), "near-duplicates")
-    leaves = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    leaves = broadcast_if_small(materialize(leaves, "leaves"))
-    kept = docs.join(leaves, docs[f"`{id_col}`"].eqNullSafe(leaves["doc_id"]), "left_anti")
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # Ids are unique as a rule; rows are only dealt by id where some repeat.
-    if stays.groupBy("doc_id").count().where("count > 1").isEmpty():
+    """One document of each component: that with the smallest id (rows without
+    an id last; of texts under one id, that with the smallest hash)."""
+    found = materialize(_members(docs, id_col, text_col, shingle, radius, MAX_GROUP), "near-duplicates")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    stays = found.groupBy("root").agg(F.min(order).alias("stays"))
+    found = found.join(stays, "root").withColumn("here", order.eqNullSafe(F.col("stays")))
+    leaves = materialize(found.where("not here").select("doc_id", "text_hash").distinct(), "leaves")
+    id_, hash_ = docs[f"`{id_col}`"], F.xxhash64(text_or_empty(docs[f"`{text_col}`"]))
+    leaves = broadcast_if_small(leaves)
+    kept = docs.join(leaves, id_.eqNullSafe(leaves["doc_id"]) & (hash_ == leaves["text_hash"]), "left_anti")
+    # Rows are only dealt out again where a kept one repeats as a whole.
+    if found.where("here").groupBy("root").count().where("count > 1").isEmpty():
         return kept
-    return kept.dropDuplicates([id_col])
+    return kept.dropDuplicates([id_col, text_col])

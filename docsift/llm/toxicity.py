@@ -79,7 +79,7 @@ class Model:
 
 
 def sigmoid(x: np.ndarray | float) -> np.ndarray | float:
-    return 1.0 / (1.0 + np.exp(-np.clip(x, -500, 500)))
+    return np.exp(-np.logaddexp(0.0, -x))
 
 
 def labelled_sample(

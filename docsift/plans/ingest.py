@@ -113,10 +113,10 @@ def ingest(
         )
     offsets = vec.document_offsets(per_doc, ["list_order", "doc_id"], "n", start).select("doc_id", "first_pos")
     # one row per new document: broadcast only when that count is checked
-    # small, else a shuffle join on doc_id (the vector side is never broadcast)
+    # small, else a shuffle join on doc_id
     if firsts.count() <= cfg.max_broadcast_rows:
         offsets = F.broadcast(offsets)
-    new_vectors = feats.hint("no_broadcast_hash").join(offsets, "doc_id").select(
+    new_vectors = feats.join(offsets, "doc_id").select(
         (F.col("first_pos") + F.col("chunk_no")).cast("bigint").alias("pos"),
         "doc_id",
         F.col("embedding").cast("array<float>").alias("embedding"),

@@ -38,13 +38,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint directory.
 
     On a cluster this is the shared folder named by ``spark.checkpoint.dir``;
-    it is only invented (under /tmp) when the session has none, as in tests."""
+    it is only invented (under /tmp) in a local session that has none, as in
+    tests; elsewhere a missing setting is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="docsift-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

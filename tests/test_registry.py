@@ -1,6 +1,7 @@
 """Registry semantics: create/read/delete (the reproduced tests' intent) and
 the M-rules of the document registry."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from docsift.operators import registry as reg
@@ -98,6 +99,28 @@ def test_document_offsets_distributed_prefix(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("reuse", ["true", "false"])
+def test_document_offsets_are_dense_beyond_the_range_sample(spark, reuse):
+    """More rows than a range partitioning samples, and a carried column, so
+    that the two branches differ; the result is written before it is checked."""
+    import tempfile
+
+    from pyspark.sql import Window
+
+    before = spark.conf.get("spark.sql.exchange.reuse")
+    spark.conf.set("spark.sql.exchange.reuse", reuse)
+    try:
+        df = spark.range(400_000).selectExpr("xxhash64(id) as o", "concat('d', id) as d", "1L as n")
+        path = tempfile.mkdtemp(prefix="docsift-offsets-")
+        vec.document_offsets(df, ["o"], "n", 0, carry=("d",)).write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", before)
+    got = spark.read.parquet(path)
+    want = df.select("d", (F.row_number().over(Window.orderBy("o")) - 1).alias("at"))
+    assert got.select("first_pos").distinct().count() == 400_000
+    assert got.join(want, "d").where("first_pos <> at").isEmpty()
+
+
 def test_checked_featurizer_path_rejects_bad_width(spark):
     """A featurizer without a declared fixed width goes through the checked
     path: documents with a wrong-width vector get no positions and no row."""

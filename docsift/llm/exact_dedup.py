@@ -116,8 +116,9 @@ def exact_groups(
         "dedup-hits",
     )
     retained = hits.where("retained").select("digest", F.col("norm").alias("content"))
-    collided = hits.join(retained, "digest").where(F.col("norm") != F.col("content")).select("digest").distinct()
-    collided = materialize(collided, "dedup-collided")
+    # Distinct only after the join is written: so a hot digest can be split in the join.
+    collided = hits.join(retained, "digest").where(F.col("norm") != F.col("content")).select("digest")
+    collided = materialize(collided, "dedup-collided").distinct()
     narrow = texts.select("doc_id", "chars", "file", "row", "digest")
     if collided.isEmpty():
         return _members(narrow.join(state, "digest"))

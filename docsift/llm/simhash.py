@@ -354,7 +354,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     an id last; of texts under one id, that with the smallest hash)."""
     found = materialize(_members(docs, id_col, text_col, shingle, radius, MAX_GROUP), "near-duplicates")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    stays = found.groupBy("root").agg(F.min(order).alias("stays"))
+    stays = materialize(found.groupBy("root").agg(F.min(order).alias("stays")), "near-duplicates-stay")
     found = found.join(stays, "root").withColumn("here", order.eqNullSafe(F.col("stays")))
     leaves = materialize(found.where("not here").select("doc_id", "text_hash").distinct(), "leaves")
     id_, hash_ = docs[f"`{id_col}`"], F.xxhash64(text_or_empty(docs[f"`{text_col}`"]))

@@ -1,22 +1,24 @@
 """Persistent registry and vector tables (S7, S9, P7, P8; M8-M12).
 
-Every table is parquet partitioned by ``batch`` (the ingest run or stream
-micro-batch that wrote it). Writes replace exactly their own partition
-(dynamic partition overwrite), so re-running a batch is idempotent; reads of
-batch N see only batches < N. Deletes and clears are small tombstone tables
-instead of rewrites of the large ones:
-
-  deletes(id, batch)   a registry row is hidden when its id was deleted in a
-                       later batch; vectors stay (orphans, M8) and a later
-                       re-ingest registers the id again (M10)
-  clears(batch)        every row of registry and vectors written in an
-                       earlier batch than the latest clear is hidden (M11);
-                       positions restart at 0
-  meta(next_pos)       first free position after each batch, so the next
-                       ingest needs no scan of the vectors
-
-Folders live where the caller says: on a cluster, a shared location (the
-session's ``spark.checkpoint.dir`` is the default for scratch stores).
+Every ingest, delete and clear takes one **operation number** from the store
+itself: the next one after all that were ever taken (``ops`` logs them, one
+row each). All tables are parquet folders ``<table>/op=<number>``; a write
+replaces exactly its own folder, also with no rows, and a reader at operation
+N sees only numbers below N. A stream's batch id is only a key into the log:
+a replayed batch finds its old number and overwrites its own output, however
+many deletes or clears came in between.
+
+  registry, vectors, rejected   rows written by ingests
+  deletes(id)     a registry row is hidden when its id was deleted by a later
+                  operation than the one that wrote it; vectors stay (orphans,
+                  M8) and a later ingest registers the id again (M10)
+  clears          rows of operations before the latest clear are hidden
+                  (M11); positions restart at 0
+  meta(next_pos)  first free position after each ingest, so the next ingest
+                  needs no scan of the vectors
+
+One writer at a time. Folders live where the caller says: on a cluster, a
+shared location (``spark.checkpoint.dir`` is the default for scratch stores).
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ REJECTED_SCHEMA = T.StructType([T.StructField("path", T.StringType()), T.StructF
 DELETES_SCHEMA = T.StructType([T.StructField("id", T.StringType())])
 CLEARS_SCHEMA = T.StructType([T.StructField("cleared", T.BooleanType())])
 META_SCHEMA = T.StructType([T.StructField("next_pos", T.LongType())])
+OPS_SCHEMA = T.StructType([T.StructField("kind", T.StringType()), T.StructField("batch_id", T.LongType())])
 
 
 class Store:
@@ -39,92 +42,112 @@ class Store:
         self.spark, self.root = spark, root.rstrip("/")
 
     # -- raw partitioned tables ---------------------------------------------
-    def _exists(self, path: str) -> bool:
-        """Existence through the Hadoop FileSystem of the path (any scheme)."""
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    def _fs(self, path: str):
+        """Hadoop FileSystem and Path of ``path`` (any scheme)."""
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
     def _raw(self, name: str, schema: T.StructType) -> DataFrame:
-        with_batch = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+        with_op = T.StructType([*schema.fields, T.StructField("op", T.LongType())])
         path = f"{self.root}/{name}"
-        if not self._exists(path):  # nothing written yet
-            return self.spark.createDataFrame([], with_batch)
-        return self.spark.read.schema(with_batch).parquet(path)
-
-    def write(self, name: str, df: DataFrame, batch_id: int) -> None:
-        (
-            df.withColumn("batch", F.lit(batch_id).cast("bigint"))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch")
-            .parquet(f"{self.root}/{name}")
-        )
+        fs, p = self._fs(path)
+        if not fs.exists(p):  # nothing written yet
+            return self.spark.createDataFrame([], with_op)
+        return self.spark.read.schema(with_op).parquet(path)
+
+    def write(self, name: str, df: DataFrame, op: int) -> None:
+        """Replace the rows operation ``op`` wrote to ``name``."""
+        df.write.mode("overwrite").parquet(f"{self.root}/{name}/op={op}")
+
+    # -- operation numbers ----------------------------------------------------
+    def _log(self, kind: str, batch_id: int | None = None) -> int:
+        last = self._raw("ops", OPS_SCHEMA).agg(F.max("op").alias("n")).first()["n"]
+        op = 0 if last is None else int(last) + 1
+        self.write("ops", self.spark.createDataFrame([(kind, batch_id)], OPS_SCHEMA).coalesce(1), op)
+        return op
+
+    def begin_ingest(self, batch_id: int | None = None) -> int:
+        """Operation number of an ingest. A ``batch_id`` seen before gives
+        the number it had then (a replay); None always gives a new one."""
+        if batch_id is not None:
+            seen = self._raw("ops", OPS_SCHEMA).where((F.col("kind") == "ingest") & (F.col("batch_id") == batch_id))
+            row = seen.agg(F.max("op").alias("n")).first()
+            if row["n"] is not None:
+                return int(row["n"])
+        return self._log("ingest", batch_id)
 
     def _last_clear(self, before: int | None) -> int:
-        """Latest clear at or before ``before`` (a clear in batch N empties
-        the state batch N itself starts from)."""
         c = self._raw("clears", CLEARS_SCHEMA)
         if before is not None:
-            c = c.where(F.col("batch") <= before)
-        row = c.agg(F.max("batch").alias("b")).first()
-        return -1 if row is None or row["b"] is None else int(row["b"])
+            c = c.where(F.col("op") < before)
+        row = c.agg(F.max("op").alias("n")).first()
+        return -1 if row["n"] is None else int(row["n"])
 
     def _visible(self, name: str, schema: T.StructType, before: int | None) -> DataFrame:
-        df = self._raw(name, schema).where(F.col("batch") >= self._last_clear(before))
-        if before is not None:
-            df = df.where(F.col("batch") < before)
-        return df
+        df = self._raw(name, schema).where(F.col("op") > self._last_clear(before))
+        return df if before is None else df.where(F.col("op") < before)
 
     # -- current state --------------------------------------------------------
     def registry(self, before: int | None = None) -> DataFrame:
         rows = self._visible("registry", reg.REGISTRY_SCHEMA, before)
-        dels = self._visible("deletes", DELETES_SCHEMA, before).select(
-            F.col("id").alias("_did"), F.col("batch").alias("_dbatch")
+        dels = self._visible("deletes", DELETES_SCHEMA, before).groupBy(F.col("id").alias("_did")).agg(
+            F.max("op").alias("_dop")
         )
-        # hidden when deleted by a later batch than the one that wrote it
-        cond = (rows["id"] == dels["_did"]) & (dels["_dbatch"] > rows["batch"])
-        return rows.join(dels, cond, "left_anti").drop("batch")
+        # hidden when deleted by a later operation than the one that wrote it
+        cond = (rows["id"] == dels["_did"]) & (dels["_dop"] > rows["op"])
+        return rows.join(dels, cond, "left_anti").drop("op")
 
     def vectors(self, before: int | None = None) -> DataFrame:
-        return self._visible("vectors", vec.VECTOR_SCHEMA, before).drop("batch")
+        return self._visible("vectors", vec.VECTOR_SCHEMA, before).drop("op")
 
     def rejected(self) -> DataFrame:
-        return self._raw("rejected", REJECTED_SCHEMA).drop("batch")
+        return self._raw("rejected", REJECTED_SCHEMA).drop("op")
 
     def next_position(self, before: int) -> int:
-        """First free position after the visible batches before ``before``."""
-        meta = self._visible("meta", META_SCHEMA, before)
-        row = meta.agg(F.max("next_pos").alias("n")).first()
-        return int(row["n"]) if row and row["n"] is not None else 0
+        """First free position after the visible operations before ``before``."""
+        row = self._visible("meta", META_SCHEMA, before).agg(F.max("next_pos").alias("n")).first()
+        return 0 if row["n"] is None else int(row["n"])
 
-    def batch_vectors(self, batch_id: int) -> DataFrame:
-        return self._raw("vectors", vec.VECTOR_SCHEMA).where(F.col("batch") == batch_id).drop("batch")
+    def op_vectors(self, op: int) -> DataFrame:
+        return self._raw("vectors", vec.VECTOR_SCHEMA).where(F.col("op") == op).drop("op")
 
     # -- mutations ------------------------------------------------------------
-    def delete(self, ids: DataFrame, batch_id: int, id_col: str = "id") -> None:
+    def delete(self, ids: DataFrame, id_col: str = "id") -> int:
         """Hide registry rows of ``ids``; vectors are kept (M8)."""
-        self.write("deletes", ids.select(F.col(id_col).alias("id")).where(F.col("id").isNotNull()), batch_id)
+        op = self._log("delete")
+        self.write("deletes", ids.select(F.col(id_col).alias("id")).where(F.col("id").isNotNull()), op)
+        return op
 
-    def clear(self, batch_id: int) -> None:
+    def clear(self) -> int:
         """Empty registry and vectors (positions restart at 0)."""
-        self.write("clears", self.spark.createDataFrame([(True,)], CLEARS_SCHEMA), batch_id)
+        op = self._log("clear")
+        self.write("clears", self.spark.createDataFrame([(True,)], CLEARS_SCHEMA).coalesce(1), op)
+        return op
 
     def width(self, before: int | None = None) -> int | None:
         """Width of the stored vectors (one row read), None when empty."""
         row = self.vectors(before).select(F.size("embedding").alias("w")).first()
         return None if row is None else int(row["w"])
 
-    def ensure_width(self, dim: int, batch_id: int) -> bool:
+    def ensure_width(self, dim: int) -> bool:
         """A store holding vectors of another width is cleared (a
         chosen deviation: the reproduced system kept a stale mapping)."""
-        w = self.width(before=batch_id)
+        w = self.width()
         if w is not None and w != dim:
-            self.clear(batch_id)
+            self.clear()
             return True
         return False
 
-    def record_batch(self, batch_id: int, base: int) -> None:
-        written = self.batch_vectors(batch_id)
-        stats = written.agg(F.coalesce(F.max("pos") + 1, F.lit(base)).cast("bigint").alias("next_pos"))
-        self.write("meta", stats, batch_id)
+    def record_ingest(self, op: int, base: int) -> None:
+        stats = self.op_vectors(op).agg(F.coalesce(F.max("pos") + 1, F.lit(base)).cast("bigint").alias("next_pos"))
+        self.write("meta", stats, op)
+
+    # -- staging ----------------------------------------------------------------
+    def staging(self, op: int) -> str:
+        return f"{self.root}/_staging/op={op}"
+
+    def drop_staging(self, op: int) -> None:
+        """Remove the staged chunks of a finished ingest."""
+        for path in (self.staging(op), f"{self.staging(op)}-features"):
+            fs, p = self._fs(path)
+            fs.delete(p, True)

@@ -1,13 +1,13 @@
 """Streaming jobs.
 
 T1 ``ingest_stream``: a file stream feeds ``foreachBatch``; each micro-batch
-runs the batch ingest job against the tables written by *earlier* batches
-and appends its output under ``batch=<id>``:
+runs the batch ingest job against the tables written by *earlier* operations
+and appends its output under its own operation number:
 
   * the stream checkpoint skips files already seen, the anti-join skips
     content already registered: both are needed;
-  * a replayed batch overwrites exactly its own partitions (dynamic
-    partition overwrite) and reads only earlier batches, so a replay never
+  * a replayed batch finds its operation number again, overwrites exactly
+    what it wrote and reads only earlier operations, so a replay never
     appends twice;
   * vectors are written first, registry rows last and only for documents
     whose vectors are on disk, so a crash between the two leaves no
@@ -42,21 +42,27 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def ingest_batch(store: Store, files: DataFrame, batch_id: int, cfg: EngineConfig = DEFAULT, featurizer=None) -> None:
-    """One micro-batch of T1 (also usable as a plain batch run): vectors
-    first, then the batch's next free position, registry rows last and only
-    for documents whose vectors are on disk."""
-    store.ensure_width(cfg.dim, batch_id)
-    base = store.next_position(before=batch_id)
+def ingest_batch(
+    store: Store, files: DataFrame, batch_id: int | None = None, cfg: EngineConfig = DEFAULT, featurizer=None
+) -> int:
+    """One micro-batch of T1 (without ``batch_id``: a plain batch run, never
+    a replay): vectors first, then the next free position, registry rows last
+    and only for documents whose vectors are on disk. Returns the operation
+    number."""
+    store.ensure_width(cfg.dim)
+    op = store.begin_ingest(batch_id)
+    base = store.next_position(before=op)
     res = ingest.ingest(
-        files, store.registry(before=batch_id), store.vectors(before=batch_id), cfg, featurizer, base=base,
-        staging_path=f"{store.root}/_staging/batch={batch_id}",
+        files, store.registry(before=op), store.vectors(before=op), cfg, featurizer, base=base,
+        staging_path=store.staging(op),
     )
-    store.write("vectors", res.vectors, batch_id)
-    store.record_batch(batch_id, base)
-    ids = store.batch_vectors(batch_id).select(F.col("doc_id").alias("id")).distinct()
-    store.write("registry", res.registry_rows.join(ids, "id", "left_semi"), batch_id)
-    store.write("rejected", res.rejected, batch_id)
+    store.write("vectors", res.vectors, op)
+    store.record_ingest(op, base)
+    ids = store.op_vectors(op).select(F.col("doc_id").alias("id")).distinct()
+    store.write("registry", res.registry_rows.join(ids, "id", "left_semi"), op)
+    store.write("rejected", res.rejected, op)
+    store.drop_staging(op)
+    return op
 
 
 def ingest_stream(

@@ -34,7 +34,7 @@ def test_delete_keeps_vectors_and_reingest_appends_again(spark):
     reg0 = {r.file_path: r.id for r in st.registry().collect()}
     n0 = st.vectors().count()
     a_id = reg0["kb/a.txt"]
-    st.delete(spark.createDataFrame([(a_id,)], "id string"), 1)
+    st.delete(spark.createDataFrame([(a_id,)], "id string"))
     assert sorted(r.file_path for r in st.registry().collect()) == ["kb/b.txt"]
     assert st.vectors().count() == n0  # M8: orphans stay
     # M9: a query equal to one of A's vectors now returns no A document
@@ -53,7 +53,7 @@ def test_delete_keeps_vectors_and_reingest_appends_again(spark):
 def test_clear_empties_everything_and_restarts_positions(spark):
     st = _store(spark)
     ingest_batch(st, _files(spark, DOCS), 0, CFG)
-    st.clear(1)
+    st.clear()
     assert st.registry().count() == 0 and st.vectors().count() == 0  # M11
     ingest_batch(st, _files(spark, DOCS[1:]), 2, CFG)
     assert [r.file_path for r in st.registry().collect()] == ["kb/b.txt"]
@@ -75,3 +75,54 @@ def test_replay_of_a_batch_is_idempotent(spark):
     snap = (sorted(tuple(r) for r in st.registry().collect()), sorted(r.pos for r in st.vectors().collect()))
     ingest_batch(st, _files(spark, DOCS[1:]), 1, CFG)  # crash after writing, batch re-run
     assert (sorted(tuple(r) for r in st.registry().collect()), sorted(r.pos for r in st.vectors().collect())) == snap
+
+
+def _ids(st):
+    return {r.file_path: r.id for r in st.registry().collect()}
+
+
+def _frame(spark, *ids):
+    return spark.createDataFrame([(i,) for i in ids], "id string")
+
+
+def test_delete_then_ingest_in_the_next_batch_brings_the_document_back(spark):
+    st = _store(spark)
+    ingest_batch(st, _files(spark, DOCS), 0, CFG)
+    a_id = _ids(st)["kb/a.txt"]
+    st.delete(_frame(spark, a_id))  # right after the batch that wrote it
+    assert set(_ids(st)) == {"kb/b.txt"}
+    ingest_batch(st, _files(spark, DOCS), 1, CFG)  # consecutive batch id, as a stream gives
+    assert set(_ids(st)) == {"kb/a.txt", "kb/b.txt"}
+
+
+def test_two_deletes_both_hold(spark):
+    st = _store(spark)
+    ingest_batch(st, _files(spark, DOCS), 0, CFG)
+    ids = _ids(st)
+    st.delete(_frame(spark, ids["kb/a.txt"]))
+    st.delete(_frame(spark, ids["kb/b.txt"], None, "unknown"))
+    assert _ids(st) == {}
+
+
+def test_replay_after_a_delete_does_not_revive_the_document(spark):
+    st = _store(spark)
+    ingest_batch(st, _files(spark, DOCS), 0, CFG)
+    n = st.vectors().count()
+    st.delete(_frame(spark, _ids(st)["kb/a.txt"]))
+    ingest_batch(st, _files(spark, DOCS), 0, CFG)  # replay of batch 0
+    assert set(_ids(st)) == {"kb/b.txt"} and st.vectors().count() == n
+
+
+def test_an_empty_replay_replaces_what_the_batch_wrote(spark):
+    st = _store(spark)
+    ingest_batch(st, _files(spark, DOCS), 0, CFG)
+    ingest_batch(st, _files(spark, DOCS).where("false"), 0, CFG)
+    assert _ids(st) == {} and st.vectors().count() == 0
+
+
+def test_staging_is_removed_after_the_ingest(spark):
+    import os
+
+    st = _store(spark)
+    op = ingest_batch(st, _files(spark, DOCS), 0, CFG)
+    assert not os.path.exists(st.staging(op)) and set(_ids(st)) == {"kb/a.txt", "kb/b.txt"}

@@ -154,8 +154,9 @@ def dedup_first_wins(spark, d):
 def incremental_ingest(spark, d):
     """All files arrive at a registry holding the even ones; only unseen
     content is added, deduplicated."""
-    good, _ = src.split_rejected(fxt.files(spark, d))
-    new = reg.insert_if_absent(ingest.identify(good, keep_text=False), fxt.registry0(spark, d))
+    mixed = fxt.mixed_files(spark, d)
+    good, _ = src.split_rejected(mixed)
+    new = reg.insert_if_absent(ingest.identify(good, keep_text=False), fxt.registry0(spark, d, mixed))
     return reg.registry_rows(new)
 
 
@@ -186,26 +187,17 @@ def registry_delete(spark, d):
     return reg.delete(fxt.registry(spark, d), fxt.deleted_ids(spark, d))
 
 
-def registry_clear(spark, d):
-    """Clear empties registry and vectors."""
-    r = fxt.registry(spark, d).where(F.lit(False))
-    v = fxt.vectors(spark, d).where(F.lit(False))
-    return r.agg(F.lit("registry").alias("tbl"), F.count(F.lit(1)).cast("bigint").alias("n_rows")).unionByName(
-        v.agg(F.lit("vectors").alias("tbl"), F.count(F.lit(1)).cast("bigint").alias("n_rows"))
-    )
-
-
 # -- sources ----------------------------------------------------------------
 
 def detect_format(spark, d):
     """S2 + F4."""
-    f = fxt.files(spark, d)
+    f = fxt.mixed_files(spark, d)
     return f.select("path", tx.file_extension("path").alias("ext"), tx.detect_format("path").alias("format"))
 
 
 def quarantine(spark, d):
     """Unsupported type, empty text, blank text."""
-    _, bad = src.split_rejected(fxt.files(spark, d))
+    _, bad = src.split_rejected(fxt.mixed_files(spark, d))
     return bad
 
 
@@ -267,9 +259,10 @@ def _prompts(spark, d, retrieved: DataFrame | None = None):
 
 
 def _kept(spark, d):
+    """The answers need hits and responses only, no prompt text."""
     r = _retrieved(spark, d)
-    hits = r.select("query_id", F.col("id").alias("doc_id"), "rank")
-    return ans.keep_informative(_prompts(spark, d, r), fxt.responses(spark, d, hits))
+    hits = r.select("query_id", F.col("id").alias("doc_id"), "rank", "file_path")
+    return ans.keep_informative(hits, fxt.responses(spark, d, hits))
 
 
 def prompts(spark, d):
@@ -306,8 +299,8 @@ def answer_queries(spark, d):
     hits = materialize(
         retrieval.retrieve(fxt.vectors(spark, d), fxt.registry(spark, d), qv, RETRIEVE_K, dim=width), "retrieved"
     )
-    p = ans.build_prompts(hits, q, fxt.files(spark, d))
-    kept = ans.keep_informative(p, fxt.responses(spark, d, hits.select("query_id", F.col("id").alias("doc_id"), "rank")))
+    keyed = hits.select("query_id", F.col("id").alias("doc_id"), "rank", "file_path")
+    kept = ans.keep_informative(keyed, fxt.responses(spark, d, keyed))
     formatted = ans.format_answers(kept, wanted)
     msg = ans.title_message(fxt.registry(spark, d))
     return ans.answer(routes, formatted, msg, fxt.converse_responses(spark, d))
@@ -345,8 +338,15 @@ def chunk_counts(spark, d):
 
 
 def chunk_features(spark, d):
-    """F13 + F14: hashed vectors of every chunk (sparse form)."""
-    return fx.sparse_features(_chunks(spark, d), ["doc_id", "chunk_no"], "chunk", DEFAULT.dim)
+    """F13 + F14 + F15: the dense vectors the ingest stores, non-zero entries."""
+    dense = fx.featurize(_chunks(spark, d), "chunk", DEFAULT.dim)
+    return nonzero_entries(dense, "doc_id", "chunk_no")
+
+
+def nonzero_entries(vectors: DataFrame, *keys: str) -> DataFrame:
+    """Dense vectors as (keys, bucket, weight), zeros left out."""
+    e = vectors.select(*keys, F.posexplode("embedding").alias("bucket", "weight")).where(F.col("weight") != 0)
+    return e.select(*keys, F.col("bucket").cast("bigint"), F.col("weight").cast("double"))
 
 
 def ingest_end_to_end(spark, d):
@@ -383,7 +383,6 @@ QUERIES: dict[str, Query] = {
     "registry_exists": registry_exists,
     "registry_lookup": registry_lookup,
     "registry_delete": registry_delete,
-    "registry_clear": registry_clear,
     "detect_format": detect_format,
     "quarantine": quarantine,
     "html_text_runs": html_text_runs,

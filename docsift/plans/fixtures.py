@@ -4,9 +4,11 @@ Every frame here reads whole tables; the modulo rules only *shape*
 scenarios (which files are unsupported, which ids are deleted, ...), they
 never cut work. The same derivations are written in SQL in ``oracles``.
 
-    files        path 'kb/<doc_id><ext>', ext by doc_id % 4: .txt .MD .pdf .docx
-                 listing order = doc_id; text '' when doc_id % 17 = 0 and
-                 ' \\n ' when doc_id % 19 = 0 (empty / blank files)
+    files        path 'kb/<doc_id><ext>', .txt for even and .MD for odd doc_id;
+                 listing order = doc_id; whole text
+    mixed files  ext by doc_id % 4: .txt .MD .pdf .docx; text '' when
+                 doc_id % 17 = 0 and ' \\n ' when doc_id % 19 = 0 (empty / blank
+                 files); for the queries about rejected files only
     registry     full ingest of files (dedup by content, first file wins)
     registry0    ingest of the files with even doc_id (already processed)
     vectors      embeddings: pos = vec_id, doc_id = md5(text of doc vec_id div 3)
@@ -34,7 +36,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def files_of(documents: DataFrame) -> DataFrame:
-    """documents rows -> (path, list_order, text) as files of a folder."""
+    """documents rows -> (path, list_order, text) as files of a folder: every
+    one supported, whole text."""
+    ext = F.when(F.col("doc_id") % 2 == 0, ".txt").otherwise(".MD")
+    return documents.select(
+        F.concat(F.lit("kb/"), F.col("doc_id").cast("string"), ext).alias("path"),
+        F.col("doc_id").alias("list_order"),
+        "text",
+    )
+
+
+def mixed_files_of(documents: DataFrame) -> DataFrame:
+    """The same folder with unsupported, empty and blank files among them."""
     m4 = F.col("doc_id") % 4
     ext = F.when(m4 == 0, ".txt").when(m4 == 1, ".MD").when(m4 == 2, ".pdf").otherwise(".docx")
     text = (
@@ -53,6 +66,10 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files_of(table(spark, sf_dir, "documents"))
 
 
+def mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_files_of(table(spark, sf_dir, "documents"))
+
+
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The same table as a file stream (the folder, filtered to its file)."""
     schema = table(spark, sf_dir, name).schema
@@ -70,8 +87,9 @@ def registry(spark: SparkSession, sf_dir: str, files_df: DataFrame | None = None
     return reg.registry_rows(docs)
 
 
-def registry0(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry(spark, sf_dir, files(spark, sf_dir).where(F.col("list_order") % 2 == 0))
+def registry0(spark: SparkSession, sf_dir: str, files_df: DataFrame | None = None) -> DataFrame:
+    f = files_df if files_df is not None else files(spark, sf_dir)
+    return registry(spark, sf_dir, f.where(F.col("list_order") % 2 == 0))
 
 
 def deleted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

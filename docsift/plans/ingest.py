@@ -5,8 +5,11 @@ Data flow and partitioning:
     files (path, list_order, text)
       -> reasons (S8)                      narrow
       -> id = md5(text), title             narrow
-      -> min_by(order) per id (A1)         partial agg: copies collapse map-side
-      -> left_anti registry on id (J1)     on the id partitioning of the agg
+      -> min_by(order) per id (A1)         partial agg, no text: copies collapse
+                                           map-side
+      -> left_anti registry on id (J1)     on the id partitioning of the agg;
+                                           written
+      -> texts of the winners              semi-join by path, broadcast when few
       -> chunk rows (F13)                  narrow; huge documents by units
                                            spread over tasks; written once
       -> document offsets (W2)             from per-document counts: narrow
@@ -27,6 +30,7 @@ from docsift.functions import chunking
 from docsift.functions import features as fx
 from docsift.functions import text as tx
 from docsift.operators import registry as reg
+from docsift.operators import sizing
 from docsift.operators import vectors as vec
 from docsift.session import materialize
 from docsift.sources import files as src
@@ -48,10 +52,22 @@ def identify(files: DataFrame, keep_text: bool = True) -> DataFrame:
 
 def new_documents(files: DataFrame, registry: DataFrame | None, keep_text: bool = True) -> tuple[DataFrame, DataFrame]:
     """Accepted, unseen, deduplicated documents and the rejected files
-    (``registry`` None: nothing registered yet). Without ``keep_text`` the
-    dedup shuffle carries only the narrow registry columns."""
+    (``registry`` None: nothing registered yet).
+
+    Dedup and the anti-join see the narrow (id, title, path, list_order)
+    columns only, and their result is written. With ``keep_text`` the texts of
+    the winners are then fetched by a semi-join on (path, list_order), which
+    names a file: with a checked small number of winners (a run that finds
+    little new) the files stream past a broadcast and no text is shuffled. A
+    file listed twice under one path and order gives one document."""
     good, bad = src.split_rejected(files)
-    docs = reg.insert_if_absent(identify(good, keep_text), registry, "list_order")
+    docs = reg.insert_if_absent(identify(good, keep_text=False), registry, "list_order")
+    if keep_text:
+        winners = materialize(docs, "new-documents")
+        texts = good.select("path", "list_order", "text").join(
+            sizing.broadcast_if_small(winners), ["path", "list_order"]
+        )
+        docs = texts.select("id", "title", "path", "list_order", "text")
     return docs, bad
 
 
@@ -129,12 +145,12 @@ def ingest(
     )
 
 
-def files_from_folder_batch(raw: DataFrame) -> DataFrame:
+def files_from_folder_batch(raw: DataFrame, md_to_html=None) -> DataFrame:
     """binaryFile rows -> (path, format, text, _utf8, list_order); listing
-    order is the path order."""
-    return src.decode_files(raw).withColumn("list_order", F.col("path"))
+    order is the path order. ``md_to_html``: see ``decode_files``."""
+    return src.decode_files(raw, md_to_html).withColumn("list_order", F.col("path"))
 
 
-def files_from_folder(spark, folder: str) -> DataFrame:
+def files_from_folder(spark, folder: str, md_to_html=None) -> DataFrame:
     """S1 -> (path, list_order, text, _utf8)."""
-    return files_from_folder_batch(src.read_folder(spark, folder))
+    return files_from_folder_batch(src.read_folder(spark, folder), md_to_html)

@@ -67,13 +67,21 @@ def ext(path: str) -> str:
 
 SUPPORTED = ", ".join(f"'{e}'" for e in SUPPORTED_EXTENSIONS)
 
-FILES = f"""
+CLEAN_FILES = """
+files AS (
+  SELECT 'kb/' || CAST(doc_id AS VARCHAR) || CASE WHEN doc_id % 2 = 0 THEN '.txt' ELSE '.MD' END AS path,
+         doc_id AS list_order, text
+  FROM documents),"""
+
+MIXED_FILES = f"""
 files AS (
   SELECT 'kb/' || CAST(doc_id AS VARCHAR) ||
          CASE doc_id % 4 WHEN 0 THEN '.txt' WHEN 1 THEN '.MD' WHEN 2 THEN '.pdf' ELSE '.docx' END AS path,
          doc_id AS list_order,
          CASE WHEN doc_id % 17 = 0 THEN '' WHEN doc_id % 19 = 0 THEN {lit(' ' + chr(10) + ' ')} ELSE text END AS text
-  FROM documents),
+  FROM documents),"""
+
+INGESTED = f"""
 classified AS (
   SELECT path, list_order, text,
          CASE WHEN {ext('path')} NOT IN ({SUPPORTED}) THEN 'Unsupported file type'
@@ -99,8 +107,8 @@ vec AS (
 qv AS (SELECT vec_id AS query_id, embedding FROM embeddings)"""
 
 
-def with_(*ctes: str, recursive: bool = False) -> str:
-    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join([FILES.strip(), *ctes])
+def with_(*ctes: str, recursive: bool = False, files: str = CLEAN_FILES) -> str:
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join([(files + INGESTED).strip(), *ctes])
 
 
 def dist(a: str, b: str) -> str:
@@ -226,7 +234,7 @@ WHERE doc_id IN (SELECT doc_id FROM vw GROUP BY doc_id HAVING bool_and(len(embed
     "content_ids": "SELECT doc_id, md5(text) AS id FROM documents",
     "titles": f"SELECT doc_id, {title('text')} AS title FROM documents",
     "dedup_first_wins": "SELECT md5(text) AS id, min(doc_id) AS first_doc_id, count(*) AS copies FROM documents GROUP BY 1",
-    "incremental_ingest": with_()
+    "incremental_ingest": with_(files=MIXED_FILES)
     + f"""
 SELECT id, arg_min(title, list_order) AS title, arg_min(path, list_order) AS file_path, '{STATUS_PROCESSED}' AS status
 FROM accepted WHERE id NOT IN (SELECT id FROM registry0) GROUP BY id""",
@@ -236,13 +244,12 @@ FROM accepted WHERE id NOT IN (SELECT id FROM registry0) GROUP BY id""",
     + "\nSELECT path, md5(text) AS id, md5(text) IN (SELECT id FROM registry0) AS processed FROM files",
     "registry_lookup": with_() + "\nSELECT id, title, file_path FROM registry WHERE id IN (SELECT doc_id FROM vec)",
     "registry_delete": with_() + "\nSELECT * FROM registry WHERE id NOT IN (SELECT id FROM deleted WHERE id IS NOT NULL)",
-    "registry_clear": "SELECT 'registry' AS tbl, CAST(0 AS BIGINT) AS n_rows UNION ALL SELECT 'vectors', CAST(0 AS BIGINT)",
-    "detect_format": with_()
+    "detect_format": with_(files=MIXED_FILES)
     + f"""
 SELECT path, {ext('path')} AS ext,
        CASE WHEN {ext('path')} IN ({SUPPORTED}) THEN substring({ext('path')}, 2) END AS format
 FROM files""",
-    "quarantine": with_() + "\nSELECT path, reason FROM classified WHERE reason IS NOT NULL",
+    "quarantine": with_(files=MIXED_FILES) + "\nSELECT path, reason FROM classified WHERE reason IS NOT NULL",
     "html_text_runs": "SELECT page_id, array_to_string(regexp_extract_all(html, '>[^<]+<'), '') AS text FROM pages",
     "html_runs_title": f"""
 SELECT page_id, md5(t) AS id, {title('t')} AS title
@@ -321,6 +328,57 @@ ORACLES["ingest_positions"] = (
     "       n AS n_vectors\nFROM cnt"
 )
 
+# the store: even files, two deletes, all files, (vectors) ; clear, odd files
+STORE = (
+    "cnt AS (SELECT doc_id AS id, count(*) AS n FROM sql_chunks GROUP BY doc_id),\n"
+    "evens AS (SELECT id, min(list_order) AS ord FROM accepted WHERE list_order % 2 = 0 GROUP BY id),\n"
+    "odds AS (SELECT id, min(list_order) AS ord FROM accepted WHERE list_order % 2 = 1 GROUP BY id),\n"
+    "alls AS (SELECT id, min(list_order) AS ord FROM accepted GROUP BY id),\n"
+    "gone AS (SELECT DISTINCT md5(text) AS id FROM files\n"
+    "  WHERE text IS NOT NULL AND (list_order % 5 = 0 OR list_order % 7 = 0)),\n"
+    "second AS (SELECT * FROM alls\n"
+    "  WHERE id NOT IN (SELECT id FROM evens WHERE id NOT IN (SELECT id FROM gone))),\n"
+    "loads AS (SELECT 1 AS load, id, ord FROM evens UNION ALL SELECT 2, id, ord FROM second)"
+)
+ORACLES["store_lifecycle"] = (
+    with_(CHUNKS, STORE, recursive=True)
+    + """
+SELECT 'after deletes' AS step, f.path AS file_path, e.id, c.n AS n_vectors
+FROM evens e JOIN cnt c ON c.id = e.id JOIN files f ON f.list_order = e.ord
+WHERE e.id NOT IN (SELECT id FROM gone)
+UNION ALL
+SELECT 'after second load', f.path, r.id, CAST(r.k * c.n AS BIGINT)
+FROM (SELECT l.id, arg_max(ord, load) AS ord, count(*) AS k FROM loads l GROUP BY l.id) r
+JOIN cnt c ON c.id = r.id JOIN files f ON f.list_order = r.ord
+UNION ALL
+SELECT 'after clear', NULL, NULL, CAST(0 AS BIGINT)
+UNION ALL
+SELECT 'after third load', f.path, o.id, c.n
+FROM odds o JOIN cnt c ON c.id = o.id JOIN files f ON f.list_order = o.ord"""
+)
+ORACLES["store_vectors"] = (
+    with_(
+        CHUNKS,
+        feature_ctes("c", "sql_chunks", ["doc_id", "chunk_no"], "chunk", str(DEFAULT.dim)),
+        STORE,
+        """placed AS (
+  SELECT s.doc_id, s.chunk_no, row_number() OVER (ORDER BY l.load, l.ord, l.id, s.chunk_no) - 1 AS pos
+  FROM loads l JOIN sql_chunks s ON s.doc_id = l.id)""",
+        recursive=True,
+    )
+    + """
+SELECT p.pos, p.doc_id, f.bucket, f.weight
+FROM placed p JOIN cfeat f ON f.doc_id = p.doc_id AND f.chunk_no = p.chunk_no"""
+)
+ORACLES["registry_clear"] = (
+    with_(CHUNKS, recursive=True)
+    + """
+SELECT 'before' AS step, 'registry' AS tbl, count(DISTINCT id) AS n_rows FROM accepted
+UNION ALL SELECT 'before', 'vectors', count(*) FROM sql_chunks
+UNION ALL SELECT 'after', 'registry', CAST(0 AS BIGINT)
+UNION ALL SELECT 'after', 'vectors', CAST(0 AS BIGINT)"""
+)
+
 ROUTES = f"""routes AS (
   SELECT query_id,
          CASE WHEN {strip('lower(text)')} IN ({", ".join(lit(p) for p in DEFAULT.list_phrases)}) THEN 'list'

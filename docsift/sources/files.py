@@ -11,7 +11,9 @@ zero-length files are not listed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsift.functions import text as tx
@@ -27,29 +29,20 @@ def read_folder(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def markdown_to_html(md) -> F.Column:
-    """Minimal Markdown rendering: blank-line separated paragraphs become
-    ``<p>`` blocks joined by newlines; inline markup is not interpreted.
-    (A full Markdown renderer is not available; plug a better one here.)"""
-    c = F.col(md) if isinstance(md, str) else md
-    paras = F.filter(F.split(F.regexp_replace(c, r"^\n+|\n+$", ""), r"\n\s*\n"), lambda p: F.length(p) > 0)
-    return F.array_join(F.transform(paras, lambda p: F.concat(F.lit("<p>"), p, F.lit("</p>"))), "\n")
-
-
-def decode_files(raw: DataFrame) -> DataFrame:
+def decode_files(raw: DataFrame, md_to_html: Callable[[Column], Column] | None = None) -> DataFrame:
     """S2+S3+S4: (path, format, text) with text NULL when undecodable.
 
     Strict UTF-8 (``is_valid_utf8`` guard instead of a failing decode), CRLF
-    and CR folded to LF, BOM kept. Markdown goes through the renderer and the
-    tag-run extraction; PDF bytes cannot be parsed here (text NULL), PDF
-    text enters through ``concat_pages`` instead."""
+    and CR folded to LF, BOM kept. Markdown goes through ``md_to_html``, the
+    caller's renderer, and the tag-run extraction; without a renderer its
+    text is NULL. PDF bytes cannot be parsed here (text NULL), PDF text
+    enters through ``concat_pages`` instead."""
     fmt = tx.detect_format("path")
     valid = F.expr("is_valid_utf8(content)")
     decoded = tx.fold_newlines(F.when(valid, F.col("content").cast("string")))
-    text = (
-        F.when(fmt == "txt", decoded)
-        .when(fmt == "md", tx.html_text_runs(markdown_to_html(decoded)))
-    )
+    text = F.when(fmt == "txt", decoded)
+    if md_to_html is not None:
+        text = text.when(fmt == "md", tx.html_text_runs(md_to_html(decoded)))
     return raw.select("path", fmt.alias("format"), text.alias("text"), valid.alias("_utf8"))
 
 
@@ -64,6 +57,7 @@ def reject_reasons(files: DataFrame) -> F.Column:
         reason = reason.when(~F.col("_utf8"), F.lit("invalid UTF-8"))
     if "format" in files.columns:
         reason = reason.when(F.col("text").isNull() & (fmt == "pdf"), F.lit("PDF parsing not available"))
+        reason = reason.when(F.col("text").isNull() & (fmt == "md"), F.lit("no Markdown renderer given"))
     return (
         reason.when(F.col("text").isNull(), F.lit("no text"))
         .when(F.col("text") == "", F.lit("empty text"))

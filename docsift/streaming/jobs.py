@@ -34,7 +34,8 @@ from docsift.operators import answers as ans
 from docsift.operators import retrieval
 from docsift.plans import fixtures as fxt
 from docsift.plans import ingest
-from docsift.session import ensure_checkpoint_dir
+from docsift.plans.catalog import nonzero_entries
+from docsift.session import ensure_checkpoint_dir, materialize
 from docsift.sources.store import Store
 
 
@@ -176,4 +177,80 @@ def stream_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{root}/out/routes").select("query_id", "route")
 
 
-QUERIES = {"stream_ingest": stream_ingest, "stream_routing": stream_routing}
+def _loaded_store(spark: SparkSession, sf_dir: str) -> tuple[Store, DataFrame]:
+    """A store after: even files, two deletes (list order by 5, then by 7)."""
+    store = Store(spark, f"{_scratch(spark, 'store')}/store")
+    files = fxt.files(spark, sf_dir)
+    ingest_batch(store, files.where(F.col("list_order") % 2 == 0), 0)
+    for every in (5, 7):
+        store.delete(files.where(F.col("list_order") % every == 0).select(F.md5("text").alias("id")))
+    return store, files
+
+
+def _documents_of(store: Store, step: str) -> DataFrame:
+    per_doc = store.vectors().groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).cast("bigint").alias("n_vectors"))
+    rows = store.registry().join(per_doc, "id").select(F.lit(step).alias("step"), "file_path", "id", "n_vectors")
+    return materialize(rows, "store-state")
+
+
+def store_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S7, P7, P8, U1, M8-M11 on the persisted tables: ingest, two deletes,
+    all files in the next batch, clear, ingest. Registered documents and their
+    stored vectors after each step (after the clear: one row with the number of
+    rows left in both tables)."""
+    store, files = _loaded_store(spark, sf_dir)
+    states = [_documents_of(store, "after deletes")]
+    ingest_batch(store, files, 1)
+    states.append(_documents_of(store, "after second load"))
+    store.clear()
+    left = store.registry().select("id").unionByName(store.vectors().select(F.col("doc_id").alias("id")))
+    none = F.lit(None).cast("string")
+    states.append(
+        materialize(
+            left.agg(F.count(F.lit(1)).cast("bigint").alias("n_vectors")).select(
+                F.lit("after clear").alias("step"), none.alias("file_path"), none.alias("id"), "n_vectors"
+            ),
+            "store-state",
+        )
+    )
+    ingest_batch(store, files.where(F.col("list_order") % 2 == 1), 2)
+    states.append(_documents_of(store, "after third load"))
+    out = states[0]
+    for s in states[1:]:
+        out = out.unionByName(s)
+    return out
+
+
+def store_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S9 + U1: stored vectors read back after two ingests with deletes between
+    them, as non-zero entries (pos, doc_id, bucket, weight)."""
+    store, files = _loaded_store(spark, sf_dir)
+    ingest_batch(store, files, 1)
+    return nonzero_entries(store.vectors(), "pos", "doc_id")
+
+
+def registry_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the stored registry and vectors before and after a
+    clear."""
+    store = Store(spark, f"{_scratch(spark, 'store')}/store")
+    ingest_batch(store, fxt.files(spark, sf_dir))
+    sizes = []
+    for step in ("before", "after"):
+        if step == "after":
+            store.clear()
+        for tbl, df in (("registry", store.registry()), ("vectors", store.vectors())):
+            n = df.agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"))
+            sizes.append(n.select(F.lit(step).alias("step"), F.lit(tbl).alias("tbl"), "n_rows"))
+    out = sizes[0]
+    for s in sizes[1:]:
+        out = out.unionByName(s)
+    return out
+
+
+QUERIES = {
+    "stream_ingest": stream_ingest,
+    "stream_routing": stream_routing,
+    "store_lifecycle": store_lifecycle,
+    "store_vectors": store_vectors,
+    "registry_clear": registry_clear,
+}

@@ -4,6 +4,7 @@ import os
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from docsift.functions import text as tx
 from docsift.operators import registry as reg
@@ -36,7 +37,7 @@ def folder():
 
 
 def test_folder_ingest_edge_files(spark, folder):
-    files = ingest.files_from_folder(spark, folder)
+    files = ingest.files_from_folder(spark, folder, lambda c: F.concat(F.lit("<h1>"), c, F.lit("</h1>")))
     res = ingest.ingest(files, reg.empty_registry(spark), vec.empty_vectors(spark), base=0)
     names = lambda p: p.rsplit("/", 1)[-1]
     reasons = {names(r.path): r.reason for r in res.rejected.collect()}
@@ -51,6 +52,13 @@ def test_folder_ingest_edge_files(spark, folder):
     assert rows["note.md"].title == ">Heading para"  # tag runs keep their brackets
 
 
+def test_markdown_without_renderer_is_quarantined(spark, folder):
+    res = ingest.new_documents(ingest.files_from_folder(spark, folder), None, keep_text=False)
+    reasons = {r.path.rsplit("/", 1)[-1]: r.reason for r in res[1].collect()}
+    assert reasons["note.md"] == "no Markdown renderer given"
+    assert all(not r.path.endswith(".md") for r in res[0].collect())
+
+
 def test_title_and_strip_follow_python():
     samples = ["  Title 　\nx", "\nstarts with break", "a\rb", "x y", " pad ", "tab\tin\vvt"]
     from pyspark.sql import SparkSession

@@ -78,7 +78,7 @@ def test_folder_stream_skips_seen_files_and_seen_content(spark):
     def run():
         return jobs.ingest_stream(
             spark, jobs.folder_stream(spark, src), f"{root}/store", f"{root}/ckpt",
-            lambda b: ingest.files_from_folder_batch(b),
+            lambda b: ingest.files_from_folder_batch(b, lambda c: F.concat(F.lit("<p>"), c, F.lit("</p>"))),
         )
 
     put("one.txt", "First doc\n" + "alpha " * 80)

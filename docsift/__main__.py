@@ -3,6 +3,8 @@
     python -m docsift ingest FOLDER STORE      # re-runnable (T1 + C1)
     python -m docsift ask STORE QUESTION...    # routes (F12) + top-3 (C2)
     python -m docsift list STORE               # registered documents (P1)
+    python -m docsift delete STORE ID...       # unregister documents (P7)
+    python -m docsift clear STORE              # empty the store (P8)
 
 The store is a folder of parquet tables (``sources/store.py``); the ingest
 checkpoint lives inside it, so re-running skips files already read and
@@ -29,6 +31,13 @@ def _session() -> SparkSession:
     return spark
 
 
+def _print_registry(store) -> None:
+    """One line per document, a partition at a time (the registry is never
+    collected whole)."""
+    for r in store.registry().select("id", "title", "file_path").toLocalIterator():
+        print(f"{r.id}\t{r.title}\t{r.file_path}")
+
+
 def ingest_cmd(folder: str, store_root: str) -> None:
     from docsift.plans import ingest
     from docsift.streaming import jobs
@@ -38,8 +47,7 @@ def ingest_cmd(folder: str, store_root: str) -> None:
         spark, jobs.folder_stream(spark, folder), store_root, os.path.join(store_root, "_checkpoint"),
         ingest.files_from_folder_batch,
     )
-    for r in store.registry().select("id", "title", "file_path").collect():  # the listing, as printed after ingest
-        print(f"{r.id}\t{r.title}\t{r.file_path}")
+    _print_registry(store)  # the listing, as printed after ingest
 
 
 def ask_cmd(store_root: str, questions: list[str]) -> None:
@@ -58,12 +66,11 @@ def ask_cmd(store_root: str, questions: list[str]) -> None:
     by_q: dict[int, list] = {}
     for r in hits.orderBy("query_id", "rank").collect():
         by_q.setdefault(r.query_id, []).append(r)
-    listing = None
     for i, text in enumerate(questions):
         print(f"[{routes[i]}] {text}")
         if routes[i] == "list":
-            listing = listing or ans.title_message(store.registry()).first()["message"]
-            print(listing)
+            for r in ans.title_message_lines(store.registry()).orderBy("line_no").toLocalIterator():
+                print(r.line)
         elif routes[i] == "retrieve":
             for r in by_q.get(i, []):
                 print(f"  {r.rank}. {r.title} ({r.file_path}, {r.id})")
@@ -78,8 +85,11 @@ def main(argv: list[str] | None = None) -> int:
     b = sub.add_parser("ask")
     b.add_argument("store")
     b.add_argument("questions", nargs="+")
-    c = sub.add_parser("list")
-    c.add_argument("store")
+    for name in ("list", "clear", "delete"):
+        c = sub.add_parser(name)
+        c.add_argument("store")
+        if name == "delete":
+            c.add_argument("ids", nargs="+")
     args = p.parse_args(argv)
     if args.cmd == "ingest":
         ingest_cmd(args.folder, args.store)
@@ -88,8 +98,14 @@ def main(argv: list[str] | None = None) -> int:
     else:
         from docsift.sources.store import Store
 
-        for r in Store(_session(), args.store).registry().select("id", "title", "file_path").collect():
-            print(f"{r.id}\t{r.title}\t{r.file_path}")
+        spark = _session()
+        store = Store(spark, args.store)
+        if args.cmd == "delete":
+            store.delete(spark.createDataFrame([(i,) for i in args.ids], "id string"))
+        elif args.cmd == "clear":
+            store.clear()
+        else:
+            _print_registry(store)
     return 0
 
 

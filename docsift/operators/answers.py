@@ -25,6 +25,8 @@ from docsift.functions import text as tx
 from docsift.operators import vectors as vec
 from docsift.sources import files as src
 
+TITLE_LISTING = "titles"  # the one listing that 'list' replies refer to
+
 
 def prompt_text(content, query) -> Column:
     """F8: the prompt around a content prefix and the question."""
@@ -95,8 +97,8 @@ def title_message_lines(registry: DataFrame) -> DataFrame:
     file path; the fixed sentence alone when the registry is empty.
 
     Line numbers come from the distributed prefix sum, so listing a large
-    registry never funnels through one task. ``title_message`` joins the
-    lines into the single reply string for small registries."""
+    registry never funnels through one task. The reply is the lines in
+    ``line_no`` order."""
     titled = registry.select("file_path", "id", "title", F.lit(1).cast("bigint").alias("_one"))
     numbered = vec.document_offsets(titled, ["file_path", "id"], "_one", 1, carry=("title",))
     lines = numbered.select(F.col("first_pos").alias("line_no"), F.col("title").alias("line"))
@@ -108,30 +110,21 @@ def title_message_lines(registry: DataFrame) -> DataFrame:
     return header.unionByName(lines)
 
 
-def title_message(registry: DataFrame) -> DataFrame:
-    """F11 as one string (small registries; the reply is one value)."""
-    return title_message_lines(registry).agg(
-        F.expr("listagg(line, '\\n') WITHIN GROUP (ORDER BY line_no)").alias("message")
-    )
-
-
-def answer(routes: DataFrame, retrieved_answers: DataFrame, titles_message: DataFrame, converse: DataFrame) -> DataFrame:
-    """One reply per question by its route.
+def answer(routes: DataFrame, retrieved_answers: DataFrame, converse: DataFrame) -> DataFrame:
+    """One reply per question by its route: (query_id, route, answer,
+    listing).
 
     routes (query_id, route); retrieved_answers (query_id, answer) for the
-    'retrieve' questions; titles_message: one row (message); converse
-    (query_id, response) from the model, NULL when the call failed (the
-    apology then, F16). The single message row is attached by an equi-join
-    on the route value, so no cross product is formed."""
-    msg = titles_message.select(F.lit("list").alias("route"), F.col("message").alias("_list"))
-    out = (
-        routes.join(msg, "route", "left")
-        .join(retrieved_answers.select("query_id", F.col("answer").alias("_ret")), "query_id", "left")
-        .join(converse.select("query_id", F.col("response").alias("_conv")), "query_id", "left")
+    'retrieve' questions; converse (query_id, response) from the model, NULL
+    when the call failed (the apology then, F16). All 'list' questions have
+    one and the same reply, as long as the registry: they carry its name in
+    ``listing`` (NULL otherwise) and no answer of their own; its lines are
+    ``title_message_lines``. Every join is on the query."""
+    out = routes.join(retrieved_answers.select("query_id", F.col("answer").alias("_ret")), "query_id", "left").join(
+        converse.select("query_id", F.col("response").alias("_conv")), "query_id", "left"
     )
-    reply = (
-        F.when(F.col("route") == "list", F.col("_list"))
-        .when(F.col("route") == "retrieve", F.coalesce(F.col("_ret"), F.lit(NO_RELEVANT_ANSWER)))
-        .otherwise(F.coalesce(F.col("_conv"), F.lit(APOLOGY)))
+    reply = F.when(F.col("route") == "retrieve", F.coalesce(F.col("_ret"), F.lit(NO_RELEVANT_ANSWER))).when(
+        F.col("route") == "converse", F.coalesce(F.col("_conv"), F.lit(APOLOGY))
     )
-    return out.select("query_id", "route", reply.alias("answer"))
+    listing = F.when(F.col("route") == "list", F.lit(TITLE_LISTING))
+    return out.select("query_id", "route", reply.alias("answer"), listing.alias("listing"))

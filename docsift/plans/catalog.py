@@ -290,7 +290,8 @@ def format_answers(spark, d):
 
 def answer_queries(spark, d):
     """Route every question, retrieve and format only for the
-    'retrieve' ones, list titles for 'list', model answer for 'converse'."""
+    'retrieve' ones, name the listing (``title_message``) for 'list', model
+    answer for 'converse'."""
     q = fxt.questions(spark, d)
     routes = materialize(ans.route(q, keywords=fxt.FIXTURE_KEYWORDS), "routes")
     wanted = q.join(routes.where(F.col("route") == "retrieve"), "query_id", "left_semi")
@@ -302,8 +303,7 @@ def answer_queries(spark, d):
     keyed = hits.select("query_id", F.col("id").alias("doc_id"), "rank", "file_path")
     kept = ans.keep_informative(keyed, fxt.responses(spark, d, keyed))
     formatted = ans.format_answers(kept, wanted)
-    msg = ans.title_message(fxt.registry(spark, d))
-    return ans.answer(routes, formatted, msg, fxt.converse_responses(spark, d))
+    return ans.answer(routes, formatted, fxt.converse_responses(spark, d))
 
 
 def route_queries(spark, d):

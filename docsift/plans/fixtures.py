@@ -113,7 +113,12 @@ def embedding_width(spark: SparkSession, sf_dir: str) -> int:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    return questions_of(table(spark, sf_dir, "conversations"))
+
+
+def questions_of(conversations: DataFrame) -> DataFrame:
+    """conversations rows (batch or stream) -> the questions among them."""
+    c = conversations.where(F.col("role") == "user")
     listing = (F.col("conv_id") % 10 == 0) & (F.col("turn") <= 1)
     return c.select(
         (F.col("conv_id") * 100 + F.col("turn")).cast("bigint").alias("query_id"),

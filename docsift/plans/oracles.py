@@ -25,6 +25,7 @@ from docsift.config import (
 )
 from docsift.functions.features import TOKEN_PATTERN
 from docsift.functions.text import NON_WHITESPACE
+from docsift.operators.answers import TITLE_LISTING
 from docsift.plans.catalog import PADDED_K, RETRIEVE_K, SEARCH_K
 from docsift.plans.fixtures import FIXTURE_KEYWORDS, LIST_REQUEST
 from docsift.plans.oracle_chunks import chunk_ctes
@@ -394,16 +395,16 @@ ORACLES["answer_queries"] = with_(
          string_agg({fill(ANSWER_TEMPLATE, doc_id="doc_id", file_path="file_path", response="response")},
                     {lit(chr(10) + chr(10))} ORDER BY rank) AS answer
   FROM kept GROUP BY query_id)""",
-    f"""msg AS (
-  SELECT CASE WHEN count(*) = 0 THEN {lit(NO_DOCUMENTS_MESSAGE)}
-              ELSE {lit(TITLES_HEADER)} || string_agg(title, chr(10) ORDER BY file_path, id) END AS message
-  FROM registry)""",
     """conv AS (
   SELECT conv_id * 100 + turn - 1 AS query_id, CASE WHEN conv_id % 13 = 0 THEN NULL ELSE text END AS response
   FROM conversations WHERE role = 'assistant')""",
 ) + f"""
 SELECT r.query_id, r.route,
-       CASE r.route WHEN 'list' THEN (SELECT message FROM msg)
-                    WHEN 'retrieve' THEN coalesce(f.answer, {lit(NO_RELEVANT_ANSWER)})
-                    ELSE coalesce(c.response, {lit(APOLOGY)}) END AS answer
+       CASE r.route WHEN 'retrieve' THEN coalesce(f.answer, {lit(NO_RELEVANT_ANSWER)})
+                    WHEN 'converse' THEN coalesce(c.response, {lit(APOLOGY)}) END AS answer,
+       CASE r.route WHEN 'list' THEN '{TITLE_LISTING}' END AS listing
 FROM routes r LEFT JOIN formatted f ON f.query_id = r.query_id LEFT JOIN conv c ON c.query_id = r.query_id"""
+ORACLES["stream_answers"] = ORACLES["answer_queries"]
+ORACLES["stream_retrieved"] = with_(
+    QUESTIONS, ROUTES, QFEAT, hits_cte("qhits", "qdense", "vec", RETRIEVE_K), retrieved_cte("qret", "qhits", "registry")
+) + "\nSELECT * FROM qret WHERE query_id IN (SELECT query_id FROM routes WHERE route = 'retrieve')"

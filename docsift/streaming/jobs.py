@@ -13,9 +13,8 @@ and appends its output under its own operation number:
     whose vectors are on disk, so a crash between the two leaves no
     registered document without vectors.
 
-T2 ``route_stream``: arriving questions are routed (stateless); questions
-routed to retrieval are answered against a snapshot of the index taken when
-the batch runs (the index is read once per batch, metadata live).
+T2 ``answer_stream``: arriving questions are routed and answered; retrieval
+uses the index as it was when the stream started, metadata is live.
 
 Folders default to subfolders of the session's checkpoint directory, the
 shared location a cluster names in ``spark.checkpoint.dir``.
@@ -30,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docsift.config import DEFAULT, EngineConfig
+from docsift.functions import features as fx
 from docsift.operators import answers as ans
 from docsift.operators import retrieval
 from docsift.plans import fixtures as fxt
@@ -108,35 +108,59 @@ def folder_stream(spark: SparkSession, folder: str, max_files_per_trigger: int =
     )
 
 
-def route_stream(
+def answer_stream(
     spark: SparkSession,
     questions: DataFrame,
     vectors: DataFrame,
-    registry: DataFrame,
+    registry,
     out_root: str,
     checkpoint: str,
     embed,
+    respond,
+    converse,
+    files: DataFrame | None = None,
     cfg: EngineConfig = DEFAULT,
     keywords=None,
+    dim: int | None = None,
 ):
-    """Route every arriving question; retrieve for the 'retrieve' ones.
+    """Every arriving question (query_id, text) is routed and answered.
+
     ``embed`` maps a question frame to (query_id, embedding). The index is
     the ``vectors`` frame given at start (its file listing is fixed then);
     ``registry`` may be a callable, re-read for every micro-batch, so
-    metadata is live (M17)."""
-    snapshot = {"vectors": vectors}
+    metadata is live (M17). The chat model enters as two frames per batch:
+    ``respond(hits)`` -> (query_id, doc_id, response) for the retrieved
+    documents (query_id, doc_id, rank, file_path) and ``converse(questions)``
+    -> (query_id, response) for the others; a NULL or missing response is a
+    failed call.
+
+    Each step is written once under ``out_root/<table>/batch=<id>`` (a replay
+    replaces it) and read back by the next: ``routes``, ``retrieved``,
+    ``prompts`` (with ``files``, the current texts by path), ``answers`` and,
+    when the batch asks for it, ``listing`` (line_no, line): the reply that
+    'list' answers of this batch name."""
 
     def run(batch_df: DataFrame, batch_id: int) -> None:
-        current_registry = registry() if callable(registry) else registry
-        routed = ans.route(batch_df, cfg, keywords=keywords)
-        routed.withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy("batch").parquet(f"{out_root}/routes")
-        wanted = batch_df.join(routed.where(F.col("route") == "retrieve"), "query_id", "left_semi")
-        hits = retrieval.retrieve(snapshot["vectors"], current_registry, embed(wanted), cfg.retrieve_k, cfg)
-        hits.withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy("batch").parquet(f"{out_root}/retrieved")
+        def put(name: str, df: DataFrame) -> DataFrame:
+            path = f"{out_root}/{name}/batch={batch_id}"
+            df.write.mode("overwrite").parquet(path)
+            return spark.read.schema(df.schema).parquet(path)
+
+        current = registry() if callable(registry) else registry
+        # text travels with the route: later steps do not read the source again
+        asked = batch_df.select("query_id", "text")
+        routed = put("routes", asked.join(ans.route(asked, cfg, keywords=keywords), "query_id"))
+        routes = routed.select("query_id", "route")
+        wanted = routed.where(F.col("route") == "retrieve").select("query_id", "text")
+        hits = put("retrieved", retrieval.retrieve(vectors, current, embed(wanted), cfg.retrieve_k, cfg, dim=dim))
+        if files is not None:
+            put("prompts", ans.build_prompts(hits, wanted, files, cfg))
+        keyed = hits.select("query_id", F.col("id").alias("doc_id"), "rank", "file_path")
+        formatted = ans.format_answers(ans.keep_informative(keyed, respond(keyed)), wanted)
+        talk = routed.where(F.col("route") == "converse").select("query_id", "text")
+        put("answers", ans.answer(routes, formatted, converse(talk)))
+        if not routes.where(F.col("route") == "list").isEmpty():
+            put("listing", ans.title_message_lines(current))
 
     q = questions.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
@@ -155,26 +179,38 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.registry()
 
 
-def stream_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T2 over user turns: the routes written by the stream."""
-    root = _scratch(spark, "stream-routing")
-    conv = fxt.table_stream(spark, sf_dir, "conversations")
-    listing = (F.col("conv_id") % 10 == 0) & (F.col("turn") <= 1)
-    qs = conv.where(F.col("role") == "user").select(
-        (F.col("conv_id") * 100 + F.col("turn")).cast("bigint").alias("query_id"),
-        F.when(listing, F.lit(fxt.LIST_REQUEST)).otherwise(F.col("text")).alias("text"),
-    )
+def _answered(spark: SparkSession, sf_dir: str) -> str:
+    """The question stream over user turns; its output folder."""
+    root = _scratch(spark, "stream-answers")
     width = fxt.embedding_width(spark, sf_dir)
-    from docsift.functions import features as fx
+    return answer_stream(
+        spark,
+        fxt.questions_of(fxt.table_stream(spark, sf_dir, "conversations")).select("query_id", "text"),
+        fxt.vectors(spark, sf_dir),
+        lambda: fxt.registry(spark, sf_dir),
+        f"{root}/out",
+        f"{root}/checkpoint",
+        embed=lambda df: fx.featurize(df, "text", width).select("query_id", "embedding"),
+        respond=lambda hits: fxt.responses(spark, sf_dir, hits),
+        converse=lambda _questions: fxt.converse_responses(spark, sf_dir),
+        keywords=fxt.FIXTURE_KEYWORDS,
+        dim=width,
+    )
 
-    def embed(df):
-        return fx.featurize(df, "text", width).select("query_id", "embedding")
 
-    route_stream(
-        spark, qs, fxt.vectors(spark, sf_dir), fxt.registry(spark, sf_dir), f"{root}/out", f"{root}/checkpoint",
-        embed, keywords=fxt.FIXTURE_KEYWORDS,
-    )
-    return spark.read.parquet(f"{root}/out/routes").select("query_id", "route")
+def stream_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T2 + F12: the routes written by the stream."""
+    return spark.read.parquet(f"{_answered(spark, sf_dir)}/routes").select("query_id", "route")
+
+
+def stream_retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T2 + C2: the documents the stream retrieved."""
+    return spark.read.parquet(f"{_answered(spark, sf_dir)}/retrieved").drop("batch")
+
+
+def stream_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T2 + C5: the answers the stream wrote."""
+    return spark.read.parquet(f"{_answered(spark, sf_dir)}/answers").drop("batch")
 
 
 def _loaded_store(spark: SparkSession, sf_dir: str) -> tuple[Store, DataFrame]:
@@ -250,6 +286,8 @@ def registry_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "stream_ingest": stream_ingest,
     "stream_routing": stream_routing,
+    "stream_retrieved": stream_retrieved,
+    "stream_answers": stream_answers,
     "store_lifecycle": store_lifecycle,
     "store_vectors": store_vectors,
     "registry_clear": registry_clear,

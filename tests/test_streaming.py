@@ -6,6 +6,7 @@ import tempfile
 import duckdb
 from pyspark.sql import functions as F
 
+from docsift.config import APOLOGY
 from docsift.operators import registry as reg
 from docsift.operators import vectors as vec
 from docsift.plans import catalog, fixtures, ingest
@@ -65,6 +66,53 @@ def test_stream_routing_equals_batch(spark):
     assert got == _key(catalog.route_queries(spark, SF001))
 
 
+def test_stream_writes_answers_listing_and_prompts(spark):
+    """Two micro-batches of questions; the listing only where it is asked for."""
+    src = tempfile.mkdtemp(prefix="docsift-questions-")
+    root = tempfile.mkdtemp(prefix="docsift-answers-")
+    schema = "query_id long, text string"
+    vectors = spark.createDataFrame([(0, "d", [1.0, 0.0])], "pos long, doc_id string, embedding array<float>")
+    registry = spark.createDataFrame([("d", "Title d", "kb/d.txt", "processed")], reg.REGISTRY_SCHEMA)
+    files = spark.createDataFrame([("kb/d.txt", "Text of d")], "path string, text string")
+    for i, rows in enumerate([[(1, "the one"), (2, "hello")], [(3, "list documents"), (4, "the other")]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{src}/b{i}")
+    stream = (
+        spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(src)
+    )
+    out = jobs.answer_stream(
+        spark, stream, vectors, lambda: registry, f"{root}/out", f"{root}/ckpt",
+        embed=lambda q: q.select("query_id", F.array(F.lit(1.0), F.lit(0.0)).alias("embedding")),
+        respond=lambda h: h.select("query_id", "doc_id", F.lit("Found it.").alias("response")),
+        converse=lambda q: q.select("query_id", F.lit(None).cast("string").alias("response")),
+        files=files, keywords=("the",), dim=2,
+    )
+    got = {r.query_id: r for r in spark.read.parquet(f"{out}/answers").collect()}
+    assert {q: r.route for q, r in got.items()} == {1: "retrieve", 2: "converse", 3: "list", 4: "retrieve"}
+    assert "Found it." in got[1].answer and "kb/d.txt" in got[4].answer
+    assert got[2].answer == APOLOGY and got[2].listing is None
+    assert got[3].answer is None and got[3].listing == "titles"
+    listing = spark.read.parquet(f"{out}/listing").collect()
+    assert len({r.batch for r in listing}) == 1
+    assert [r.line for r in sorted(listing, key=lambda r: r.line_no)][1:] == ["Title d"]
+    assert all("Text of d" in r.prompt for r in spark.read.parquet(f"{out}/prompts").collect())
+
+
+def test_cli_delete_and_clear(spark, capsys):
+    from docsift.__main__ import main
+    from docsift.sources.store import Store
+
+    root = tempfile.mkdtemp(prefix="docsift-cli-del-")
+    store = Store(spark, root)
+    docs = [("kb/a.txt", 0, "Alpha\nbody"), ("kb/b.txt", 1, "Beta\nbody")]
+    jobs.ingest_batch(store, spark.createDataFrame(docs, "path string, list_order long, text string"))
+    ids = {r.title: r.id for r in store.registry().collect()}
+    main(["delete", root, ids["Alpha"]])
+    main(["list", root])
+    assert capsys.readouterr().out.split("\t")[1] == "Beta"
+    main(["clear", root])
+    assert store.registry().count() == 0 and store.vectors().count() == 0
+
+
 def test_folder_stream_skips_seen_files_and_seen_content(spark):
     """T1 over a real folder: the checkpoint skips files already read, the
     anti-join skips content already registered (a copy under a new name)."""

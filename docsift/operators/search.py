@@ -8,11 +8,12 @@ Plan, per query block:
       -> shuffle by query_id (partitions x queries x k rows)
       -> row_number() over (query_id order by dist, pos) <= k
 
-The query block reaches every task through a broadcast variable, and only
-after its size is checked against ``max_query_block_bytes``; larger query
-sets are cut into hash blocks of bounded size, each one more scan of the
-vectors, unless the index itself is within the bound: then the roles swap
-(index broadcast, queries streamed). Distances are squared L2 in float64; candidates are preselected
+A query set reaches every task through a broadcast variable only after its
+size is checked against ``max_query_block_bytes``. Beyond that, an index within
+the bound takes its place (index broadcast, queries streamed). When both sides
+are larger, query blocks meet stripes of the vectors on the executors: a task
+holds one block and streams one stripe past it, and nothing passes through the
+driver. Distances are squared L2 in float64; candidates are preselected
 with the ``|q|^2 + |v|^2 - 2 q.v`` expansion and every candidate within the
 expansion's error bound of the k-th one is re-scored exactly, so the
 selection is exact. Ties are broken by position.
@@ -20,6 +21,7 @@ selection is exact. Ties are broken by position.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -29,7 +31,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docsift.config import DEFAULT, EngineConfig
-from docsift.session import materialize
+
+#: A stripe of the vectors is streamed, not held: this many query blocks in size.
+STRIPE_BLOCKS = 8
 
 HIT_SCHEMA = T.StructType(
     [
@@ -55,16 +59,15 @@ def _matrix(col: pa.Array, dim: int) -> np.ndarray:
     return flat.astype(np.float64, copy=False).reshape(n, dim)
 
 
-def _group_topk(qi, pos, dist, doc, k):
-    """Keep the k best (dist, pos) rows per query index; inputs are aligned."""
+def _group_topk(qi, pos, dist, k):
+    """Indices of the k best (dist, pos) rows per query index; inputs are aligned."""
     order = np.lexsort((pos, dist, qi))
-    qi, pos, dist, doc = qi[order], pos[order], dist[order], doc[order]
-    if len(qi) == 0:
-        return qi, pos, dist, doc
+    if len(order) == 0:
+        return order
+    qi = qi[order]
     starts = np.r_[0, np.flatnonzero(qi[1:] != qi[:-1]) + 1]
     group_start = np.repeat(starts, np.diff(np.r_[starts, len(qi)]))
-    keep = (np.arange(len(qi)) - group_start) < k
-    return qi[keep], pos[keep], dist[keep], doc[keep]
+    return order[(np.arange(len(qi)) - group_start) < k]
 
 
 def _slices(batches, rows):
@@ -81,12 +84,12 @@ def _partition_topk(qids: np.ndarray, qmat: np.ndarray, k: int, dim: int):
         best_q = np.zeros(0, dtype=np.int64)
         best_p = np.zeros(0, dtype=np.int64)
         best_d = np.zeros(0, dtype=np.float64)
-        best_doc = np.zeros(0, dtype=object)
+        best_doc = pa.array([], type=pa.string())
         # keep each distance block near 16M entries whatever the query count
         rows_per_block = max(1, (1 << 24) // max(1, len(qids)))
         for batch in _slices(batches, rows_per_block):
             pos = batch.column("pos").to_numpy(zero_copy_only=False).astype(np.int64)
-            doc = np.asarray(batch.column("doc_id").to_pylist(), dtype=object)
+            doc = batch.column("doc_id").cast(pa.string())
             vmat = _matrix(batch.column("embedding"), dim)
             vnorm = (vmat * vmat).sum(axis=1)
             approx = qnorm[:, None] + vnorm[None, :] - 2.0 * (qmat @ vmat.T)
@@ -101,19 +104,18 @@ def _partition_topk(qids: np.ndarray, qmat: np.ndarray, k: int, dim: int):
             qi, vi = np.nonzero(approx <= bound)
             diff = qmat[qi] - vmat[vi]
             exact = np.einsum("ij,ij->i", diff, diff)
-            best_q, best_p, best_d, best_doc = _group_topk(
-                np.r_[best_q, qi.astype(np.int64)],
-                np.r_[best_p, pos[vi]],
-                np.r_[best_d, exact],
-                np.r_[best_doc, doc[vi]],
-                k,
-            )
+            # document ids stay in Arrow; only those of the winners are taken
+            at = np.r_[np.arange(len(best_q)), len(best_q) + vi]
+            all_q, all_p, all_d = np.r_[best_q, qi.astype(np.int64)], np.r_[best_p, pos[vi]], np.r_[best_d, exact]
+            won = _group_topk(all_q, all_p, all_d, k)
+            best_q, best_p, best_d = all_q[won], all_p[won], all_d[won]
+            best_doc = pa.concat_arrays([best_doc, doc]).take(pa.array(at[won]))
         if len(best_q):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(qids[best_q], type=pa.int64()),
                     pa.array(best_p, type=pa.int64()),
-                    pa.array(list(best_doc), type=pa.string()),
+                    best_doc,
                     pa.array(best_d, type=pa.float64()),
                 ],
                 schema=pa.schema(
@@ -163,32 +165,18 @@ def knn(
         F.col("embedding").isNotNull()
     )
 
-    parts = []
     bytes_needed = n_q * d * 8
-    if bytes_needed > cfg.max_query_block_bytes and v.count() * (d * 8 + 64) <= cfg.max_query_block_bytes:
-        # many queries, small index: the index is the side of proven size, so
-        # it is broadcast and the queries stream through the same kernel
-        parts.append(_stream_queries(q, v, k, d))
-    elif n_q > 0:
-        n_blocks = max(1, math.ceil(bytes_needed / cfg.max_query_block_bytes))
-        if n_blocks > 1:  # each block filters the query side: compute it once
-            q = materialize(q, "query-vectors")
-        for b in range(n_blocks):
-            block = q if n_blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b)
-            tbl = block.toArrow()
-            qids = tbl.column("query_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            qmat = _matrix(tbl.column("embedding"), d)
-            if len(qids) == 0:
-                continue
-            bc = spark.sparkContext.broadcast((qids, qmat))
-            fn = _broadcast_topk(bc, k, d)
-            parts.append(v.mapInArrow(fn, HIT_SCHEMA))
-    if not parts:
+    if n_q == 0:
         hits = spark.createDataFrame([], HIT_SCHEMA)
+    elif bytes_needed <= cfg.max_query_block_bytes:
+        hits = _stream_vectors(q, v, k, d)
+    elif (index_bytes := v.count() * (d * 8 + 64)) <= cfg.max_query_block_bytes:
+        # many queries, small index: the index is the side of proven size
+        hits = _stream_queries(q, v, k, d)
     else:
-        hits = parts[0]
-        for p in parts[1:]:
-            hits = hits.unionByName(p)
+        n_blocks = math.ceil(bytes_needed / cfg.max_query_block_bytes)
+        n_stripes = math.ceil(index_bytes / (cfg.max_query_block_bytes * STRIPE_BLOCKS))
+        hits = _blocks_by_stripes(q, v, k, d, n_blocks, n_stripes)
     w = Window.partitionBy("query_id").orderBy("dist", "pos")
     top = hits.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
     top = top.select("query_id", "rank", "pos", "doc_id", "dist")
@@ -221,11 +209,63 @@ def _stream_queries(q: DataFrame, v: DataFrame, k: int, d: int) -> DataFrame:
     return q.mapInArrow(run, HIT_SCHEMA)
 
 
-def _broadcast_topk(bc, k, d):
+def _stream_vectors(q: DataFrame, v: DataFrame, k: int, d: int) -> DataFrame:
+    """The (checked) query set is broadcast, the vector scan streams past it."""
+    tbl = q.toArrow()
+    qids = tbl.column("query_id").to_numpy(zero_copy_only=False).astype(np.int64)
+    bc = q.sparkSession.sparkContext.broadcast((qids, _matrix(tbl.column("embedding"), d)))
+
     def run(batches):
         qids, qmat = bc.value
         yield from _partition_topk(qids, qmat, k, d)(batches)
 
+    return v.mapInArrow(run, HIT_SCHEMA)
+
+
+def _blocks_by_stripes(q: DataFrame, v: DataFrame, k: int, d: int, n_blocks: int, n_stripes: int) -> DataFrame:
+    """Every (query block, vector stripe) is a group of one shuffle, sorted so
+    that the block's queries come before the stripe's vectors. A task keeps the
+    queries of its current group and their running top-k; a query gives at most
+    k rows per stripe."""
+    number = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    vector = F.col("embedding").cast("array<double>").alias("embedding")
+    left = q.select(
+        number("query_id", n_blocks).alias("block"), every(n_stripes).alias("stripe"), F.lit(0).alias("side"),
+        F.col("query_id").alias("pos"), F.lit(None).cast("string").alias("doc_id"), vector,
+    )
+    right = v.select(
+        every(n_blocks).alias("block"), number("pos", n_stripes).alias("stripe"), F.lit(1).alias("side"), "pos", "doc_id", vector
+    )
+    met = left.unionByName(right).repartition(n_blocks * n_stripes, "block", "stripe")
+    return met.sortWithinPartitions("block", "stripe", "side").mapInArrow(_group_scan(k, d), HIT_SCHEMA)
+
+
+def _runs(batches):
+    """Batches cut where (block, stripe, side) changes, with that key."""
+    for batch in batches:
+        keys = np.stack([batch.column(c).to_numpy() for c in ("block", "stripe", "side")])
+        edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(edges, edges[1:]):
+            if hi > lo:
+                yield tuple(keys[:, lo].tolist()), batch.slice(lo, hi - lo)
+
+
+def _group_scan(k, d):
+    def run(batches):
+        for _, group in itertools.groupby(_runs(batches), key=lambda r: r[0][:2]):
+            held, rest = [], []
+            for (_, _, side), batch in group:
+                if side:
+                    rest = [batch]
+                    break
+                held.append(batch)
+            if not held or not rest:  # a block without queries, or a stripe without vectors
+                continue
+            qids = np.concatenate([b.column("pos").to_numpy(zero_copy_only=False).astype(np.int64) for b in held])
+            qmat = np.concatenate([_matrix(b.column("embedding"), d) for b in held])
+            yield from _partition_topk(qids, qmat, k, d)(itertools.chain(rest, (b for _, b in group)))
+
     return run
 
 

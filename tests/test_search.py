@@ -91,3 +91,15 @@ def test_many_queries_small_index_swaps_roles(spark):
     for r in search.knn(v, q, 4, cfg).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.pos))
     assert {k: sorted(x) for k, x in got.items()} == _brute(V, Q, 4)
+
+
+def test_two_large_sides_meet_on_the_executors(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    V = rng.normal(size=(900, 8)).astype(np.float32)
+    Q = rng.normal(size=(200, 8)).astype(np.float32)
+    v, q = _frames(spark, V, Q)
+    whole = search.knn(v, q, 6).collect()
+    monkeypatch.setattr(search, "STRIPE_BLOCKS", 3)
+    monkeypatch.setattr(type(q), "toArrow", None)  # nothing passes through the driver
+    many = search.knn(v, q, 6, EngineConfig(max_query_block_bytes=2500)).collect()
+    assert len(whole) == 1200 and sorted(many) == sorted(whole)

@@ -20,6 +20,8 @@ list array per batch); ``posexplode`` turns them into rows.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +31,8 @@ from docsift.config import CHUNK_OVERLAP, CHUNK_SIZE, SEPARATORS
 
 # documents longer than this are chunked unit by unit across tasks
 SPLIT_DOC_CHARS = 1_000_000
+# a run of short pieces is cut in units of about this length
+UNIT_CHARS = 250_000
 
 
 def _strip_span(text: str, a: int, b: int):
@@ -105,31 +109,52 @@ def _split(text, lo, hi, seps, size, overlap, out):
         _merge(text, run, size, overlap, out)
 
 
-def chunk_units(text: str, size: int = CHUNK_SIZE, separators=SEPARATORS) -> list[tuple[int, int, int, int]]:
+def _run_units(edges: list[int], size: int, overlap: int, unit_chars: int) -> list[tuple[int, int]]:
+    """Cuts a run of short pieces (``edges``: where they begin, and the end) in
+    spans of about ``unit_chars``. Where the merge begins a group follows from
+    where it began the last one, so a span that begins there goes on as the
+    whole run would; the span before ends with the group that overflowed."""
+    out, first, start = [], 0, 0
+    while (i := bisect_right(edges, edges[start] + size) - 1) < len(edges) - 1:  # piece i overflows
+        start = min(i, bisect_left(edges, max(edges[i] - overlap, edges[i + 1] - size), start))
+        if edges[i] - edges[first] >= unit_chars:
+            out.append((edges[first], edges[i]))
+            first = start
+    out.append((edges[first], edges[-1]))
+    return out
+
+
+def chunk_units(text: str, size: int = CHUNK_SIZE, separators=SEPARATORS, overlap: int = CHUNK_OVERLAP,
+                unit_chars: int = UNIT_CHARS) -> list[tuple[int, int, int, int]]:
     """Independent units of a text: (start, end, kind, sep_index).
 
     At the top separator level every long piece (kind 1) and every maximal
     run of short pieces (kind 0) is chunked on its own: runs are merged,
     long pieces split with the later separators, and no state crosses a
-    unit boundary. So a huge document can be chunked unit by unit in
-    parallel; its chunks are the units' chunks in unit order."""
+    unit boundary. A long run is cut where the merge begins a group, so its
+    units overlap as the chunks do. So a huge document can be chunked unit by
+    unit in parallel; its chunks are the units' chunks in unit order."""
     sep, si = separators[-1], len(separators) - 1
     for i, s_ in enumerate(separators):
         if s_ == "" or s_ in text:
             sep, si = s_, i
             break
     units: list[tuple[int, int, int, int]] = []
-    run = None
+    run: list[int] = []  # the edges of the run's pieces, which follow each other without gaps
+
+    def close():
+        units.extend((a, b, 0, si) for a, b in _run_units(run, size, overlap, unit_chars))
+        run.clear()
+
     for a, b in _pieces(text, 0, len(text), sep):
         if b - a < size:
-            run = (run[0], b) if run else (a, b)
+            run.extend((b,) if run else (a, b))
             continue
         if run:
-            units.append((run[0], run[1], 0, si))
-            run = None
+            close()
         units.append((a, b, 1, si))
     if run:
-        units.append((run[0], run[1], 0, si))
+        close()
     return units
 
 
@@ -229,7 +254,7 @@ UNIT_TYPE = T.ArrayType(
 )
 
 
-def _units_udf(size: int, separators):
+def _units_udf(size: int, overlap: int, separators):
     @F.arrow_udf(UNIT_TYPE)
     def units(texts: pa.Array) -> pa.Array:
         starts: list[int] = []
@@ -238,7 +263,7 @@ def _units_udf(size: int, separators):
         bodies: list[str] = []
         offsets = [0]
         for t in texts.to_pylist():
-            for a, b, kind, si in chunk_units(t or "", size, separators):
+            for a, b, kind, si in chunk_units(t or "", size, separators, overlap):
                 starts.append(a)
                 kinds.append(kind)
                 seps.append(si)
@@ -286,7 +311,7 @@ def chunk_or_units(text_col: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_O
     length = F.length(text_col)
     small_text = F.when(length <= split_chars, F.col(text_col))
     big_text = F.when(length > split_chars, F.col(text_col))
-    return chunk_array(small_text, size, overlap, seps), _units_udf(size, seps)(big_text)
+    return chunk_array(small_text, size, overlap, seps), _units_udf(size, overlap, seps)(big_text)
 
 
 def rows_from_staged(staged: DataFrame, keep: list[str], chunks_col: str = "chunks", units_col: str = "units",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 # ---------------------------------------------------------------------------
 # Fixed values. These must equal the behaviour being reproduced, so they are
@@ -62,14 +62,14 @@ class EngineConfig:
     list_phrases: tuple[str, ...] = LIST_PHRASES
     keywords: tuple[str, ...] = RETRIEVE_KEYWORDS
     system_prompt: str = SYSTEM_PROMPT
-    # Largest query block (bytes, float64 matrix) shipped to every search
-    # task. Bigger query sets are searched block by block.
+    # Largest side of a search (bytes, float64 matrix) that is broadcast, and
+    # the size of a query block when both sides are larger.
     max_query_block_bytes: int = 64 * 1024 * 1024
     # Largest side broadcast by a join whose size is only known at run time.
     max_broadcast_rows: int = 2_000_000
+    max_broadcast_bytes: int = 256 * 1024 * 1024
     # Documents longer than this are chunked unit by unit across tasks.
     split_doc_chars: int = 1_000_000
-    extra: dict = field(default_factory=dict, compare=False, hash=False)
 
     def with_(self, **kw) -> "EngineConfig":
         return replace(self, **kw)

@@ -12,8 +12,15 @@ feature is present or absent in a text. Training:
 4. Logistic regression over the r-scaled features of the sample gives the
    weights. The driver holds max_rows rows of feature numbers, no text.
 
+5. Calibration. Each quarter of the sample (by a hash of the text) is scored
+   by a model of the other three. The cut of windows is the logit that
+   ``WINDOW_ALARMS`` of the clean texts reach there with their best window.
+
 Scoring is one Arrow pass over whole texts, long texts in pieces that overlap
-by the largest n-gram.
+by a window. A text is scored as a whole and in windows of ``WINDOW``
+characters, each half over the one before, since the many negative features of
+clean prose would outvote a toxic passage. The logit is the larger of the
+whole's and the best window's, each less its cut.
 
 Edge cases: a null or empty text has no features and gets the score of the
 intercept; documents of several labels count as toxic if one says so; null
@@ -26,14 +33,14 @@ empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsift.llm.common import text_or_empty
+from docsift.llm.common import materialize, text_or_empty
 
 SIZES = (3, 4, 5)
 BITS = 18
@@ -43,6 +50,9 @@ SMOOTHING = 1.0
 RIDGE = 1e-3
 STEPS = 400
 PIECE = 1 << 20
+WINDOW = 1024  # even, in characters; the median labelled text has about 1,400
+PARTS = 4
+WINDOW_ALARMS = 0.001
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -76,6 +86,37 @@ class Model:
     numbers: np.ndarray
     weights: np.ndarray
     intercept: float
+    window_cut: float = 0.0
+
+    def table(self) -> np.ndarray:
+        """The weight of every feature number."""
+        weight = np.zeros(1 << BITS)
+        weight[self.numbers] = self.weights
+        return weight
+
+
+def logits(text: str, weight: np.ndarray, intercept: float) -> tuple[float, float]:
+    """Logit of the whole text and of its best window."""
+    wanted, hop = weight != 0, WINDOW // 2
+    held, best = [], []
+    for at in range(0, max(len(text) - WINDOW, 1), PIECE):
+        piece = text[at : at + PIECE + WINDOW].lower()
+        chars = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        n = max(1, -(-len(chars) // hop) - 1)
+        if at + PIECE < len(text) - WINDOW:  # the next piece has the others
+            n = min(n, PIECE // hop)
+        keys = [np.zeros(0, dtype=np.int64)]
+        for buckets in _buckets(chars):
+            place = np.flatnonzero(wanted[buckets])
+            feature, block = buckets[place], place // hop
+            for window in (block, block - 1):  # a window is two blocks
+                inside = (window >= 0) & (window < n)
+                keys.append(window[inside] << BITS | feature[inside])
+        keys = np.unique(np.concatenate(keys))
+        feature = keys & ((1 << BITS) - 1)
+        best.append(np.bincount(keys >> BITS, weight[feature], minlength=n).max())
+        held.append(np.unique(feature))
+    return float(weight[np.unique(np.concatenate(held))].sum() + intercept), float(max(best) + intercept)
 
 
 def sigmoid(x: np.ndarray | float) -> np.ndarray | float:
@@ -94,17 +135,24 @@ def labelled_sample(
     return texts.join(F.broadcast(drawn), "id").select("text", "label")  # bounded by max_rows
 
 
+def part(text: Column) -> Column:
+    """The quarter of the sample that a text is in: equal texts are together."""
+    return (F.crc32(text) % PARTS).cast("int")
+
+
+_CELLS = [f"n{c}" for c in range(2 * PARTS)]  # rows of label 0 and 1 by part
+
+
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros((2, 1 << BITS), dtype=np.int64)
-    rows = np.zeros(2, dtype=np.int64)
+    counts = np.zeros((2 * PARTS, 1 << BITS), dtype=np.int32)
+    rows = np.zeros(2 * PARTS, dtype=np.int32)
     for batch in batches:
-        for text, label in zip(batch.column("text"), batch.column("label").to_pylist()):
-            counts[label, features(text.as_py())] += 1
-            rows[label] += 1
+        for text, label, of in zip(batch.column("text"), batch.column("label").to_pylist(), batch.column("part").to_pylist()):
+            counts[2 * of + label, features(text.as_py())] += 1
+            rows[2 * of + label] += 1
     held = np.flatnonzero(counts.any(axis=0))
     yield pa.RecordBatch.from_arrays(
-        [pa.array(np.append(held, -1)), pa.array(np.append(counts[0, held], rows[0])), pa.array(np.append(counts[1, held], rows[1]))],
-        ["feature", "n0", "n1"],
+        [pa.array(np.append(held, -1)), *[pa.array(np.append(c[held], r)) for c, r in zip(counts, rows)]], ["feature", *_CELLS]
     )
 
 
@@ -141,41 +189,83 @@ def fit_linear(rows: list[np.ndarray], labels: np.ndarray, scale: np.ndarray) ->
     return w * scale, float(b)
 
 
+def _best(feature: np.ndarray, counts: np.ndarray, rows: np.ndarray, max_features: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and log-count ratios of the features that stay."""
+    r = np.log((counts[1] + SMOOTHING) / (rows[1] + 2 * SMOOTHING)) - np.log((counts[0] + SMOOTHING) / (rows[0] + 2 * SMOOTHING))
+    n = counts.sum(axis=0)
+    order = np.lexsort((feature, -np.abs(r) * np.sqrt(n)))
+    best = order[n[order] > 0][:max_features]
+    return feature[best], r[best]
+
+
 def train(sample: DataFrame, max_features: int = MAX_FEATURES) -> Model:
     """Fits the model on (text, label) rows of bounded number."""
     empty = np.zeros(0, dtype=np.int64)
-    counts = sample.mapInArrow(_count_batches, "feature bigint, n0 bigint, n1 bigint")
-    counts = counts.groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).cache()
-    rows = counts.where("feature = -1").collect()
-    n0, n1 = (int(rows[0].n0), int(rows[0].n1)) if rows else (0, 0)
+    sample = sample.select("text", F.col("label").cast("int").alias("label"), part(F.col("text")).alias("part"))
+    counts = sample.mapInArrow(_count_batches, "feature bigint, " + ", ".join(f"{c} int" for c in _CELLS))
+    counts = counts.groupBy("feature").agg(*[F.sum(c).cast("int").alias(c) for c in _CELLS]).toArrow()  # 2 ** BITS rows at most
+    feature = counts.column("feature").to_numpy()
+    cells = np.array([counts.column(c).to_numpy() for c in _CELLS], dtype=np.int64).reshape(PARTS, 2, len(feature))
+    rows, cells, feature = cells[:, :, feature < 0].sum(axis=2), cells[:, :, feature >= 0], feature[feature >= 0]
+    n0, n1 = rows.sum(axis=0).tolist()
     if n1 == 0:
-        counts.unpersist()
         return Model(empty, np.zeros(0), float(np.log(0.5 / (n0 + 0.5))) if n0 else -1e9)
-    share = lambda c, n: (F.col(c) + SMOOTHING) / F.lit(n + 2 * SMOOTHING)
-    # Few partitions: each of them sends its best to the driver.
-    ratio = counts.where("feature >= 0").repartition(8, "feature").select("feature", (F.col("n0") + F.col("n1")).alias("n"), F.log(share("n1", n1) / share("n0", n0)).alias("r"))
-    best = ratio.orderBy((F.abs("r") * F.sqrt("n")).desc(), "feature").limit(max_features).collect()
-    counts.unpersist()
-    numbers, scale = np.array([x.feature for x in best], dtype=np.int64), np.array([x.r for x in best])
+    # The model of all parts, then those that leave one out.
+    chosen = [_best(feature, cells.sum(axis=0), rows.sum(axis=0), max_features)]
+    chosen += [_best(feature, cells.sum(axis=0) - cells[k], rows.sum(axis=0) - rows[k], max_features) for k in range(PARTS)]
+    numbers = np.unique(np.concatenate([x for x, _ in chosen]))
     if not len(numbers):
         return Model(empty, np.zeros(0), float(np.log((n1 + 0.5) / (n0 + 0.5))))
-    held = sample.select("label", _feature_column(F.col("text"), numbers).alias("held")).toArrow()
-    found = [np.asarray(x.values) for x in held.column("held")]
-    weights, intercept = fit_linear(found, held.column("label").to_numpy().astype(float), scale)
-    return Model(numbers, weights, intercept)
+    held = sample.select("label", "part", _feature_column(F.col("text"), numbers).alias("held")).toArrow()
+    found, label, of = [np.asarray(x.values) for x in held.column("held")], held.column("label").to_numpy(), held.column("part").to_numpy()
+    models = []
+    for left_out, (own, scale) in enumerate(chosen, -1):
+        at = np.full(len(numbers), -1, dtype=np.int32)
+        at[np.searchsorted(numbers, own)] = np.arange(len(own))
+        used = np.flatnonzero(of != left_out)
+        weights, intercept = fit_linear([at[found[i]][at[found[i]] >= 0] for i in used], label[used].astype(float), scale)
+        models.append(Model(own, weights, intercept))
+    return calibrated(models[0], models[1:], sample)
+
+
+def calibrated(model: Model, others: list[Model], sample: DataFrame) -> Model:
+    """The model with its cuts, from the clean rows of each part as the model
+    of the other parts scores them."""
+    clean = sample.where("label = 0").select(_logit_column(F.col("text"), F.col("part"), others).alias("x")).select("x.window").toArrow()
+    return replace(model, window_cut=cut(clean.column("window").to_numpy(), WINDOW_ALARMS, model.intercept))
+
+
+def cut(clean: np.ndarray, alarms: float, least: float) -> float:
+    """A logit that at most a share of ``alarms`` of the clean ones is above.
+    It is not below 0 if they are too few to tell, and no text is above it for
+    having no feature (``least``)."""
+    if not len(clean):
+        return 0.0
+    least = max(least, 0.0) if len(clean) * alarms < 1 else least
+    return float(np.nextafter(max(np.quantile(clean, 1 - alarms, method="higher"), least), np.inf))
+
+
+def _logit_column(text: Column, part: Column, models: list[Model]) -> Column:
+    """The logits of each text under the model of its part."""
+
+    @F.arrow_udf("struct<whole:double,window:double>")
+    def run(texts: pa.Array, parts: pa.Array) -> pa.Array:
+        tables = [m.table() for m in models]
+        pairs = [logits(t.as_py(), tables[k], models[k].intercept) for t, k in zip(texts, parts.to_pylist())]
+        columns = np.array(pairs, dtype=float).reshape(-1, 2).T
+        return pa.StructArray.from_arrays([pa.array(c) for c in columns], ["whole", "window"])
+
+    return run(text, part)
 
 
 def score_column(text: Column, model: Model) -> Column:
-    """Probability of label 1 for each text."""
-    numbers, weights, intercept = model.numbers, model.weights, model.intercept
+    """Probability of label 1 for each text, 0.5 at the cuts."""
 
     @F.arrow_udf("double")
     def run(texts: pa.Array) -> pa.Array:
-        weight = np.zeros(1 << BITS)
-        weight[numbers] = weights
-        wanted = weight != 0
-        logits = [weight[features(t.as_py(), wanted)].sum() + intercept for t in texts]
-        return pa.array(sigmoid(np.array(logits, dtype=float)))
+        weight = model.table()
+        pairs = [logits(t.as_py(), weight, model.intercept) for t in texts]
+        return pa.array(sigmoid(np.array([max(whole, window - model.window_cut) for whole, window in pairs], dtype=float)))
 
     return run(text_or_empty(text))
 
@@ -187,4 +277,5 @@ def fold(id_col: Column) -> Column:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     """The model of ``documents`` and ``labels``, learned from folds 1 to 4."""
-    return train(labelled_sample(docs, labels.where(fold(F.col("doc_id")) != 0), max_rows=max_rows))
+    sample = labelled_sample(docs, labels.where(fold(F.col("doc_id")) != 0), max_rows=max_rows)
+    return train(materialize(sample, "toxicity-sample"))

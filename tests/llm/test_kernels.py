@@ -114,6 +114,20 @@ def test_features_of_long_texts_in_pieces(monkeypatch):
     assert len(toxicity.features("")) == 0 and len(toxicity.features("ab")) == 0
 
 
+def test_windows_of_texts_in_pieces(monkeypatch):
+    rnd = random.Random(2)
+    weight = np.array([rnd.choice([0, 0, 1, -1]) for _ in range(1 << toxicity.BITS)], dtype=float)
+    monkeypatch.setattr(toxicity, "WINDOW", 20)
+    for n in (0, 2, 9, 10, 11, 40, 41, 333):
+        text = "".join(rnd.choice("ab cD") for _ in range(n))
+        whole = weight[toxicity.features(text)].sum()
+        exact = [{int(b[i]) for b in toxicity._buckets(np.frombuffer(text.lower().encode("utf-32-le"), dtype=np.uint32)) for i in range(at, min(at + 20, len(b)))} for at in range(0, max(1, n - 10), 10)]
+        best = max(weight[sorted(e)].sum() if e else 0.0 for e in exact)
+        for piece in (1 << 20, 40):
+            monkeypatch.setattr(toxicity, "PIECE", piece)
+            assert toxicity.logits(text, weight, 0.5) == (whole + 0.5, best + 0.5)
+
+
 def test_records_are_split_whatever_the_chunks():
     record = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n"
     bodies = [b"", b"WARC/1.1\r\n\r\n", b"x" * 50]

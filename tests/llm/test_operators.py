@@ -229,6 +229,21 @@ def test_toxicity_is_learned_on_held_out_documents(spark):
     assert sum(a > b for a, b in pairs) / len(pairs) >= 0.97
 
 
+def test_toxic_passages_in_long_clean_texts(spark):
+    documents, labels = table(spark, SF01, "documents"), table(spark, SF01, "labels")
+    model = toxicity.fit_toxicity(documents, labels)
+    score = lambda texts: [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").orderBy("i").select(toxicity.score_column(F.col("text"), model)).collect()]
+    held = documents.where(toxicity.fold(F.col("doc_id")) == 0).join(labels, "doc_id").orderBy("doc_id").select("text", "toxic").collect()
+    toxic = [r.text for r in held if r.toxic == 1]
+    toxic = [t for t, s in zip(toxic, score(toxic)) if s >= 0.5]
+    clean = [r.text for r in held if r.toxic == 0 and len(r.text) < 8000]
+    around = [[clean[(7 * k + 3 * i) % len(clean)] for i in range(20)] for k in range(10)]  # 20 clean texts each
+    planted = ["\n".join([*a[:k], toxic[k % len(toxic)], *a[k:]]) for k, a in enumerate(around)]
+    assert len(toxic) >= 3 and min(map(len, planted)) > 10 * toxicity.WINDOW
+    assert sum(s >= 0.5 for s in score(planted)) >= 9
+    assert sum(s >= 0.5 for s in score("\n".join(a) for a in around)) <= 1
+
+
 def test_toxicity_of_awkward_tables(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
     model = toxicity.fit_toxicity(docs, none)

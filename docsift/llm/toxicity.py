@@ -13,8 +13,10 @@ feature is present or absent in a text. Training:
    weights. The driver holds max_rows rows of feature numbers, no text.
 
 5. Calibration. Each quarter of the sample (by a hash of the text) is scored
-   by a model of the other three. The cut of windows is the logit that
-   ``WINDOW_ALARMS`` of the clean texts reach there with their best window.
+   by a model of the other three. The cut is the logit that ``WHOLE_ALARMS`` of
+   the clean texts reach there as a whole, that of windows the one that
+   ``WINDOW_ALARMS`` of them reach with their best window: toxic texts are few,
+   so an unweighted fit puts many of them below 0.
 
 Scoring is one Arrow pass over whole texts, long texts in pieces that overlap
 by a window. A text is scored as a whole and in windows of ``WINDOW``
@@ -23,7 +25,7 @@ clean prose would outvote a toxic passage. The logit is the larger of the
 whole's and the best window's, each less its cut.
 
 Edge cases: a null or empty text has no features and gets the score of the
-intercept; documents of several labels count as toxic if one says so; null
+intercept less the cut, never above 0.5 if there are clean labels; documents of several labels count as toxic if one says so; null
 labels are ignored; without any label, or without label 1, every score is
 the smoothed share of label 1 (0 without labels); labels of unknown documents
 are ignored; other columns are kept and cannot clash; an empty table gives an
@@ -52,7 +54,7 @@ STEPS = 400
 PIECE = 1 << 20
 WINDOW = 1024  # even, in characters; the median labelled text has about 1,400
 PARTS = 4
-WINDOW_ALARMS = 0.001
+WHOLE_ALARMS, WINDOW_ALARMS = 0.003, 0.001  # a long text has many windows
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -86,6 +88,7 @@ class Model:
     numbers: np.ndarray
     weights: np.ndarray
     intercept: float
+    whole_cut: float = 0.0
     window_cut: float = 0.0
 
     def table(self) -> np.ndarray:
@@ -231,8 +234,9 @@ def train(sample: DataFrame, max_features: int = MAX_FEATURES) -> Model:
 def calibrated(model: Model, others: list[Model], sample: DataFrame) -> Model:
     """The model with its cuts, from the clean rows of each part as the model
     of the other parts scores them."""
-    clean = sample.where("label = 0").select(_logit_column(F.col("text"), F.col("part"), others).alias("x")).select("x.window").toArrow()
-    return replace(model, window_cut=cut(clean.column("window").to_numpy(), WINDOW_ALARMS, model.intercept))
+    clean = sample.where("label = 0").select(_logit_column(F.col("text"), F.col("part"), others).alias("x")).select("x.*").toArrow()
+    whole, window = (clean.column(c).to_numpy() for c in ("whole", "window"))
+    return replace(model, whole_cut=cut(whole, WHOLE_ALARMS, model.intercept), window_cut=cut(window, WINDOW_ALARMS, model.intercept))
 
 
 def cut(clean: np.ndarray, alarms: float, least: float) -> float:
@@ -241,7 +245,7 @@ def cut(clean: np.ndarray, alarms: float, least: float) -> float:
     having no feature (``least``)."""
     if not len(clean):
         return 0.0
-    least = max(least, 0.0) if len(clean) * alarms < 1 else least
+    least = max(least, 0.0) if len(clean) * alarms < 2 else least
     return float(np.nextafter(max(np.quantile(clean, 1 - alarms, method="higher"), least), np.inf))
 
 
@@ -265,7 +269,7 @@ def score_column(text: Column, model: Model) -> Column:
     def run(texts: pa.Array) -> pa.Array:
         weight = model.table()
         pairs = [logits(t.as_py(), weight, model.intercept) for t in texts]
-        return pa.array(sigmoid(np.array([max(whole, window - model.window_cut) for whole, window in pairs], dtype=float)))
+        return pa.array(sigmoid(np.array([max(whole - model.whole_cut, window - model.window_cut) for whole, window in pairs], dtype=float)))
 
     return run(text_or_empty(text))
 

@@ -14,6 +14,8 @@ from docsift.llm.common import table
 
 from ..conftest import SF001, SF01
 
+SF1 = "/root/testdata/sf0.1"
+
 LONG_LINE = "this line is long enough to be compared across documents"
 LOREM = "one two three four five six seven eight nine ten eleven twelve"
 # doc_id, text, source; then columns whose names the operators use themselves.
@@ -229,6 +231,16 @@ def test_toxicity_is_learned_on_held_out_documents(spark):
     assert sum(a > b for a, b in pairs) / len(pairs) >= 0.97
 
 
+def test_toxicity_recall_and_false_alarms_of_the_held_out_fold(spark):
+    documents, labels = table(spark, SF1, "documents"), table(spark, SF1, "labels")
+    model = toxicity.fit_toxicity(documents, labels)
+    held = documents.where(toxicity.fold(F.col("doc_id")) == 0).join(labels, "doc_id")
+    got = held.select("toxic", toxicity.score_column(F.col("text"), model).alias("score")).collect()
+    toxic, clean = ([r.score >= 0.5 for r in got if r.toxic == k] for k in (1, 0))
+    assert len(toxic) == 97 and sum(toxic) >= 80  # 62 at the cut of an unweighted fit
+    assert len(clean) == 728 and sum(clean) <= 7
+
+
 def test_toxic_passages_in_long_clean_texts(spark):
     documents, labels = table(spark, SF01, "documents"), table(spark, SF01, "labels")
     model = toxicity.fit_toxicity(documents, labels)

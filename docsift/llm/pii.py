@@ -18,7 +18,8 @@ kind     found and validated                        permuted
 card     13 to 19 digits, first 2 to 6, or four     all digits but the first;
          groups of four; Luhn sum                   check digit anew
 phone    +1 (AAA) EEE-NNNN and +1-AAA-EEE-NNNN,     area, exchange and line
-         area and exchange from 200                 in their ranges
+         any digits                                 among those from 200, or
+                                                    among the others
 ssn      AAA-GG-SSSS, no reserved part              the valid range
 iban     two letters, two check digits, 11 to 30    digits; check digits anew
          more, mod 97
@@ -157,11 +158,18 @@ def _card(m: Column, key: str, inverse: bool) -> tuple[Column, Column]:
 def _phone(m: Column, key: str, inverse: bool) -> tuple[Column, Column]:
     digits = F.regexp_replace(m, "[^0-9]", "")
     area, exchange, line = (_long(F.substring(digits, at, n)) for at, n in ((2, 3), (5, 3), (8, 4)))
-    out = feistel(_two((area - 200) * 800 + exchange - 200, line), _two(640_000, 10_000), key, "phone", inverse)
-    new = _let(out, lambda p: F.concat(
-        F.lit("1"), (200 + F.floor(p[0] / 800)).cast("string"), (200 + p[0] % 800).cast("string"), _filled(p[1], 4)
-    ))
-    return (area >= 200) & (exchange >= 200), _let(new, lambda d: _refill(m, d))
+    # Area and exchange from 200 are 640,000 pairs; the other 360,000 are a range of their own.
+    usual = (area >= 200) & (exchange >= 200)
+    other = F.when(area < 200, area * 1000 + exchange).otherwise(200_000 + (area - 200) * 200 + exchange)
+    left = F.when(usual, (area - 200) * 800 + exchange - 200).otherwise(other)
+    out = feistel(_two(left, line), _two(F.when(usual, 640_000).otherwise(360_000), 10_000), key, "phone", inverse)
+
+    def pair(x: Column) -> Column:
+        low = F.when(x < 200_000, x).otherwise((200 + F.floor((x - 200_000) / 200)) * 1000 + (x - 200_000) % 200)
+        return F.when(usual, (200 + F.floor(x / 800)) * 1000 + 200 + x % 800).otherwise(low)
+
+    new = _let(out, lambda p: F.concat(F.lit("1"), _filled(pair(p[0]), 6), _filled(p[1], 4)))
+    return F.lit(True), _let(new, lambda d: _refill(m, d))
 
 
 def _ssn(m: Column, key: str, inverse: bool) -> tuple[Column, Column]:

@@ -309,6 +309,18 @@ def test_pseudonyms_round_trip_and_stay_linked(spark):
     assert pii.pseudonymise(given.where("false"), "k").count() == 0
 
 
+def test_phones_of_any_area_are_replaced_and_stay_reversible(spark):
+    areas = ["000", "017", "199", "200", "201", "555", "988", "999"]
+    phones = [f"+1 ({a}) {e}-7713" for a in areas for e in areas] + [f"+1-{a}-{e}-0000" for a in areas for e in areas]
+    given = spark.createDataFrame([(i, p) for i, p in enumerate(phones)], "doc_id int, text string")
+    out = pii.pseudonymise(given, "k").select("doc.doc_id", "text", "n_found", "kinds").orderBy("doc_id").collect()
+    assert all(r.n_found == 1 and r.kinds == "phone" and r.text != p for r, p in zip(out, phones))
+    assert all(re.sub(r"\d", "0", r.text[2:]) == re.sub(r"\d", "0", p[2:]) for r, p in zip(out, phones))
+    assert len({r.text for r in out}) == len(phones)
+    back = pii.pseudonymise(spark.createDataFrame([(r.doc_id, r.text) for r in out], "doc_id int, text string"), "k", inverse=True)
+    assert [r.text for r in back.select("doc.doc_id", "text").orderBy("doc_id").collect()] == phones
+
+
 def test_card_pseudonyms_follow_the_feistel_rounds(spark):
     def permute(left, right, a, b, kind):
         for n in range(pii.ROUNDS):

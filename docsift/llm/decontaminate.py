@@ -3,10 +3,13 @@
 Words are runs of ASCII letters and digits and of characters beyond ASCII,
 A-Z lower-cased. For an item of n words:
 
-1. Windows. The stride s is a power of two near n / 6 and the window the
-   largest multiple of s with window + s - 1 <= n, so a passage that repeats
-   the item holds, wherever it begins, a whole window of the document's grid.
-   The item is fingerprinted at every offset, so that window's fingerprint is
+1. Windows. A passage of similarity 0.8 lacks at most a ninth of the item's
+   n - 4 shingles (a fifth if the document ends inside it), and each place
+   edited inside costs four or more, so a run of ``clean_run`` words of the item
+   stays whole. The stride s is a power of two
+   near a sixth of that run and the window the largest multiple of s with
+   window + s - 1 <= the run, so the run holds, wherever it begins, a whole
+   window of the document's grid, at distance 0. The item is fingerprinted at every offset, so that window's fingerprint is
    among them. Items of equal window size share one pass; sums of words are
    kept per stride and a window is the difference of two prefix sums.
 2. Multi-index Hamming search. A fingerprint has four blocks of 16 bits;
@@ -18,7 +21,7 @@ A-Z lower-cased. For an item of n words:
    their shingles of five words (weight: occurrences). From 0.8 on the
    document is contaminated.
 
-Items go to the tasks in blocks of ``max_items``; each block is a further pass
+Items go to the tasks in blocks of about ``max_items`` and ``MAX_CHARS``; each block is a further pass
 over the documents, so a benchmark of any size is compared in whole.
 
 Edge cases: a null or empty text has no hits; items of fewer than five words
@@ -31,6 +34,7 @@ tables give no hits.
 from __future__ import annotations
 
 import itertools
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -47,6 +51,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 7
 MAX_ITEMS = 50_000
+MAX_CHARS = 5_000_000  # of the items of a block: each word may begin a window
 PIECE = 1 << 20
 SEGMENT = 1 << 15
 BATCH = 1 << 21
@@ -115,10 +120,25 @@ def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
     return np.split(np.concatenate(hashes), np.searchsorted(np.concatenate(firsts), ends[:-1]))
 
 
-def window_of(n: int) -> tuple[int, int]:
+def clean_run(n: int, similarity: float = SIMILARITY) -> int:
+    """Words of an item of n words that stand together unchanged in any passage
+    of the similarity, also where the document ends inside the passage."""
+    size = max(1, n - SHINGLE + 1)
+    runs = []
+    for absent in range(size):  # shingles beyond the document's end
+        common = math.ceil((2 * size - absent) * similarity / (1 + similarity) - 1e-9)
+        if common <= size - absent:
+            gaps = (size - absent - common) // (SHINGLE - 1)
+            runs.append(-(-common // (gaps + 1)))
+    return min(runs, default=size) + SHINGLE - 1
+
+
+@lru_cache(maxsize=4096)
+def window_of(n: int, similarity: float = SIMILARITY) -> tuple[int, int]:
     """(window, stride) in words for an item of n words."""
-    stride = 1 << max(0, n.bit_length() - 3)
-    return (n - stride + 1) // stride * stride, stride
+    run = clean_run(n, similarity)
+    stride = 1 << max(0, run.bit_length() - 3)
+    return (run - stride + 1) // stride * stride, stride
 
 
 def _steps(hashes: np.ndarray, stride: int) -> np.ndarray:
@@ -189,7 +209,7 @@ class Index:
         for (item_id, _), hashes in zip(items, word_hashes([text.encode() for _, text in items]) if items else []):
             if len(hashes) < SHINGLE:
                 continue
-            window, stride = window_of(len(hashes))
+            window, stride = window_of(len(hashes), similarity)
             grouped[window, stride].append(len(self.items))
             self.items.append((item_id, len(hashes), shingles(hashes), hashes))
         self.sets = [frozenset(x[2].tolist()) for x in self.items]
@@ -325,7 +345,8 @@ def benchmark_hits(
     items = benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), F.col(item_text_col).alias("text")).where(
         F.col("text").isNotNull()
     ).distinct()
-    n_blocks = max(1, -(-items.count() // max_items))
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    n_blocks = max(1, -(-size.n // max_items), -(-size.chars // MAX_CHARS))
     text = text_or_empty(docs[f"`{text_col}`"])
     parts = []
     for b in range(n_blocks):

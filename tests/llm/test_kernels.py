@@ -101,6 +101,47 @@ def test_benchmark_index_finds_passages_wherever_they_begin():
     assert decontaminate.Index([(1, "two words")], 7, 0.8).hits(["two words"]) == [[]]
 
 
+def _edited(words, kind, new, rnd):
+    """A copy with a run, an edge or scattered words replaced, or words put in or left out."""
+    n, out = len(words), list(words)
+    if kind == "run":
+        size = rnd.randint(1, max(1, (n - 40) // 9 + 1))
+        at = rnd.randrange(n - size + 1)
+        out[at : at + size] = [new() for _ in range(size)]
+    elif kind == "edge":
+        size = rnd.randint(1, max(1, n // 9))
+        out[:size] = [new() for _ in range(size)]
+        out = out if rnd.random() < 0.5 else [*words[size:], *out[:size]]
+    else:
+        for _ in range(rnd.randint(1, max(1, n // 36))):
+            at = rnd.randrange(len(out))
+            out[at : at + (kind != "in")] = [] if kind == "out" else [new()]
+    return out
+
+
+def test_benchmark_index_finds_every_passage_from_the_threshold_on():
+    rnd = random.Random(8)
+    new = lambda: "".join(rnd.choice("abcdefghij") for _ in range(5))
+    found, wanted = 0, 0
+    for n in (6, 15, 19, 23, 32, 40, 49, 60, 80, 100, 150, 300):
+        words = [new() for _ in range(n)]
+        index = decontaminate.Index([(1, " ".join(words))], decontaminate.RADIUS, decontaminate.SIMILARITY)
+        texts = [
+            [new() for _ in range(rnd.randint(0, 99))] + _edited(words, kind, new, rnd) + [new() for _ in range(rnd.randint(0, 99))]
+            for kind in ("run", "edge", "scattered", "in", "out") for _ in range(40)
+        ]
+        texts += [[new() for _ in range(k)] + words[: n - round((n - 4) * 0.2 * rnd.random())] for k in range(30)]  # the document ends
+        texts = [" ".join(t) for t in texts]
+        item = index.items[0][2]
+        for text, hits in zip(texts, index.hits(texts)):
+            own = decontaminate.shingles(decontaminate.word_hashes([text.encode()])[0])
+            best = max(decontaminate.weighted_jaccard(own[at : at + len(item)], item) for at in range(len(own)))
+            wanted += best >= decontaminate.SIMILARITY
+            found += best >= decontaminate.SIMILARITY and len(hits) == 1
+            assert best >= decontaminate.SIMILARITY or not hits
+    assert wanted > 1000 and found == wanted, (found, wanted)
+
+
 def test_weighted_jaccard_counts_repeats():
     a, b = np.array([1, 1, 2], dtype=np.uint64), np.array([1, 2, 2, 3], dtype=np.uint64)
     assert decontaminate.weighted_jaccard(a, b) == 2 / 5

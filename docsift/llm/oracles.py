@@ -113,4 +113,93 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
 FROM ranked
 """
 
-ORACLES = {"op1_license_scan": _license_scan(), "op5_exact_dedup": EXACT_DEDUP, "op8_warc": WARC, "op7_line_dedup": LINE_DEDUP, "op10_mixing": MIXING}
+NGRAM_JOIN = rf"""
+WITH RECURSIVE words AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS MATERIALIZED (
+  SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words
+), grams AS MATERIALIZED (
+  SELECT rid, len(s) AS n, unnest(s) AS g FROM sets
+), linked AS MATERIALIZED (
+  SELECT a.rid AS x, b.rid AS y FROM grams a JOIN grams b ON a.g = b.g AND a.rid < b.rid
+  GROUP BY a.rid, b.rid, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), twoway AS MATERIALIZED (SELECT x, y FROM linked UNION ALL SELECT y, x FROM linked),
+reach(x, y) AS (
+  SELECT rid, rid FROM sets UNION SELECT r.x, b.y FROM reach r JOIN twoway b ON r.y = b.x
+)
+SELECT any_value(a.doc_id) AS doc_id, any_value(len(a.s))::BIGINT AS n_shingles, min(b.doc_id) AS component_id
+FROM reach r JOIN sets a ON r.x = a.rid JOIN sets b ON r.y = b.rid GROUP BY r.x
+"""
+
+DIVERGENCE = rf"""
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), terms AS MATERIALIZED (SELECT rid, lang, source, unnest(w) AS term FROM docs),
+kept AS MATERIALIZED (SELECT lang, term, count(*) AS total FROM terms GROUP BY lang, term HAVING count(DISTINCT rid) >= 3),
+counts AS MATERIALIZED (
+  SELECT lang, source, term, count(*) AS n FROM terms JOIN kept USING (lang, term) GROUP BY lang, source, term
+), of_lang AS (SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang),
+of_group AS (SELECT lang, source, sum(n) AS n FROM counts GROUP BY lang, source),
+groups AS MATERIALIZED (
+  SELECT d.lang, d.source, coalesce(g.n, 0) AS n, coalesce(l.v, 0) AS v FROM (SELECT DISTINCT lang, source FROM docs) d
+  LEFT JOIN of_group g USING (lang, source) LEFT JOIN of_lang l USING (lang)
+), p AS MATERIALIZED (
+  SELECT g.lang, g.source, k.term, c.n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (g.n + g.v) AS p
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN counts c USING (lang, source, term)
+), sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source
+), parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM (
+    SELECT p.*, 1 + (1000000000::HUGEINT * (k.total + 1)) // (l.n + l.v) AS q
+    FROM p JOIN kept k USING (lang, term) JOIN of_lang l USING (lang) WHERE p.n > 0
+  ) WHERE p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+COLLOCATIONS = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), words AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+f AS MATERIALIZED (
+  SELECT lang, phrase, count(*) AS f FROM (
+    SELECT lang, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS phrase
+    FROM words, (SELECT unnest([1, 2, 3]) AS k)
+  ) GROUP BY lang, phrase
+), totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+found AS MATERIALIZED (SELECT lang, phrase, f AS a FROM f WHERE len(phrase) > 1 AND f >= 10),
+inside AS (
+  SELECT lang, phrase, max(a) AS longer FROM (
+    SELECT lang, unnest([phrase[1:2], phrase[2:3]]) AS phrase, a FROM found WHERE len(phrase) = 3
+  ) GROUP BY lang, phrase
+), stays AS (
+  SELECT f.lang, f.phrase, f.a FROM found f LEFT JOIN inside i ON f.lang = i.lang AND f.phrase = i.phrase
+  WHERE i.longer IS NULL OR 100 * i.longer < 50 * f.a
+), cuts AS (
+  SELECT s.lang, s.phrase, s.a, k, x.f AS l, y.f AS r, (1000000::HUGEINT * s.a * s.a) // (x.f::HUGEINT * y.f) AS score
+  FROM (SELECT *, unnest(range(1, len(phrase))) AS k FROM stays) s
+  JOIN f x ON x.lang = s.lang AND x.phrase = s.phrase[1:k] JOIN f y ON y.lang = s.lang AND y.phrase = s.phrase[k + 1:]
+), lowest AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS pos FROM cuts
+), ranked AS (
+  SELECT *, array_to_string(phrase, ' ') AS words,
+    row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(phrase, ' ')) AS rank FROM lowest WHERE pos = 1
+)
+SELECT lang, rank, words AS phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+ORACLES = {
+    "op1_license_scan": _license_scan(), "op5_exact_dedup": EXACT_DEDUP, "op8_warc": WARC, "op7_line_dedup": LINE_DEDUP,
+    "op10_mixing": MIXING, "op11_ngram_join": NGRAM_JOIN, "op12_divergence": DIVERGENCE, "op13_collocations": COLLOCATIONS,
+}

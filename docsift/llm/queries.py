@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsift.llm import decontaminate, exact_dedup, license_scan, line_dedup, mixing, pii, sharding, simhash, toxicity, warc
+from docsift.llm import (
+    collocations, decontaminate, divergence, exact_dedup, license_scan, line_dedup, mixing, ngram_join, pii, sharding, simhash,
+    toxicity, warc,
+)
 from docsift.llm.common import prepare, scratch_path, table
 
 
@@ -87,10 +90,29 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle sets of all documents, linked at a Jaccard similarity of 0.8."""
+    prepare(spark)
+    rows = ngram_join.join_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_shingles", "component_id")
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language differ, and their most particular terms."""
+    prepare(spark)
+    return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The collocations of all languages."""
+    prepare(spark)
+    return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_toxicity, op3_sharding, op4_simhash, op5_exact_dedup, op6_pii, op7_line_dedup, op8_warc,
-        op9_decontamination, op10_mixing,
+        op9_decontamination, op10_mixing, op11_ngram_join, op12_divergence, op13_collocations,
     )
 }

@@ -359,6 +359,8 @@ def tree_links(grams: list[np.ndarray], sets: list[np.ndarray], sizes: np.ndarra
     numbers = np.split(rank[np.searchsorted(known, flat)], lengths)
     walkers = np.arange(len(grams)) if sides is None else np.flatnonzero(sides == 0)
     stored = np.arange(len(grams)) if sides is None else np.flatnonzero(sides == 1)
+    if not len(walkers) or not len(stored):
+        return walkers[:0], walkers[:0]
     tree = PrefixTree([numbers[i] for i in stored], sizes[stored])
     step = max(1, TABLE_CELLS // max(1, len(known)))
     left, right = [], []
@@ -389,16 +391,16 @@ def _smallest_reached(n: int, i: np.ndarray, j: np.ndarray) -> list[int]:
 
 
 def _link_batches(percent: int):
-    def links(rows: list[tuple]) -> pa.RecordBatch:
+    def links(rows: list[tuple], within: bool) -> pa.RecordBatch:
         rows = list({r[0]: r for r in rows}.values())  # a set comes once a flush that has it
         rows.sort(key=lambda r: r[0])
         keys = [r[0] for r in rows]
         sizes = np.array([r[1] for r in rows])
-        sides = np.array([r[4] for r in rows])
-        i, j = tree_links([r[2] for r in rows], [r[3] for r in rows], sizes, None if (sides == 0).all() else sides, percent)
+        sides = None if within else np.array([r[4] for r in rows])
+        i, j = tree_links([r[2] for r in rows], [r[3] for r in rows], sizes, sides, percent)
         low = _smallest_reached(len(rows), i, j)
         number = np.bincount(i, minlength=len(rows))
-        if not (sides == 0).all():
+        if not within:
             number = number + np.bincount(j, minlength=len(rows))
         out = np.flatnonzero(number)
         return pa.RecordBatch.from_arrays(
@@ -413,12 +415,12 @@ def _link_batches(percent: int):
             grams, sets = batch.column("grams"), batch.column("sets")
             for row, (family, part, other, key, n, side) in enumerate(zip(*parts)):
                 if (family, part, other) != here and held:
-                    yield links(held)
+                    yield links(held, here[1] == here[2])
                     held = []
                 here = (family, part, other)
                 held.append((key, n, grams[row].values.to_numpy(), sets[row].values.to_numpy(), side))
         if held:
-            yield links(held)
+            yield links(held, here[1] == here[2])
 
     return run
 

@@ -39,14 +39,10 @@ def _print_registry(store) -> None:
 
 
 def ingest_cmd(folder: str, store_root: str) -> None:
-    from docsift.plans import ingest
     from docsift.streaming import jobs
 
     spark = _session()
-    store = jobs.ingest_stream(
-        spark, jobs.folder_stream(spark, folder), store_root, os.path.join(store_root, "_checkpoint"),
-        ingest.files_from_folder_batch,
-    )
+    store = jobs.ingest_folder(spark, folder, store_root, os.path.join(store_root, "_checkpoint"))
     _print_registry(store)  # the listing, as printed after ingest
 
 

@@ -65,6 +65,8 @@ class EngineConfig:
     # Largest side of a search (bytes, float64 matrix) that is broadcast, and
     # the size of a query block when both sides are larger.
     max_query_block_bytes: int = 64 * 1024 * 1024
+    # Partial top-k lists of a query that its last ranking gets.
+    top_k_fan_in: int = 64
     # Largest side broadcast by a join whose size is only known at run time.
     max_broadcast_rows: int = 2_000_000
     max_broadcast_bytes: int = 256 * 1024 * 1024

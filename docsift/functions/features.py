@@ -20,7 +20,8 @@ correctly rounded sqrt and division).
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -98,9 +99,62 @@ def hashing_featurizer(dim: int) -> Callable[[Column], Column]:
     return fz
 
 
+#: The models a worker process holds, by the featurizer that loaded them.
+_LOADED: dict[str, object] = {}
+
+
+def model_featurizer(
+    load: Callable[[], object], encode: Callable[[object, list[str]], np.ndarray], width: int | None = None, batch_size: int = 64
+) -> Callable[[Column], Column]:
+    """A featurizer with state. ``load()`` builds the model, once in a worker
+    process however many tasks and batches that runs; ``encode(model, texts)``
+    gives a row of floats for each text. Texts are encoded ``batch_size`` at a
+    time in order of length, so that a padding model pads little, and returned
+    in their own order; a NULL text gives a NULL vector. ``width``: declared
+    when every vector has that many entries (else widths are checked, P6)."""
+    name = uuid.uuid4().hex
+
+    def vectors(texts: pa.Array) -> pa.Array:
+        if name not in _LOADED:
+            _LOADED[name] = load()
+        values = texts.to_pylist()
+        known = sorted((i for i, t in enumerate(values) if t is not None), key=lambda i: len(values[i]))
+        out: list = [None] * len(values)
+        for at in range(0, len(known), batch_size):
+            part = known[at : at + batch_size]
+            for i, row in zip(part, encode(_LOADED[name], [values[i] for i in part])):
+                out[i] = np.asarray(row, dtype=np.float32)
+        return pa.array(out, pa.list_(pa.float32()))
+
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield vectors(texts)
+
+    def fz(text: Column) -> Column:
+        return run(text)
+
+    def rows(df: DataFrame, text_col: str, out_col: str, profile) -> DataFrame:
+        schema = T.StructType([f for f in df.schema.fields if f.name != out_col] + [T.StructField(out_col, T.ArrayType(T.FloatType()))])
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                keep = [n for n in b.schema.names if n != out_col]
+                yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), vectors(b.column(text_col))], [*keep, out_col])
+
+        return df.mapInArrow(each, schema, profile=profile)
+
+    fz.fixed_width = width
+    fz.rows = rows
+    return fz
+
+
 def featurize(df: DataFrame, text_col: str, dim: int, featurizer: Callable[[Column], Column] | None = None,
-              out_col: str = "embedding") -> DataFrame:
+              out_col: str = "embedding", profile=None) -> DataFrame:
     """F14 + F15: add a float32 vector column. The query side must use the
-    same featurizer as the index side."""
+    same featurizer as the index side. ``profile``: the resource profile of the
+    stage that runs a ``model_featurizer`` (executors with a GPU, say)."""
     fz = featurizer or hashing_featurizer(dim)
+    if profile is not None:
+        return fz.rows(df, text_col, out_col, profile)
     return df.withColumn(out_col, fz(F.col(text_col)).cast(T.ArrayType(T.FloatType())))

@@ -33,9 +33,10 @@ def prompt_text(content, query) -> Column:
     return tx.fill(PROMPT_TEMPLATE, content=content, query=query)
 
 
-def build_prompts(retrieved: DataFrame, questions: DataFrame, files: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
+def build_prompts(retrieved: DataFrame, questions: DataFrame, files: DataFrame | None, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """Retrieved (query_id, rank, id, title, file_path) + question text +
-    the *current* file content by path (S6/J6) -> prompt per (query, doc)."""
+    the *current* file content by path (S6/J6) -> prompt per (query, doc).
+    ``files`` None: the files are opened by their paths."""
     withq = retrieved.join(questions.select("query_id", F.col("text").alias("query_text")), "query_id")
     read = src.read_by_path(withq, files, "file_path")
     return read.select(
@@ -60,9 +61,13 @@ def messages(prompts: DataFrame, system_prompt: str | None = None, cfg: EngineCo
 def keep_informative(prompts: DataFrame, responses: DataFrame) -> DataFrame:
     """J5 + F16 + P5: align answers by key, a failed call (NULL) becomes the
     apology, answers containing the refusal marker are dropped."""
-    j = prompts.join(responses, ["query_id", "doc_id"], "left")
+    return informative(prompts.join(responses, ["query_id", "doc_id"], "left"))
+
+
+def informative(answered: DataFrame) -> DataFrame:
+    """F16 + P5 on aligned answers (query_id, doc_id, rank, file_path, response)."""
     resp = F.coalesce(F.col("response"), F.lit(APOLOGY))
-    return j.select("query_id", "doc_id", "rank", "file_path", resp.alias("response")).where(
+    return answered.select("query_id", "doc_id", "rank", "file_path", resp.alias("response")).where(
         ~F.col("response").contains(NO_INFO_MARKER)
     )
 
@@ -83,13 +88,17 @@ def _sql_escape(s: str) -> str:
     return s.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
 
 
-def route(questions: DataFrame, cfg: EngineConfig = DEFAULT, keywords=None, phrases=None) -> DataFrame:
+def route_of(text, cfg: EngineConfig = DEFAULT, keywords=None, phrases=None) -> Column:
     """F12 (+F3, F4, F6, F7): 'list' / 'retrieve' / 'converse'."""
-    q = tx.normalize_query("text")
+    q = tx.normalize_query(text)
     kw = cfg.keywords if keywords is None else keywords
     ph = cfg.list_phrases if phrases is None else phrases
-    r = F.when(q.isin(*ph), F.lit("list")).when(tx.contains_any(q, kw), F.lit("retrieve")).otherwise(F.lit("converse"))
-    return questions.select("query_id", r.alias("route"))
+    return F.when(q.isin(*ph), F.lit("list")).when(tx.contains_any(q, kw), F.lit("retrieve")).otherwise(F.lit("converse"))
+
+
+def route(questions: DataFrame, cfg: EngineConfig = DEFAULT, keywords=None, phrases=None) -> DataFrame:
+    """F12 for a table of questions: (query_id, route)."""
+    return questions.select("query_id", route_of("text", cfg, keywords, phrases).alias("route"))
 
 
 def title_message_lines(registry: DataFrame) -> DataFrame:

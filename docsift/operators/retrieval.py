@@ -29,13 +29,14 @@ def attach_metadata(doc_hits: DataFrame, registry: DataFrame, max_hits: int | No
 
     When the hit side is known to be small (``max_hits``, e.g. queries x k,
     within ``max_broadcast_rows``) it is broadcast, so the registry is only
-    scanned (pruned to three columns), never shuffled; otherwise it is
-    counted first. The registry itself is never broadcast."""
+    scanned (pruned to three columns), never shuffled; known to be larger, it
+    is joined by shuffle; unknown, it is counted first. The registry itself is
+    never broadcast. A known bound spares the count, so a search runs once."""
     meta = registry.select(F.col("id").alias("doc_id"), "title", "file_path")
-    if max_hits is not None and max_hits <= cfg.max_broadcast_rows:
-        hits = F.broadcast(doc_hits)
-    else:
+    if max_hits is None:
         hits = sizing.broadcast_if_small(doc_hits, cfg=cfg)
+    else:
+        hits = F.broadcast(doc_hits) if max_hits <= cfg.max_broadcast_rows else doc_hits
     return meta.join(hits, "doc_id", "inner").select(
         "query_id", "rank", F.col("doc_id").alias("id"), "title", "file_path"
     )

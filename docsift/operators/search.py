@@ -5,7 +5,7 @@ Plan, per query block:
     vectors scan (pos, doc_id, embedding)            -- pruned parquet scan
       -> mapInArrow: block distance matrix in numpy,
          running top-k per query inside the partition  -- no pair rows emitted
-      -> shuffle by query_id (partitions x queries x k rows)
+      -> merge of the tasks' results in ``top_k_fan_in`` groups per query
       -> row_number() over (query_id order by dist, pos) <= k
 
 A query set reaches every task through a broadcast variable only after its
@@ -26,7 +26,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -147,9 +147,7 @@ def knn(
     k = k or cfg.top_k
     spark = vectors.sparkSession
     # a NULL vector can be neither searched nor found
-    q = queries.select(F.col("query_id").cast("bigint"), F.col("embedding").cast("array<double>")).where(
-        F.col("embedding").isNotNull()
-    )
+    q = _vector_rows(queries, F.col("query_id").cast("bigint"))
     # size check before anything is collected: the count prunes the vector
     # column (a computed embedding is not evaluated); the width is read from
     # one row when not given
@@ -161,15 +159,13 @@ def knn(
     d = dim or cfg.dim
     # the vector side keeps its scan partitioning (no shuffle, no count):
     # large tables arrive in many splits, each a task of the block kernel
-    v = vectors.select(F.col("pos").cast("bigint"), F.col("doc_id").cast("string"), F.col("embedding")).where(
-        F.col("embedding").isNotNull()
-    )
+    v = _vector_rows(vectors, F.col("pos").cast("bigint"), F.col("doc_id").cast("string"))
 
     bytes_needed = n_q * d * 8
     if n_q == 0:
         hits = spark.createDataFrame([], HIT_SCHEMA)
     elif bytes_needed <= cfg.max_query_block_bytes:
-        hits = _stream_vectors(q, v, k, d)
+        hits = merge_top_k(_stream_vectors(q, v, k, d), F.spark_partition_id(), k, cfg.top_k_fan_in)
     elif (index_bytes := v.count() * (d * 8 + 64)) <= cfg.max_query_block_bytes:
         # many queries, small index: the index is the side of proven size
         hits = _stream_queries(q, v, k, d)
@@ -177,6 +173,8 @@ def knn(
         n_blocks = math.ceil(bytes_needed / cfg.max_query_block_bytes)
         n_stripes = math.ceil(index_bytes / (cfg.max_query_block_bytes * STRIPE_BLOCKS))
         hits = _blocks_by_stripes(q, v, k, d, n_blocks, n_stripes)
+        if n_stripes > cfg.top_k_fan_in:  # a query has k rows a stripe
+            hits = merge_top_k(hits, F.pmod(F.xxhash64("pos"), F.lit(n_stripes)), k, cfg.top_k_fan_in)
     w = Window.partitionBy("query_id").orderBy("dist", "pos")
     top = hits.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
     top = top.select("query_id", "rank", "pos", "doc_id", "dist")
@@ -185,6 +183,24 @@ def knn(
     return top
 
 
+def _vector_rows(df: DataFrame, *cols) -> DataFrame:
+    """The columns and ``embedding``, as it is when made of floats (tasks widen
+    it, so half the bytes travel), else of doubles; rows without one left out."""
+    element = df.schema["embedding"].dataType.elementType
+    vector = F.col("embedding") if isinstance(element, T.FloatType) else F.col("embedding").cast("array<double>").alias("embedding")
+    return df.select(*cols, vector).where(F.col("embedding").isNotNull())
+
+
+def merge_top_k(hits: DataFrame, part: Column, k: int, fan_in: int) -> DataFrame:
+    """W1 as an associative merge: the k best of each query in each of
+    ``fan_in`` groups of partial results. However many tasks scanned, the
+    window that ranks a query gets at most fan_in x k of its rows; Spark limits
+    each task's rows before either shuffle."""
+    grouped = hits.withColumn("_group", F.pmod(part, F.lit(fan_in)).cast("int"))
+    w = Window.partitionBy("query_id", "_group").orderBy("dist", "pos")
+    return grouped.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k).drop("_group", "_rank")
+
+
 def _stream_queries(q: DataFrame, v: DataFrame, k: int, d: int) -> DataFrame:
     """Roles swapped: the (small, checked) index is broadcast once, each
     query batch is scored against all of it inside one task."""
@@ -229,7 +245,8 @@ def _blocks_by_stripes(q: DataFrame, v: DataFrame, k: int, d: int, n_blocks: int
     k rows per stripe."""
     number = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    vector = F.col("embedding").cast("array<double>").alias("embedding")
+    same = q.schema["embedding"].dataType == v.schema["embedding"].dataType
+    vector = F.col("embedding") if same else F.col("embedding").cast("array<double>").alias("embedding")
     left = q.select(
         number("query_id", n_blocks).alias("block"), every(n_stripes).alias("stripe"), F.lit(0).alias("side"),
         F.col("query_id").alias("pos"), F.lit(None).cast("string").alias("doc_id"), vector,
@@ -237,7 +254,10 @@ def _blocks_by_stripes(q: DataFrame, v: DataFrame, k: int, d: int, n_blocks: int
     right = v.select(
         every(n_blocks).alias("block"), number("pos", n_stripes).alias("stripe"), F.lit(1).alias("side"), "pos", "doc_id", vector
     )
-    met = left.unionByName(right).repartition(n_blocks * n_stripes, "block", "stripe")
+    # A task holds many groups, one after the other: their number is no number of tasks.
+    spark = q.sparkSession
+    most = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    met = left.unionByName(right).repartition(min(n_blocks * n_stripes, most), "block", "stripe")
     return met.sortWithinPartitions("block", "stripe", "side").mapInArrow(_group_scan(k, d), HIT_SCHEMA)
 
 
@@ -282,14 +302,3 @@ def pad_hits(hits: DataFrame, query_ids: DataFrame, k: int) -> DataFrame:
             "dist",
         )
     )
-
-
-def l2_squared(a, b) -> "F.Column":
-    """A6 as a native expression (used where one pair is scored in SQL form)."""
-    a = F.col(a) if isinstance(a, str) else a
-    b = F.col(b) if isinstance(b, str) else b
-    return F.aggregate(
-        F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))),
-        F.lit(0.0).cast("double"),
-        lambda acc, x: acc + x,
-    )

@@ -49,17 +49,16 @@ def document_offsets(docs: DataFrame, order_cols: list[str], count_col: str, bas
     partition), prefix those totals, add back. No single-partition sort of
     all rows; only the per-partition totals meet in one place.
 
-    The bounds of a range partitioning come from a sample, so the partition
+    The number of partitions is that of shuffles, joined at run time where they
+    are small. The bounds of a range partitioning come from a sample, so the partition
     of a row is only known once: it is written with the rows, and both the
     local sums and the totals read that table.
     ``base`` is the current ntotal (see ``next_position``); ``carry`` names
     extra columns passed through.
     """
-    spark = docs.sparkSession
-    parts = max(1, spark.sparkContext.defaultParallelism)
     narrow = docs.select(*order_cols, count_col, *carry)
     ranged = materialize(
-        narrow.repartitionByRange(parts, *order_cols).withColumn("_pid", F.spark_partition_id()), "document-offsets"
+        narrow.repartitionByRange(*order_cols).withColumn("_pid", F.spark_partition_id()), "document-offsets"
     )
     w_local = Window.partitionBy("_pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
     local = ranged.withColumn("_local", F.coalesce(F.sum(count_col).over(w_local), F.lit(0)).cast("bigint"))

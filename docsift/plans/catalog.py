@@ -8,8 +8,11 @@ places because the two engines sum squares in different orders).
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import numpy as np
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -227,6 +230,33 @@ def read_by_path(spark, d):
     return out.select("query_id", "rank", "file_path", F.length("content").cast("bigint").alias("n_chars"), "missing")
 
 
+def folder_scan(spark, d):
+    """S1 + S3 + S8: all documents written as files of a folder and scanned:
+    every file listed, read or rejected with its reason."""
+    root = fxt.folder(spark, fxt.folder_files_of(fxt.table(spark, d, "documents")), "folder-scan")
+    good, bad = src.split_rejected(src.decode_files(src.read_folder(spark, root)))
+    name = F.regexp_extract("path", "[^/]*$", 0).alias("name")
+    read = good.select(name, tx.content_id("text").alias("id"), F.length("text").cast("bigint").alias("n_chars"), F.lit(None).cast("string").alias("reason"))
+    none = bad.select(name, F.lit(None).cast("string").alias("id"), F.lit(None).cast("bigint").alias("n_chars"), "reason")
+    return read.unionByName(none)
+
+
+def read_opened_files(spark, d):
+    """S6 + J6: the retrieved files opened by their paths in a folder that holds
+    all documents but every 9th; duplicates kept, missing ones flagged."""
+    docs = fxt.table(spark, d, "documents")
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name")
+    there = docs.where(F.col("doc_id") % 9 != 0).select(name, F.col("text").cast("binary").alias("content"))
+    root = fxt.folder(spark, there, "opened-files")
+    number = F.regexp_extract("file_path", "kb/([0-9]+)", 1)
+    hits = materialize(retrieve_top3(spark, d).select("query_id", "rank", F.concat(F.lit(root + "/"), number, F.lit(".txt")).alias("path")), "retrieved")
+    out = src.read_by_path(hits, path_col="path")
+    return out.select(
+        "query_id", "rank", F.regexp_extract("path", "[^/]*$", 0).alias("name"), F.md5("content").alias("id"),
+        F.length("content").cast("bigint").alias("n_chars"), "missing",
+    )
+
+
 # -- questions, prompts, answers --------------------------------------------
 
 def _question_vectors(spark, d, width: int):
@@ -239,6 +269,26 @@ def query_features(spark, d):
     return fx.sparse_features(fxt.questions(spark, d), ["query_id"], "text", fxt.embedding_width(spark, d))
 
 
+def model_features(spark, d):
+    """F14 as a model hook: every question encoded in batches by a loaded model
+    (here the hashing rule in numpy), as non-zero entries."""
+    width = fxt.embedding_width(spark, d)
+    model = fx.model_featurizer(lambda: (width, regex.compile(fx.TOKEN_PATTERN)), _hash_encode, width)
+    dense = fx.featurize(fxt.questions(spark, d), "text", width, model)
+    return nonzero_entries(dense, "query_id")
+
+
+def _hash_encode(model, texts: list[str]) -> np.ndarray:
+    width, token = model
+    out = np.zeros((len(texts), width))
+    for row, text in zip(out, texts):
+        for tok in token.findall(text.lower()):
+            code = hashlib.md5(tok.encode()).hexdigest()
+            row[int(code[:8], 16) % width] += -1 if int(code[8], 16) % 2 else 1
+    norm = np.sqrt((out * out).sum(axis=1))
+    return out / np.where(norm > 0, norm, 1.0)[:, None]
+
+
 def retrieve_questions(spark, d):
     """C2 from text: question -> features -> top-3 -> documents."""
     width = fxt.embedding_width(spark, d)
@@ -389,7 +439,10 @@ QUERIES: dict[str, Query] = {
     "html_runs_title": html_runs_title,
     "page_concat": page_concat,
     "read_by_path": read_by_path,
+    "folder_scan": folder_scan,
+    "read_opened_files": read_opened_files,
     "query_features": query_features,
+    "model_features": model_features,
     "retrieve_questions": retrieve_questions,
     "prompts": prompts,
     "messages": messages,

@@ -20,12 +20,16 @@ never cut work. The same derivations are written in SQL in ``oracles``.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsift.config import NO_INFO_MARKER
 from docsift.operators import registry as reg
 from docsift.plans import ingest
+from docsift.session import ensure_checkpoint_dir
+from docsift.sources import folder as fld
 
 FIXTURE_KEYWORDS = ("the", "der")  # the reproduced keywords never occur in the fixture questions
 LIST_REQUEST = " List Documents "
@@ -62,6 +66,28 @@ def mixed_files_of(documents: DataFrame) -> DataFrame:
     )
 
 
+def folder_files_of(documents: DataFrame) -> DataFrame:
+    """The documents as bytes of files (doc_id, name, content): every 11th empty,
+    every 19th with a byte that is no UTF-8, every 7th with CR LF line ends,
+    every 13th a dot name, every 17th an underscore name; .docx for every 23rd,
+    .md for every 5th."""
+    i = F.col("doc_id")
+    ext = F.when(i % 23 == 0, ".docx").when(i % 5 == 0, ".md").otherwise(".txt")
+    mark = F.when(i % 13 == 0, ".").when(i % 17 == 0, "_").otherwise("")
+    text = F.when(i % 7 == 0, F.replace("text", F.lit("\n"), F.lit("\r\n"))).otherwise(F.col("text")).cast("binary")
+    content = F.when(i % 11 == 0, F.lit("").cast("binary")).when(
+        i % 19 == 0, F.concat(F.unhex(F.lit("FF")), text)
+    ).otherwise(text)
+    return documents.select("doc_id", F.concat(mark, i.cast("string"), ext).alias("name"), content.alias("content"))
+
+
+def folder(spark: SparkSession, files: DataFrame, name: str) -> str:
+    """A new folder under the checkpoint folder with these (name, content) files."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    fld.write_files(files, root).write.format("noop").mode("overwrite").save()
+    return root
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files_of(table(spark, sf_dir, "documents"))
 

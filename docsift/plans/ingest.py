@@ -9,7 +9,8 @@ Data flow and partitioning:
                                            map-side
       -> left_anti registry on id (J1)     on the id partitioning of the agg;
                                            written
-      -> texts of the winners              semi-join by path, broadcast when few
+      -> texts of the winners              semi-join by path, broadcast when few;
+                                           dealt out by id if splits are uneven
       -> chunk rows (F13)                  narrow; huge documents by units
                                            spread over tasks; written once
       -> document offsets (W2)             from per-document counts: narrow
@@ -20,6 +21,7 @@ Data flow and partitioning:
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -44,10 +46,16 @@ class IngestResult:
     rejected: DataFrame  # (path, reason)
 
 
-def identify(files: DataFrame, keep_text: bool = True) -> DataFrame:
-    """F1 + F2 on accepted files: (id, title, path, list_order[, text])."""
+#: New texts below this many bytes are chunked where they are read.
+MIN_DEALT_BYTES = 1 << 20
+#: Bytes of text a task gets when documents are dealt out.
+DEALT_BYTES = 64 << 20
+
+
+def identify(files: DataFrame, keep_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """F1 + F2 on accepted files: (id, title, path, list_order[, text], carry)."""
     cols = [tx.content_id("text").alias("id"), tx.title("text").alias("title"), "path", "list_order"]
-    return files.select(*cols, *(["text"] if keep_text else []))
+    return files.select(*cols, *(["text"] if keep_text else []), *carry)
 
 
 def new_documents(files: DataFrame, registry: DataFrame | None, keep_text: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -61,14 +69,28 @@ def new_documents(files: DataFrame, registry: DataFrame | None, keep_text: bool
     little new) the files stream past a broadcast and no text is shuffled. A
     file listed twice under one path and order gives one document."""
     good, bad = src.split_rejected(files)
-    docs = reg.insert_if_absent(identify(good, keep_text=False), registry, "list_order")
-    if keep_text:
-        winners = materialize(docs, "new-documents")
-        texts = good.select("path", "list_order", "text").join(
-            sizing.broadcast_if_small(winners), ["path", "list_order"]
-        )
-        docs = texts.select("id", "title", "path", "list_order", "text")
-    return docs, bad
+    if not keep_text:
+        return reg.insert_if_absent(identify(good, keep_text=False), registry, "list_order"), bad
+    sized = identify(good.withColumns({"_bytes": F.octet_length("text"), "_split": F.spark_partition_id()}), False, ("_bytes", "_split"))
+    winners = materialize(reg.insert_if_absent(sized, registry, "list_order"), "new-documents")
+    texts = good.select("path", "list_order", "text").join(
+        sizing.broadcast_if_small(winners.drop("_bytes", "_split")), ["path", "list_order"]
+    )
+    return _dealt(texts.select("id", "title", "path", "list_order", "text"), winners), bad
+
+
+def _dealt(docs: DataFrame, winners: DataFrame) -> DataFrame:
+    """The documents, dealt out by id where the splits of the input would not
+    spread the work: the new texts' bytes per split are known from the winners.
+    A split with more than twice an even share of the cores (one large row
+    group, few splits, new documents in one corner of the input) costs one
+    shuffle of the texts; inputs in many even splits stay where they are."""
+    per_split = winners.groupBy("_split").agg(F.sum("_bytes").alias("b"))
+    total, largest = per_split.agg(F.coalesce(F.sum("b"), F.lit(0)), F.coalesce(F.max("b"), F.lit(0))).first()
+    cores = max(1, docs.sparkSession.sparkContext.defaultParallelism)
+    if total <= MIN_DEALT_BYTES or largest * cores <= 2 * total:
+        return docs
+    return docs.repartition(max(cores, math.ceil(total / DEALT_BYTES)), "id")
 
 
 def stage(files: DataFrame, registry: DataFrame | None, cfg: EngineConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:

@@ -262,6 +262,28 @@ FROM (SELECT conv_id, string_agg(text, '' ORDER BY turn) AS text FROM conversati
     + """
 SELECT r.query_id, r.rank, r.file_path, length(f.text) AS n_chars, f.path IS NULL AS missing
 FROM ret r LEFT JOIN files f ON f.path = r.file_path""",
+    "folder_scan": f"""
+WITH written AS (
+  SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN '.' WHEN doc_id % 17 = 0 THEN '_' ELSE '' END || CAST(doc_id AS VARCHAR)
+      || CASE WHEN doc_id % 23 = 0 THEN '.docx' WHEN doc_id % 5 = 0 THEN '.md' ELSE '.txt' END AS name,
+    CASE WHEN doc_id % 11 = 0 THEN ''
+         ELSE replace(replace(CASE WHEN doc_id % 7 = 0 THEN replace(text, chr(10), chr(13) || chr(10)) ELSE text END,
+                              chr(13) || chr(10), chr(10)), chr(13), chr(10)) END AS text
+  FROM documents
+), judged AS (
+  SELECT name, text, CASE WHEN doc_id % 23 = 0 THEN 'Unsupported file type'
+    WHEN doc_id % 19 = 0 AND doc_id % 11 <> 0 THEN 'invalid UTF-8'
+    WHEN doc_id % 5 = 0 THEN 'no Markdown renderer given' WHEN text = '' THEN 'empty text'
+    WHEN NOT regexp_matches(text, '{NON_WHITESPACE}') THEN 'no chunks' END AS reason FROM written
+)
+SELECT name, CASE WHEN reason IS NULL THEN md5(text) END AS id, CASE WHEN reason IS NULL THEN length(text) END AS n_chars, reason
+FROM judged""",
+    "read_opened_files": with_(hits_cte("hits", "qv", "vec", RETRIEVE_K), retrieved_cte("ret", "hits", "registry"))
+    + """
+SELECT r.query_id, r.rank, f.list_order || '.txt' AS name,
+       CASE WHEN f.list_order % 9 <> 0 THEN md5(f.text) END AS id,
+       CASE WHEN f.list_order % 9 <> 0 THEN length(f.text) END AS n_chars, f.list_order % 9 = 0 AS missing
+FROM ret r JOIN files f ON f.path = r.file_path""",
     "query_features": "WITH " + QUESTIONS + ",\n" + QFEAT + "\nSELECT query_id, bucket, weight FROM qfeat",
     "retrieve_questions": with_(
         QUESTIONS, QFEAT, hits_cte("qhits", "qdense", "vec", RETRIEVE_K), retrieved_cte("qret", "qhits", "registry")
@@ -300,6 +322,8 @@ SELECT row_number() OVER (ORDER BY file_path, id) AS line_no, title AS line FROM
 }
 # streams end in the same tables as their batch counterparts
 ORACLES["stream_ingest"] = ORACLES["ingest_end_to_end"]
+ORACLES["model_features"] = ORACLES["query_features"]
+ORACLES["late_answers"] = ORACLES["format_answers"]
 ORACLES["stream_routing"] = ORACLES["route_queries"]
 
 # chunk-based queries: the chunking rule restated set-wise in SQL (oracle_chunks)
@@ -357,14 +381,21 @@ UNION ALL
 SELECT 'after third load', f.path, o.id, c.n
 FROM odds o JOIN cnt c ON c.id = o.id JOIN files f ON f.list_order = o.ord"""
 )
+PLACED = """placed AS (
+  SELECT s.doc_id, s.chunk_no, row_number() OVER (ORDER BY l.load, l.ord, l.id, s.chunk_no) - 1 AS pos
+  FROM loads l JOIN sql_chunks s ON s.doc_id = l.id)"""
+ORACLES["stored_positions"] = (
+    with_(CHUNKS, STORE, PLACED, recursive=True)
+    + """
+SELECT t.step, e.vec_id * 7 AS pos, p.doc_id
+FROM embeddings e CROSS JOIN (VALUES ('operations'), ('merged')) t(step) LEFT JOIN placed p ON p.pos = e.vec_id * 7"""
+)
 ORACLES["store_vectors"] = (
     with_(
         CHUNKS,
         feature_ctes("c", "sql_chunks", ["doc_id", "chunk_no"], "chunk", str(DEFAULT.dim)),
         STORE,
-        """placed AS (
-  SELECT s.doc_id, s.chunk_no, row_number() OVER (ORDER BY l.load, l.ord, l.id, s.chunk_no) - 1 AS pos
-  FROM loads l JOIN sql_chunks s ON s.doc_id = l.id)""",
+        PLACED,
         recursive=True,
     )
     + """

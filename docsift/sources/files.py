@@ -1,12 +1,9 @@
 """File and page sources.
 
-``read_folder`` is the folder scan: Spark's ``binaryFile`` source lists the
-direct children of a folder, decodes nothing on the driver and yields one
-row per file. Decoding, validation and extraction are column expressions,
-and failures become rows of a ``rejected`` frame, never exceptions.
-
-Known scan gaps (the source's own): names starting with '.' or '_' and
-zero-length files are not listed.
+``read_folder`` is the folder scan: one row per file of a folder, every one
+of them (``sources/folder.py``). Decoding, validation and extraction are
+column expressions, and failures become rows of a ``rejected`` frame, never
+exceptions.
 """
 
 from __future__ import annotations
@@ -18,15 +15,19 @@ from pyspark.sql import functions as F
 
 from docsift.functions import text as tx
 from docsift.operators import sizing
+from docsift.session import materialize
+from docsift.sources import folder as fld
 
 
-def read_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, modificationTime, length, content) for direct children."""
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "false")
-        .load(folder)
-    )
+#: Formats whose bytes are decoded here; files of others are listed, not opened.
+TEXT_EXTENSIONS = (".txt", ".md")
+
+
+def read_folder(
+    spark: SparkSession, folder: str, extensions: tuple[str, ...] = TEXT_EXTENSIONS, skipped_only: bool = False
+) -> DataFrame:
+    """(path, length, content, error) for the direct children of a folder."""
+    return fld.scan(spark, folder, extensions, skipped_only)
 
 
 def decode_files(raw: DataFrame, md_to_html: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -36,14 +37,16 @@ def decode_files(raw: DataFrame, md_to_html: Callable[[Column], Column] | None =
     and CR folded to LF, BOM kept. Markdown goes through ``md_to_html``, the
     caller's renderer, and the tag-run extraction; without a renderer its
     text is NULL. PDF bytes cannot be parsed here (text NULL), PDF text
-    enters through ``concat_pages`` instead."""
+    enters through ``concat_pages`` instead. An ``error`` of the reader is
+    kept as the reason to reject the file."""
     fmt = tx.detect_format("path")
     valid = F.expr("is_valid_utf8(content)")
     decoded = tx.fold_newlines(F.when(valid, F.col("content").cast("string")))
     text = F.when(fmt == "txt", decoded)
     if md_to_html is not None:
         text = text.when(fmt == "md", tx.html_text_runs(md_to_html(decoded)))
-    return raw.select("path", fmt.alias("format"), text.alias("text"), valid.alias("_utf8"))
+    cols = ["path", fmt.alias("format"), text.alias("text"), valid.alias("_utf8")]
+    return raw.select(*cols, *([F.col("error").alias("_error")] if "error" in raw.columns else []))
 
 
 def reject_reasons(files: DataFrame) -> F.Column:
@@ -53,6 +56,8 @@ def reject_reasons(files: DataFrame) -> F.Column:
     flow: type, decoding, empty text (no first line), no chunks."""
     fmt = tx.detect_format("path")
     reason = F.when(fmt.isNull(), F.lit("Unsupported file type"))
+    if "_error" in files.columns:
+        reason = reason.when(F.col("_error").isNotNull(), F.concat(F.lit("unreadable: "), F.col("_error")))
     if "_utf8" in files.columns:
         reason = reason.when(~F.col("_utf8"), F.lit("invalid UTF-8"))
     if "format" in files.columns:
@@ -68,7 +73,7 @@ def reject_reasons(files: DataFrame) -> F.Column:
 def split_rejected(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted files, rejected(path, reason))."""
     tagged = files.withColumn("_reason", reject_reasons(files))
-    good = tagged.where(F.col("_reason").isNull()).drop("_reason", "_utf8")
+    good = tagged.where(F.col("_reason").isNull()).drop("_reason", "_utf8", "_error")
     bad = tagged.where(F.col("_reason").isNotNull()).select("path", F.col("_reason").alias("reason"))
     return good, bad
 
@@ -83,16 +88,25 @@ def concat_pages(pages: DataFrame, doc_col: str, page_col: str, text_col: str) -
     )
 
 
-def read_by_path(requests: DataFrame, files: DataFrame, path_col: str = "file_path", strict: bool = False) -> DataFrame:
+def read_by_path(requests: DataFrame, files: DataFrame | None = None, path_col: str = "file_path", strict: bool = False) -> DataFrame:
     """Texts for a list of paths; input rows and duplicates kept. A
     missing path is flagged (``missing``); with ``strict`` one missing path
-    fails the whole batch, as the reproduced reader did."""
-    wanted = requests.select(F.col(path_col).alias("path")).distinct()
-    # filter the (large) file table by the requested set first: with a
-    # checked small request set the semi-join streams the files (broadcast
-    # build side); the following join is small on both sides
-    needed = files.join(sizing.broadcast_if_small(wanted), "path", "left_semi")
-    content = needed.select(F.col("path").alias("_p"), F.col("text").alias("content"))
+    fails the whole batch, as the reproduced reader did.
+
+    Without ``files`` the paths are opened: each distinct one once, by the task
+    that has it, and no other file of the folder. ``files`` (path, text) is a
+    table of texts instead."""
+    if files is None:
+        opened = materialize(decode_files(fld.open_paths(requests, path_col)), "opened-files")
+        content = opened.where(F.coalesce(F.col("_error") != fld.MISSING, F.lit(True))).select(F.col("path").alias("_p"), F.col("text").alias("content"))
+        content = sizing.broadcast_if_small(content)
+    else:
+        wanted = requests.select(F.col(path_col).alias("path")).distinct()
+        # filter the (large) file table by the requested set first: with a
+        # checked small request set the semi-join streams the files (broadcast
+        # build side); the following join is small on both sides
+        needed = files.join(sizing.broadcast_if_small(wanted), "path", "left_semi")
+        content = needed.select(F.col("path").alias("_p"), F.col("text").alias("content"))
     out = requests.join(content, requests[path_col] == content["_p"], "left")
     out = out.select(*[requests[c] for c in requests.columns], "content", F.col("_p").isNull().alias("missing"))
     if strict:

@@ -28,15 +28,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docsift.config import DEFAULT, EngineConfig
+from docsift.config import DEFAULT, NO_RELEVANT_ANSWER, EngineConfig
 from docsift.functions import features as fx
 from docsift.operators import answers as ans
 from docsift.operators import retrieval
 from docsift.plans import fixtures as fxt
 from docsift.plans import ingest
-from docsift.plans.catalog import nonzero_entries
+from docsift.plans.catalog import nonzero_entries, retrieve_questions
 from docsift.session import ensure_checkpoint_dir, materialize
+from docsift.sources import files as src
 from docsift.sources.store import Store
+from docsift.streaming.late import late_answer_stream
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -108,6 +110,22 @@ def folder_stream(spark: SparkSession, folder: str, max_files_per_trigger: int =
     )
 
 
+def ingest_folder(
+    spark: SparkSession, folder: str, store_root: str, checkpoint: str, cfg: EngineConfig = DEFAULT, featurizer=None,
+    md_to_html=None,
+) -> Store:
+    """T1 over a folder, re-runnable: the file stream takes what is new since
+    the last run. Files that Spark's file sources never list (empty ones, dot
+    and underscore names) follow in a batch of their own, so each file of the
+    folder is ingested or rejected; the anti-join drops those known already."""
+    to_files = lambda raw: ingest.files_from_folder_batch(raw, md_to_html)
+    store = ingest_stream(spark, folder_stream(spark, folder), store_root, checkpoint, to_files, cfg, featurizer)
+    left = src.read_folder(spark, folder, skipped_only=True)
+    if not left.isEmpty():
+        ingest_batch(store, to_files(left), cfg=cfg, featurizer=featurizer)
+    return store
+
+
 def answer_stream(
     spark: SparkSession,
     questions: DataFrame,
@@ -132,7 +150,8 @@ def answer_stream(
     ``respond(hits)`` -> (query_id, doc_id, response) for the retrieved
     documents (query_id, doc_id, rank, file_path) and ``converse(questions)``
     -> (query_id, response) for the others; a NULL or missing response is a
-    failed call.
+    failed call. A question id that a batch holds several times is answered
+    once in it (with the smallest text, should they differ).
 
     Each step is written once under ``out_root/<table>/batch=<id>`` (a replay
     replaces it) and read back by the next: ``routes``, ``retrieved``,
@@ -148,8 +167,8 @@ def answer_stream(
 
         current = registry() if callable(registry) else registry
         # text travels with the route: later steps do not read the source again
-        asked = batch_df.select("query_id", "text")
-        routed = put("routes", asked.join(ans.route(asked, cfg, keywords=keywords), "query_id"))
+        asked = batch_df.groupBy("query_id").agg(F.min("text").alias("text"))
+        routed = put("routes", asked.withColumn("route", ans.route_of("text", cfg, keywords=keywords)))
         routes = routed.select("query_id", "route")
         wanted = routed.where(F.col("route") == "retrieve").select("query_id", "text")
         hits = put("retrieved", retrieval.retrieve(vectors, current, embed(wanted), cfg.retrieve_k, cfg, dim=dim))
@@ -213,6 +232,58 @@ def stream_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{_answered(spark, sf_dir)}/answers").drop("batch")
 
 
+#: Rounds of ten minutes in which the fixture questions are asked.
+ANSWER_ROUNDS = 3
+
+
+def late_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J5 + F16 + T2 with late answers: hits and answers come in rounds of ten
+    minutes. Answers arrive in the round of their question or the next, a third
+    of them twice; of the failed calls a half report NULL, a quarter never
+    come and a quarter come after the limit. The answers of all questions
+    equal those of ``format_answers``."""
+    root = _scratch(spark, "late-answers")
+    hits = materialize(retrieve_questions(spark, sf_dir), "retrieved")
+    keyed = hits.select("query_id", F.col("id").alias("doc_id"), "rank", "file_path")
+    answered = materialize(keyed.join(fxt.responses(spark, sf_dir, keyed), ["query_id", "doc_id"]), "responses")
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    key = F.pmod(F.xxhash64("query_id"), F.lit(600 * ANSWER_ROUNDS))
+    asked_at = F.timestampadd("SECOND", key.cast("int"), start)
+    per_query = keyed.groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("n_hits"))
+    asked = materialize(
+        keyed.join(per_query, "query_id").withColumns({"asked_at": asked_at, "round": (key / 600).cast("int")}), "asked"
+    )
+    kind = F.pmod(F.xxhash64("query_id", "doc_id"), F.lit(12))
+    delay = F.pmod(F.xxhash64("doc_id", "query_id"), F.lit(540)).cast("int")
+    late = F.col("response").isNull() & (kind % 4 == 1)  # 20 minutes: after the limit
+    came = answered.withColumns({
+        "answered_at": F.timestampadd("SECOND", delay + F.when(late, 1200).otherwise(0), asked_at),
+        "copies": F.when(F.col("response").isNull() & (kind % 4 == 0), F.array().cast("array<int>"))
+        .when(kind % 3 == 0, F.array(F.lit(0), F.lit(1))).when(kind % 3 == 1, F.array(F.lit(1))).otherwise(F.array(F.lit(0))),
+    })
+    came = came.withColumn("response", F.when(late, F.lit("too late")).otherwise(F.col("response")))
+    seconds = F.unix_timestamp("answered_at") - F.unix_timestamp(start)
+    came = came.select("query_id", "doc_id", "response", "answered_at", F.explode("copies").alias("again"))
+    came = materialize(came.withColumn("round", (seconds / 600 + F.col("again")).cast("int")).drop("again"), "came")
+    last = ANSWER_ROUNDS + 4
+    folders = {"hits": asked, "responses": came}
+    schemas = {name: df.drop("round").schema for name, df in folders.items()}
+    end = spark.range(2).select((F.lit(-1) - F.col("id")).alias("query_id"), F.timestampadd("DAY", F.lit(30), start).alias("at"))
+    ticks = {
+        "hits": end.selectExpr("query_id", "'' AS doc_id", "1L AS rank", "1 AS n_hits", "'' AS file_path", "at AS asked_at"),
+        "responses": end.selectExpr("query_id", "'none' AS doc_id", "'' AS response", "at AS answered_at"),
+    }
+    for turn in range(last + 2):
+        for name, df in folders.items():  # the last two turns only move the clock
+            new = df.where(F.col("round") == turn).drop("round") if turn < last else ticks[name]
+            new.select(schemas[name].names).write.mode("append").parquet(f"{root}/{name}")
+        read = lambda name: spark.readStream.schema(schemas[name]).parquet(f"{root}/{name}")
+        late_answer_stream(spark, read("hits"), read("responses"), f"{root}/out", f"{root}/checkpoint")
+    given = spark.read.parquet(f"{root}/out/answers").select("query_id", "answer").where("query_id >= 0")
+    no_hits = fxt.questions(spark, sf_dir).select("query_id").join(per_query, "query_id", "left_anti")
+    return given.unionByName(no_hits.withColumn("answer", F.lit(NO_RELEVANT_ANSWER)))
+
+
 def _loaded_store(spark: SparkSession, sf_dir: str) -> tuple[Store, DataFrame]:
     """A store after: even files, two deletes (list order by 5, then by 7)."""
     store = Store(spark, f"{_scratch(spark, 'store')}/store")
@@ -265,6 +336,20 @@ def store_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nonzero_entries(store.vectors(), "pos", "doc_id")
 
 
+def stored_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J2 + S9 on the stored vectors: positions (also some past the end) looked
+    up among the operations, then again after the past ones were merged."""
+    store, files = _loaded_store(spark, sf_dir)
+    ingest_batch(store, files, 1)
+    asked = fxt.table(spark, sf_dir, "embeddings").select((F.col("vec_id") * 7).alias("pos"))
+    found = []
+    for step in ("operations", "merged"):
+        if step == "merged":
+            store.merge()
+        found.append(materialize(store.lookup_positions(asked).select(F.lit(step).alias("step"), "pos", "doc_id"), "positions"))
+    return found[0].unionByName(found[1])
+
+
 def registry_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the stored registry and vectors before and after a
     clear."""
@@ -288,7 +373,9 @@ QUERIES = {
     "stream_routing": stream_routing,
     "stream_retrieved": stream_retrieved,
     "stream_answers": stream_answers,
+    "late_answers": late_answers,
     "store_lifecycle": store_lifecycle,
     "store_vectors": store_vectors,
+    "stored_positions": stored_positions,
     "registry_clear": registry_clear,
 }

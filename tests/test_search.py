@@ -66,12 +66,6 @@ def test_near_ties_resolved_exactly(spark):
     assert got == [b for _, b in _brute(V, Q, 1)[100]]
 
 
-def test_l2_expression_matches_numpy(spark):
-    df = spark.createDataFrame([([1.0, 2.0, 3.0], [0.5, -1.0, 4.0])], "a array<float>, b array<float>")
-    got = df.select(search.l2_squared("a", "b").alias("d")).first().d
-    assert abs(got - (0.25 + 9.0 + 1.0)) < 1e-12
-
-
 def test_null_vectors_are_skipped(spark):
     v = spark.createDataFrame(
         [(0, "a", [0.0, 0.0]), (1, "b", None), (2, "c", [1.0, 1.0])], "pos long, doc_id string, embedding array<float>"

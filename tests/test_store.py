@@ -2,12 +2,15 @@
 (M9), re-ingest after delete appends again (M10), clear (M11), width change
 (M12), replay safety (M13)."""
 
+import os
 import tempfile
 
 from pyspark.sql import functions as F
 
 from docsift.config import EngineConfig
+from docsift.operators import registry as reg
 from docsift.operators import retrieval
+from docsift.operators import vectors as vec
 from docsift.sources.store import Store
 from docsift.streaming.jobs import ingest_batch
 
@@ -126,3 +129,70 @@ def test_staging_is_removed_after_the_ingest(spark):
     st = _store(spark)
     op = ingest_batch(st, _files(spark, DOCS), 0, CFG)
     assert not os.path.exists(st.staging(op)) and set(_ids(st)) == {"kb/a.txt", "kb/b.txt"}
+
+
+def _plain(df):
+    return sorted((tuple(tuple(x) if isinstance(x, list) else x for x in r) for r in df.collect()), key=repr)
+
+
+def _opened(df):
+    """Files that hold rows of the frame."""
+    return {r[0] for r in df.select(F.input_file_name()).distinct().collect()}
+
+
+def test_merge_bounds_the_files_and_keeps_every_row(spark):
+    """Many operations become a few files; rows, replays, deletes and clears stay as they were."""
+    st = _store(spark)
+    for i in range(24):
+        docs = spark.createDataFrame([(f"d{i}", f"T{i}", f"kb/{i}.txt", "processed")], reg.REGISTRY_SCHEMA).coalesce(1)
+        op = st._log("ingest", i)
+        st.write("vectors", spark.createDataFrame([(3 * i + j, f"d{i}", [float(i), float(j)]) for j in range(3)], vec.VECTOR_SCHEMA).coalesce(1), op)
+        st.record_ingest(op, 3 * i)
+        st.write("registry", docs, op)
+    gone = st.delete(spark.createDataFrame([("d5",), ("d23",)], "id string"))
+    before = _plain(st.registry()), _plain(st.vectors())
+    assert len(st.registry().inputFiles()) >= 24
+    op = st.merge()
+    assert op == gone + 1 and (_plain(st.registry()), _plain(st.vectors())) == before
+    # the last ingest may be replayed, so it is not merged: its own folder and the merged files
+    cores = spark.sparkContext.defaultParallelism
+    past = Store(spark, st.root)._merged("registry", op)
+    assert len(spark.read.parquet(past).inputFiles()) <= cores
+    assert len(_opened(spark.read.parquet(past).where("id = 'd17'"))) == 1  # sorted: an id is in one file
+    assert st.begin_ingest(3) == 3 and st.begin_ingest(23) == 23  # old batch ids are still known
+    st.write("registry", docs, 23)  # a replay of the last ingest overwrites its own rows
+    assert _plain(st.registry()) == before[0]
+    assert st.next_position(before=op + 1) == 72
+    assert st.merge() is None  # nothing new
+    again = _files(spark, DOCS[:1])
+    ingest_batch(st, again, 24, EngineConfig(dim=2))
+    assert min(r.pos for r in st.vectors().where("length(doc_id) > 3").collect()) == 72
+    rows = _plain(st.registry()), _plain(st.vectors())
+    assert st.merge() > op and (_plain(st.registry()), _plain(st.vectors())) == rows
+    left = [f for f in os.listdir(f"{st.root}/registry") if f.startswith("op=")]
+    assert len(left) <= 3  # folders that the first merge replaced are gone
+    st.clear()
+    assert st.registry().count() == 0 and st.vectors().count() == 0
+    ingest_batch(st, again, 25, EngineConfig(dim=2))
+    st.merge(keep_last=0)
+    assert [r.file_path for r in st.registry().collect()] == ["kb/a.txt"] and min(r.pos for r in st.vectors().collect()) == 0
+
+
+def test_position_lookup_opens_the_operations_it_needs(spark):
+    st = _store(spark)
+    for i in range(5):
+        op = st._log("ingest", i)
+        rows = [(10 * i + j, f"d{i}", [float(j)]) for j in range(10)]
+        st.write("vectors", spark.createDataFrame(rows, vec.VECTOR_SCHEMA).coalesce(1), op)
+        st.record_ingest(op, 10 * i)
+    asked = spark.createDataFrame([(12,), (17,), (17,), (31,), (99,), (None,)], "pos long")
+    expected = [(12, "d1"), (17, "d1"), (17, "d1"), (31, "d3"), (99, None), (None, None)]
+    found = st.lookup_positions(asked)
+    assert _plain(found) == sorted(expected, key=repr)
+    plan = found._jdf.queryExecution().toString()
+    assert "PartitionFilters: [" in plan and "op#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "IN (1,3)" in plan or "(op#" in plan
+    st.merge()
+    assert _plain(st.lookup_positions(asked)) == sorted(expected, key=repr)
+    none = spark.createDataFrame([(99,)], "pos long")
+    assert _plain(st.lookup_positions(none)) == [(99, None)]

@@ -10,7 +10,7 @@ from docsift.config import APOLOGY
 from docsift.operators import registry as reg
 from docsift.operators import vectors as vec
 from docsift.plans import catalog, fixtures, ingest
-from docsift.streaming import jobs
+from docsift.streaming import jobs, late
 
 from .conftest import SF001
 
@@ -124,24 +124,79 @@ def test_folder_stream_skips_seen_files_and_seen_content(spark):
             f.write(text)
 
     def run():
-        return jobs.ingest_stream(
-            spark, jobs.folder_stream(spark, src), f"{root}/store", f"{root}/ckpt",
-            lambda b: ingest.files_from_folder_batch(b, lambda c: F.concat(F.lit("<p>"), c, F.lit("</p>"))),
-        )
+        wrap = lambda c: F.concat(F.lit("<p>"), c, F.lit("</p>"))
+        return jobs.ingest_folder(spark, src, f"{root}/store", f"{root}/ckpt", md_to_html=wrap)
 
     put("one.txt", "First doc\n" + "alpha " * 80)
+    put("empty.txt", "")
+    put("_list.txt", "Under doc")
     put("two.md", "Second doc\n\nbody text here")
     store = run()
-    first = sorted(r.file_path.rsplit("/", 1)[-1] for r in store.registry().collect())
-    assert first == ["one.txt", "two.md"]
+    listed = lambda: sorted(r.file_path.rsplit("/", 1)[-1] for r in store.registry().collect())
+    assert listed() == ["_list.txt", "one.txt", "two.md"]
+    assert {r.path.rsplit("/", 1)[-1]: r.reason for r in store.rejected().collect()} == {"empty.txt": "empty text"}
     n_vec = store.vectors().count()
     put("copy.txt", "First doc\n" + "alpha " * 80)  # same content, new file
     put("three.txt", "Third doc\nshort")
+    put(".dot.txt", "Dot doc")
     store = run()
-    names = sorted(r.file_path.rsplit("/", 1)[-1] for r in store.registry().collect())
-    assert names == ["one.txt", "three.txt", "two.md"]
+    assert listed() == [".dot.txt", "_list.txt", "one.txt", "three.txt", "two.md"]
     pos = sorted(r.pos for r in store.vectors().collect())
-    assert pos == list(range(len(pos))) and len(pos) == n_vec + 1
+    assert pos == list(range(len(pos))) and len(pos) == n_vec + 2
+
+
+def test_repeated_questions_are_answered_once_a_batch(spark):
+    root = tempfile.mkdtemp(prefix="docsift-repeat-")
+    schema = "query_id long, text string"
+    vectors = spark.createDataFrame([(i, f"d{i}", [1.0, float(i)]) for i in range(4)], "pos long, doc_id string, embedding array<float>")
+    registry = spark.createDataFrame([(f"d{i}", f"T{i}", f"kb/{i}.txt", "processed") for i in range(4)], reg.REGISTRY_SCHEMA)
+    asked = [(1, "the one"), (1, "the one"), (1, "the one"), (2, "hello"), (2, "hello"), (3, "the third")]
+    spark.createDataFrame(asked, schema).repartition(3).write.parquet(f"{root}/in")
+    out = jobs.answer_stream(
+        spark, spark.readStream.schema(schema).parquet(f"{root}/in"), vectors, lambda: registry, f"{root}/out", f"{root}/ckpt",
+        embed=lambda q: q.select("query_id", F.array(F.lit(1.0), F.lit(0.0)).alias("embedding")),
+        respond=lambda h: h.select("query_id", "doc_id", F.lit("Yes.").alias("response")),
+        converse=lambda q: q.select("query_id", F.lit("Hi.").alias("response")), keywords=("the",), dim=2,
+    )
+    routes = spark.read.parquet(f"{out}/routes").groupBy("query_id").count().collect()
+    assert {r.query_id: r["count"] for r in routes} == {1: 1, 2: 1, 3: 1}
+    hits = sorted((r.query_id, r["rank"], r.id) for r in spark.read.parquet(f"{out}/retrieved").collect())
+    assert hits == [(q, i + 1, f"d{i}") for q in (1, 3) for i in range(3)]
+    assert sorted(r.query_id for r in spark.read.parquet(f"{out}/answers").collect()) == [1, 2, 3]
+
+
+def test_late_answers_settle_once(spark):
+    """An answer in time, in a later batch, twice, after the limit, failed and
+    never: one reply per question, when its last document is settled."""
+    root = tempfile.mkdtemp(prefix="docsift-late-")
+    hit = "query_id long, doc_id string, rank long, n_hits int, file_path string, asked_at string"
+    reply = "query_id long, doc_id string, response string, answered_at string"
+    at = lambda minute: f"2024-01-01 {minute // 60:02}:{minute % 60:02}:00"
+
+    def feed(hits, replies):
+        for name, schema, rows, when in (("hits", hit, hits, "asked_at"), ("replies", reply, replies, "answered_at")):
+            df = spark.createDataFrame(rows, schema)
+            df.withColumn(when, F.col(when).cast("timestamp")).write.mode("append").parquet(f"{root}/{name}")
+        streams = [spark.readStream.schema(spark.read.parquet(f"{root}/{n}").schema).parquet(f"{root}/{n}") for n in ("hits", "replies")]
+        late.late_answer_stream(spark, *streams, f"{root}/out", f"{root}/ckpt", "10 minutes", "1 minute")
+        return {r.query_id: r.answer for r in spark.read.parquet(f"{root}/out/answers").collect()}
+
+    got = feed(
+        [(1, "a", 1, 2, "fa", at(0)), (1, "b", 2, 2, "fb", at(0)), (2, "a", 1, 1, "fa", at(1)), (3, "a", 1, 1, "fa", at(1)),
+         (4, "c", 1, 1, "fc", at(1)), (5, "a", 1, 1, "fa", at(1))],
+        [(1, "a", "A1", at(2)), (5, "a", None, at(2)), (9, "z", "nobody asked", at(2))],
+    )
+    assert set(got) == {5} and APOLOGY in got[5]  # 1 waits for b
+    got = feed([(6, "a", 1, 1, "fa", at(4))], [(1, "a", "A1", at(3)), (1, "b", "B1", at(4)), (2, "a", "A2", at(4))])
+    assert set(got) == {1, 2, 5} and got[1].index("A1") < got[1].index("B1") and got[1].count("A1") == 1
+    got = feed([(7, "a", 1, 1, "fa", at(30))], [(3, "a", "too late", at(30)), (6, "a", "A6", at(12))])
+    got = feed([(8, "a", 1, 1, "fa", at(31))], [(8, "a", "A8", at(31))])
+    assert set(got) == {1, 2, 3, 4, 5, 6, 8}  # 7 is still open
+    assert APOLOGY in got[3] and APOLOGY in got[4] and "A6" in got[6]
+    answers = spark.read.parquet(f"{root}/out/answers")
+    assert answers.count() == answers.select("query_id").distinct().count() == 7
+    waiting = spark.read.parquet(f"{root}/out/pending").where("batch = 0")
+    assert {r.query_id for r in waiting.collect()} == {1}
 
 
 def test_cli_ingest_and_ask(spark, capsys):

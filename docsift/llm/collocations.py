@@ -47,7 +47,8 @@ MIN_COUNT = 10
 SUBSUMED_PERCENT = 50
 TOP = 2000
 UNKNOWN_LANG = "und"
-FLUSH_WORDS = 1 << 20
+#: Words that a task holds before it emits their windows: the more, the fewer windows are emitted twice.
+FLUSH_WORDS = 1 << 22
 PIECE = 1 << 20
 #: Characters that end a piece; all of them become one mark, a word of its own.
 _ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -84,15 +85,15 @@ class _Block:
         self.ids: list[np.ndarray] = []
 
     def add(self, words: list[bytes]) -> None:
-        self.ids.append(np.fromiter(map(self.number.__getitem__, words), np.int64, len(words)))
+        self.ids.append(np.fromiter(map(self.number.__getitem__, words), np.int32, len(words)))
 
     def windows(self, longest: int) -> tuple[list[np.ndarray], np.ndarray]:
         """Columns of the distinct padded windows (numbers), and their counts."""
-        ids = np.concatenate([*self.ids, np.zeros(longest, np.int64)])
+        ids = np.concatenate([*self.ids, np.zeros(longest, np.int32)])
+        self.ids.clear()
         columns = [ids[: len(ids) - longest]]
         for lead in range(1, longest):
-            nxt = ids[lead : len(ids) - longest + lead]
-            columns.append(np.where(columns[-1] == 0, 0, nxt))
+            columns.append(np.where(columns[-1] == 0, np.int32(0), ids[lead : len(ids) - longest + lead]))
         opens = columns[0] != 0
         columns = [c[opens] for c in columns]
         key, span, base = np.zeros(len(columns[0]), np.int64), 1, len(self.number)

@@ -70,7 +70,7 @@ class EngineConfig:
     # Largest side broadcast by a join whose size is only known at run time.
     max_broadcast_rows: int = 2_000_000
     max_broadcast_bytes: int = 256 * 1024 * 1024
-    # Documents longer than this are chunked unit by unit across tasks.
+    # Documents longer than this are chunked cell by cell across tasks.
     split_doc_chars: int = 1_000_000
 
     def with_(self, **kw) -> "EngineConfig":

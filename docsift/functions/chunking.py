@@ -20,8 +20,6 @@ list array per batch); ``posexplode`` turns them into rows.
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,10 +27,9 @@ from pyspark.sql import types as T
 
 from docsift.config import CHUNK_OVERLAP, CHUNK_SIZE, SEPARATORS
 
-# documents longer than this are chunked unit by unit across tasks
+# documents longer than this are chunked cell by cell across tasks
 SPLIT_DOC_CHARS = 1_000_000
-# a run of short pieces is cut in units of about this length
-UNIT_CHARS = 250_000
+CELL_CHARS = 1_000_000
 
 
 def _strip_span(text: str, a: int, b: int):
@@ -109,70 +106,6 @@ def _split(text, lo, hi, seps, size, overlap, out):
         _merge(text, run, size, overlap, out)
 
 
-def _run_units(edges: list[int], size: int, overlap: int, unit_chars: int) -> list[tuple[int, int]]:
-    """Cuts a run of short pieces (``edges``: where they begin, and the end) in
-    spans of about ``unit_chars``. Where the merge begins a group follows from
-    where it began the last one, so a span that begins there goes on as the
-    whole run would; the span before ends with the group that overflowed."""
-    out, first, start = [], 0, 0
-    while (i := bisect_right(edges, edges[start] + size) - 1) < len(edges) - 1:  # piece i overflows
-        start = min(i, bisect_left(edges, max(edges[i] - overlap, edges[i + 1] - size), start))
-        if edges[i] - edges[first] >= unit_chars:
-            out.append((edges[first], edges[i]))
-            first = start
-    out.append((edges[first], edges[-1]))
-    return out
-
-
-def chunk_units(text: str, size: int = CHUNK_SIZE, separators=SEPARATORS, overlap: int = CHUNK_OVERLAP,
-                unit_chars: int = UNIT_CHARS) -> list[tuple[int, int, int, int]]:
-    """Independent units of a text: (start, end, kind, sep_index).
-
-    At the top separator level every long piece (kind 1) and every maximal
-    run of short pieces (kind 0) is chunked on its own: runs are merged,
-    long pieces split with the later separators, and no state crosses a
-    unit boundary. A long run is cut where the merge begins a group, so its
-    units overlap as the chunks do. So a huge document can be chunked unit by
-    unit in parallel; its chunks are the units' chunks in unit order."""
-    sep, si = separators[-1], len(separators) - 1
-    for i, s_ in enumerate(separators):
-        if s_ == "" or s_ in text:
-            sep, si = s_, i
-            break
-    units: list[tuple[int, int, int, int]] = []
-    run: list[int] = []  # the edges of the run's pieces, which follow each other without gaps
-
-    def close():
-        units.extend((a, b, 0, si) for a, b in _run_units(run, size, overlap, unit_chars))
-        run.clear()
-
-    for a, b in _pieces(text, 0, len(text), sep):
-        if b - a < size:
-            run.extend((b,) if run else (a, b))
-            continue
-        if run:
-            close()
-        units.append((a, b, 1, si))
-    if run:
-        close()
-    return units
-
-
-def unit_spans(unit: str, kind: int, si: int, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
-               separators=SEPARATORS) -> list[tuple[int, int]]:
-    """Chunk spans of one unit (offsets relative to the unit)."""
-    out: list[tuple[int, int]] = []
-    if kind == 0:
-        _merge(unit, _pieces(unit, 0, len(unit), separators[si]), size, overlap, out)
-    elif si + 1 < len(separators):
-        _split(unit, 0, len(unit), tuple(separators[si + 1:]), size, overlap, out)
-    else:  # a long piece with no separator left is kept whole
-        sp = _strip_span(unit, 0, len(unit))
-        if sp:
-            out.append(sp)
-    return out
-
-
 def chunk_spans(text: str | None, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
                 separators=SEPARATORS) -> list[tuple[int, int]]:
     """Chunk boundaries as [start, end) code-point offsets."""
@@ -242,132 +175,63 @@ def explode_chunks(df: DataFrame, chunks_col: str, keep: list[str]) -> DataFrame
     )
 
 
-UNIT_TYPE = T.ArrayType(
-    T.StructType(
-        [
-            T.StructField("start", T.IntegerType()),
-            T.StructField("kind", T.IntegerType()),
-            T.StructField("sep", T.IntegerType()),
-            T.StructField("text", T.StringType()),
-        ]
-    )
-)
-
-
-def _units_udf(size: int, overlap: int, separators):
-    @F.arrow_udf(UNIT_TYPE)
-    def units(texts: pa.Array) -> pa.Array:
-        starts: list[int] = []
-        kinds: list[int] = []
-        seps: list[int] = []
-        bodies: list[str] = []
-        offsets = [0]
-        for t in texts.to_pylist():
-            for a, b, kind, si in chunk_units(t or "", size, separators, overlap):
-                starts.append(a)
-                kinds.append(kind)
-                seps.append(si)
-                bodies.append(t[a:b])
-            offsets.append(len(bodies))
-        items = pa.StructArray.from_arrays(
-            [pa.array(starts, type=pa.int32()), pa.array(kinds, type=pa.int32()), pa.array(seps, type=pa.int32()),
-             pa.array(bodies, type=pa.string())],
-            names=["start", "kind", "sep", "text"],
-        )
-        return pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), items)
-
-    return units
-
+def _cells_udf(cell_chars: int):
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def cells(texts: pa.Array) -> pa.Array:
+        cut = [[t[i : i + cell_chars] for i in range(0, len(t or ""), cell_chars)] for t in texts.to_pylist()]
+        return pa.array(cut, pa.list_(pa.string()))
 
-def _unit_chunks_udf(size: int, overlap: int, separators):
-    @F.arrow_udf(CHUNK_TYPE)
-    def unit_chunks(texts: pa.Array, kinds: pa.Array, seps: pa.Array) -> pa.Array:
-        starts: list[int] = []
-        ends: list[int] = []
-        pieces: list[str] = []
-        offsets = [0]
-        for t, kind, si in zip(texts.to_pylist(), kinds.to_pylist(), seps.to_pylist()):
-            for a, b in unit_spans(t, kind, si, size, overlap, separators):
-                starts.append(a)
-                ends.append(b)
-                pieces.append(t[a:b])
-            offsets.append(len(pieces))
-        items = pa.StructArray.from_arrays(
-            [pa.array(starts, type=pa.int32()), pa.array(ends, type=pa.int32()), pa.array(pieces, type=pa.string())],
-            names=["start", "end", "chunk"],
-        )
-        return pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), items)
-
-    return unit_chunks
+    return cells
 
 
-def chunk_or_units(text_col: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, separators=SEPARATORS,
-                   split_chars: int = SPLIT_DOC_CHARS) -> tuple[Column, Column]:
+def chunk_or_cells(text_col: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, separators=SEPARATORS,
+                   split_chars: int = SPLIT_DOC_CHARS, cell_chars: int = CELL_CHARS) -> tuple[Column, Column]:
     """Two columns for one pass over the documents: the chunks of documents
-    up to ``split_chars`` characters, and the independent units of longer
-    ones. Each UDF sees NULL for the other kind, so a huge document is never
-    chunked whole inside one task."""
-    seps = tuple(separators)
+    up to ``split_chars`` characters, and the cells of longer ones, which are
+    cut but not searched here (``slices``). Each UDF sees NULL for the other
+    kind, so a huge document is never chunked whole inside one task."""
     length = F.length(text_col)
     small_text = F.when(length <= split_chars, F.col(text_col))
     big_text = F.when(length > split_chars, F.col(text_col))
-    return chunk_array(small_text, size, overlap, seps), _units_udf(size, overlap, seps)(big_text)
+    return chunk_array(small_text, size, overlap, tuple(separators)), _cells_udf(cell_chars)(big_text)
 
 
-def rows_from_staged(staged: DataFrame, keep: list[str], chunks_col: str = "chunks", units_col: str = "units",
-                     size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, separators=SEPARATORS) -> DataFrame:
+def rows_from_staged(staged: DataFrame, keep: list[str], chunks_col: str = "chunks", cells_col: str = "cells",
+                     size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, separators=SEPARATORS,
+                     split_chars: int = SPLIT_DOC_CHARS, cell_chars: int = CELL_CHARS) -> DataFrame:
     """Chunk rows (keep..., chunk_no, start, end, chunk) from a document-level
-    table holding ``chunks`` (small documents) and ``units`` (huge ones).
+    table holding ``chunks`` (small documents) and ``cells`` (huge ones);
+    ``keep[0]`` names the document.
 
-    Units are spread over tasks by a hash of (document, unit), chunked per
-    unit and numbered with the distributed prefix sum. The unit branch is
-    only planned when some document has units (a pruned read of that column)."""
+    Cells are chunked by tasks of their own (``slices``). That branch is only
+    planned when some document has cells (a pruned read of that column)."""
     whole = explode_chunks(staged.where(F.size(chunks_col) > 0), chunks_col, keep)
-    with_units = staged.where(F.size(units_col) > 0)
-    if with_units.select(units_col).isEmpty():
+    huge = staged.where(F.size(cells_col) > 0)
+    if huge.select(cells_col).isEmpty():
         return whole
-    from docsift.operators import vectors as vec
-
-    seps = tuple(separators)
-    units = with_units.select(*keep, F.posexplode(units_col).alias("unit_no", "_u"))
-    spread = units.repartition(F.col(keep[0]), F.col("unit_no"))
-    per_unit = spread.select(
-        *keep, "unit_no", F.col("_u.start").alias("_ustart"),
-        _unit_chunks_udf(size, overlap, seps)(F.col("_u.text"), F.col("_u.kind"), F.col("_u.sep")).alias("_uc"),
-    )
-    # first chunk number of every unit: global prefix over (document, unit)
-    # minus the document's first value; unit-level rows only
-    counts = per_unit.select(keep[0], "unit_no", F.size("_uc").cast("bigint").alias("_n"))
-    glob = vec.document_offsets(counts, [keep[0], "unit_no"], "_n", 0)
-    doc_first = glob.groupBy(keep[0]).agg(F.min("first_pos").alias("_d0"))
-    unit_first = glob.join(doc_first, keep[0]).select(
-        keep[0], "unit_no", (F.col("first_pos") - F.col("_d0")).alias("_u0")
-    )
-    rows = per_unit.join(unit_first, [keep[0], "unit_no"]).select(
-        *keep, "_ustart", "_u0", F.posexplode("_uc").alias("_local", "_c")
-    )
-    split = rows.select(
-        *keep,
-        (F.col("_u0") + F.col("_local")).cast("bigint").alias("chunk_no"),
-        (F.col("_ustart") + F.col("_c.start")).cast("bigint").alias("start"),
-        (F.col("_ustart") + F.col("_c.end")).cast("bigint").alias("end"),
-        F.col("_c.chunk").alias("chunk"),
-    )
-    return whole.unionByName(split)
+    from docsift.functions import slices
+    from docsift.operators.sizing import broadcast_if_small
+
+    cells = huge.select(F.col(keep[0]).cast("string").alias("doc"), F.posexplode(cells_col).alias("_i", "text"))
+    parts = cells.select("doc", (F.col("_i") * F.lit(cell_chars)).cast("bigint").alias("offset"), "text")
+    chunks = slices.numbered(slices.chunk_parts(parts, size, overlap, separators, cell_chars, split_chars))
+    docs = broadcast_if_small(huge.select(*keep))
+    rows = chunks.join(docs, chunks["doc"] == docs[keep[0]].cast("string"))
+    return whole.unionByName(rows.select(*keep, "chunk_no", "start", "end", "chunk"))
 
 
 def chunk_rows(df: DataFrame, text_col: str, keep: list[str], size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
-               separators=SEPARATORS, split_chars: int = SPLIT_DOC_CHARS) -> DataFrame:
+               separators=SEPARATORS, split_chars: int = SPLIT_DOC_CHARS, cell_chars: int = CELL_CHARS) -> DataFrame:
     """F13 as a job: documents -> (keep..., chunk_no, start, end, chunk).
 
-    One pass computes chunks (or, for documents over ``split_chars``, units);
+    One pass computes chunks (or, for documents over ``split_chars``, cells);
     that document-level result is written once under the checkpoint
     directory, and the rows are read from it (``rows_from_staged``)."""
     from docsift.session import materialize
 
-    chunks, units = chunk_or_units(text_col, size, overlap, separators, split_chars)
-    staged = materialize(df.select(*keep, chunks.alias("chunks"), units.alias("units")), "chunk-staging")
-    return rows_from_staged(staged, keep, size=size, overlap=overlap, separators=separators)
+    chunks, cells = chunk_or_cells(text_col, size, overlap, separators, split_chars, cell_chars)
+    staged = materialize(df.select(*keep, chunks.alias("chunks"), cells.alias("cells")), "chunk-staging")
+    return rows_from_staged(staged, keep, size=size, overlap=overlap, separators=separators, split_chars=split_chars, cell_chars=cell_chars)
 
 
 chunk = chunk_rows  # F13 as a job

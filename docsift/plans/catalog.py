@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from docsift.config import DEFAULT
 from docsift.functions import chunking
 from docsift.functions import features as fx
+from docsift.functions import slices
 from docsift.functions import text as tx
 from docsift.operators import answers as ans
 from docsift.operators import registry as reg
@@ -393,6 +394,15 @@ def chunk_features(spark, d):
     return nonzero_entries(dense, "doc_id", "chunk_no")
 
 
+def page_chunks(spark, d):
+    """S5 + A4 + F13: conversations as page tables, chunked across the page
+    borders without the whole string; cells of a thousand characters, so that
+    most documents have several."""
+    c = fxt.table(spark, d, "conversations")
+    out = slices.chunk_pages(c, "conv_id", "turn", "text", cell_chars=1000, split_chars=2000)
+    return out.select(F.col("doc").alias("doc_id"), "chunk_no", "start", "chunk")
+
+
 def nonzero_entries(vectors: DataFrame, *keys: str) -> DataFrame:
     """Dense vectors as (keys, bucket, weight), zeros left out."""
     e = vectors.select(*keys, F.posexplode("embedding").alias("bucket", "weight")).where(F.col("weight") != 0)
@@ -453,6 +463,7 @@ QUERIES: dict[str, Query] = {
     "title_message": title_message,
     "chunks": chunks,
     "chunk_counts": chunk_counts,
+    "page_chunks": page_chunks,
     "chunk_features": chunk_features,
     "ingest_end_to_end": ingest_end_to_end,
     "ingest_positions": ingest_positions,

@@ -11,7 +11,7 @@ Data flow and partitioning:
                                            written
       -> texts of the winners              semi-join by path, broadcast when few;
                                            dealt out by id if splits are uneven
-      -> chunk rows (F13)                  narrow; huge documents by units
+      -> chunk rows (F13)                  narrow; huge documents by cells
                                            spread over tasks; written once
       -> document offsets (W2)             from per-document counts: narrow
       -> explode, featurize (F14)          narrow
@@ -95,14 +95,14 @@ def _dealt(docs: DataFrame, winners: DataFrame) -> DataFrame:
 
 def stage(files: DataFrame, registry: DataFrame | None, cfg: EngineConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """Document-level result of the one pass that chunks: (id, list_order,
-    title, path, chunks, units) for the new documents, and the rejected
-    files. Chunks for ordinary documents, independent units for huge ones
+    title, path, chunks, cells) for the new documents, and the rejected
+    files. Chunks for ordinary documents, cells of text for huge ones
     (chunked later across tasks); the text itself is not kept."""
     docs, bad = new_documents(files, registry)
-    chunks, units = chunking.chunk_or_units(
+    chunks, cells = chunking.chunk_or_cells(
         "text", cfg.chunk_size, cfg.chunk_overlap, cfg.separators, cfg.split_doc_chars
     )
-    return docs.select("id", "list_order", "title", "path", chunks.alias("chunks"), units.alias("units")), bad
+    return docs.select("id", "list_order", "title", "path", chunks.alias("chunks"), cells.alias("cells")), bad
 
 
 def ingest(
@@ -125,11 +125,12 @@ def ingest(
     staged_lazy, bad = stage(files, registry, cfg)
     staged = materialize(staged_lazy, "ingest-staging", staging_path)
     rows = chunking.rows_from_staged(
-        staged, ["id", "list_order"], size=cfg.chunk_size, overlap=cfg.chunk_overlap, separators=cfg.separators
+        staged, ["id", "list_order"], size=cfg.chunk_size, overlap=cfg.chunk_overlap, separators=cfg.separators,
+        split_chars=cfg.split_doc_chars,
     )
     chunks = rows.withColumnRenamed("id", "doc_id")
     # one row per document that has chunks (blank ones were rejected before)
-    firsts = staged.where((F.size("chunks") > 0) | (F.size("units") > 0)).select("id", "list_order", "title", "path")
+    firsts = staged.where((F.size("chunks") > 0) | (F.size("cells") > 0)).select("id", "list_order", "title", "path")
     start = vec.next_position(vectors) if base is None else base
     fz = featurizer or fx.hashing_featurizer(cfg.dim)
     if getattr(fz, "fixed_width", None) == cfg.dim:

@@ -332,6 +332,13 @@ ORACLES["chunks"] = (
     with_(CHUNKS, recursive=True)
     + "\nSELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, start, chunk FROM sql_chunks"
 )
+ORACLES["page_chunks"] = (
+    "WITH RECURSIVE "
+    + chunk_ctes(
+        "SELECT CAST(conv_id AS VARCHAR) AS doc_id, string_agg(text, '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id"
+    )
+    + "\nSELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, start, chunk FROM sql_chunks"
+)
 ORACLES["chunk_counts"] = (
     with_(CHUNKS, recursive=True) + "\nSELECT doc_id, count(*) AS n_chunks FROM sql_chunks GROUP BY doc_id"
 )

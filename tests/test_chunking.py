@@ -121,27 +121,11 @@ def test_spark_chunks_equal_python(spark):
 
 
 def test_split_path_equals_whole_path(spark):
-    """Long documents chunked unit by unit across tasks give the same rows
+    """Long documents chunked cell by cell across tasks give the same rows
     as chunking each document whole (threshold lowered to force it)."""
     from docsift.functions import chunking
 
     docs = spark.read.parquet(f"{SF01}/documents.parquet").select(F.col("doc_id").cast("string").alias("d"), "text")
     whole = chunking.explode_chunks(docs.withColumn("_c", chunking.chunk_array("text")), "_c", ["d"])
-    split = chunking.chunk_rows(docs, "text", ["d"], split_chars=500)
+    split = chunking.chunk_rows(docs, "text", ["d"], split_chars=500, cell_chars=700)
     assert sorted(tuple(r) for r in split.collect()) == sorted(tuple(r) for r in whole.collect())
-
-
-def test_run_of_short_lines_is_cut_in_units():
-    import random
-
-    from docsift.functions import chunking
-
-    rng = random.Random(5)
-    for unit_chars in (1, 700, 5000):
-        for longest in (5, 60, 299):
-            lines = ["x" * rng.randrange(longest) + rng.choice(["", " ", "\n"]) for _ in range(1500)]
-            text = "\n".join(lines) + rng.choice(["", "\n", " " * 700])
-            units = chunking.chunk_units(text, unit_chars=unit_chars)
-            spans = [(a + s, a + e) for a, b, kind, si in units for s, e in chunking.unit_spans(text[a:b], kind, si)]
-            assert spans == chunk_spans(text)
-            assert len(units) > 1 and max(b - a for a, b, kind, _ in units if kind == 0) <= unit_chars + 600

@@ -5,10 +5,13 @@ import duckdb
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from docsift.config import SEPARATORS
+from docsift.functions import slices
 from docsift.functions.chunking import chunk_spans
 from docsift.plans.oracle_chunks import chunk_ctes
 
 from .test_chunking import plain_split
+from .test_slices import by_cells
 
 ALPHABET = st.sampled_from(["a", "b", "é", " ", " ", "\n", "\n", "\t", "　", "x"])
 TEXTS = st.lists(ALPHABET, min_size=0, max_size=400).map("".join)
@@ -40,14 +43,13 @@ def test_sql_chunker_equals_span_chunker(texts, size, overlap):
 
 
 @settings(max_examples=300, deadline=None)
-@given(TEXTS, st.integers(4, 40), st.integers(0, 20))
-def test_units_compose_to_the_whole(text, size, overlap):
-    """Chunking unit by unit (the split path for huge documents) gives the
-    same chunks as chunking the whole text."""
-    from docsift.functions.chunking import chunk_units, unit_spans
-
+@given(TEXTS, st.integers(4, 40), st.integers(0, 20), st.integers(0, 60))
+def test_cells_compose_to_the_whole(text, size, overlap, more):
+    """Chunking cell by cell (the path of huge documents) gives the same chunks
+    as chunking the whole text."""
     overlap = min(overlap, size - 1)
-    pieces = []
-    for a, b, kind, si in chunk_units(text, size):
-        pieces += [(a + x, a + y) for x, y in unit_spans(text[a:b], kind, si, size, overlap)]
-    assert pieces == chunk_spans(text, size, overlap)
+    if len(text) <= size:
+        return
+    cell_chars = slices.ahead_chars(size, SEPARATORS) + more
+    got = [(lo, hi) for _, lo, hi in sorted(by_cells(text, cell_chars, 3 * size, size, overlap))]
+    assert got == chunk_spans(text, size, overlap)

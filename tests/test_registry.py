@@ -146,7 +146,7 @@ def test_null_vector_fails_its_document(spark):
 
 
 def test_ingest_split_path_equals_default(spark):
-    """Huge-document path (units across tasks), forced by a low threshold,
+    """Huge-document path (cells across tasks), forced by a low threshold,
     gives the same registry, positions and chunks as the default path."""
     from docsift.config import EngineConfig
     from docsift.plans import fixtures

@@ -1,9 +1,10 @@
 """Source divergence audit by single-pass in-memory indexing.
 
-1. Each task reads its documents once into a block: for each language and term
-   the number of documents, and the count in each source. When the block holds
-   ``BLOCK_POSTINGS`` postings (and at the end) it is spilled as a run: its
-   terms are dealt out to shards by hash, each shard's part a term-sorted row.
+1. Each task reads its documents once into a block: an entry for each term of
+   a document. When the block holds ``BLOCK_ENTRIES`` entries (and at the end)
+   they are summed to postings (term, language and source, count, documents)
+   and spilled as a run: its terms are dealt out to shards by hash, each
+   shard's part a term-sorted row.
 2. A shard merges its runs with a heap, term by term, into frequencies; terms
    of fewer than ``min_docs`` documents go. A common term is one posting a
    source in each run, whatever its count.
@@ -41,6 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,7 +53,7 @@ from docsift.operators.sizing import broadcast_if_small
 MIN_DOCS = 3
 SCALE = 1_000_000_000
 TOP_TERMS = 200
-BLOCK_POSTINGS = 400_000
+BLOCK_ENTRIES = 1 << 22
 #: Postings that a task of step 3 holds before it turns them into corrections.
 HELD_POSTINGS = 4_000_000
 MAX_GROUPS = 1_000_000
@@ -61,7 +63,10 @@ PIECE = 1 << 20
 _TABLE = bytes(
     ord(chr(b).lower()) if chr(b) in string.ascii_letters else b if b >= 0x80 else 0x20 for b in range(256)
 )
-RUN_SCHEMA = "shard int, terms array<binary>, langs array<string>, docs array<bigint>, sources array<array<string>>, counts array<array<bigint>>"
+RUN_SCHEMA = (
+    "shard int, terms array<binary>, sizes array<int>, groups array<int>, counts array<bigint>, docs array<bigint>, "
+    "langs array<string>, sources array<string>"
+)
 FREQUENCY_SCHEMA = "lang string, term string, total bigint, sources array<string>, counts array<bigint>"
 
 
@@ -78,58 +83,72 @@ def term_lists(text: str) -> Iterator[list[bytes]]:
         at = end
 
 
+def _edges(changes: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end."""
+    return np.concatenate(([0], np.flatnonzero(changes[1:] != changes[:-1]) + 1, [len(changes)]))
+
+
 class Block:
-    """Postings of the documents seen since the last spill."""
+    """The terms of the documents seen since the last spill, numbered."""
 
     def __init__(self) -> None:
-        self.docs: dict[str, Counter] = defaultdict(Counter)
-        self.counts: dict[tuple[str, str], Counter] = defaultdict(Counter)
+        self.number: dict[bytes, int] = defaultdict(itertools.count().__next__)
+        self.groups: dict[tuple[str, str], int] = {}
+        self.keys: list[np.ndarray] = []  # group << 32 | term, once a document
+        self.counts: list[np.ndarray] = []
+        self.held = 0
 
     def add(self, text: str, lang: str, source: str) -> None:
-        counts, seen = self.counts[lang, source], set()
-        for terms in term_lists(text):
-            counts.update(terms)
-            seen.update(terms)
-        self.docs[lang].update(seen)
-
-    def postings(self) -> int:
-        return sum(map(len, self.counts.values()))
+        group = self.groups.setdefault((lang, source), len(self.groups))
+        ids = [np.fromiter(map(self.number.__getitem__, terms), np.int64, len(terms)) for terms in term_lists(text)]
+        if ids:
+            key, count = np.unique(np.concatenate(ids), return_counts=True)
+            self.keys.append(key | group << 32)
+            self.counts.append(count)
+            self.held += len(key)
 
     def run(self, shards: int) -> Iterator[pa.RecordBatch]:
-        """A row for each shard, its postings in order of term and language."""
-        postings: dict[tuple[bytes, str], tuple[list[str], list[int]]] = defaultdict(lambda: ([], []))
-        for (lang, source), counts in sorted(self.counts.items()):
-            for term, n in counts.items():
-                sources, ns = postings[term, lang]
-                sources.append(source)
-                ns.append(n)
-        parts: dict[int, list] = defaultdict(list)
-        for term, lang in sorted(postings):
-            parts[xxhash.xxh64_intdigest(term) % shards].append((term, lang))
-        schema = _arrow_schema()
-        for shard, keys in parts.items():
+        """A row for each shard: its terms in order, and their postings by term."""
+        if not self.held:
+            return
+        key = np.concatenate(self.keys)
+        order = np.argsort(key, kind="stable")
+        first = _edges(key[order])
+        counts = np.add.reduceat(np.concatenate(self.counts)[order], first[:-1])
+        docs, key = np.diff(first), key[order][first[:-1]]
+        group, term = key >> 32, key & 0xFFFFFFFF
+        terms = pa.array(list(self.number), pa.binary())
+        rank = np.empty(len(terms), np.int64)
+        rank[pc.sort_indices(terms).to_numpy()] = np.arange(len(terms))
+        shard = np.fromiter((xxhash.xxh64_intdigest(t) % shards for t in self.number), np.int64, len(terms))
+        postings = np.lexsort((group, rank[term], shard[term]))
+        by_shard = np.lexsort((rank, shard))
+        sizes = np.bincount(term, minlength=len(terms))[by_shard]
+        starts = np.concatenate(([0], np.cumsum(sizes)))
+        langs, sources = zip(*self.groups)
+        edges = _edges(shard[by_shard])
+        for lo, hi in zip(edges, edges[1:]):
+            own = postings[starts[lo] : starts[hi]]
             row = [
-                [shard], [[t for t, _ in keys]], [[lang for _, lang in keys]], [[self.docs[lang][t] for t, lang in keys]],
-                [[postings[k][0] for k in keys]], [[postings[k][1] for k in keys]],
+                [shard[by_shard[lo]]], [terms.take(pa.array(by_shard[lo:hi]))], [sizes[lo:hi]], [group[own]], [counts[own]],
+                [docs[own]], [langs], [sources],
             ]
-            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, schema)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, _RUN)], schema=_RUN)
 
 
-def _arrow_schema() -> pa.Schema:
-    text, count = pa.list_(pa.string()), pa.list_(pa.int64())
-    return pa.schema([
-        ("shard", pa.int32()), ("terms", pa.list_(pa.binary())), ("langs", text), ("docs", count),
-        ("sources", pa.list_(text)), ("counts", pa.list_(count)),
-    ])
+_RUN = pa.schema([
+    ("shard", pa.int32()), ("terms", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())), ("groups", pa.list_(pa.int32())),
+    ("counts", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64())), ("langs", pa.list_(pa.string())), ("sources", pa.list_(pa.string())),
+])
 
 
-def _spill_runs(shards: int, block_postings: int):
+def _spill_runs(shards: int, block_entries: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = Block()
         for rows in batches:
             for text, lang, source in zip(*rows.columns):
                 block.add(text.as_py(), lang.as_py(), source.as_py())
-                if block.postings() >= block_postings:
+                if block.held >= block_entries:
                     yield from block.run(shards)
                     block = Block()
         yield from block.run(shards)
@@ -140,65 +159,101 @@ def _spill_runs(shards: int, block_postings: int):
 # --- merge -----------------------------------------------------------------
 
 
-def merge_runs(runs: list[Iterator[tuple]], min_docs: int) -> Iterator[tuple[str, bytes, dict[str, int]]]:
-    """(term, lang, docs, sources, counts) sorted runs -> (lang, term, {source: count})."""
-    merged = heapq.merge(*runs, key=lambda p: p[:2])
-    for (term, lang), postings in itertools.groupby(merged, key=lambda p: p[:2]):
-        docs, counts = 0, Counter()
-        for _, _, n_docs, sources, ns in postings:
-            docs += n_docs
-            for source, n in zip(sources, ns):
-                counts[source] += n
-        if docs >= min_docs:
-            yield lang, term, counts
-
-
-def _postings(runs: pa.Table, row: int) -> Iterator[tuple]:
-    """A run's postings, decoded a few at a time."""
-    lists = [runs.column(c)[row].values for c in ("terms", "langs", "docs", "sources", "counts")]
-    for at in range(0, len(lists[0]), 256):
-        yield from zip(*(x.slice(at, 256).to_pylist() for x in lists))
+class Shard:
+    """The runs of a shard, merged by a heap over their terms."""
+
+    def __init__(self, runs: list[pa.RecordBatch]) -> None:
+        lists = lambda name: [r.column(name)[0].values for r in runs]
+        whole = lambda name: np.concatenate([x.to_numpy() for x in lists(name)]).astype(np.int64)
+        self.terms = lists("terms")
+        self.first = np.concatenate(([0], np.cumsum([len(t) for t in self.terms])))  # of each run, among all runs' terms
+        self.sizes, self.counts, self.docs = whole("sizes"), whole("counts"), whole("docs")
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        known: dict[tuple[str, str], int] = {}
+        names = [list(zip(a.to_pylist(), b.to_pylist())) for a, b in zip(lists("langs"), lists("sources"))]
+        self.groups = np.concatenate([
+            np.array([known.setdefault(n, len(known)) for n in own])[g.to_numpy()] for own, g in zip(names, lists("groups"))
+        ])
+        # Groups numbered by language and source, so that sorting by number sorts by both.
+        order = sorted(known)
+        renumber = np.empty(len(known), np.int64)
+        renumber[[known[n] for n in order]] = np.arange(len(known))
+        self.groups = renumber[self.groups]
+        self.langs = [lang for lang, _ in order]
+        self.sources = pa.array([source for _, source in order], pa.string())
+        self.lang_of = np.cumsum([0] + [a != b for a, b in zip(self.langs, self.langs[1:])])
+
+    def _run(self, number: int) -> Iterator[tuple[bytes, int, int]]:
+        for at in range(0, len(self.terms[number]), 1024):
+            for i, term in enumerate(self.terms[number].slice(at, 1024).to_pylist(), at):
+                yield term, number, i
+
+    def merged(self, min_docs: int, chunk: int = 8192) -> Iterator[pa.RecordBatch]:
+        terms, number, at = [], [], []
+        for term, run, i in heapq.merge(*(self._run(r) for r in range(len(self.terms)))):
+            if not terms or term != terms[-1]:
+                if len(at) >= chunk:
+                    yield self._frequencies(terms, number, at, min_docs)
+                    terms, number, at = [], [], []
+                terms.append(term)
+            number.append(len(terms) - 1)
+            at.append(self.first[run] + i)
+        if terms:
+            yield self._frequencies(terms, number, at, min_docs)
+
+    def _frequencies(self, terms: list[bytes], number: list[int], at: list[int], min_docs: int) -> pa.RecordBatch:
+        """Postings of equal term and group summed; terms that enough documents of a language hold."""
+        size = self.sizes[at]
+        ends = np.cumsum(size)
+        postings = np.repeat(self.starts[at] - (ends - size), size) + np.arange(ends[-1])
+        key = np.repeat(number, size) * len(self.langs) + self.groups[postings]
+        order = np.argsort(key, kind="stable")
+        first = _edges(key[order])[:-1]
+        counts = np.add.reduceat(self.counts[postings][order], first)
+        docs = np.add.reduceat(self.docs[postings][order], first)
+        key = key[order][first]
+        term, group = np.divmod(key, len(self.langs))
+        lang = self.lang_of[group]
+        row = _edges(term * len(self.langs) + lang)  # postings of a row (term, language) stand together
+        kept = np.add.reduceat(docs, row[:-1]) >= min_docs
+        inside = np.repeat(kept, np.diff(row))
+        offsets = pa.array(np.concatenate(([0], np.cumsum(np.diff(row)[kept]))), pa.int32())
+        lead = row[:-1][kept]
+        columns = [
+            pa.array([self.langs[g] for g in group[lead]], pa.string()),
+            pa.array([terms[t].decode() for t in term[lead]], pa.string()),
+            pa.array(np.add.reduceat(counts, row[:-1])[kept], pa.int64()),
+            pa.ListArray.from_arrays(offsets, self.sources.take(pa.array(group[inside]))),
+            pa.ListArray.from_arrays(offsets, pa.array(counts[inside], pa.int64())),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["lang", "term", "total", "sources", "counts"])
 
 
 def _merge_shards(min_docs: int):
-    def frequencies(runs: pa.Table) -> Iterator[pa.RecordBatch]:
-        merged = merge_runs([_postings(runs, row) for row in range(runs.num_rows)], min_docs)
-        while rows := list(itertools.islice(merged, 4096)):
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([lang for lang, _, _ in rows], pa.string()),
-                    pa.array([term.decode() for _, term, _ in rows], pa.string()),
-                    pa.array([sum(c.values()) for _, _, c in rows], pa.int64()),
-                    pa.array([list(c) for _, _, c in rows], pa.list_(pa.string())),
-                    pa.array([list(c.values()) for _, _, c in rows], pa.list_(pa.int64())),
-                ],
-                ["lang", "term", "total", "sources", "counts"],
-            )
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held = None, []  # the rows of a shard stand together
         for batch in batches:
             for row in range(batch.num_rows):
                 if held and batch.column(0)[row].as_py() != shard:
-                    yield from frequencies(pa.Table.from_batches(held))
+                    yield from Shard(held).merged(min_docs)
                     held = []
                 shard = batch.column(0)[row].as_py()
                 held.append(batch.slice(row, 1))
         if held:
-            yield from frequencies(pa.Table.from_batches(held))
+            yield from Shard(held).merged(min_docs)
 
     return run
 
 
 def frequencies(
     docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_docs: int = MIN_DOCS,
-    block_postings: int = BLOCK_POSTINGS, shards: int | None = None,
+    block_entries: int = BLOCK_ENTRIES, shards: int | None = None,
 ) -> DataFrame:
     """One row for each term of a language that ``min_docs`` of its documents hold."""
     shards = shards or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     named = zip(("text", "lang", "source"), (text_col, lang_col, source_col))
     rows = docs.select(*[text_or_empty(docs[f"`{c}`"]).alias(name) for name, c in named])
-    runs = rows.mapInArrow(_spill_runs(shards, block_postings), RUN_SCHEMA)
+    runs = rows.mapInArrow(_spill_runs(shards, block_entries), RUN_SCHEMA)
     return runs.repartition("shard").sortWithinPartitions("shard").mapInArrow(_merge_shards(min_docs), FREQUENCY_SCHEMA)
 
 
@@ -298,11 +353,11 @@ def _scaled(x, y):
 
 def audit(
     docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_docs: int = MIN_DOCS,
-    top_terms: int = TOP_TERMS, block_postings: int = BLOCK_POSTINGS, tile: int = TILE,
+    top_terms: int = TOP_TERMS, block_entries: int = BLOCK_ENTRIES, tile: int = TILE,
 ) -> DataFrame:
     """lang, source, part (``pair``, ``term``), item, value, rank."""
     spark = docs.sparkSession
-    freq = materialize(frequencies(docs, text_col, lang_col, source_col, min_docs, block_postings), "frequencies")
+    freq = materialize(frequencies(docs, text_col, lang_col, source_col, min_docs, block_entries), "frequencies")
     occurring = docs.select(
         text_or_empty(docs[f"`{lang_col}`"]).alias("lang"), text_or_empty(docs[f"`{source_col}`"]).alias("source")
     ).distinct()

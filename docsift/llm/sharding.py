@@ -4,11 +4,13 @@ Rows with equal texts form a group that no shard boundary cuts; the law is
 ``bytes``: shard sizes as near to each other as the groups allow.
 
 1. Group sizes come from one aggregate over narrow rows (digest, bytes).
-2. Groups are dealt into buckets by digest. In each bucket differencing
-   partitions the groups into packs of about ``total / (shards * packs_per_shard)``
-   bytes. A group larger than that is a pack by itself.
-3. The packs, at most ``2 * shards * packs_per_shard`` plus the number of
-   buckets whatever the input, are differenced into the shards.
+2. Groups are dealt into buckets of about ``groups_per_bucket`` by digest. In
+   each bucket differencing partitions the groups into packs of equal bytes. A
+   group larger than a pack is one by itself.
+3. While the buckets are more than ``shards * packs_per_shard``, their packs
+   (a tenth as many as groups) are the groups of a further level of buckets. The
+   packs of the last level, at most ``2 * shards * packs_per_shard`` plus its
+   buckets, are differenced into the shards.
 
 Differencing keeps a heap of partial partitions and always combines the two
 of largest spread, one in falling and the other in rising order.
@@ -95,16 +97,27 @@ def shard_groups(
     spark = groups.sparkSession
     n, total = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     most_packs = n_shards * packs_per_shard
-    pack_bytes = max(1, int(total) // most_packs)
-    n_buckets = max(1, min(most_packs, math.ceil(n / groups_per_bucket)))
+    n_buckets = max(1, math.ceil(n / groups_per_bucket))
+    last = n_buckets <= most_packs
+    pack_bytes = max(1, int(total) // (most_packs if last else n_buckets * max(1, groups_per_bucket // 10)))
     small = groups.where(F.col("bytes") <= pack_bytes).withColumn(
         "bucket", F.pmod(F.xxhash64("gid"), F.lit(n_buckets))
     )
     packed = materialize(
         small.groupBy("bucket").applyInPandas(_pack_bucket(pack_bytes), "gid binary, bytes bigint, pack bigint"), "packs"
     )
+    large = groups.where(F.col("bytes") > pack_bytes)
+    if not last:  # the packs are the groups of the next level
+        name = F.encode(F.format_string("pack-%020d", "pack"), "utf-8")
+        packs = packed.groupBy(name.alias("gid")).agg(F.sum("bytes").alias("bytes"))
+        placed = materialize(
+            shard_groups(packs.unionByName(large), n_shards, packs_per_shard, groups_per_bucket), "packs-placed"
+        )
+        of_pack = placed.select(F.col("gid").alias("of"), "shard")
+        inside = packed.join(of_pack, name == of_pack["of"]).select("gid", "shard")
+        return inside.unionByName(placed.join(large.select("gid"), "gid", "left_semi"))
     packs = [(r.pack, r.bytes) for r in packed.groupBy("pack").agg(F.sum("bytes").alias("bytes")).collect()]
-    large = [(bytes(r.gid), r.bytes) for r in groups.where(F.col("bytes") > pack_bytes).collect()]
+    large = [(bytes(r.gid), r.bytes) for r in large.collect()]
     packs.sort(key=lambda x: (-x[1], x[0]))
     large.sort(key=lambda x: (-x[1], x[0]))
     shards = difference([b for _, b in large + packs], n_shards)

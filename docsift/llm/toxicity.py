@@ -130,12 +130,15 @@ def labelled_sample(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
     label_id_col: str = "doc_id", max_rows: int = MAX_ROWS,
 ) -> DataFrame:
-    """(text, label) of at most ``max_rows`` labelled ids."""
+    """(text, label) of at most ``max_rows`` labelled documents: ids without a
+    document take no place, and an id that repeats is one row (its smallest text)."""
+    ids = docs.select(docs[f"`{id_col}`"].alias("id"))
     per_id = labels.where(F.col(label_col).isNotNull() & F.col(label_id_col).isNotNull())
     per_id = per_id.groupBy(F.col(label_id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
-    drawn = per_id.orderBy(F.xxhash64("id"), "id").limit(max_rows)
+    drawn = per_id.join(ids.distinct(), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(max_rows)
     texts = docs.select(docs[f"`{id_col}`"].alias("id"), text_or_empty(docs[f"`{text_col}`"]).alias("text"))
-    return texts.join(F.broadcast(drawn), "id").select("text", "label")  # bounded by max_rows
+    rows = texts.join(F.broadcast(drawn), "id")  # bounded by max_rows
+    return rows.groupBy("id").agg(F.min("text").alias("text"), F.max("label").alias("label")).select("text", "label")
 
 
 def part(text: Column) -> Column:
@@ -240,13 +243,14 @@ def calibrated(model: Model, others: list[Model], sample: DataFrame) -> Model:
 
 
 def cut(clean: np.ndarray, alarms: float, least: float) -> float:
-    """A logit that at most a share of ``alarms`` of the clean ones is above.
-    It is not below 0 if they are too few to tell, and no text is above it for
-    having no feature (``least``)."""
+    """A logit that at most a share of ``alarms`` of the clean ones is above,
+    one more clean text at an even chance counted in: few clean texts leave the
+    cut there, many outweigh it. No text is above for having no feature
+    (``least``)."""
     if not len(clean):
         return 0.0
-    least = max(least, 0.0) if len(clean) * alarms < 2 else least
-    return float(np.nextafter(max(np.quantile(clean, 1 - alarms, method="higher"), least), np.inf))
+    high = np.quantile(np.append(clean, 0.0), 1 - alarms, method="higher")
+    return float(np.nextafter(max(high, least), np.inf))
 
 
 def _logit_column(text: Column, part: Column, models: list[Model]) -> Column:

@@ -61,9 +61,9 @@ WITH parts AS (
   SELECT rid, doc_id, pos, line, translate(trim(line, {SPACES}), '{UPPER}', '{LOWER}') AS key FROM lines
 ), frequent AS (
   SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 40
-  GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+  GROUP BY key HAVING count(DISTINCT doc_id) + count(DISTINCT CASE WHEN doc_id IS NULL THEN 1 END) >= 5
 ), marked AS (
-  SELECT k.*, f.key IS NOT NULL AND k.doc_id <> f.keeper AS dropped FROM keyed k LEFT JOIN frequent f ON k.key = f.key
+  SELECT k.*, f.key IS NOT NULL AND k.doc_id IS DISTINCT FROM f.keeper AS dropped FROM keyed k LEFT JOIN frequent f ON k.key = f.key
 )
 SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256

@@ -15,14 +15,15 @@ needed. Kinds:
 =======  =========================================  =======================
 kind     found and validated                        permuted
 =======  =========================================  =======================
-card     13 to 19 digits, first 2 to 6, or four     all digits but the first;
-         groups of four; Luhn sum                   check digit anew
-phone    +1 (AAA) EEE-NNNN and +1-AAA-EEE-NNNN,     area, exchange and line
-         any digits                                 among those from 200, or
-                                                    among the others
+card     13 to 19 digits, first 2 to 6, four        all digits but the first;
+         groups of four, or 4-6-5; Luhn sum         check digit anew
+phone    (AAA) EEE-NNNN, AAA-EEE-NNNN and with      area, exchange and line
+         blanks or dots, +1 or 1 before them or     among those from 200, or
+         not, any digits                            among the others
 ssn      AAA-GG-SSSS, no reserved part              the valid range
 iban     two letters, two check digits, 11 to 30    digits; check digits anew
-         more, mod 97
+         more, or in groups of four (letters in
+         the first at most); mod 97
 ip       four octets up to 255, no leading zero     all 32 bits
 date     YYYY-MM-DD, DD.MM.YYYY, MM/DD/YYYY of      the days 1900 to 2099
          1900 to 2099, a day of the calendar
@@ -30,6 +31,14 @@ email    local part of ASCII letters, digits and    letters as letters, digits
          ``._%+-`` at a domain name                 as digits, local part only
 =======  =========================================  =======================
 
+A value may stand after ``.``, ``-`` or ``_`` and before ``_``, and a date before
+a time (``2020-01-31T10:00``), but not inside a longer number or word.
+
+The key is no part of the plan: it is a one-row table that a scalar subquery
+reads when the query runs, so neither ``explain`` nor an event log shows it. Who
+gives none gets a random key for this call: values stay linked inside the
+result, and nobody can turn them back.
+
 All work is SQL functions: the matches and the text between them are split
 once, each match is rewritten, and both are put together again. Nothing is
 shuffled. Text without digits is passed through.
@@ -43,26 +52,30 @@ an empty result.
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DEFAULT_KEY = "docsift-pseudonym-key-1"
+#: The session setting with the key of a run; Spark redacts settings of such names in its logs.
+KEY_SETTING = "docsift.pii.secret"
 ROUNDS = 8
 
 OCTET = r"(?:0|[1-9]\d{0,2})"
 #: What each kind looks like; the order decides where two could begin at one place.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
-    "iban": r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}",
+    "iban": r"[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}| [A-Z0-9]{4}(?: \d{4}){2,6}(?: \d{1,3})?)",
     "date": r"(?:19|20)\d\d-\d\d-\d\d|\d\d\.\d\d\.(?:19|20)\d\d|\d\d/\d\d/(?:19|20)\d\d",
     "ip": rf"{OCTET}\.{OCTET}\.{OCTET}\.{OCTET}",
-    "phone": r"\+1(?: \(\d{3}\) |-\d{3}-)\d{3}-\d{4}",
+    "phone": r"(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}",
     "ssn": r"\d{3}-\d{2}-\d{4}",
-    "card": r"[2-6]\d{3}(?:[ -]\d{4}){3}|[2-6]\d{12,18}",
+    "card": r"[2-6]\d{3}(?:[ -]\d{4}){3}|[2-6]\d{3}[ -]\d{6}[ -]\d{5}|[2-6]\d{12,18}",
 }
-PATTERN = r"(?<![\p{L}\p{N}_.+-])(?:" + "|".join(PATTERNS.values()) + r")(?![\p{L}\p{N}_-]|\.\d)"
+#: Not inside a longer number or word; a date may have a time behind it.
+BEFORE, AFTER = r"(?<![\p{L}\p{N}+]|\p{N}[.-])", r"(?:(?=T\d\d:)|(?![\p{L}\p{N}]|[.-]\p{N}))"
+PATTERN = BEFORE + "(?:" + "|".join(PATTERNS.values()) + ")" + AFTER
 SYMBOLS_PER_STEP = 22  # two halves of 11 symbols: 26 ** 11 fits a long
 FIRST_DAY, DAYS = "1900-01-01", (17, 4297)  # 17 * 4297 days are the years 1900 to 2099
 
@@ -90,13 +103,13 @@ def _filled(value: Column, width: Column | int) -> Column:
     return F.concat(F.repeat(F.lit("0"), (width - F.length(text)).cast("int")), text)
 
 
-def feistel(pair: Column, sizes: Column, key: str, kind: str, inverse: bool = False) -> Column:
+def feistel(pair: Column, sizes: Column, key: Column, kind: str, inverse: bool = False) -> Column:
     """Permutes (left, right) within the ranges (a, b), both array<bigint>.
     The rounds are a fold over their numbers; even rounds change the left."""
 
     def step(p: Column, n: Column) -> Column:
         def moved(value: Column, other: Column, size: Column) -> Column:
-            text = F.concat_ws("|", F.lit(key), F.lit(kind), F.array_join(sizes, "x"), n.cast("string"), other.cast("string"))
+            text = F.concat_ws("|", key, F.lit(kind), F.array_join(sizes, "x"), n.cast("string"), other.cast("string"))
             shift = F.pmod(_long(F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10)), size)
             return F.pmod(value - shift if inverse else value + shift, size)
 
@@ -107,7 +120,7 @@ def feistel(pair: Column, sizes: Column, key: str, kind: str, inverse: bool = Fa
     return F.aggregate(F.array(*[F.lit(n) for n in (reversed(order) if inverse else order)]), pair, step)
 
 
-def _digits_permuted(digits: Column, key: str, kind: str, inverse: bool) -> Column:
+def _digits_permuted(digits: Column, key: Column, kind: str, inverse: bool) -> Column:
     """A string of 2 to 30 digits, permuted as two halves."""
     n = F.length(digits)
     a = F.floor(n / 2)
@@ -143,7 +156,7 @@ def _mod97(text: Column) -> Column:
     return F.aggregate(F.split(text, ""), F.lit(0), add)
 
 
-def _card(m: Column, key: str, inverse: bool) -> tuple[Column, Column]:
+def _card(m: Column, key: Column, inverse: bool) -> tuple[Column, Column]:
     digits = F.regexp_replace(m, "[^0-9]", "")
     n = F.length(digits)
 
@@ -155,9 +168,10 @@ def _card(m: Column, key: str, inverse: bool) -> tuple[Column, Column]:
     return _luhn(digits) == 0, _let(digits, out)
 
 
-def _phone(m: Column, key: str, inverse: bool) -> tuple[Column, Column]:
+def _phone(m: Column, key: Column, inverse: bool) -> tuple[Column, Column]:
     digits = F.regexp_replace(m, "[^0-9]", "")
-    area, exchange, line = (_long(F.substring(digits, at, n)) for at, n in ((2, 3), (5, 3), (8, 4)))
+    country = F.substring(digits, 1, F.length(digits) - 10)  # 1, or nothing
+    area, exchange, line = (_long(F.substring(digits, at, n)) for at, n in ((-10, 3), (-7, 3), (-4, 4)))
     # Area and exchange from 200 are 640,000 pairs; the other 360,000 are a range of their own.
     usual = (area >= 200) & (exchange >= 200)
     other = F.when(area < 200, area * 1000 + exchange).otherwise(200_000 + (area - 200) * 200 + exchange)
@@ -168,11 +182,11 @@ def _phone(m: Column, key: str, inverse: bool) -> tuple[Column, Column]:
         low = F.when(x < 200_000, x).otherwise((200 + F.floor((x - 200_000) / 200)) * 1000 + (x - 200_000) % 200)
         return F.when(usual, (200 + F.floor(x / 800)) * 1000 + 200 + x % 800).otherwise(low)
 
-    new = _let(out, lambda p: F.concat(F.lit("1"), _filled(pair(p[0]), 6), _filled(p[1], 4)))
+    new = _let(out, lambda p: F.concat(country, _filled(pair(p[0]), 6), _filled(p[1], 4)))
     return F.lit(True), _let(new, lambda d: _refill(m, d))
 
 
-def _ssn(m: Column, key: str, inverse: bool) -> tuple[Column, Column]:
+def _ssn(m: Column, key: Column, inverse: bool) -> tuple[Column, Column]:
     area, group, serial = (_long(F.substring(m, at, n)) for at, n in ((1, 3), (5, 2), (8, 4)))
     valid = (area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0)
     left = area - 1 - F.when(area > 666, 1).otherwise(0)
@@ -182,15 +196,16 @@ def _ssn(m: Column, key: str, inverse: bool) -> tuple[Column, Column]:
     ))
 
 
-def _iban(m: Column, key: str, inverse: bool) -> tuple[Column, Column]:
-    country, rest = F.substring(m, 1, 2), F.substring(m, 5, 30)
+def _iban(m: Column, key: Column, inverse: bool) -> tuple[Column, Column]:
+    country, rest = F.substring(m, 1, 2), F.substring(m, 5, 60)
     digits = F.regexp_replace(rest, "[^0-9]", "")
-    valid = (F.length(digits) >= 2) & (_mod97(F.concat(rest, F.substring(m, 1, 4))) == 1)
+    plain = lambda c: F.replace(c, F.lit(" "), F.lit(""))
+    valid = (F.length(digits) >= 2) & (_mod97(F.concat(plain(rest), F.substring(m, 1, 4))) == 1)
     new = _let(_digits_permuted(digits, key, "iban", inverse), lambda d: _refill(rest, d))
-    return valid, _let(new, lambda r: F.concat(country, _filled(98 - _mod97(F.concat(r, country, F.lit("00"))), 2), r))
+    return valid, _let(new, lambda r: F.concat(country, _filled(98 - _mod97(F.concat(plain(r), country, F.lit("00"))), 2), r))
 
 
-def _ip(m: Column, key: str, inverse: bool) -> tuple[Column, Column]:
+def _ip(m: Column, key: Column, inverse: bool) -> tuple[Column, Column]:
     octets = F.transform(F.split(m, r"\."), _long)
     pair = _let(octets, lambda o: _two(o[0] * 256 + o[1], o[2] * 256 + o[3]))
     out = feistel(pair, _two(65536, 65536), key, "ip", inverse)
@@ -200,7 +215,7 @@ def _ip(m: Column, key: str, inverse: bool) -> tuple[Column, Column]:
     return ~F.exists(octets, lambda o: o > 255), new
 
 
-def _date(m: Column, key: str, inverse: bool) -> tuple[Column, Column]:
+def _date(m: Column, key: Column, inverse: bool) -> tuple[Column, Column]:
     part = lambda at, n: F.substring(m, at, n).cast("int")
     dashed, dotted = m.contains("-"), m.contains(".")
     year = F.when(dashed, part(1, 4)).otherwise(part(7, 4))
@@ -215,7 +230,7 @@ def _date(m: Column, key: str, inverse: bool) -> tuple[Column, Column]:
     return valid, _let(new, lambda d: F.when(dashed, form(d, "yyyy-MM-dd")).when(dotted, form(d, "dd.MM.yyyy")).otherwise(form(d, "MM/dd/yyyy")))
 
 
-def _symbols_permuted(symbols: Column, key: str, inverse: bool) -> Column:
+def _symbols_permuted(symbols: Column, key: Column, inverse: bool) -> Column:
     """Letters and digits permuted within their own alphabets, as two halves."""
     n = F.length(symbols)
     a = F.floor(n / 2)
@@ -241,7 +256,7 @@ def _symbols_permuted(symbols: Column, key: str, inverse: bool) -> Column:
     return _let(chars, both)
 
 
-def _email(m: Column, key: str, inverse: bool) -> tuple[Column, Column]:
+def _email(m: Column, key: Column, inverse: bool) -> tuple[Column, Column]:
     local = F.substring_index(m, "@", 1)
     symbols = F.regexp_replace(local, "[^A-Za-z0-9]", "")
     starts = F.sequence(F.lit(1), F.greatest(F.length(symbols), F.lit(1)), F.lit(SYMBOLS_PER_STEP))
@@ -257,12 +272,12 @@ def _email(m: Column, key: str, inverse: bool) -> tuple[Column, Column]:
     return symbols != "", F.concat(out, F.substr(m, F.length(local) + 1, F.length(m)))
 
 
-KINDS: dict[str, Callable[[Column, str, bool], tuple[Column, Column]]] = {
+KINDS: dict[str, Callable[[Column, Column, bool], tuple[Column, Column]]] = {
     "email": _email, "iban": _iban, "date": _date, "ip": _ip, "phone": _phone, "ssn": _ssn, "card": _card,
 }
 
 
-def pseudonym(m: Column, key: str, inverse: bool = False) -> Column:
+def pseudonym(m: Column, key: Column, inverse: bool = False) -> Column:
     """A matched value as struct (kind, value); kind is null, and the value
     unchanged, when it fails the validation of its kind."""
     out = F.lit(None).cast("struct<kind:string,value:string>")
@@ -274,9 +289,17 @@ def pseudonym(m: Column, key: str, inverse: bool = False) -> Column:
     return out
 
 
-def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", inverse: bool = False) -> DataFrame:
+def run_key(spark: SparkSession) -> str:
+    """The key that the session names, else a random one."""
+    return spark.conf.get(KEY_SETTING, None) or secrets.token_hex(32)
+
+
+def pseudonymise(docs: DataFrame, key: str | None = None, text_col: str = "text", inverse: bool = False) -> DataFrame:
     """One row per input row: ``doc`` (the other columns), ``text`` rewritten,
-    ``n_found`` values and their ``kinds`` (sorted, comma-joined)."""
+    ``n_found`` values and their ``kinds`` (sorted, comma-joined). Without a
+    ``key`` that of the session (``docsift.pii.secret``) counts, else a random one."""
+    spark = docs.sparkSession
+    secret = spark.createDataFrame([(key or run_key(spark),)], "key string")
     others = F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != text_col])
     none = F.array().cast("array<string>")
     text = docs[f"`{text_col}`"]
@@ -286,7 +309,8 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", inverse: boo
         F.when(F.col("any"), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).otherwise(none).alias("matches"),
         F.when(F.col("any"), F.split("text", PATTERN, -1)).otherwise(none).alias("gaps"),
     )
-    found = F.transform("matches", lambda m: pseudonym(m, key, inverse))
+    rows = rows.withColumn("key", secret.scalar())
+    found = F.transform("matches", lambda m: pseudonym(m, F.col("key"), inverse))
     rows = rows.select("doc", "text", "gaps", found.alias("found"))
     pieces = F.zip_with("gaps", F.transform("found", lambda x: x["value"]), lambda g, v: F.concat(g, F.coalesce(v, F.lit(""))))
     kinds = F.filter(F.transform("found", lambda x: x["kind"]), lambda k: k.isNotNull())

@@ -53,7 +53,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the numbers and dates of persons replaced by pseudonyms."""
     prepare(spark)
-    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.DEFAULT_KEY).select("doc.doc_id", "text", "n_found", "kinds")
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc.doc_id", "text", "n_found", "kinds")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

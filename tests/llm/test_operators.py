@@ -1,5 +1,7 @@
 """The corpus operators on small tables with every awkward row."""
 
+import datetime
+import functools
 import hashlib
 import math
 import re
@@ -101,6 +103,18 @@ def test_shards(docs, empty, spark):
     assert len(sizes) == 24 and max(sizes) - min(sizes) < 0.001 * max(sizes)
 
 
+def test_groups_of_many_levels_are_balanced(spark):
+    """More buckets than packs may meet on the driver: further levels."""
+    groups = spark.range(6000).select(
+        F.unhex(F.md5(F.col("id").cast("string"))).alias("gid"), (10 + F.pmod(F.xxhash64("id"), F.lit(90))).alias("bytes")
+    )
+    groups = groups.unionByName(spark.createDataFrame([(b"big", 9000)], "gid binary, bytes bigint"))
+    sharding_rows = sharding.shard_groups(groups, 4, 16, 20).join(groups, "gid").collect()
+    assert len(sharding_rows) == len({bytes(r.gid) for r in sharding_rows}) == 6001
+    sizes = [sum(r.bytes for r in sharding_rows if r.shard == s) for s in range(4)]
+    assert max(sizes) - min(sizes) < sum(sizes) / 64  # a pack
+
+
 def test_written_shards_hold_every_document(docs, spark):
     path = tempfile.mkdtemp(prefix="docsift-shards-")
     narrow = docs.select("doc_id", "text")
@@ -131,6 +145,22 @@ def test_line_dedup_against_plain_python(docs, min_docs):
     assert rows(out.select("doc.doc_id", "n_lines", "n_dropped", "kept")) == _slow_lines(min_docs)
 
 
+def test_null_ids_are_one_document_in_sql_and_spark(spark):
+    """Four ids and two rows without one hold a line: five documents; the largest id keeps it."""
+    import duckdb
+
+    from docsift.llm.oracles import LINE_DEDUP
+
+    table = [(i, f"{LONG_LINE}\n{i}") for i in (1, 2, 3, 4, None, None)] + [(9, "other"), (None, None)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", table)
+    expected = sorted(con.sql(LINE_DEDUP).fetchall(), key=repr)
+    out = line_dedup.drop_repeated_lines(spark.createDataFrame(table, "doc_id bigint, text string"))
+    assert rows(out.select("doc.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256))) == expected
+    assert sorted((r[0], r[2]) for r in expected if r[0] is not None) == [(1, 1), (2, 1), (3, 1), (4, 0), (9, 0)]
+
+
 def test_line_dedup_of_nothing(empty):
     assert line_dedup.drop_repeated_lines(empty).count() == 0
 
@@ -321,17 +351,117 @@ def test_phones_of_any_area_are_replaced_and_stay_reversible(spark):
     assert [r.text for r in back.select("doc.doc_id", "text").orderBy("doc_id").collect()] == phones
 
 
-def test_card_pseudonyms_follow_the_feistel_rounds(spark):
-    def permute(left, right, a, b, kind):
+def plain_pseudonym(kind, m, key="k"):
+    """The pseudonym of a valid value, in plain Python."""
+
+    def permute(left, right, a, b):
         for n in range(pii.ROUNDS):
             other, size = (right, a) if n % 2 == 0 else (left, b)
-            shift = int(hashlib.sha256(f"k|{kind}|{a}x{b}|{n}|{other}".encode()).hexdigest()[:15], 16) % size
+            shift = int(hashlib.sha256(f"{key}|{kind}|{a}x{b}|{n}|{other}".encode()).hexdigest()[:15], 16) % size
             left, right = ((left + shift) % a, right) if n % 2 == 0 else (left, (right + shift) % b)
         return left, right
 
-    got = pii.pseudonymise(spark.createDataFrame([(1, "10.20.30.40")], "doc_id int, text string"), "k").first().text
-    left, right = permute(10 * 256 + 20, 30 * 256 + 40, 65536, 65536, "ip")
-    assert got == f"{left // 256}.{left % 256}.{right // 256}.{right % 256}"
+    def digits_of(text):
+        n, half = len(text), len(text) // 2
+        left, right = permute(int(text[:half]), int(text[half:]), 10**half, 10 ** (n - half))
+        return f"{left:0{half}}{right:0{n - half}}"
+
+    def refill(shape, new):
+        new = iter(new)
+        return "".join(next(new) if c.isdigit() else c for c in shape)
+
+    digits = re.sub(r"\D", "", m)
+    if kind == "ip":
+        o = [int(x) for x in m.split(".")]
+        left, right = permute(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536)
+        return f"{left // 256}.{left % 256}.{right // 256}.{right % 256}"
+    if kind == "card":
+        body = digits[0] + digits_of(digits[1:-1])
+        luhn = sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(body + "0")))
+        return refill(m, body + str(-luhn % 10))
+    if kind == "ssn":
+        area, group, serial = int(m[:3]), int(m[4:6]), int(m[7:])
+        left, right = permute(area - 1 - (area > 666), (group - 1) * 9999 + serial - 1, 898, 99 * 9999)
+        return f"{left + 1 + (left >= 665):03}-{right // 9999 + 1:02}-{right % 9999 + 1:04}"
+    if kind == "date":
+        form = "%Y-%m-%d" if "-" in m else "%d.%m.%Y" if "." in m else "%m/%d/%Y"
+        first = datetime.date(1900, 1, 1)
+        days = (datetime.datetime.strptime(m, form).date() - first).days
+        left, right = permute(*divmod(days, 4297), 17, 4297)
+        return (first + datetime.timedelta(left * 4297 + right)).strftime(form)
+    if kind == "phone":
+        pairs = [(x, y) for x in range(1000) for y in range(1000)]
+        usual = sorted(p for p in pairs if p[0] >= 200 and p[1] >= 200)
+        other = sorted(p for p in pairs if p[0] < 200) + sorted(p for p in pairs if p[0] >= 200 and p[1] < 200)
+        own = (int(digits[-10:-7]), int(digits[-7:-4]))
+        table = usual if own in set(usual) else other
+        left, right = permute(table.index(own), int(digits[-4:]), len(table), 10_000)
+        return refill(m, digits[:-10] + f"{table[left][0]:03}{table[left][1]:03}{right:04}")
+    if kind == "iban":
+        rest = refill(m[4:], digits_of(re.sub(r"\D", "", m[4:])))
+        number = "".join(str(int(c, 36)) for c in rest.replace(" ", "") + m[:2] + "00")
+        return f"{m[:2]}{98 - int(number) % 97:02}{rest}"
+    local, domain = m.split("@")
+    symbols, out = re.sub(r"[^A-Za-z0-9]", "", local), ""
+    for at in range(0, len(symbols), pii.SYMBOLS_PER_STEP):
+        part = symbols[at : at + pii.SYMBOLS_PER_STEP]
+        halves = part[: len(part) // 2], part[len(part) // 2 :]
+        radix = lambda c: 10 if c.isdigit() else 26
+        zero = lambda c: "0" if c.isdigit() else "A" if c.isupper() else "a"
+        values = [functools.reduce(lambda v, c: v * radix(c) + ord(c) - ord(zero(c)), h, 0) for h in halves]
+        moved = permute(*values, *[math.prod(map(radix, h)) for h in halves])
+        for h, v in zip(halves, moved):
+            text = ""
+            for c in reversed(h):
+                v, x = divmod(v, radix(c))
+                text = chr(ord(zero(c)) + x) + text
+            out += text
+    new = iter(out)
+    return "".join(next(new) if c.isascii() and c.isalnum() else c for c in local) + "@" + domain
+
+
+#: Values by kind, in every notation.
+NOTATIONS = [
+    ("ip", "10.20.30.40"), ("card", "4111111111111111"), ("card", "4111 1111 1111 1111"), ("card", "3782-822463-10005"),
+    ("card", "3782 822463 10005"), ("ssn", "123-45-6789"), ("ssn", "667-01-0001"), ("date", "2020-01-31"), ("date", "29.02.2000"),
+    ("date", "12/31/1999"), ("phone", "+1 (988) 555-2485"), ("phone", "+1-017-555-7713"), ("phone", "+1 212 555 0134"),
+    ("phone", "(212) 555-0134"), ("phone", "212-555-0134"), ("phone", "1.212.055.0134"), ("iban", "DE89370400440532013000"),
+    ("iban", "DE89 3704 0044 0532 0130 00"), ("iban", "GB82WEST12345698765432"), ("iban", "GB82 WEST 1234 5698 7654 32"),
+    ("email", "bosbt.42@mail8.example.com"), ("email", "A_very-long.local+part0123456789" + "x" * 30 + "@x.org"),
+]
+
+
+def test_pseudonyms_follow_the_feistel_rounds(spark):
+    given = spark.createDataFrame([(i, v) for i, (_, v) in enumerate(NOTATIONS)], "doc_id int, text string")
+    got = {r.doc_id: (r.kinds, r.text) for r in pii.pseudonymise(given, "k").select("doc.doc_id", "kinds", "text").collect()}
+    assert got == {i: (kind, plain_pseudonym(kind, v)) for i, (kind, v) in enumerate(NOTATIONS)}
+    new = spark.createDataFrame([(i, t) for i, (_, t) in got.items()], "doc_id int, text string")
+    back = pii.pseudonymise(new, "k", inverse=True).select("doc.doc_id", "text").collect()
+    assert {r.doc_id: r.text for r in back} == {i: v for i, (_, v) in enumerate(NOTATIONS)}
+
+
+@pytest.mark.parametrize("around", ["{}", "at {}.", "id_{}_x", "({})", "ref-{} and", "...{}, then", "{}\n{}", "=\"{}\""])
+def test_values_are_found_beside_marks(spark, around):
+    values = [v for kind, v in NOTATIONS if kind != "email"]
+    texts = [around.replace("{}", v) for v in values] + ["2020-01-31T10:00:00Z", "A2020-01-31", "1123-45-67890", "1.10.20.30.40.1"]
+    given = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    rows_ = sorted((r.doc_id, r.n_found, r.text) for r in pii.pseudonymise(given, "k").select("doc.doc_id", "n_found", "text").collect())
+    assert [n for _, n, _ in rows_] == [around.count("{}")] * len(values) + [1, 0, 0, 0]
+    for (i, _, text), value in zip(rows_, values):
+        assert value not in text and text.startswith(around.split("{}")[0])
+    assert rows_[len(values)][2].endswith("T10:00:00Z") and not rows_[len(values)][2].startswith("2020-01-31")
+
+
+def test_the_key_is_in_no_plan(spark):
+    given = spark.createDataFrame([(1, "10.20.30.40")], "doc_id int, text string")
+    out = pii.pseudonymise(given, "a-very-secret-key")
+    assert out.first().text == plain_pseudonym("ip", "10.20.30.40", "a-very-secret-key")
+    plans = out._jdf.queryExecution()
+    assert "a-very-secret-key" not in plans.toString() + plans.stringWithStats() + plans.logical().toJSON()
+    assert pii.pseudonymise(given).first().text != pii.pseudonymise(given).first().text  # no key: a random one
+    spark.conf.set(pii.KEY_SETTING, "k")
+    assert pii.pseudonymise(given).first().text == plain_pseudonym("ip", "10.20.30.40")
+    spark.conf.unset(pii.KEY_SETTING)
 
 
 def test_archives_round_trip(spark):

@@ -233,7 +233,7 @@ def stream_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Rounds of ten minutes in which the fixture questions are asked.
-ANSWER_ROUNDS = 3
+ANSWER_ROUNDS = 2
 
 
 def late_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,7 +248,7 @@ def late_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     answered = materialize(keyed.join(fxt.responses(spark, sf_dir, keyed), ["query_id", "doc_id"]), "responses")
     start = F.lit("2024-01-01 00:00:00").cast("timestamp")
     key = F.pmod(F.xxhash64("query_id"), F.lit(600 * ANSWER_ROUNDS))
-    asked_at = F.timestampadd("SECOND", key.cast("int"), start)
+    asked_at = F.timestamp_add("SECOND", key.cast("int"), start)
     per_query = keyed.groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("n_hits"))
     asked = materialize(
         keyed.join(per_query, "query_id").withColumns({"asked_at": asked_at, "round": (key / 600).cast("int")}), "asked"
@@ -257,7 +257,7 @@ def late_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     delay = F.pmod(F.xxhash64("doc_id", "query_id"), F.lit(540)).cast("int")
     late = F.col("response").isNull() & (kind % 4 == 1)  # 20 minutes: after the limit
     came = answered.withColumns({
-        "answered_at": F.timestampadd("SECOND", delay + F.when(late, 1200).otherwise(0), asked_at),
+        "answered_at": F.timestamp_add("SECOND", delay + F.when(late, 1200).otherwise(0), asked_at),
         "copies": F.when(F.col("response").isNull() & (kind % 4 == 0), F.array().cast("array<int>"))
         .when(kind % 3 == 0, F.array(F.lit(0), F.lit(1))).when(kind % 3 == 1, F.array(F.lit(1))).otherwise(F.array(F.lit(0))),
     })
@@ -268,7 +268,7 @@ def late_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = ANSWER_ROUNDS + 4
     folders = {"hits": asked, "responses": came}
     schemas = {name: df.drop("round").schema for name, df in folders.items()}
-    end = spark.range(2).select((F.lit(-1) - F.col("id")).alias("query_id"), F.timestampadd("DAY", F.lit(30), start).alias("at"))
+    end = spark.range(2).select((F.lit(-1) - F.col("id")).alias("query_id"), F.timestamp_add("DAY", F.lit(30), start).alias("at"))
     ticks = {
         "hits": end.selectExpr("query_id", "'' AS doc_id", "1L AS rank", "1 AS n_hits", "'' AS file_path", "at AS asked_at"),
         "responses": end.selectExpr("query_id", "'none' AS doc_id", "'' AS response", "at AS answered_at"),

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docsift.config import EngineConfig
 from docsift.operators import search
@@ -97,3 +98,49 @@ def test_two_large_sides_meet_on_the_executors(spark, monkeypatch):
     monkeypatch.setattr(type(q), "toArrow", None)  # nothing passes through the driver
     many = search.knn(v, q, 6, EngineConfig(max_query_block_bytes=2500)).collect()
     assert len(whole) == 1200 and sorted(many) == sorted(whole)
+
+
+def test_partial_lists_are_merged_with_bounded_fan_in(spark):
+    rng = np.random.default_rng(8)
+    V = rng.normal(size=(600, 6)).astype(np.float32)
+    Q = rng.normal(size=(9, 6)).astype(np.float32)
+    v, q = _frames(spark, V, Q)
+    v = v.repartition(40)
+    one = sorted(search.knn(v, q, 4).collect())
+    assert sorted(search.knn(v, q, 4, EngineConfig(top_k_fan_in=3)).collect()) == one
+    partial = search._stream_vectors(search._vector_rows(q, F.col("query_id")), search._vector_rows(v, F.col("pos"), F.col("doc_id")), 4, 6)
+    assert partial.groupBy("query_id").count().agg(F.max("count")).first()[0] > 100  # 40 tasks x 4
+    merged = search.merge_top_k(partial, F.spark_partition_id(), 4, 3)
+    assert merged.groupBy("query_id").count().agg(F.max("count")).first()[0] <= 3 * 4
+
+
+def test_search_runs_once_above_the_broadcast_bound(spark):
+    """The vectors are scanned once, however many hits there are."""
+    from docsift.operators import registry as reg
+    from docsift.operators import retrieval
+
+    rng = np.random.default_rng(9)
+    v, q = _frames(spark, rng.normal(size=(50, 4)).astype(np.float32), rng.normal(size=(20, 4)).astype(np.float32))
+    scanned = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            scanned.add(b.num_rows)
+            yield b
+
+    counted = v.mapInArrow(count, v.schema)
+    registry = v.select("doc_id").distinct().select(F.col("doc_id").alias("id"), F.lit("t").alias("title"), F.lit("p").alias("file_path"), F.lit("processed").alias("status"))
+    registry = spark.createDataFrame(registry.collect(), reg.REGISTRY_SCHEMA)
+    small = retrieval.retrieve(counted, registry, q, 3, EngineConfig(max_broadcast_rows=1)).collect()
+    assert scanned.value == 50
+    assert sorted(small) == sorted(retrieval.retrieve(v, registry, q, 3).collect()) and len(small) == 60
+
+
+def test_floats_stay_floats_on_the_way(spark):
+    rng = np.random.default_rng(10)
+    v, q = _frames(spark, rng.normal(size=(30, 4)).astype(np.float32), rng.normal(size=(30, 4)).astype(np.float32))
+    met = search._blocks_by_stripes(search._vector_rows(q, F.col("query_id")), search._vector_rows(v, F.col("pos"), F.col("doc_id")), 2, 4, 50, 60)
+    plan = met._jdf.queryExecution().toString()
+    assert "array<double>" not in plan
+    most = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    assert met.rdd.getNumPartitions() <= most < 50 * 60

@@ -5,8 +5,8 @@ so any passage of up to ``STRIDE`` words lies whole in some block. A template
 is found in a block when the block holds at least the threshold share of the
 template's distinct words (containment).
 
-1. The words of all templates are counted over all documents; rare words come
-   first in the global order. Words of no template cannot add to an overlap,
+1. For each word of a template the documents that hold it are counted, over
+   all documents; rare words come first in the global order. Words of no template cannot add to an overlap,
    so only the template vocabulary, which the parameters bound, is counted.
 2. Prefix filter: an overlap of ``need`` words implies a common word among the
    first ``size - need + 1`` words of either side in the global order. The
@@ -24,8 +24,10 @@ Only the verdicts, a row per document after the map-side combine, are
 shuffled; no text is.
 
 Edge cases: a null or empty text has no words and no labels; a null id is
-kept; rows that repeat (equal id and text) each give a row of the result; an
-empty table gives an empty result; other columns are ignored.
+kept; rows that repeat (equal id and text) each give a row of the result; very
+long texts are cut in blocks like any other; labels that tie are all named; an
+empty table gives an empty result; other columns, also of clashing names, are
+ignored.
 """
 
 from __future__ import annotations
@@ -41,6 +43,8 @@ from pyspark.sql import functions as F
 from docsift.llm.common import ascii_lower, text_or_empty
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words: the complement of ``WORD``.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 STRIDE = 64
 THRESHOLD = 0.8
 
@@ -92,13 +96,14 @@ def default_templates(threshold: float = THRESHOLD) -> list[Template]:
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(text_or_empty(text)), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(ascii_lower(text_or_empty(text)), BETWEEN), "")
 
 
 def global_order(docs: DataFrame, text_col: str, templates: list[Template]) -> list[str]:
     """The template vocabulary, rarest in the documents first."""
     vocabulary = sorted({w for t in templates for w in t.words})
-    token = docs.select(F.explode(words(docs[f"`{text_col}`"])).alias("token")).where(F.col("token").isin(vocabulary))
+    known = F.array(*[F.lit(w) for w in vocabulary])
+    token = docs.select(F.explode(F.array_intersect(known, words(docs[f"`{text_col}`"]))).alias("token"))
     counts = {r.token: r["count"] for r in token.groupBy("token").count().collect()}  # a row per vocabulary word
     return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 

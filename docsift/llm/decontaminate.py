@@ -26,7 +26,8 @@ over the documents, so a benchmark of any size is compared in whole.
 
 Edge cases: a null or empty text has no hits; items of fewer than five words
 have no shingle and match nothing; equal items are all reported; null item
-texts are ignored; repeated rows are treated alike; documents are scanned
+texts are ignored; repeated rows are treated alike; of places of equal similarity the
+first is reported; documents are scanned
 whole, in pieces if long; other columns are kept and cannot clash; empty
 tables give no hits.
 """

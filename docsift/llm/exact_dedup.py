@@ -18,8 +18,9 @@ holds a third of all rows loads no single task.
 
 Edge cases: a null text counts as empty, and empty and blank texts form one
 group; a null id loses to any other id of the same length; of repeated rows
-exactly one is kept (the smallest locator); an empty table gives an empty
-result; other columns are ignored, whatever their names.
+exactly one is kept (the smallest locator); of a very long text the state holds
+digest and locator only; an empty table gives an empty result; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ Edge cases: a null or empty text is one empty line; lines keep their own
 spelling and white space; a document made of dropped lines only becomes the
 empty text; rows of one doc_id count as one document; a null doc_id counts
 as one document and as smaller than any other; equal rows are treated alike
-and all kept; further columns are kept and cannot clash; an empty table
+and all kept; very long texts are exploded like others and put together whole;
+lines of one key are one line, whatever their spelling; further columns are kept and cannot clash; an empty table
 gives an empty result.
 """
 

@@ -21,7 +21,10 @@ inside a cell, so no task sorts a shard.
 Edge cases: a null text counts as empty and groups with empty texts; a group
 larger than an even share leaves its shard above the others, since it cannot
 be cut; repeated rows stay together and get slots of their own; a null id is
-kept; an empty table gives an empty result; other columns are ignored.
+kept; of a very long text only digest and length are used; packs of equal size
+are placed in the order of their numbers, groups in that of their digests; an
+empty table gives an empty result; other columns, also of clashing names, are
+ignored.
 """
 
 from __future__ import annotations

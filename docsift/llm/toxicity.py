@@ -26,7 +26,8 @@ whole's and the best window's, each less its cut.
 
 Edge cases: a null or empty text has no features and gets the score of the
 intercept less the cut, never above 0.5 if there are clean labels; documents of several labels count as toxic if one says so; null
-labels are ignored; without any label, or without label 1, every score is
+labels are ignored; an id that repeats is one row of the sample, and repeated
+rows get equal scores; very long texts are read in pieces; without any label, or without label 1, every score is
 the smoothed share of label 1 (0 without labels); labels of unknown documents
 are ignored; other columns are kept and cannot clash; an empty table gives an
 empty result.

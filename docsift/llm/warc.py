@@ -19,7 +19,8 @@ Edge cases: a null html is an empty payload; a null url has no target URI;
 white space and control characters in a url are written as %20; a null
 page_id is written as an id of its own kind and read back as null, and is
 larger than any other; rows that repeat the smallest page_id of a payload are
-all responses; an archive that ends inside a record is an error, never cut
+all responses; very long payloads are written and read whole; further columns,
+also of clashing names, are ignored; an archive that ends inside a record is an error, never cut
 short; an empty table gives no archive and an empty result.
 """
 

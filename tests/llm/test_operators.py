@@ -497,6 +497,49 @@ def test_pipeline_stages(spark):
     assert rows(out.groupBy("doc_id").count()) == rows(docs.groupBy("doc_id").count())
 
 
+def test_pipeline_stages_on_awkward_rows(spark, docs, empty):
+    """Nulls, empty and repeated rows, a long text and clashing columns through
+    each stage: what its operator decides takes effect, and nothing else."""
+    import corpus_pipeline
+    from docsift.llm.common import materialize
+
+    stages = dict(corpus_pipeline.STAGES)
+    done = materialize(stages["toxicity"](spark, docs, SF001), "test")
+    model = toxicity.fit_toxicity(docs, table(spark, SF001, "labels"))
+    clean = docs.withColumn("p", toxicity.score_column(F.col("text"), model)).where("p < 0.5").drop("p")
+    assert rows(done) == rows(clean)
+    # one row of each component; fingerprints and components in plain Python
+    before = [(r.doc_id, r.text) for r in done.collect()]
+    fps = [simhash.fingerprint(t or "", simhash.SHINGLE) for _, t in before]
+    left, components = set(range(len(before))), 0
+    while left:
+        todo = [left.pop()]
+        components += 1
+        while todo:
+            x = todo.pop()
+            near = {y for y in left if bin(fps[x] ^ fps[y]).count("1") <= simhash.RADIUS}
+            left -= near
+            todo += near
+    done = materialize(stages["near_dedup"](spark, done, SF001), "test")
+    assert done.count() == components and done.exceptAll(docs).isEmpty()
+    hits = decontaminate.benchmark_hits(done, table(spark, SF001, "benchmark"))
+    without = done.where(F.size(hits) == 0)
+    done = materialize(stages["decontaminate"](spark, done, SF001), "test")
+    assert rows(done) == rows(without)
+    copies = mixing.mix(done).select("doc.*", "copies")
+    expected = sorted((tuple(r)[:-1] for r in copies.collect() for _ in range(r.copies)), key=repr)
+    done = materialize(stages["mix"](spark, done, SF001), "test")
+    assert rows(done) == expected
+    placed = stages["shard"](spark, done, SF001).collect()
+    assert sorted((repr(r.doc_id), r.size) for r in placed) == sorted((repr(r.doc_id), len((r.text or "").encode()) + 8) for r in done.collect())
+    slots = defaultdict(list)
+    for r in placed:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF001).count() == 0, name
+
+
 def test_queries_match_their_sql(spark):
     import duckdb
 

@@ -11,7 +11,13 @@ no stage is computed twice and a lost executor costs its own tasks only.
 5. shard: every row gets its shard and slot.
 
 Toxicity is learned, SimHash needs XXH64 and sharding is iterative, so there is
-no SQL for the rows of ``run``; the tests hold each stage against brute force.
+no SQL for the rows of ``run``. The tests hold the operator of each stage against
+plain Python, and each stage's rows against what that operator decides.
+
+Edge cases are those of the operators: null texts count as empty and stay unless
+a later stage says otherwise, null ids and sources are kept, very long texts
+are read whole, repeated rows are near duplicates of each other (one stays),
+columns of clashing names travel along, and an empty table gives an empty result.
 """
 
 from __future__ import annotations

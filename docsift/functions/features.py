@@ -103,6 +103,13 @@ def hashing_featurizer(dim: int) -> Callable[[Column], Column]:
 _LOADED: dict[str, object] = {}
 
 
+def _loaded(name: str, load: Callable[[], object]) -> object:
+    """Found by import in the worker, so that all its tasks see one table."""
+    if name not in _LOADED:
+        _LOADED[name] = load()
+    return _LOADED[name]
+
+
 def model_featurizer(
     load: Callable[[], object], encode: Callable[[object, list[str]], np.ndarray], width: int | None = None, batch_size: int = 64
 ) -> Callable[[Column], Column]:
@@ -115,14 +122,13 @@ def model_featurizer(
     name = uuid.uuid4().hex
 
     def vectors(texts: pa.Array) -> pa.Array:
-        if name not in _LOADED:
-            _LOADED[name] = load()
+        model = _loaded(name, load)
         values = texts.to_pylist()
         known = sorted((i for i, t in enumerate(values) if t is not None), key=lambda i: len(values[i]))
         out: list = [None] * len(values)
         for at in range(0, len(known), batch_size):
             part = known[at : at + batch_size]
-            for i, row in zip(part, encode(_LOADED[name], [values[i] for i in part])):
+            for i, row in zip(part, encode(model, [values[i] for i in part])):
                 out[i] = np.asarray(row, dtype=np.float32)
         return pa.array(out, pa.list_(pa.float32()))
 

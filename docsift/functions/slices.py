@@ -338,15 +338,15 @@ def chunk_pages(
     were joined in order, whatever the length: (doc, chunk_no, start, end,
     chunk). Where a page begins follows from a prefix sum of the lengths. A
     document of ``size`` characters or less is one chunk. NULL pages are empty;
-    pages of one number are taken in the order of their texts."""
+    pages of one number are taken in the order of a hash of their texts."""
     from docsift.operators import vectors as vec
 
     text = F.coalesce(pages[text_col], F.lit(""))
     rows = pages.select(
         pages[doc_col].cast("string").alias("doc"), pages[page_col].alias("_page"), text.alias("text"),
-        F.length(text).cast("bigint").alias("_n"),
+        F.length(text).cast("bigint").alias("_n"), F.xxhash64(text).alias("_tie"),
     )
-    placed = vec.document_offsets(rows, ["doc", "_page", "text"], "_n", 0)
+    placed = vec.document_offsets(rows, ["doc", "_page", "_tie"], "_n", 0, carry=("text",))
     starts = placed.groupBy("doc").agg(F.min("first_pos").alias("_first"), F.sum("_n").alias("all"))
     parts = placed.join(starts, "doc").select("doc", (F.col("first_pos") - F.col("_first")).alias("offset"), "text", "all")
     return _chunk_placed(parts, size, overlap, tuple(separators), cell_chars, split_chars)

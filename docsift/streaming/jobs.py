@@ -238,8 +238,8 @@ ANSWER_ROUNDS = 2
 
 def late_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J5 + F16 + T2 with late answers: hits and answers come in rounds of ten
-    minutes. Answers arrive in the round of their question or the next, a third
-    of them twice; of the failed calls a half report NULL, a quarter never
+    minutes, two rounds a batch. Answers arrive in the round of their question or
+    the next ones, a third of them twice; of the failed calls a half report NULL, a quarter never
     come and a quarter come after the limit. The answers of all questions
     equal those of ``format_answers``."""
     root = _scratch(spark, "late-answers")
@@ -273,9 +273,9 @@ def late_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         "hits": end.selectExpr("query_id", "'' AS doc_id", "1L AS rank", "1 AS n_hits", "'' AS file_path", "at AS asked_at"),
         "responses": end.selectExpr("query_id", "'none' AS doc_id", "'' AS response", "at AS answered_at"),
     }
-    for turn in range(last + 2):
-        for name, df in folders.items():  # the last two turns only move the clock
-            new = df.where(F.col("round") == turn).drop("round") if turn < last else ticks[name]
+    for turn in range(0, last + 3, 2):  # two rounds a turn; the last two turns only move the clock
+        for name, df in folders.items():
+            new = df.where(F.col("round").between(turn, turn + 1)).drop("round") if turn < last else ticks[name]
             new.select(schemas[name].names).write.mode("append").parquet(f"{root}/{name}")
         read = lambda name: spark.readStream.schema(schemas[name]).parquet(f"{root}/{name}")
         late_answer_stream(spark, read("hits"), read("responses"), f"{root}/out", f"{root}/checkpoint")

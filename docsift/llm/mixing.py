@@ -17,7 +17,8 @@ not depend on how many cells there are.
 Edge cases: a null text has size 0; a null source is a source of its own and
 comes last; a source without words has target 0 and takes nothing; documents
 of size 0 are drawn like the others of their source and count 0 words;
-repeated rows are separate documents; an empty table gives an empty result;
+repeated rows are separate documents; very long texts are drawn whole; documents
+that tie in size go by a hash of id and text; an empty table gives an empty result;
 further columns of the input are kept and cannot clash.
 """
 
@@ -27,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsift.llm.common import materialize, pack, text_or_empty, word_count
+from docsift.operators.sizing import broadcast_if_small
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
@@ -111,6 +113,8 @@ def mix(
 
     starts = joined(joined(starts, first, "source", "cls"), targets, "source")
     in_cell = Window.partitionBy("source", "cls", "cell").orderBy("key", "size")
+    # A row per source, size class and cell: broadcast if small, so that the texts are dealt out only for their ranks.
+    starts = broadcast_if_small(materialize(starts, "mix-starts"))
     ranked = joined(rows.withColumn("at", F.row_number().over(in_cell)), starts, "source", "cls", "cell")
     rank = F.col("class_start") + F.col("cell_start") + F.col("at")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))

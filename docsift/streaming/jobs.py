@@ -199,17 +199,20 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _answered(spark: SparkSession, sf_dir: str) -> str:
-    """The question stream over user turns; its output folder."""
+    """The question stream over user turns; its output folder. The index and the
+    registry are written once, not worked out anew for every batch."""
     root = _scratch(spark, "stream-answers")
     width = fxt.embedding_width(spark, sf_dir)
+    index = materialize(fxt.vectors(spark, sf_dir), "index")
+    registry = materialize(fxt.registry(spark, sf_dir), "registry")
     return answer_stream(
         spark,
         fxt.questions_of(fxt.table_stream(spark, sf_dir, "conversations")).select("query_id", "text"),
-        fxt.vectors(spark, sf_dir),
-        lambda: fxt.registry(spark, sf_dir),
+        index,
+        lambda: registry,
         f"{root}/out",
         f"{root}/checkpoint",
-        embed=lambda df: fx.featurize(df, "text", width).select("query_id", "embedding"),
+        embed=lambda df: materialize(fx.featurize(df, "text", width).select("query_id", "embedding"), "question-vectors"),
         respond=lambda hits: fxt.responses(spark, sf_dir, hits),
         converse=lambda _questions: fxt.converse_responses(spark, sf_dir),
         keywords=fxt.FIXTURE_KEYWORDS,

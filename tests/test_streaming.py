@@ -224,3 +224,15 @@ def test_cli_list_on_empty_store(spark, capsys):
     out = capsys.readouterr().out
     assert "[list]   SHOW DOCUMENTS  " in out and "No documents found in the database." in out
     assert "[converse] what is this" in out
+
+
+def test_streams_read_tables_that_are_folders(spark):
+    """A table may be a folder of part files; its stream reads all of them."""
+    root = tempfile.mkdtemp(prefix="docsift-folders-")
+    for name in ("documents", "embeddings", "conversations"):
+        spark.read.parquet(f"{SF001}/{name}.parquet").repartition(3).write.parquet(f"{root}/{name}.parquet")
+    n = spark.read.parquet(f"{SF001}/conversations.parquet").where("role = 'user'").count()
+    assert jobs.stream_routing(spark, root).count() == jobs.stream_answers(spark, root).count() == n
+    # of equal texts the first to arrive is registered: the same ids, whatever the order of the files
+    ids = lambda df: sorted(r.id for r in df.select("id").collect())
+    assert ids(jobs.stream_ingest(spark, root)) == ids(catalog.ingest_end_to_end(spark, SF001))

@@ -3,20 +3,20 @@
 Plan, per query block:
 
     vectors scan (pos, doc_id, embedding)            -- pruned parquet scan
-      -> mapInArrow: block distance matrix in numpy,
+      -> mapInArrow: tiles of the distance matrix in numpy,
          running top-k per query inside the partition  -- no pair rows emitted
       -> merge of the tasks' results in ``top_k_fan_in`` groups per query
       -> row_number() over (query_id order by dist, pos) <= k
 
-A query set reaches every task through a broadcast variable only after its
-size is checked against ``max_query_block_bytes``. Beyond that, an index within
-the bound takes its place (index broadcast, queries streamed). When both sides
-are larger, query blocks meet stripes of the vectors on the executors: a task
-holds one block and streams one stripe past it, and nothing passes through the
-driver. Distances are squared L2 in float64; candidates are preselected
-with the ``|q|^2 + |v|^2 - 2 q.v`` expansion and every candidate within the
-expansion's error bound of the k-th one is re-scored exactly, so the
-selection is exact. Ties are broken by position.
+A few queries (``FEW_ROWS``, and within ``max_query_block_bytes``) reach every
+task through a broadcast variable, and so does an index of few vectors. Else
+query blocks meet stripes of the vectors on the executors, in as many groups
+as the distances to compute ask for: a task holds one block and streams one
+stripe past it, and nothing passes through the driver. Distances are squared
+L2 in float64; candidates are preselected with ``|v|^2 - 2 q.v`` in float32
+against the query's k-th distance so far, and every candidate within that
+product's error bound is scored exactly, so the selection is exact. Ties are
+broken by position.
 """
 
 from __future__ import annotations
@@ -32,6 +32,16 @@ from pyspark.sql import types as T
 
 from docsift.config import DEFAULT, EngineConfig
 
+#: Rows of a tile of vectors, entries of its distance matrix, and values of the
+#: pairs scored at once: what a task holds beside its queries and one batch.
+TILE_ROWS, TILE_CELLS, PAIR_CELLS = 2048, 1 << 20, 1 << 19
+OUT_ROWS = 100_000
+#: Up to so many rows one side is broadcast and the other scanned where it is.
+FEW_ROWS = 4096
+#: Distances that a group of the grid computes (some ten seconds); fewer when
+#: the cores would not all have work.
+GROUP_CELLS, GROUPS_PER_CORE = 1 << 33, 3
+_NO_POS = np.iinfo(np.int64).max
 #: A stripe of the vectors is streamed, not held: this many query blocks in size.
 STRIPE_BLOCKS = 8
 
@@ -46,17 +56,16 @@ HIT_SCHEMA = T.StructType(
 
 
 def _matrix(col: pa.Array, dim: int) -> np.ndarray:
-    """List<float> arrow column -> (n, dim) float64 matrix (width checked)."""
+    """List<float|double> arrow column -> (n, dim) matrix of its type (width checked)."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     n = len(col)
     if n == 0:
-        return np.zeros((0, dim), dtype=np.float64)
+        return np.zeros((0, dim), dtype=np.float32)
     lengths = col.value_lengths().to_numpy(zero_copy_only=False)
     if (lengths != dim).any():
         raise ValueError(f"vector width differs from {dim}; filter with check_width() first")
-    flat = col.flatten().to_numpy(zero_copy_only=False)
-    return flat.astype(np.float64, copy=False).reshape(n, dim)
+    return col.flatten().to_numpy(zero_copy_only=False).reshape(n, dim)
 
 
 def _group_topk(qi, pos, dist, k):
@@ -70,53 +79,121 @@ def _group_topk(qi, pos, dist, k):
     return order[(np.arange(len(qi)) - group_start) < k]
 
 
-def _slices(batches, rows):
-    for batch in batches:
-        for off in range(0, batch.num_rows, rows):
-            yield batch.slice(off, rows)
+def _first_copies(vmat: np.ndarray, pos: np.ndarray, k: int) -> np.ndarray:
+    """Rows that can be among anyone's k best: of equal vectors the k first by
+    position, as the others only tie with them and come later."""
+    order = np.argsort(pos, kind="stable")
+    rows = np.ascontiguousarray(vmat[order])
+    same = np.unique(rows.view(np.dtype((np.void, rows.itemsize * rows.shape[1]))).ravel(), return_inverse=True)[1].ravel()
+    by_copy = np.argsort(same, kind="stable")
+    kept = _group_topk(same[by_copy], np.arange(len(same)), np.zeros(len(same)), k)
+    return order[np.sort(by_copy[kept])]
+
+
+def _extended(mat: np.ndarray, factor: float, last: np.ndarray, dtype) -> np.ndarray:
+    """``factor * mat`` with one more column."""
+    out = np.empty((mat.shape[0], mat.shape[1] + 1), dtype=dtype)
+    np.multiply(mat, factor, out=out[:, :-1], casting="same_kind")
+    out[:, -1] = last
+    return out
+
+
+class _Best:
+    """The k best (distance, position, source row) of each query so far, kept
+    in order; distances are exact."""
+
+    def __init__(self, qmat: np.ndarray, k: int):
+        n = len(qmat)
+        self.q, self.k = qmat, k
+        self.d = np.full((n, k), np.inf)
+        self.p = np.full((n, k), _NO_POS)
+        self.doc = pa.nulls(n * k, pa.string())
+        self._begin()
+
+    def _begin(self) -> None:
+        # Rows of the batch, or where the document stood before it (below 0).
+        self.src = -1 - np.arange(self.d.size).reshape(self.d.shape)
+
+    def offer(self, qi: np.ndarray, rows: np.ndarray, pos: np.ndarray, vmat: np.ndarray) -> None:
+        """Scores the pairs (query, row), ordered by query, and keeps the best."""
+        step = max(1, PAIR_CELLS // self.q.shape[1])
+        for at in range(0, len(qi), step):
+            q, v = qi[at : at + step], rows[at : at + step]
+            diff = self.q[q].astype(np.float64) - vmat[v]
+            dist = np.einsum("ij,ij->i", diff, diff)
+            near = dist <= self.d[q, -1]
+            q, v, dist = q[near], v[near], dist[near]
+            if not len(q):
+                continue
+            who = q[np.r_[True, q[1:] != q[:-1]]]
+            all_q = np.r_[np.repeat(who, self.k), q]
+            all_d, all_p = np.r_[self.d[who].ravel(), dist], np.r_[self.p[who].ravel(), pos[v]]
+            all_src = np.r_[self.src[who].ravel(), v]
+            won = _group_topk(all_q, all_p, all_d, self.k)
+            for held, now in ((self.d, all_d), (self.p, all_p), (self.src, all_src)):
+                held[who] = now[won].reshape(-1, self.k)
+
+    def end(self, doc: pa.Array) -> None:
+        """End of a batch: document ids stay in Arrow; only those of the winners are taken."""
+        src = self.src.ravel()
+        if (src >= 0).any():
+            self.doc = pa.concat_arrays([self.doc, doc]).take(pa.array(np.where(src < 0, -1 - src, src.size + src)))
+            self._begin()
 
 
 def _partition_topk(qids: np.ndarray, qmat: np.ndarray, k: int, dim: int):
-    qnorm = (qmat * qmat).sum(axis=1)
-    eps = np.finfo(np.float64).eps
+    """The k best of a stream of batches for every query. The matrix of a tile
+    is ``|v|^2 - 2 q.v``, one product in float32 (float64 beyond its range);
+    what is within its rounding bound of the query's k-th distance so far is
+    scored exactly. A tile, and the pairs scored at once, have a fixed size."""
+    qnorm = np.einsum("ij,ij->i", qmat, qmat, dtype=np.float64)
+    q_top = np.abs(qmat).max(initial=0)
+    left: dict = {}
 
     def run(batches):
-        best_q = np.zeros(0, dtype=np.int64)
-        best_p = np.zeros(0, dtype=np.int64)
-        best_d = np.zeros(0, dtype=np.float64)
-        best_doc = pa.array([], type=pa.string())
-        # keep each distance block near 16M entries whatever the query count
-        rows_per_block = max(1, (1 << 24) // max(1, len(qids)))
-        for batch in _slices(batches, rows_per_block):
+        best = _Best(qmat, k)
+        for batch in batches:
+            if batch.num_rows == 0 or len(qids) == 0:
+                continue
             pos = batch.column("pos").to_numpy(zero_copy_only=False).astype(np.int64)
-            doc = batch.column("doc_id").cast(pa.string())
             vmat = _matrix(batch.column("embedding"), dim)
-            vnorm = (vmat * vmat).sum(axis=1)
-            approx = qnorm[:, None] + vnorm[None, :] - 2.0 * (qmat @ vmat.T)
-            # rounding of the expansion is below 2(dim+2)eps(|q|^2+|v|^2); a
-            # per-query bound with the slice's largest |v|^2 keeps memory at
-            # one matrix per slice
-            tol = 4.0 * (dim + 2) * eps * (qnorm + vnorm.max()) + 1e-300
-            kk = min(k, approx.shape[1])
-            kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
-            # every entry that could be among the k best once scored exactly
-            bound = (kth + 2.0 * tol)[:, None]
-            qi, vi = np.nonzero(approx <= bound)
-            diff = qmat[qi] - vmat[vi]
-            exact = np.einsum("ij,ij->i", diff, diff)
-            # document ids stay in Arrow; only those of the winners are taken
-            at = np.r_[np.arange(len(best_q)), len(best_q) + vi]
-            all_q, all_p, all_d = np.r_[best_q, qi.astype(np.int64)], np.r_[best_p, pos[vi]], np.r_[best_d, exact]
-            won = _group_topk(all_q, all_p, all_d, k)
-            best_q, best_p, best_d = all_q[won], all_p[won], all_d[won]
-            best_doc = pa.concat_arrays([best_doc, doc]).take(pa.array(at[won]))
-        if len(best_q):
+            vnorm = np.einsum("ij,ij->i", vmat, vmat, dtype=np.float64)
+            first = _first_copies(vmat, pos, k)
+            dtype = np.float32 if max(q_top, np.abs(vmat).max()) < 1e15 else np.float64
+            if dtype not in left:
+                left[dtype] = _extended(qmat, 1.0, 1.0, dtype)
+            least = 1e-30 if dtype is np.float32 else 1e-300
+            # the same memory for every tile
+            matrix, mask = np.empty(TILE_CELLS, dtype=dtype), np.empty(TILE_CELLS, dtype=bool)
+            for lo in range(0, len(first), TILE_ROWS):
+                rows = first[lo : lo + TILE_ROWS]
+                right = _extended(vmat[rows], -2.0, vnorm[rows], dtype).T
+                # rounding of the product is below 2(dim+4)eps(|q|^2+|v|^2)
+                tol = 4.0 * (dim + 4) * np.finfo(dtype).eps * (qnorm + np.fmax.reduce(vnorm[rows])) + least
+                for at in range(0, len(qids), step := TILE_CELLS // len(rows)):
+                    part = slice(at, at + step)
+                    upto = best.d[part, -1] - qnorm[part] + tol[part]
+                    shape = (len(upto), len(rows))
+                    approx, near = matrix[: len(upto) * len(rows)].reshape(shape), mask[: len(upto) * len(rows)].reshape(shape)
+                    np.matmul(left[dtype][part], right, out=approx)
+                    np.less_equal(approx, _above(upto, dtype)[:, None], out=near)
+                    if len(rows) > k and np.count_nonzero(near) > 4 * k * len(upto):
+                        # entries that could be among the tile's own k best
+                        kth = np.partition(approx, k - 1, axis=1)[:, k - 1]
+                        np.less_equal(approx, _above(np.fmin(upto, kth + 2.0 * tol[part]), dtype)[:, None], out=near)
+                    qi, vi = np.divmod(np.flatnonzero(near), len(rows))
+                    if len(qi):
+                        best.offer(at + qi, rows[vi], pos, vmat)
+            best.end(batch.column("doc_id").cast(pa.string()))
+        found = np.flatnonzero(best.p.ravel() != _NO_POS)
+        for at in range(0, len(found), OUT_ROWS):
+            some = found[at : at + OUT_ROWS]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(qids[best_q], type=pa.int64()),
-                    pa.array(best_p, type=pa.int64()),
-                    best_doc,
-                    pa.array(best_d, type=pa.float64()),
+                    pa.array(qids[some // k], type=pa.int64()),
+                    pa.array(best.p.ravel()[some], type=pa.int64()),
+                    best.doc.take(pa.array(some)),
+                    pa.array(best.d.ravel()[some], type=pa.float64()),
                 ],
                 schema=pa.schema(
                     [("query_id", pa.int64()), ("pos", pa.int64()), ("doc_id", pa.string()), ("dist", pa.float64())]
@@ -126,6 +203,11 @@ def _partition_topk(qids: np.ndarray, qmat: np.ndarray, k: int, dim: int):
     return run
 
 
+def _above(x: np.ndarray, dtype) -> np.ndarray:
+    """``x`` in ``dtype``, not rounded down."""
+    return np.nextafter(x.astype(dtype), dtype(np.inf))
+
+
 def knn(
     vectors: DataFrame,
     queries: DataFrame,
@@ -164,14 +246,13 @@ def knn(
     bytes_needed = n_q * d * 8
     if n_q == 0:
         hits = spark.createDataFrame([], HIT_SCHEMA)
-    elif bytes_needed <= cfg.max_query_block_bytes:
+    elif n_q <= FEW_ROWS and bytes_needed <= cfg.max_query_block_bytes:
         hits = merge_top_k(_stream_vectors(q, v, k, d), F.spark_partition_id(), k, cfg.top_k_fan_in)
-    elif (index_bytes := v.count() * (d * 8 + 64)) <= cfg.max_query_block_bytes:
+    elif (n_v := v.count()) <= FEW_ROWS and n_v * (d * 8 + 64) <= cfg.max_query_block_bytes:
         # many queries, small index: the index is the side of proven size
         hits = _stream_queries(q, v, k, d)
     else:
-        n_blocks = math.ceil(bytes_needed / cfg.max_query_block_bytes)
-        n_stripes = math.ceil(index_bytes / (cfg.max_query_block_bytes * STRIPE_BLOCKS))
+        n_blocks, n_stripes = _grid(n_q, n_v, d, k, cfg, spark.sparkContext.defaultParallelism)
         hits = _blocks_by_stripes(q, v, k, d, n_blocks, n_stripes)
         if n_stripes > cfg.top_k_fan_in:  # a query has k rows a stripe
             hits = merge_top_k(hits, F.pmod(F.xxhash64("pos"), F.lit(n_stripes)), k, cfg.top_k_fan_in)
@@ -238,6 +319,18 @@ def _stream_vectors(q: DataFrame, v: DataFrame, k: int, d: int) -> DataFrame:
     return v.mapInArrow(run, HIT_SCHEMA)
 
 
+def _grid(n_q: int, n_v: int, d: int, k: int, cfg: EngineConfig, cores: int) -> tuple[int, int]:
+    """Query blocks and vector stripes: groups of bounded work, and the split
+    between the two sides that shuffles least. A further stripe sends every
+    query and its k rows once more, a further block every vector. A block is
+    held by a task, so its bytes are bounded."""
+    groups = max(math.ceil(n_q * n_v / GROUP_CELLS), min(GROUPS_PER_CORE * cores, math.ceil(n_q * n_v / (FEW_ROWS * FEW_ROWS))))
+    per_stripe, per_block = n_q * (d * 4 + k * 100), max(1, n_v) * (d * 4 + 50)
+    n_blocks = max(1, round(math.sqrt(groups * per_stripe / per_block)), math.ceil(n_q * d * 8 / cfg.max_query_block_bytes))
+    n_stripes = max(math.ceil(groups / n_blocks), math.ceil(n_v * (d * 8 + 64) / (cfg.max_query_block_bytes * STRIPE_BLOCKS)), 1)
+    return n_blocks, n_stripes
+
+
 def _blocks_by_stripes(q: DataFrame, v: DataFrame, k: int, d: int, n_blocks: int, n_stripes: int) -> DataFrame:
     """Every (query block, vector stripe) is a group of one shuffle, sorted so
     that the block's queries come before the stripe's vectors. A task keeps the
@@ -257,7 +350,9 @@ def _blocks_by_stripes(q: DataFrame, v: DataFrame, k: int, d: int, n_blocks: int
     # A task holds many groups, one after the other: their number is no number of tasks.
     spark = q.sparkSession
     most = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    met = left.unionByName(right).repartition(min(n_blocks * n_stripes, most), "block", "stripe")
+    # Dealt out by number, so that no task gets several by chance while others have none.
+    n_tasks = min(n_blocks * n_stripes, most)
+    met = left.unionByName(right).repartitionById(n_tasks, F.pmod(F.col("block") * n_stripes + F.col("stripe"), F.lit(n_tasks)).cast("int"))
     return met.sortWithinPartitions("block", "stripe", "side").mapInArrow(_group_scan(k, d), HIT_SCHEMA)
 
 

@@ -260,9 +260,9 @@ def read_opened_files(spark, d):
 
 # -- questions, prompts, answers --------------------------------------------
 
-def _question_vectors(spark, d, width: int):
-    q = fxt.questions(spark, d)
-    return fx.featurize(q, "text", width).select("query_id", "embedding")
+def _question_vectors(questions: DataFrame, width: int) -> DataFrame:
+    """Written once: a search counts its queries before it reads them."""
+    return materialize(fx.featurize(questions, "text", width).select("query_id", "embedding"), "question-vectors")
 
 
 def query_features(spark, d):
@@ -294,7 +294,7 @@ def retrieve_questions(spark, d):
     """C2 from text: question -> features -> top-3 -> documents."""
     width = fxt.embedding_width(spark, d)
     return retrieval.retrieve(
-        fxt.vectors(spark, d), fxt.registry(spark, d), _question_vectors(spark, d, width), RETRIEVE_K, dim=width
+        fxt.vectors(spark, d), fxt.registry(spark, d), _question_vectors(fxt.questions(spark, d), width), RETRIEVE_K, dim=width
     )
 
 
@@ -347,7 +347,7 @@ def answer_queries(spark, d):
     routes = materialize(ans.route(q, keywords=fxt.FIXTURE_KEYWORDS), "routes")
     wanted = q.join(routes.where(F.col("route") == "retrieve"), "query_id", "left_semi")
     width = fxt.embedding_width(spark, d)
-    qv = fx.featurize(wanted, "text", width).select("query_id", "embedding")
+    qv = _question_vectors(wanted, width)
     hits = materialize(
         retrieval.retrieve(fxt.vectors(spark, d), fxt.registry(spark, d), qv, RETRIEVE_K, dim=width), "retrieved"
     )

@@ -144,3 +144,65 @@ def test_floats_stay_floats_on_the_way(spark):
     assert "array<double>" not in plan
     most = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     assert met.rdd.getNumPartitions() <= most < 50 * 60
+
+
+def _scan(V, Q, k, rows=500):
+    """The kernel over batches, and the pairs it scored exactly."""
+    import pyarrow as pa
+
+    scored, offer = [], search._Best.offer
+
+    def counted(self, qi, at, pos, vmat):
+        scored.append(len(qi))
+        offer(self, qi, at, pos, vmat)
+
+    def batches():
+        for at in range(0, len(V), rows):
+            part = V[at : at + rows]
+            ids = np.arange(at, at + len(part))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids), pa.array([f"d{i}" for i in ids]), pa.array(part.tolist(), pa.list_(pa.from_numpy_dtype(V.dtype)))],
+                names=["pos", "doc_id", "embedding"],
+            )
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(search._Best, "offer", counted)
+        out = list(search._partition_topk(100 + np.arange(len(Q)), Q, k, V.shape[1])(batches()))
+    got = {}
+    for r in (r for b in out for r in b.to_pylist()):
+        got.setdefault(r["query_id"], []).append((len(got.get(r["query_id"], [])) + 1, r["pos"]))
+        assert r["doc_id"] == f"d{r['pos']}"
+    return got, sum(scored)
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-20, 1e18])
+def test_scan_is_exact_at_any_scale(scale):
+    rng = np.random.default_rng(11)
+    V = (rng.normal(size=(2000, 12)) * scale).astype(np.float32)
+    Q = np.r_[V[:30], (rng.normal(size=(30, 12)) * scale).astype(np.float32)]
+    assert _scan(V, Q, 4)[0] == _brute(V, Q, 4)
+
+
+def test_few_pairs_are_scored_whatever_the_copies():
+    """A query's k-th distance so far bounds the later tiles, and of equal
+    vectors a batch scores k: not k of every slice, and not every copy."""
+    rng = np.random.default_rng(12)
+    V, Q = rng.normal(size=(6000, 8)).astype(np.float32), rng.normal(size=(200, 8)).astype(np.float32)
+    got, scored = _scan(V, Q, 3)
+    assert got == _brute(V, Q, 3) and scored < 200 * 60
+    V[rng.random(6000) < 0.7] = Q[0]
+    got, scored = _scan(V, Q, 3)
+    assert got == _brute(V, Q, 3) and scored < 200 * 90
+
+
+def test_a_big_search_is_dealt_out_evenly(spark):
+    """Groups follow the distances to compute, and each has a task."""
+    for n_q, n_v in ((100_000, 100_000), (800_000, 600_000), (5000, 6_000_000)):
+        blocks, stripes = search._grid(n_q, n_v, 64, 3, EngineConfig(), 12)
+        assert blocks * stripes >= 36 and n_q * n_v / (blocks * stripes) <= 1.5 * search.GROUP_CELLS
+        assert n_q * 64 * 8 / blocks <= EngineConfig().max_query_block_bytes
+    rng = np.random.default_rng(13)
+    v, q = _frames(spark, rng.normal(size=(300, 4)).astype(np.float32), rng.normal(size=(300, 4)).astype(np.float32))
+    met = search._blocks_by_stripes(search._vector_rows(q, F.col("query_id")), search._vector_rows(v, F.col("pos"), F.col("doc_id")), 2, 4, 4, 3)
+    tasks = met.groupBy(F.spark_partition_id()).agg(F.countDistinct("query_id").alias("n")).collect()
+    assert len(tasks) == 12 and sum(r.n for r in tasks) == 300 * 3

@@ -52,9 +52,9 @@ NON_WHITESPACE = "[^" + PY_WHITESPACE_CLASS[1:-1] + "]"
 
 def is_blank(text) -> Column:
     """True when the text holds only Python whitespace (zero chunks).
-    Native trim over that character set: it stops at the first non-space
-    character from each end."""
-    return F.trim(_col(text), F.lit(PY_WHITESPACE_CHARS)) == ""
+    Native trim over that character set, from the left only: that stops at the
+    first other character, a trim from the right maps the whole text first."""
+    return F.ltrim(_col(text), F.lit(PY_WHITESPACE_CHARS)) == ""
 
 
 def fold_newlines(text) -> Column:

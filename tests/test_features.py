@@ -4,6 +4,7 @@ import os
 import tempfile
 
 import numpy as np
+import pyarrow as pa
 
 from docsift.config import EngineConfig
 from docsift.functions import features as fx
@@ -55,3 +56,20 @@ def test_ingest_with_a_model(spark):
         res = ingest.ingest(files, None, vec.empty_vectors(spark), EngineConfig(dim=3), hook, base=0)
         both.append(sorted((r.pos, r.doc_id, tuple(r.embedding)) for r in res.vectors.collect()))
     assert both[0] == both[1] and len(both[0]) > 12
+
+
+def test_tokens_are_hashed_once_a_batch(spark, monkeypatch):
+    """The dense form equals the sparse one, no token is hashed on the JVM, and
+    a batch hashes each of its distinct tokens once."""
+    rows = [(i, " ".join(f"w{(i * j) % 17} Ä{j % 3}É ß" for j in range(i % 40))) for i in range(3000)] + [(3000, None), (3001, " .,")]
+    df = spark.createDataFrame(rows, "id long, text string").coalesce(1)
+    dense = fx.featurize(df, "text", 32)
+    assert "md5" not in dense._jdf.queryExecution().toString()
+    got = {(r.id, i): x for r in dense.collect() for i, x in enumerate(r.embedding) if x}
+    sparse = {(r.id, r.bucket): r.weight for r in fx.sparse_features(df, ["id"], "text", 32).collect()}
+    assert got == sparse and len(got) > 20000
+    hashed = []
+    monkeypatch.setattr(fx.hashlib, "md5", lambda b, md5=fx.hashlib.md5: hashed.append(b) or md5(b))
+    words = pa.array([["a", "b", "a"], None, [], ["b"]] * 500)
+    out = fx._densify_factory(8).func(words)
+    assert sorted(hashed) == [b"a", b"b"] and len(out) == 2000 and out[1].as_py() == [0.0] * 8

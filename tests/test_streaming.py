@@ -199,6 +199,34 @@ def test_late_answers_settle_once(spark):
     assert {r.query_id for r in waiting.collect()} == {1}
 
 
+def test_late_answers_state_is_dealt_by_cores(spark):
+    """Each state partition costs every batch the same, rows or not: one a core,
+    however many shuffle partitions the session has; those are left as they were."""
+    hits = spark.createDataFrame([(i, "d", 1, 1, "f") for i in range(40)], "query_id long, doc_id string, rank long, n_hits int, file_path string")
+    hits = hits.withColumn("asked_at", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    replies = hits.select("query_id", "doc_id", F.lit("Yes.").alias("response"), F.col("asked_at").alias("answered_at"))
+    cores, was = spark.sparkContext.defaultParallelism, spark.conf.get("spark.sql.shuffle.partitions")
+
+    def run(root, **given):
+        for name, df in (("hits", hits), ("replies", replies)):
+            df.write.mode("append").parquet(f"{root}/{name}")
+        streams = [spark.readStream.schema(df.schema).parquet(f"{root}/{n}") for n, df in (("hits", hits), ("replies", replies))]
+        late.late_answer_stream(spark, *streams, f"{root}/out", f"{root}/ckpt", **given)
+        ids = [r.query_id for r in spark.read.parquet(f"{root}/out/answers").collect()]
+        return sorted(ids), len([p for p in os.listdir(f"{root}/ckpt/state/0") if p.isdigit()])
+
+    many = str(3 * cores)
+    spark.conf.set("spark.sql.shuffle.partitions", many)
+    try:
+        assert run(tempfile.mkdtemp(prefix="docsift-cores-")) == (list(range(40)), cores)
+        root = tempfile.mkdtemp(prefix="docsift-given-")
+        assert run(root, state_partitions=2) == (list(range(40)), 2)
+        assert run(root)[1] == 2  # as the first run had them
+        assert spark.conf.get("spark.sql.shuffle.partitions") == many
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
 def test_cli_ingest_and_ask(spark, capsys):
     from docsift.__main__ import main
 

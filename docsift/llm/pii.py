@@ -105,35 +105,40 @@ def _filled(value: Column, width: Column | int) -> Column:
 
 def feistel(pair: Column, sizes: Column, key: Column, kind: str, inverse: bool = False) -> Column:
     """Permutes (left, right) within the ranges (a, b), both array<bigint>.
-    The rounds are a fold over their numbers; even rounds change the left."""
+    The rounds are a fold over their numbers; even rounds change the left.
+    The sizes, and what all rounds hash alike, are evaluated once a value."""
 
-    def step(p: Column, n: Column) -> Column:
+    def step(same: Column, p: Column, n: Column) -> Column:
         def moved(value: Column, other: Column, size: Column) -> Column:
-            text = F.concat_ws("|", key, F.lit(kind), F.array_join(sizes, "x"), n.cast("string"), other.cast("string"))
+            text = F.concat_ws("|", same["text"], n.cast("string"), other.cast("string"))
             shift = F.pmod(_long(F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10)), size)
             return F.pmod(value - shift if inverse else value + shift, size)
 
-        left = F.array(moved(p[0], p[1], sizes[0]), p[1])
-        return F.when(n % 2 == 0, left).otherwise(F.array(p[0], moved(p[1], p[0], sizes[1])))
+        left = F.array(moved(p[0], p[1], same["sizes"][0]), p[1])
+        return F.when(n % 2 == 0, left).otherwise(F.array(p[0], moved(p[1], p[0], same["sizes"][1])))
 
     order = list(range(ROUNDS))
-    return F.aggregate(F.array(*[F.lit(n) for n in (reversed(order) if inverse else order)]), pair, step)
+    rounds = F.array(*[F.lit(n) for n in (reversed(order) if inverse else order)])
+    same = _let(sizes, lambda s: F.struct(s.alias("sizes"), F.concat_ws("|", key, F.lit(kind), F.array_join(s, "x")).alias("text")))
+    return _let(same, lambda c: F.aggregate(rounds, pair, lambda p, n: step(c, p, n)))
 
 
 def _digits_permuted(digits: Column, key: Column, kind: str, inverse: bool) -> Column:
     """A string of 2 to 30 digits, permuted as two halves."""
-    n = F.length(digits)
-    a = F.floor(n / 2)
-    pair = _two(F.substr(digits, F.lit(1), a), F.substr(digits, a + 1, n))
-    out = feistel(pair, _two(_power(a), _power(n - a)), key, kind, inverse)
-    return _let(out, lambda p: F.concat(_filled(p[0], a), _filled(p[1], n - a)))
+
+    def permuted(digits: Column, n: Column, a: Column) -> Column:
+        pair = _two(F.substr(digits, F.lit(1), a), F.substr(digits, a + 1, n))
+        out = feistel(pair, _two(_power(a), _power(n - a)), key, kind, inverse)
+        return _let(out, lambda p: F.concat(_filled(p[0], a), _filled(p[1], n - a)))
+
+    return _let(digits, lambda d: _let(F.length(d), lambda n: _let(F.floor(n / 2), lambda a: permuted(d, n, a))))
 
 
 def _refill(shape: Column, digits: Column) -> Column:
     """The digits, in order, in the places of the digits of ``shape``."""
 
     def put(acc: Column, c: Column) -> Column:
-        is_digit = c.rlike("^[0-9]$")
+        is_digit = c.between("0", "9")
         out = F.concat(acc["out"], F.when(is_digit, F.substr(digits, acc["used"] + 1, F.lit(1))).otherwise(c))
         return F.struct(out.alias("out"), (acc["used"] + is_digit.cast("int")).alias("used"))
 
@@ -158,10 +163,9 @@ def _mod97(text: Column) -> Column:
 
 def _card(m: Column, key: Column, inverse: bool) -> tuple[Column, Column]:
     digits = F.regexp_replace(m, "[^0-9]", "")
-    n = F.length(digits)
 
     def out(d: Column) -> Column:
-        body = F.concat(F.substr(d, F.lit(1), F.lit(1)), _digits_permuted(F.substr(d, F.lit(2), n - 2), key, "card", inverse))
+        body = F.concat(F.substr(d, F.lit(1), F.lit(1)), _digits_permuted(F.substr(d, F.lit(2), F.length(d) - 2), key, "card", inverse))
         check = _let(body, lambda b: F.concat(b, ((10 - _luhn(F.concat(b, F.lit("0")))) % 10).cast("string")))
         return _let(check, lambda x: _refill(m, x))
 
@@ -169,21 +173,23 @@ def _card(m: Column, key: Column, inverse: bool) -> tuple[Column, Column]:
 
 
 def _phone(m: Column, key: Column, inverse: bool) -> tuple[Column, Column]:
-    digits = F.regexp_replace(m, "[^0-9]", "")
-    country = F.substring(digits, 1, F.length(digits) - 10)  # 1, or nothing
-    area, exchange, line = (_long(F.substring(digits, at, n)) for at, n in ((-10, 3), (-7, 3), (-4, 4)))
-    # Area and exchange from 200 are 640,000 pairs; the other 360,000 are a range of their own.
-    usual = (area >= 200) & (exchange >= 200)
-    other = F.when(area < 200, area * 1000 + exchange).otherwise(200_000 + (area - 200) * 200 + exchange)
-    left = F.when(usual, (area - 200) * 800 + exchange - 200).otherwise(other)
-    out = feistel(_two(left, line), _two(F.when(usual, 640_000).otherwise(360_000), 10_000), key, "phone", inverse)
 
-    def pair(x: Column) -> Column:
-        low = F.when(x < 200_000, x).otherwise((200 + F.floor((x - 200_000) / 200)) * 1000 + (x - 200_000) % 200)
-        return F.when(usual, (200 + F.floor(x / 800)) * 1000 + 200 + x % 800).otherwise(low)
+    def new(digits: Column) -> Column:
+        country = F.substring(digits, 1, F.length(digits) - 10)  # 1, or nothing
+        area, exchange, line = (_long(F.substring(digits, at, n)) for at, n in ((-10, 3), (-7, 3), (-4, 4)))
+        # Area and exchange from 200 are 640,000 pairs; the other 360,000 are a range of their own.
+        usual = (area >= 200) & (exchange >= 200)
+        other = F.when(area < 200, area * 1000 + exchange).otherwise(200_000 + (area - 200) * 200 + exchange)
+        left = F.when(usual, (area - 200) * 800 + exchange - 200).otherwise(other)
+        out = feistel(_two(left, line), _two(F.when(usual, 640_000).otherwise(360_000), 10_000), key, "phone", inverse)
+
+        def pair(x: Column) -> Column:
+            low = F.when(x < 200_000, x).otherwise((200 + F.floor((x - 200_000) / 200)) * 1000 + (x - 200_000) % 200)
+            return F.when(usual, (200 + F.floor(x / 800)) * 1000 + 200 + x % 800).otherwise(low)
+
+        return _let(out, lambda p: F.concat(country, F.lpad(pair(p[0]).cast("string"), 6, "0"), _filled(p[1], 4)))
 
-    new = _let(out, lambda p: F.concat(country, _filled(pair(p[0]), 6), _filled(p[1], 4)))
-    return F.lit(True), _let(new, lambda d: _refill(m, d))
+    return F.lit(True), _let(_let(F.regexp_replace(m, "[^0-9]", ""), new), lambda d: _refill(m, d))
 
 
 def _ssn(m: Column, key: Column, inverse: bool) -> tuple[Column, Column]:
@@ -260,10 +266,10 @@ def _email(m: Column, key: Column, inverse: bool) -> tuple[Column, Column]:
     local = F.substring_index(m, "@", 1)
     symbols = F.regexp_replace(local, "[^A-Za-z0-9]", "")
     starts = F.sequence(F.lit(1), F.greatest(F.length(symbols), F.lit(1)), F.lit(SYMBOLS_PER_STEP))
-    steps = F.transform(starts, lambda at: _symbols_permuted(F.substr(symbols, at, F.lit(SYMBOLS_PER_STEP)), key, inverse))
+    steps = F.transform(starts, lambda at: _let(F.substr(symbols, at, F.lit(SYMBOLS_PER_STEP)), lambda s: _symbols_permuted(s, key, inverse)))
 
     def put(acc: Column, c: Column, new: Column) -> Column:
-        is_symbol = c.rlike("^[A-Za-z0-9]$")
+        is_symbol = c.between("0", "9") | c.between("A", "Z") | c.between("a", "z")
         out = F.concat(acc["out"], F.when(is_symbol, F.substr(new, acc["used"] + 1, F.lit(1))).otherwise(c))
         return F.struct(out.alias("out"), (acc["used"] + is_symbol.cast("int")).alias("used"))
 
